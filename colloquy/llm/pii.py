@@ -99,15 +99,14 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    df = found(docs.drop("base", "spans"))
-    spans = F.sort_array("spans")
+    df = found(docs.select(F.struct("*").alias("_doc"), "text"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        return (
-            F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
-            .otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-        )
+        cut = F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], cut).alias("out"))
+        return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
 
-    clean = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return df.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("base", "spans")
+    clean = F.aggregate(F.sort_array("spans"), zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text")
+    return df.select(*(text if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns))

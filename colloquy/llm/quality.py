@@ -85,6 +85,11 @@ def apply_policy(led: DataFrame, version: str = "v2") -> DataFrame:
     return led.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(version))) == 0)
 
 
+def kept(docs: DataFrame, version: str = "v2") -> DataFrame:
+    """The rows of docs that the policy keeps, with the columns of docs alone."""
+    return apply_policy(ledger(docs.select(F.struct("*").alias("_doc"), "text")), version).where("kept").select("_doc.*")
+
+
 def ablation(led: DataFrame, version: str = "v2") -> DataFrame:
     """For each rule of the policy: documents it rejects, rejects alone, and what the policy keeps without it.
 
