@@ -61,17 +61,18 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
     steps = F.zip_with(F.slice("_p", F.lit(1), F.size("_p") - 1), F.slice("_p", F.lit(2), F.size("_p") - 1), lambda a, b: F.least(F.lit(WINDOW), b - a))
     repeats = F.when(F.col("_p").isNotNull(), F.aggregate(steps, F.lit(WINDOW), lambda a, x: a + x)).otherwise(F.lit(0))
-    return df.withColumns(
-        {
-            "n_words": F.col("_n").cast("long"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": (length - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": repeats.cast("long"),
-            "n_capitals": (length - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
-        }
-    ).drop("_w", "_l", "_n", "_h", "_s", "_p")
+    # One row is made of the measurements by a generator: a filter above it stays above, where
+    # the optimizer would else move all of this into the filter and evaluate arrays once an element.
+    row = F.struct(
+        F.col("_n").cast("long").alias("n_words"),
+        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
+        (length - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("_l").cast("long").alias("n_lines"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        repeats.cast("long").alias("n_repeat_words"),
+        (length - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+    )
+    return df.select(*docs.columns, F.inline(F.array(row)))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
