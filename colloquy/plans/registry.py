@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from colloquy.plans import advantages, graph, metrics, tokens  # noqa: F401  (they register)
+from colloquy.plans.base import ORACLES, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "e1"
+FLAGSHIP = "e10"
