@@ -42,11 +42,11 @@ def initial_symptoms(edges: DataFrame, seed_n: str = "3", seed: str = "4") -> Da
 
 def ranked(df: DataFrame, order: list[Column], out: str = "rank", buckets: int = 64) -> DataFrame:
     """Exact rank from 0 without one task holding all rows: ranges are sorted side by side, then shifted by the counts before them."""
-    d = df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    n = d.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = n.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return d.join(F.broadcast(before), "_p").withColumn(out, (F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_b")
+    d = df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id())
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    n = d.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = n.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return d.join(F.broadcast(before), "__p").withColumn(out, (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__b")
 
 
 def ratio_split(df: DataFrame, key: str, ratio: float, seed: str, least: int = 1) -> DataFrame:

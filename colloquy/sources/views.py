@@ -47,7 +47,14 @@ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderk
 SELECT event_id AS sample_id,
        CASE CAST(event_id % 7 AS INT)
          WHEN 0 THEN concat('{"action": "ask", "question": "is it ', event_type, '?"}')
-         WHEN 1 THEN concat('""",
+         WHEN 1 THEN concat('```json', chr(10), '{"action": "diagnose", "diagnosis": "', event_type, '"}', chr(10), '```')
+         WHEN 2 THEN '<think>{"action": "diagnose"}</think>{"action": {"type": "ask"}, "question": "why?"}'
+         WHEN 3 THEN concat('<think>x</think> Question: any ', event_type, '? and more?')
+         WHEN 4 THEN concat('Final Answer: ', chr(CAST(65 + event_id % 5 AS INT)))
+         WHEN 5 THEN concat('<action>continue</action><question>', event_type, '</question>')
+         ELSE concat('no tags ', event_type) END AS text,
+       chr(CAST(65 + event_id % 4 AS INT)) AS answer_idx
+FROM events""",
     "responses": r"""
 SELECT p_partkey AS sample_id, CAST(p_size AS STRING) AS ground_truth,
        CASE WHEN p_partkey % 3 = 0 THEN 'openai/gsm8k' WHEN p_partkey % 3 = 1 THEN 'searchR1_nq' ELSE 'math_dapo' END AS data_source,
