@@ -123,3 +123,31 @@ def unite(left: DataFrame, right: DataFrame, row_id: str) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many keys two splits share; a leak if not 0."""
     return a.select(key).intersect(b.select(key)).agg(F.count("*").alias("n_shared"))
+
+
+def canonical(df: DataFrame, prompt: Column, answer: Column, source: str, style: str, split: str, index: Column, **extra: Column) -> DataFrame:
+    """The canonical training row of any source: prompt messages, reward model, source, extra info."""
+    return df.select(
+        F.lit(source).alias("data_source"),
+        F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("prompt"),
+        F.struct(F.lit(style).alias("style"), answer.alias("ground_truth")).alias("reward_model"),
+        F.struct(F.lit(split).alias("split"), index.alias("index"), *(c.alias(k) for k, c in extra.items())).alias("extra_info"),
+    )
+
+
+def with_system_prompt(df: DataFrame, content: str, prompt: str = "prompt") -> DataFrame:
+    """The first message's content replaced, changed telling whether it differed; a first message of another role is an error."""
+    first = F.get(prompt, F.lit(0))
+    ok = F.when(first["role"] == "system", F.lit(content)).otherwise(F.raise_error(F.lit("the first message is not the system's")).cast("string"))
+    d = df.withColumn("changed", first["content"] != content)
+    return d.withColumn(prompt, F.transform(prompt, lambda m, i: F.struct(m["role"].alias("role"), F.when(i == 0, ok).otherwise(m["content"]).alias("content"))))
+
+
+def cases(edges: DataFrame, least: int, most: int, templates: list[str], seed: str) -> DataFrame:
+    """edges(disease, disease_group, symptom, weight) -> a case a disease: its heaviest symptoms in order, and a complaint from a template by hash."""
+    w = Window.partitionBy("disease").orderBy(F.desc("weight"), "symptom")
+    d = edges.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    g = d.groupBy("disease", "disease_group").agg(F.sort_array(F.collect_list(F.struct("_r", "symptom"))).alias("x")).where(F.size("x") >= least)
+    pick = F.conv(F.substring(hash_key(seed, "disease"), 1, 4), 16, 10).cast("int") % len(templates)
+    pool = F.transform("x", lambda r: r["symptom"])
+    return g.select("disease", "disease_group", pool.alias("pool"), F.concat(F.element_at(F.array(*map(F.lit, templates)), pick + 1), F.get(pool, F.lit(0))).alias("chief_complaint"))
