@@ -102,3 +102,30 @@ def verdict(x: Column) -> Column:
 def wikihow_clean(x: Column) -> Column:
     """Without bracketed artifacts; a title mark ends a sentence."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(x), r" \[title\]", ". "), r"\[.*?\]", ""), "  +", " "))
+
+
+def patient_reply(x: Column, answer: str = "I don't know.", unknown: str = "unknown") -> Column:
+    """{answer, fact_id} of a patient's JSON, with defaults; text that is no object is the answer."""
+    v = json_object(x)
+    said = F.when(v.isNull(), F.nullif(F.trim(x), F.lit("")))
+    return F.struct(F.coalesce(_get(v, "$.answer"), said, F.lit(answer)).alias("answer"), F.coalesce(_get(v, "$.fact_id"), F.lit(unknown)).alias("fact_id"))
+
+
+def no_think_once(x: Column) -> Column:
+    """/no_think at the end of the first system block of a rendered prompt, unless some block has it."""
+    return F.when(x.contains("/no_think"), x).otherwise(F.regexp_replace(x, r"(?s)\A(.*?<\|im_start\|>system\n.*?)(<\|im_end\|>)", "$1 /no_think$2"))
+
+
+def tagged_trace(x: Column) -> Column:
+    """array<struct<role, content>> of a trace: code and answers are the assistant's, interpreter output the tool's."""
+    pattern = r"(?s)<(code|interpreter|answer)>(.*?)</\1>"
+    tags, texts = F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), F.regexp_extract_all(x, F.lit(pattern), F.lit(2))
+    return F.zip_with(tags, texts, lambda t, c: F.struct(F.when(t == "interpreter", "tool").otherwise("assistant").alias("role"), F.trim(c).alias("content")))
+
+
+def point_reward(points: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """1 / sqrt(n * k) if the k-th of n points (array<struct<x, y>>) is the first inside the box, -1 / n if none is."""
+    n = F.size(points)
+    inside = F.transform(points, lambda p, i: F.when((p["x"] >= left) & (p["x"] <= right) & (p["y"] >= top) & (p["y"] <= bottom), i + 1))
+    k = F.array_min(F.filter(inside, lambda i: i.isNotNull()))
+    return F.when(n == 0, 0.0).when(k.isNotNull(), 1 / F.sqrt(n * k)).otherwise(-1.0 / n)

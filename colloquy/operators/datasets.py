@@ -151,3 +151,8 @@ def cases(edges: DataFrame, least: int, most: int, templates: list[str], seed: s
     pick = F.conv(F.substring(hash_key(seed, "disease"), 1, 4), 16, 10).cast("int") % len(templates)
     pool = F.transform("x", lambda r: r["symptom"])
     return g.select("disease", "disease_group", pool.alias("pool"), F.concat(F.element_at(F.array(*map(F.lit, templates)), pick + 1), F.get(pool, F.lit(0))).alias("chief_complaint"))
+
+
+def merged_map(own: Column, extra: Column) -> Column:
+    """Both maps' keys; own values win."""
+    return F.map_concat(own, F.map_filter(extra, lambda k, v: ~F.map_contains_key(own, k)))

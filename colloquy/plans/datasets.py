@@ -300,3 +300,80 @@ SELECT disease, disease_group, pool, concat(CASE CAST(('0x' || substr(md5('21|'
 def i13(spark: SparkSession, sf: str) -> DataFrame:
     """Cases from clean edges."""
     return DS.cases(view(spark, sf, "kg_edges"), 3, 6, ["I have ", "My problem is "], "21").select("disease", "disease_group", F.array_join("pool", ",").alias("pool"), "chief_complaint")
+
+
+@query("b20", "SELECT p_partkey, concat(upper(substr(p_name, 1, 1)), lower(substr(p_name, 2)), ': ', p_type) AS context, array_to_string([trim(p_brand), trim(p_type)], '|') AS choices, CAST(p_size % 2 AS INTEGER) AS label FROM part")
+def b20(spark: SparkSession, sf: str) -> DataFrame:
+    """Multiple choice: clean context, choices, integer label."""
+    context = F.concat(F.upper(F.substring("p_name", 1, 1)), F.lower(F.expr("substr(p_name, 2)")), F.lit(": "), "p_type")
+    choices = F.transform(F.array("p_brand", "p_type"), lambda x: F.trim(x))
+    return table(spark, sf, "part").select("p_partkey", context.alias("context"), F.array_join(choices, "|").alias("choices"), (F.col("p_size") % 2).cast("int").alias("label"))
+
+
+@query("b21", "SELECT sample_id, concat('searchR1_', data_source) AS data_source, coalesce(nullif(ground_truth, '7'), solution) AS answer FROM responses", ("responses",))
+def b21(spark: SparkSession, sf: str) -> DataFrame:
+    """Search questions: tagged source, label with a fallback."""
+    r = view(spark, sf, "responses")
+    return r.select("sample_id", F.concat(F.lit("searchR1_"), "data_source").alias("data_source"), F.coalesce(F.nullif("ground_truth", F.lit("7")), "solution").alias("answer"))
+
+
+@query(
+    "b23",
+    """WITH o AS (SELECT p_partkey, p_brand AS correct, unnest([p_brand, p_type, p_name]) AS o FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY md5('5|' || CAST(p_partkey AS VARCHAR) || '|' || o)) AS k FROM o)
+SELECT p_partkey, string_agg(chr(CAST(64 + k AS INT)) || ') ' || o, ' ' ORDER BY k) AS options, max(chr(CAST(64 + k AS INT))) FILTER (WHERE o = correct) AS letter FROM r GROUP BY 1""",
+)
+def b23(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark rows: options in hash order with letters, and the right letter."""
+    x = F.array_sort(F.transform(F.array("p_brand", "p_type", "p_name"), lambda o: F.struct(hash_key("5", F.col("p_partkey"), o).alias("h"), o.alias("o"))))
+    d = table(spark, sf, "part").select("p_partkey", "p_brand", F.transform(x, lambda s: s["o"]).alias("o"))
+    lettered = F.transform("o", lambda o, i: F.concat(F.chr(65 + i), F.lit(") "), o))
+    return d.select("p_partkey", F.array_join(lettered, " ").alias("options"), F.chr(64 + F.array_position("o", F.col("p_brand"))).alias("letter"))
+
+
+@query("b24", "SELECT event_id, 'train' AS split, event_type AS kind, CAST(user_id AS VARCHAR) AS user FROM events")
+def b24(spark: SparkSession, sf: str) -> DataFrame:
+    """Extra keys carried along; a row's own keys win."""
+    own = F.create_map(F.lit("split"), F.lit("train"), F.lit("kind"), F.col("event_type"))
+    extra = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.lit("lost"))
+    both = DS.merged_map(own, extra)
+    return table(spark, sf, "events").select("event_id", both["split"].alias("split"), both["kind"].alias("kind"), both["user"].alias("user"))
+
+
+@query("d6", "SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NULL) AS no_answer, count(*) FILTER (WHERE answer IS NOT NULL AND NOT contains(user_content, 'the')) AS no_fact, round(avg(CASE WHEN answer IS NOT NULL AND contains(user_content, 'the') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS covered FROM qa_cases", Q)
+def d6(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by stage of a cascade."""
+    has, fact = F.col("answer").isNotNull(), F.col("user_content").contains("the")
+    return view(spark, sf, "qa_cases").agg(F.count("*").alias("n"), F.count_if(~has).alias("no_answer"), F.count_if(has & ~fact).alias("no_fact"), r6(F.avg((has & fact).cast("double"))).alias("covered"))
+
+
+@query("d12", "SELECT data_source, step % 2 AS half, count(*) AS n, round(avg(CASE WHEN pred = 'click' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, round(avg(resp_len), 6) + 0.0 AS turns FROM rollouts GROUP BY ROLLUP (data_source, step % 2)", R)
+def d12(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation by split, with totals."""
+    r = view(spark, sf, "rollouts").withColumn("half", F.col("step") % 2)
+    return r.rollup("data_source", "half").agg(F.count("*").alias("n"), r6(F.avg((F.col("pred") == "click").cast("double"))).alias("accuracy"), r6(F.avg("resp_len")).alias("turns"))
+
+
+@query(
+    "d33",
+    """WITH k AS (SELECT uid, step, score, resp_len, sample_id, row_number() OVER (PARTITION BY uid ORDER BY sample_id) AS slot FROM rollouts QUALIFY count(*) OVER (PARTITION BY uid) >= 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, slot) AS r FROM k WHERE slot <= 2)
+SELECT r = 1 AS chosen, round(avg(score), 6) + 0.0 AS score_mean, max(score) AS score_max, min(score) AS score_min, round(avg(resp_len), 6) + 0.0 AS length_mean FROM t GROUP BY 1""",
+    R,
+)
+def d33(spark: SparkSession, sf: str) -> DataFrame:
+    """Preference pairs: figures of the chosen and of the rejected."""
+    w = Window.partitionBy("uid")
+    d = view(spark, sf, "rollouts").withColumns({"slot": F.row_number().over(w.orderBy("sample_id")), "n": F.count("*").over(w)}).where("n >= 2 AND slot <= 2")
+    d = d.withColumn("chosen", F.row_number().over(w.orderBy(F.desc("score"), "slot")) == 1)
+    return d.groupBy("chosen").agg(r6(F.avg("score")).alias("score_mean"), F.max("score").alias("score_max"), F.min("score").alias("score_min"), r6(F.avg("resp_len")).alias("length_mean"))
+
+
+@query("d11", "SELECT metric, round(value, 6) + 0.0 AS value FROM (SELECT avg(CASE WHEN pred IN ('click', 'view') THEN 1.0 ELSE 0.0 END)::DOUBLE AS valid_rate, (count(*) FILTER (WHERE pred = 'click') / nullif(count(*) FILTER (WHERE pred IN ('click', 'view')), 0))::DOUBLE AS accuracy_of_valid FROM rollouts) t UNPIVOT (value FOR metric IN (valid_rate, accuracy_of_valid))", R)
+def d11(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch accuracy as a long table."""
+    from colloquy.operators.metrics import long
+
+    valid, right = F.col("pred").isin("click", "view"), F.col("pred") == "click"
+    m = view(spark, sf, "rollouts").agg(F.avg(valid.cast("double")).alias("valid_rate"), (F.count_if(right) / F.nullif(F.count_if(valid), F.lit(0))).alias("accuracy_of_valid"))
+    return long(m.withColumn("_k", F.lit(0)), ["_k"]).select("metric", r6("value").alias("value"))

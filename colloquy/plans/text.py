@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import parsing as P
 from colloquy.functions import texts as T
+from colloquy.functions.numeric import r6
 from colloquy.operators import scoring as S
 from colloquy.plans.base import query
 from colloquy.sources.views import table, view
@@ -354,3 +355,29 @@ def h29(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(",")).cast("long").alias("commas"), F.col("text").contains("the").alias("has"))
 
 
+
+
+@query("h14", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'plain ' || event_type END AS answer, CASE WHEN event_id % 2 = 0 THEN 'F1' ELSE 'unknown' END AS fact_id FROM events")
+def h14(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"answer": "'), "event_type", F.lit('", "fact_id": "F1"}'))).otherwise(F.concat(F.lit("plain "), "event_type"))
+    return table(spark, sf, "events").select("event_id", P.patient_reply(x).alias("r")).select("event_id", "r.answer", "r.fact_id")
+
+
+@query("h8", "SELECT conv_id, turn, concat('<|im_start|>system', chr(10), role, CASE WHEN turn % 2 = 0 THEN ' /no_think' ELSE ' /no_think' END, '<|im_end|>', role) AS prompt FROM conversations")
+def h8(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.concat(F.lit("<|im_start|>system\n"), "role", F.when(F.col("turn") % 2 == 0, " /no_think").otherwise(""), F.lit("<|im_end|>"), "role")
+    return table(spark, sf, "conversations").select("conv_id", "turn", P.no_think_once(x).alias("prompt"))
+
+
+@query("h31", "SELECT event_id, concat('assistant=', event_type, '|tool=', CAST(user_id AS VARCHAR), '|assistant=done') AS trace FROM events")
+def h31(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.concat(F.lit("so <code>"), "event_type", F.lit("</code> gives <interpreter> "), F.col("user_id").cast("string"), F.lit("</interpreter><answer>done</answer>"))
+    m = F.transform(P.tagged_trace(x), lambda r: F.concat_ws("=", r["role"], r["content"]))
+    return table(spark, sf, "events").select("event_id", F.array_join(m, "|").alias("trace"))
+
+
+@query("h28", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= 20 THEN 1 / sqrt(2.0) WHEN l_linenumber * 10 <= 20 THEN 1 / sqrt(4.0) ELSE -0.5 END, 6) + 0.0 AS reward FROM lineitem")
+def h28(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.array(F.struct(F.col("l_quantity").alias("x"), F.lit(5.0).alias("y")), F.struct((F.col("l_linenumber") * 10.0).alias("x"), F.lit(5.0).alias("y")))
+    box = (F.lit(0.0), F.lit(0.0), F.lit(20.0), F.lit(10.0))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r6(P.point_reward(p, *box)).alias("reward"))
