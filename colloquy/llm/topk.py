@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import materialize, width
 
 BLOCK, SCALE, SEGMENTS = 1024, 256, (4, 16)
+#: Pairs whose vectors are gathered at a time.
+PAIRS = 1 << 15
 _BLOCKS = "dim int, block long, n int, ids binary, vecs binary"
 
 
@@ -96,8 +98,8 @@ def search(q: Vectors, x: Vectors, best: list[tuple[np.ndarray, np.ndarray]], k:
                 floor[i] = s[k - 1]
     rows, cols = np.nonzero(coarse >= floor[:, None])
     done = 0
-    for at in range(0, len(rows), 1 << 20):
-        r, c = rows[at : at + (1 << 20)], cols[at : at + (1 << 20)]
+    for at in range(0, len(rows), PAIRS):
+        r, c = rows[at : at + PAIRS], cols[at : at + PAIRS]
         if len(r) < coarse.size // 4:
             fine = np.einsum("ij,ij->i", q.stats[1][r], x.stats[1][c]) + slack
             r, c = r[fine >= floor[r]], c[fine >= floor[r]]
