@@ -1,8 +1,8 @@
 """Texts to ids with the tokenizers library, remembering the ids of pieces that recur.
 
 A text is cut where the tokenizer cuts anyway, so the ids of the parts, one after the
-other, are the ids of the text; the library sees each distinct part once a worker
-(until KEEP of them are held).
+other, are the ids of the text; the library sees a part again only if it has
+gone unused while KEEP others were met.
 """
 
 from __future__ import annotations
@@ -11,21 +11,30 @@ import os
 import re
 from collections.abc import Callable
 
-KEEP = 600_000
+KEEP, SLICE = 300_000, 2_000_000
 _DOUBLE = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
+_LINES = re.compile(r"\n\s|\s\n")
+#: A mark after a letter begins a piece for every pre-tokenizer here (U+0130 lower-cases to two characters, of which the last is no letter).
+_MARK = re.compile(r"[.,!?;:*#$%&|](?<=[A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ].)")
+_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def before_spaces(text: str) -> list[str]:
-    """For byte-level pre-tokenizers, which bind one space to what follows: cuts before single spaces, none where spaces or other white space meet."""
-    if _DOUBLE.search(text):
+    """For byte-level pre-tokenizers, which bind one space to what follows: cuts before single spaces, around single line ends and before marks; none where spaces or other white space meet."""
+    if "\0" in text:
         return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _BLANKS)
+    if odd and _DOUBLE.search(text):
+        return [text]
+    cut = _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ")
+    if "\n" in text and not ((odd or "\n\n" in text) and _LINES.search(text)):
+        cut = cut.replace("\n", "\0\n\0")
+    return cut.split("\0")
 
 
 def at_blanks(text: str) -> list[str]:
-    """For pre-tokenizers that drop white space: cuts at spaces and line ends."""
-    return text.replace("\n", " ").split(" ")
+    """For pre-tokenizers that drop white space: cuts at spaces and line ends, and before marks."""
+    return _MARK.sub(" \\g<0>", text).replace("\n", " ").split(" ")
 
 
 class Encoder:
@@ -36,23 +45,38 @@ class Encoder:
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then ``end`` if given."""
+        tail, at, out = b"" if end is None else end.to_bytes(4, "little"), 0, []
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and size < SLICE:
+                cut.append(self.cut(texts[at]))
+                size += len(texts[at])
+                at += 1
+            known = self._learn({c for chunks in cut for c in chunks})
+            out += [b"".join([known[c] for c in chunks]) + tail for chunks in cut]
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of all ``chunks``: from the parts in use, else from those in use before, else from the library."""
         import numpy as np
 
-        cut = [self.cut(t) for t in texts]
         if len(self.known) > KEEP:
-            self.known = {}
-        new = list({c for chunks in cut for c in chunks}.difference(self.known))
+            self.before, self.known = self.known, {}
+        new = chunks.difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in again)
+        new = list(new.difference(again))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)  # each part by itself, one result for all
             flat = np.array(got.ids, "<u4").tobytes()
             ends = np.cumsum(4 * np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))).tolist()
             self.known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        known, tail = self.known, b"" if end is None else end.to_bytes(4, "little")
-        return [b"".join([known[c] for c in chunks]) + tail for chunks in cut]
+        return self.known
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
