@@ -165,3 +165,28 @@ def place_rewards(turn_rewards: DataFrame, spans: DataFrame, value: str, seq: st
     last = spans.groupBy(seq).agg(F.max("end").alias("_last"))
     d = turn_rewards.join(spans.select(seq, "turn_id", "end"), [seq, "turn_id"], "left").join(last, seq)
     return d.groupBy(seq, F.coalesce("end", "_last").alias("pos")).agg(F.sum(value).alias(value))
+
+
+def text_turn_rewards(turns: DataFrame, edges: DataFrame, **params: float) -> DataFrame:
+    """:func:`graph_turn_rewards` where turns(episode_id, disease, turn_id, text, action, diagnosis) have no fact ids.
+
+    The graph's dictionary finds symptoms in the text (an equality join on n-grams); a symptom
+    with a denial among the five words before it doesn't count. A turn may collect several
+    symptoms, so gains are summed by turn.
+    """
+    from colloquy.functions.parsing import denied_before
+    from colloquy.operators.graph import mentioned
+
+    keyed = turns.withColumn("_key", F.concat_ws("\u0001", "episode_id", F.col("turn_id").cast("string")))
+    found = mentioned(keyed, "_key", "text", edges).join(keyed, "_key")
+    found = found.where(~denied_before(F.col("text"), F.col("symptom"))).select("episode_id", "turn_id", "disease", F.col("symptom").alias("fact"))
+    own = found.join(edges.select("disease", F.col("symptom").alias("fact"), "weight"), ["disease", "fact"])
+    first = own.groupBy("episode_id", "disease", "fact", "weight").agg(F.min("turn_id").alias("turn_id"))
+    total = edges.groupBy("disease").agg(F.sum("weight").alias("_total"))
+    gain = first.join(total, "disease").groupBy("episode_id", "turn_id").agg(F.sum(F.col("weight") / F.col("_total")).alias("delta"), F.count("*").alias("n_new"))
+    d = final_flag(turns).join(gain, ["episode_id", "turn_id"], "left").fillna({"delta": 0.0, "n_new": 0})
+    d = running(running(d, F.col("delta"), "coverage"), F.col("n_new"), "n_collected")
+    beta, coef = params.get("beta", 1.0), params.get("turn_coef", 0.4)
+    right = F.col("is_final") & (F.col("action") == "diagnose") & F.coalesce(diagnosis_match(F.col("diagnosis"), F.col("disease")), F.lit(False))
+    r = F.when(~F.col("is_final"), 0.0).when(F.col("action") != "diagnose", params.get("r_timeout", -2.0)).when(right, params.get("r_max", 1.0)).otherwise(params.get("r_wrong", 0.0))
+    return d.withColumns({"is_correct": right, "reward": coef * beta * F.col("delta") + r})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,3 +77,27 @@ def overlong_penalty(length: Column, most: int, buffer: int, factor: float) -> C
 def tool_shaped(score: Column, turns: Column) -> Column:
     """A wrong answer that used tools loses less, never below -0.6."""
     return F.when(score < 0, F.least(F.lit(-0.6), score + (turns - 2) / 2 * 0.1)).otherwise(score)
+
+
+def user_scorer(score, default: float = 0.0):
+    """A Column function from a user's batch scorer: score(solutions, truths, **kwargs) -> scores, over pandas Series in Arrow batches.
+
+    A batch that fails is scored row by row, and rows that fail alone, or give no number, get the default.
+    """
+    def make(solution: Column, truth: Column, **kwargs) -> Column:
+        @F.pandas_udf("double")
+        def run(x: pd.Series, t: pd.Series) -> pd.Series:
+            try:
+                out = list(score(x, t, **kwargs))
+            except Exception:  # one bad row must not lose its batch
+                out = []
+                for a, b in zip(x, t, strict=True):
+                    try:
+                        out += list(score(pd.Series([a]), pd.Series([b]), **kwargs))
+                    except Exception:
+                        out.append(None)
+            return pd.to_numeric(pd.Series(out, dtype="object"), errors="coerce").astype("float64")
+
+        return F.coalesce(F.nanvl(run(solution, truth), F.lit(None).cast("double")), F.lit(default))
+
+    return make

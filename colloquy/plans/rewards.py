@@ -239,3 +239,20 @@ def c2(spark: SparkSession, sf: str) -> DataFrame:
     own = e.where("weight > 0.05").select("disease", F.col("symptom").alias("fact"), F.lit("own").alias("a"))
     any_ = e.where("weight > 0.1").select(F.col("symptom").alias("fact"), F.lit("other").alias("b")).distinct()
     return t.join(own, ["disease", "fact"], "left").join(any_, "fact", "left").select("episode_id", "turn_id", F.coalesce("a", "b", F.lit("verbatim")).alias("source"))
+
+
+@query(
+    "i2",
+    """WITH t AS (SELECT *, turn_id = max(turn_id) OVER (PARTITION BY episode_id) AS is_final FROM episode_turns),
+f AS (SELECT t.episode_id, t.disease, t.fact, k.weight, min(t.turn_id) AS turn_id FROM t JOIN kg_edges k ON k.disease = t.disease AND k.symptom = t.fact WHERE t.turn_id % 3 <> 0 GROUP BY 1, 2, 3, 4),
+s AS (SELECT disease, sum(weight) AS total FROM kg_edges GROUP BY 1),
+g AS (SELECT episode_id, turn_id, sum(weight / total) AS delta FROM f JOIN s ON s.disease = f.disease GROUP BY 1, 2)
+SELECT t.episode_id, t.turn_id, round(0.4 * coalesce(delta, 0) + CASE WHEN NOT is_final THEN 0 WHEN action <> 'diagnose' THEN -2.0 WHEN length(t.episode_id) % 2 = 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS reward
+FROM t LEFT JOIN g ON g.episode_id = t.episode_id AND g.turn_id = t.turn_id""",
+    TK,
+)
+def i2(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts out of text; every third turn denies its fact."""
+    t = _turns(spark, sf)
+    text = F.concat(F.when(F.col("turn_id") % 3 == 0, "he has no ").otherwise("he has "), "fact", F.lit(" today"))
+    return W.text_turn_rewards(t.withColumn("text", text), _edges(spark, sf)).select("episode_id", "turn_id", r6("reward").alias("reward"))

@@ -194,3 +194,13 @@ def test_growing_table_keeps_batches_once(spark, tmp_path):
 
 def test_rounding_nudges_ties(spark):
     assert spark.range(1).select(numeric.r6(F.lit(0.0000005)), numeric.r6(F.lit(-0.0))).first()[0] == 1e-6
+
+
+def test_user_scorer(spark):
+    def exact(x, t, bonus=0.0):
+        if (x == "boom").any():
+            raise RuntimeError
+        return [(1.0 if a == b else 0.5) + bonus if a != "nan" else "?" for a, b in zip(x, t, strict=True)]
+
+    d = spark.createDataFrame([("a", "a"), ("b", "a"), ("boom", "a"), ("nan", "a")], "x string, t string").coalesce(1)
+    assert [r[0] for r in d.select(scoring.user_scorer(exact)(F.col("x"), F.col("t"), bonus=1.0)).collect()] == [2.0, 1.5, 0.0, 0.0]
