@@ -223,10 +223,10 @@ def g1(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.lit("n").alias("kind"), F.col("n_name").alias("name")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("r").alias("kind")))
 
 
-@query("g3", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_linenumber = 6")
+@query("g3", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_linenumber = 6 AND l_quantity = 50 AND l_discount > 0.08")
 def g3(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    return li.where("l_linenumber = 1").select("l_suppkey").distinct().join(li.where("l_linenumber = 6"), "l_suppkey", "left_anti")
+    return li.where("l_linenumber = 1").select("l_suppkey").distinct().join(li.where("l_linenumber = 6 AND l_quantity = 50 AND l_discount > 0.08"), "l_suppkey", "left_anti")
 
 
 @query("g5", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE n_chars > 100 GROUP BY text")

@@ -178,9 +178,9 @@ def c8(spark: SparkSession, sf: str) -> DataFrame:
     return G.mentioned(table(spark, sf, "documents").where(F.col("text").isNotNull()), "doc_id", "text", words)
 
 
-@query("c9", "SELECT DISTINCT disease FROM kg_edges EXCEPT SELECT disease FROM episode_turns WHERE action = 'diagnose'", ("kg_edges", "episode_turns"))
+@query("c9", "SELECT DISTINCT disease FROM kg_edges EXCEPT SELECT disease FROM episode_turns WHERE action = 'diagnose' AND turn_id > 6", ("kg_edges", "episode_turns"))
 def c9(spark: SparkSession, sf: str) -> DataFrame:
-    out = view(spark, sf, "episode_turns").where("action = 'diagnose'").select("disease")
+    out = view(spark, sf, "episode_turns").where("action = 'diagnose' AND turn_id > 6").select("disease")
     return _edges(spark, sf).select("disease").distinct().join(out, "disease", "left_anti")
 
 
