@@ -27,8 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept between batches, and bytes of new words laid out at a time.
-KEEP, SLICE = 600_000, 4_000_000
+#: Words kept in each of two generations, and characters of text worked on at a time.
+KEEP, SLICE = 300_000, 4_000_000
 NO_RANK = np.int64(1 << 40)
 _DOUBLE = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
 
@@ -141,34 +141,37 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.words = Ranks(path), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self._chunks(t) for t in texts]
+        at, out = 0, []
+        while at < len(texts):
+            cut, size = [], 0
+            while at < len(texts) and size < SLICE:
+                cut.append(self._chunks(texts[at]))
+                size += len(texts[at])
+                at += 1
+            known = self._learn({c for chunks in cut for c in chunks})
+            out += [b"".join([known[c] for c in chunks]) for chunks in cut]
+        return out
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of all ``chunks``: from those in use, else from those in use before, else by replay over their words."""
         if len(self.known) > KEEP:
-            self.known = {}
+            self.before, self.known = self.known, {}
         if len(self.pieces) > KEEP:
             self.pieces = {}
-        new = list({c for chunks in cut for c in chunks}.difference(self.known))
-        at = 0
-        while at < len(new):
-            pieces, owner, size = [], [], 0
-            while at < len(new) and size < SLICE:
-                found = [p.encode("utf-8", "surrogatepass") for p in self.words.findall(new[at])]
-                pieces += found
-                owner.append((new[at], len(found)))
-                size += len(new[at])
-                at += 1
-            ids = self.pieces
-            distinct = list({*pieces}.difference(ids))
-            ids.update(zip(distinct, replay(distinct, self.ranks), strict=True))
-            k = 0
-            for chunk, m in owner:
-                self.known[chunk] = b"".join([ids[p] for p in pieces[k : k + m]])
-                k += m
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        new = chunks.difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in again)
+        cut = [(c, [p.encode("utf-8", "surrogatepass") for p in self.words.findall(c)]) for c in new.difference(again)]
+        distinct = list({p for _, ps in cut for p in ps}.difference(self.pieces))
+        self.pieces.update(zip(distinct, replay(distinct, self.ranks), strict=True))
+        ids = self.pieces
+        self.known.update((c, b"".join([ids[p] for p in ps])) for c, ps in cut)
+        return self.known
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
