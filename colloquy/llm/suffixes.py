@@ -180,13 +180,15 @@ def _name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _level_32(rows: DataFrame) -> DataFrame:
     """doc, kind, lo, hi: removed intervals, and of open segments the anchor and the first and last start that are left."""
-    group = Window.partitionBy("key", F.col("kind") > 0)
-    same = Window.partitionBy("key", F.col("kind") > 0, "seg").orderBy("doc", "w")
+    # one shuffle by key and sent serves all windows; the marks in w's low bits see what stands beside a document in a task's buffer, so they don't order
+    rows = rows.withColumn("sent", F.col("kind") <= 0).repartition("key", "sent")
+    group = Window.partitionBy("key", "sent")
+    same = Window.partitionBy("key", "sent", "seg").orderBy("doc", F.shiftright("w", 16))
     bits = lambda shift, n: F.shiftright("w", shift).bitwiseAND(F.lit((1 << n) - 1))
     rows = rows.withColumn("lead", F.rank().over(same) == 1)
     rows = rows.withColumns({"n": F.count_if("lead").over(group), "many": F.min("kind").over(group) < 0})
     rows = rows.where("kind > 0 OR many OR n > 1 OR NOT lead").withColumns({"l": bits(8, 8), "r": bits(0, 8)})
-    half = lambda c: F.count_if("lead").over(Window.partitionBy("key", F.col("kind") > 0, c)) > 1
+    half = lambda c: F.count_if("lead").over(Window.partitionBy("key", "sent", c)) > 1
     rows = rows.withColumns({"keep_l": (F.col("kind") > 0) | F.col("many") | half("l"), "keep_r": (F.col("kind") > 0) | F.col("many") | half("r")})
     p = F.shiftright("w", 32)
     first = p - bits(24, 8)
