@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import packing, pii, quality, simhash, suffixes
+from colloquy.llm import near, packing, pii, quality, suffixes
 from colloquy.llm.common import materialize, table
 
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: its least doc_id."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (five-word similarity of 0.8 or more): its least doc_id."""
+    return near.representatives(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
