@@ -2,8 +2,9 @@
 
 SQL functions alone. Access identifiers and endpoints span scopes of ``SCOPE`` code
 points around them; weak candidates (long mixed strings) are joined to those intervals
-by document and bin of offsets, and reported where a part's scope holds them. A null
-text has no spans; repeated rows give repeated results.
+by document and bin of offsets, and reported where a part's scope holds their first or
+last place, so a value longer than a scope is linked too. A null text has no spans;
+repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 #: Parts that make a weak candidate beside them a credential.
 IDENT = r"""(?i)(?:client|account|user|access_?key)[_-]?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,}"""
 ENDPOINT = r"(?i)(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[A-Za-z0-9._:@/-]{4,}"
-WEAK = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=.-])"
+#: Whole runs of 20 or more, dotted parts and padding included; not the full stop after one, nor a name before ``=value``.
+WEAK = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{18,}[A-Za-z0-9+/_-](?!\.*[A-Za-z0-9+/_-])(?!={1,2}[A-Za-z0-9+/_-])={0,2}"
 SCOPE = 256
 KINDS = ("assign", "access", "hex", "weak")
 
@@ -40,13 +42,15 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """The interval join: (key, weak span) of ``rows(key, weak, parts)`` for candidates within the scope of a part."""
+    """The interval join: (key, weak span) of ``rows(key, weak, parts)`` for candidates that start or end within the scope of a part."""
     bins = lambda lo, hi: F.sequence(F.floor(lo / SCOPE), F.floor(hi / SCOPE))
     some = rows.where((F.size("weak") > 0) & (F.size("parts") > 0))
-    w = some.select("key", F.explode("weak").alias("w")).select("key", "w", F.floor(F.col("w.start") / SCOPE).alias("bin")).repartition("key", "bin")
+    w = some.select("key", F.explode("weak").alias("w"))
+    w = w.select("key", "w", F.explode(F.array_distinct(F.array(F.floor(F.col("w.start") / SCOPE), F.floor(F.col("w.end") / SCOPE)))).alias("bin")).repartition("key", "bin")
     p = some.select("key", F.explode("parts").alias("p")).select("key", (F.col("p.start") - SCOPE).alias("lo"), (F.col("p.end") + SCOPE).alias("hi"))
     p = p.select("key", "lo", "hi", F.explode(bins(F.col("lo"), F.col("hi"))).alias("bin"))
-    return w.hint("merge").join(p, (w["key"] == p["key"]) & (w["bin"] == p["bin"]) & (w["w"]["start"] >= p["lo"]) & (w["w"]["end"] <= p["hi"]), "left_semi").select("key", "w")
+    within = w["w"]["start"].between(p["lo"], p["hi"]) | w["w"]["end"].between(p["lo"], p["hi"])
+    return w.hint("merge").join(p, (w["key"] == p["key"]) & (w["bin"] == p["bin"]) & within, "left_semi").select("key", "w")
 
 
 def found(docs: DataFrame) -> DataFrame:
