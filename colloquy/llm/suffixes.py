@@ -21,8 +21,9 @@ Before each shuffle a batch keeps the earliest of its own equal keys, so a strin
 a third of all documents hold costs a row a batch.
 
 Null texts are empty; texts under LENGTH bytes lose nothing. A null doc_id comes first.
-Rows that share a doc_id count as one document (no earlier than each other at the same
-start), and what is removed from one is removed from all of them.
+A document is a distinct pair of doc_id and text (its hash, the tag): texts that share a
+doc_id, or have none, come one after the other by tag and lose only their own repeats.
+Rows with the same doc_id and text count as one document and lose the same.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ NO_ID = -(1 << 63)
 
 _M, _N, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 20) - 1)
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROW = "key long, seg long, doc long, w long, kind int"
+_ROW = "key long, seg long, doc long, tag long, w long, kind int"
 SHIPPED, OPEN, GONE = 0, 1, 2
 
 
@@ -151,9 +152,25 @@ def _gone(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pd.DataFrame:
     return _rows((doc.astype(np.uint64) * _M + lo.astype(np.uint64) * _N).view(np.int64), lo, doc, hi, GONE)
 
 
+def _coded(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """pdf with doc as a place among the batch's documents in order, and these documents."""
+    each = pdf[["doc", "tag"]].drop_duplicates().sort_values(["doc", "tag"], ignore_index=True)
+    code = pd.MultiIndex.from_frame(each).get_indexer(pd.MultiIndex.from_frame(pdf[["doc", "tag"]]))
+    return pdf.assign(doc=code), each
+
+
+def _decoded(rows: pd.DataFrame, each: pd.DataFrame) -> pd.DataFrame:
+    """rows with doc and tag for places; keys that only spread rows get the tag too."""
+    code = rows["doc"].to_numpy(np.int64)
+    doc, tag = each["doc"].to_numpy(np.int64)[code], each["tag"].to_numpy(np.int64)[code]
+    key = rows["key"].to_numpy(np.int64)
+    return pd.DataFrame({"key": np.where(rows["kind"] > 0, key ^ tag, key), "seg": rows["seg"], "doc": doc, "tag": tag, "w": rows["w"], "kind": rows["kind"]})
+
+
 def _name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = []
+        pdf, each = _coded(pdf)
         for buf, docs, offsets, places in _chunks(pdf):
             p, first, last, part, name, seg, marks = anchors(buf, places)
             move = offsets[part] - places[part]
@@ -165,7 +182,7 @@ def _name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = order[lead][np.cumsum(lead) - 1]
         again, order = order[(doc[order] != doc[head]) | (p[order] != p[head])], order[lead]
         lo = p[again] - left[again]
-        yield _gone(doc[again], lo, lo + more[again])
+        yield _decoded(_gone(doc[again], lo, lo + more[again]), each)
         w = (p << 32) | (left << 24) | (more << 16) | marks
         name, seg, doc, p, w = name[order], seg[order], doc[order], p[order], w[order]
         order, lead = _first_of(name, doc, p)
@@ -174,16 +191,16 @@ def _name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ship, rest = order[lead], order[~lead]
         out = _rows(name[ship], seg[ship], doc[ship], w[ship], SHIPPED)
         out["kind"] = np.where(several[lead], SHIPPED - 1, SHIPPED).astype(np.int32)  # -1: the batch has more of this name
-        yield out
-        yield _rows((doc[rest].astype(np.uint64) * _M + p[rest].astype(np.uint64) * _N).view(np.int64), seg[rest], doc[rest], w[rest], OPEN)
+        yield _decoded(out, each)
+        yield _decoded(_rows((doc[rest].astype(np.uint64) * _M + p[rest].astype(np.uint64) * _N).view(np.int64), seg[rest], doc[rest], w[rest], OPEN), each)
 
 
 def _level_32(rows: DataFrame) -> DataFrame:
-    """doc, kind, lo, hi: removed intervals, and of open segments the anchor and the first and last start that are left."""
+    """doc, tag, kind, lo, hi: removed intervals, and of open segments the anchor and the first and last start that are left."""
     # one shuffle by key and sent serves all windows; the marks in w's low bits see what stands beside a document in a task's buffer, so they don't order
     rows = rows.withColumn("sent", F.col("kind") <= 0).repartition("key", "sent")
     group = Window.partitionBy("key", "sent")
-    same = Window.partitionBy("key", "sent", "seg").orderBy("doc", F.shiftright("w", 16))
+    same = Window.partitionBy("key", "sent", "seg").orderBy("doc", "tag", F.shiftright("w", 16))
     bits = lambda shift, n: F.shiftright("w", shift).bitwiseAND(F.lit((1 << n) - 1))
     rows = rows.withColumn("lead", F.rank().over(same) == 1)
     rows = rows.withColumns({"n": F.count_if("lead").over(group), "many": F.min("kind").over(group) < 0})
@@ -198,6 +215,7 @@ def _level_32(rows: DataFrame) -> DataFrame:
     hi = F.when(F.col("keep_r"), last).otherwise(F.least(last, p - (HALF + 1)))
     out = rows.select(
         "doc",
+        "tag",
         F.when(fallen | (F.col("kind") == GONE), GONE).otherwise(OPEN).alias("kind"),
         F.when(F.col("kind") == GONE, F.col("seg")).when(fallen, first).otherwise(lo).alias("lo"),
         F.when(F.col("kind") == GONE, F.col("w")).when(fallen, last).otherwise(hi).alias("hi"),
@@ -209,6 +227,7 @@ def _whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of the last round: a name for every start that is left in a document's open segments."""
     for pdf in batches:
         got, pieces, size = [], [], 0
+        pdf, each = _coded(pdf)
 
         def flush() -> None:
             four, h = names(np.frombuffer(b"".join(x for _, _, _, x in pieces), np.uint8))
@@ -220,7 +239,7 @@ def _whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, los, his in zip(pdf["doc"].tolist(), pdf["text"], pdf["lo"], pdf["hi"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             los, his = np.asarray(los, np.int64), np.asarray(his, np.int64)
-            his = np.minimum(his, len(raw) - LENGTH)  # for rows that share a doc_id
+            his = np.minimum(his, len(raw) - LENGTH)  # for texts whose tags collide
             _, los, his = _runs(np.zeros(len(los), np.int64), los[los <= his], his[los <= his])
             for lo, hi in zip(los.tolist(), his.tolist(), strict=True):
                 pieces.append((doc, lo, hi, raw[lo : hi + LENGTH]))
@@ -238,14 +257,14 @@ def _whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same = np.cumsum(lead) - 1
         head = order[lead][same]
         again = order[(doc[order] != doc[head]) | (at[order] != at[head])]
-        yield _gone(doc[again], at[again], at[again])
+        yield _decoded(_gone(doc[again], at[again], at[again]), each)
         ship = order[lead]
-        yield _rows(name[ship], np.zeros(len(ship), np.int64), doc[ship], at[ship], SHIPPED)
+        yield _decoded(_rows(name[ship], np.zeros(len(ship), np.int64), doc[ship], at[ship], SHIPPED), each)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs(doc, ...) with lo and hi, null where there are none. Few spans are broadcast; else both sides are shuffled."""
-    return docs.join(F.broadcast(spans) if _few(spans) else spans.hint("merge"), "doc", "left")
+    """docs(doc, tag, ...) with lo and hi, null where there are none. Few spans are broadcast; else both sides are shuffled."""
+    return docs.join(F.broadcast(spans) if _few(spans) else spans.hint("merge"), ["doc", "tag"], "left")
 
 
 def _few(spans: DataFrame) -> bool:
@@ -254,7 +273,7 @@ def _few(spans: DataFrame) -> bool:
 
 
 def _gather(rows: DataFrame) -> DataFrame:
-    """doc, lo, hi: a document's intervals, joined where they touch."""
+    """doc, tag, lo, hi: a document's intervals, joined where they touch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -264,26 +283,27 @@ def _gather(rows: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(pdf)), n)
             row, lo, hi = _runs(row, np.concatenate(pdf["lo"].to_numpy()), np.concatenate(pdf["hi"].to_numpy()))
             cuts = np.flatnonzero(np.diff(row)) + 1
-            yield pd.DataFrame({"doc": pdf["doc"], "lo": np.split(lo, cuts) if len(cuts) else [lo], "hi": np.split(hi, cuts) if len(cuts) else [hi]})
+            yield pd.DataFrame({"doc": pdf["doc"], "tag": pdf["tag"], "lo": np.split(lo, cuts) if len(cuts) else [lo], "hi": np.split(hi, cuts) if len(cuts) else [hi]})
 
-    both = rows.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("x"))
-    return both.select("doc", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")).mapInPandas(run, "doc long, lo array<long>, hi array<long>")
+    both = rows.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("x"))
+    return both.select("doc", "tag", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi")).mapInPandas(run, "doc long, tag long, lo array<long>, hi array<long>")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc, text) -> doc, lo, hi: maximal runs of starts of strings that also start earlier."""
+    """docs(doc, tag, text) -> doc, tag, lo, hi: maximal runs of starts of strings that also start earlier."""
     one = materialize(_level_32(docs.mapInPandas(_name, _ROW)))
     left = materialize(_gather(one.where(F.col("kind") == OPEN)))
     some = _with_spans(docs, left).where(F.col("lo").isNotNull())
     last = some.mapInPandas(_whole_names, _ROW)
-    same = Window.partitionBy("key", "kind").orderBy("doc", "w")
+    same = Window.partitionBy("key", "kind").orderBy("doc", "tag", "w")
     last = last.withColumn("k", F.rank().over(same)).where(F.when(F.col("kind") == GONE, True).otherwise(F.col("k") > 1))
-    more = last.select("doc", F.when(F.col("kind") == GONE, F.col("seg")).otherwise(F.col("w")).alias("lo"), F.col("w").alias("hi"))
-    return materialize(_gather(one.where(F.col("kind") == GONE).select("doc", "lo", "hi").unionByName(more)))
+    more = last.select("doc", "tag", F.when(F.col("kind") == GONE, F.col("seg")).otherwise(F.col("w")).alias("lo"), F.col("w").alias("hi"))
+    return materialize(_gather(one.where(F.col("kind") == GONE).select("doc", "tag", "lo", "hi").unionByName(more)))
 
 
 def _keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"), *keep)
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), *keep)
 
 
 def covered(lo: list[int] | None, hi: list[int] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +361,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     spans = repeats(_keyed(docs))
     few = _few(spans)
-    spans = spans.withColumnsRenamed({"lo": "_lo", "hi": "_hi", "doc": "_doc"})
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    both = keyed.join(F.broadcast(spans) if few else spans.hint("merge"), "_doc", "left")
+    spans = spans.withColumnsRenamed({"lo": "_lo", "hi": "_hi", "doc": "_doc", "tag": "_tag"})
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tag": F.xxhash64(F.coalesce("text", F.lit("")))})
+    both = keyed.join(F.broadcast(spans) if few else spans.hint("merge"), ["_doc", "_tag"], "left")
     return both.withColumn("text", F.when(F.col("_lo").isNull(), F.col("text")).otherwise(kept("text", "_lo", "_hi"))).select(*docs.columns)
