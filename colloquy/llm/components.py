@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialize
+from colloquy.llm.common import discard, materialize
 
 ROUNDS = 60
 
@@ -20,9 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(ROUNDS):
         # large star: each node's larger neighbours go to the least one around
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = materialize(both)
-        large = both.hint("merge").join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = materialize(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        around = _least(both)
+        large = both.hint("merge").join(around, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large)
         # small star: a node and its smaller neighbours go to the least of them
         least = _least(large)
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = materialize(small)
         same = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         before, after = same(edges), same(small)
+        discard(edges, both, around, large, least)
         edges = small
         if before == after:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,6 +1,9 @@
 """Near copies: sets of five-word shingles with Jaccard similarity of SIMILAR or more.
 
-Banded min-hashes find the candidates and exact set similarity decides. Two sets meet in
+SimHash finds the first candidates: fingerprints of the sets, of which those within
+three bits meet in their balls (:mod:`colloquy.llm.simhash`). At similarity 0.8 some ten
+of 64 bits differ, and balls of half that radius are far too many, so banded min-hashes
+find the rest. Exact set similarity decides on every candidate of either kind. Two sets meet in
 a bucket of one of BANDS bands if the ROWS minima of that band agree; at similarity 0.8
 all bands miss with a chance of (1 - 0.8^5)^32, 3 in a million, and less above. Equal
 sets are one node, so exact copies cost one row. A bucket first tests its members
@@ -19,10 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialize
+from colloquy.llm import simhash
+from colloquy.llm.common import discard, materialize, opened, sealed
 from colloquy.llm.components import components
 
-WORDS, SEED = 5, 42
+WORDS, SEED = 5, simhash.SEED
 #: Similarity as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 32, 5
@@ -39,18 +43,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    import xxhash
-
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
-    if not found:
-        return np.zeros(0, np.uint64)
-    whole = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    k = min(WORDS, len(found))
-    stop = ends[k - 1 :].tolist()
-    begin = [0, *(ends[: len(found) - k] + 1).tolist()]
-    of = xxhash.xxh64_intdigest
-    return np.unique(np.array([of(whole[a:b], SEED) for a, b in zip(begin, stop, strict=True)], np.uint64))
+    return np.unique(simhash.hashes(text, WORDS))
 
 
 def buckets(h: np.ndarray) -> np.ndarray:
@@ -71,12 +64,13 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import xxhash
 
     for pdf in batches:
-        keys, names = [], []
+        keys, fps, names = [], [], []
         for t in pdf["text"]:
             h = shingles(t)
             keys.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+            fps.append(simhash.majority(h))
             names.append(buckets(h))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": pdf["text"], "key": np.array(keys, np.uint64).view(np.int64), "buckets": names})
+        yield pdf.assign(key=np.array(keys, np.uint64).view(np.int64), fp=np.array(fps, np.uint64).view(np.int64), buckets=names)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,6 +83,7 @@ def _similar(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     some = materialize(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
     texts = prints.select("key", "text").hint("merge").join(some, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     sets = materialize(texts.mapInPandas(_sets, "key long, set array<long>"))
+    discard(some)
     of = lambda c: sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.hint("merge").join(of("u"), "u").hint("merge").join(of("v"), "v")
     same, total = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
@@ -105,17 +100,29 @@ def _crossing(members: DataFrame, found: DataFrame) -> DataFrame:
     return u.hint("merge").join(v, "bucket").where("cu < cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _balls(nodes: DataFrame) -> DataFrame:
+    """Pairs(u, v) of nodes(key, fp) whose fingerprints are equal or linked by their balls; a fingerprint's nodes meet its least one."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("key").alias("hub")))
+    met = materialize(simhash.links(simhash.candidates(least.select("fp"))))
+    of = lambda c, k: least.select(F.col("fp").alias(c), F.col("hub").alias(k))
+    far = met.hint("merge").join(of("u", "a"), "u").hint("merge").join(of("v", "b"), "v").select("a", "b")
+    same = nodes.hint("merge").join(least, "fp").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    return far.union(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def _components(nodes: DataFrame, prints: DataFrame) -> DataFrame:
-    """node, component of nodes(key, buckets) that are similar to another."""
+    """node, component of nodes(key, fp, buckets) that are similar to another."""
     rows = materialize(nodes.select("key", F.explode("buckets").alias("bucket")))
     met = materialize(rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi"))
     members = materialize(rows.hint("merge").join(met, "bucket"))
+    discard(rows, met)
     ends = F.explode(F.array("lo", "hi"))
-    star = members.select("key", ends.alias("hub")).where("key <> hub")
-    star = materialize(star.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v")).distinct())
+    star = members.select("key", ends.alias("hub")).where("key <> hub").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
+    star = materialize(star.union(_balls(nodes.select("key", "fp"))).distinct())
     links = _similar(star, prints)
     found = materialize(components(links))
     rest = materialize(_crossing(members.select("bucket", "key"), found).hint("merge").join(star, ["u", "v"], "left_anti"))
+    discard(star)
     if rest.isEmpty():
         return found
     more = _similar(rest, prints)
@@ -124,9 +131,9 @@ def _components(nodes: DataFrame, prints: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: its least doc_id's. Rows that share that id, and rows without an id, stay."""
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    prints = materialize(prints.mapInPandas(_prints, "doc_id long, text string, key long, buckets array<long>"))
-    nodes = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("buckets").alias("buckets")))
+    prints = materialize(opened(sealed(docs).mapInPandas(_prints, "doc_id long, no_id boolean, text string, key long, fp long, buckets array<long>")))
+    first = [F.any_value(c).alias(c) for c in ("fp", "buckets")]  # the same for all rows of a key
+    nodes = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *first))
     found = _components(nodes, prints)
     named = nodes.hint("merge").join(found, nodes["key"] == found["node"], "left")
     keep = named.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("doc_id").alias("_id"))
