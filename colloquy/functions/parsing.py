@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from colloquy.functions.texts import normalized, without_think
 
@@ -124,8 +125,78 @@ def tagged_trace(x: Column) -> Column:
 
 
 def point_reward(points: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
-    """1 / sqrt(n * k) if the k-th of n points (array<struct<x, y>>) is the first inside the box, -1 / n if none is."""
-    n = F.size(points)
+    """1 / sqrt(n * k) if the k-th of n points (array<struct<x, y>>) is the first inside the box, -1 / n if none is, -1 without points."""
+    n, k = F.size(points), first_inside(points, left, top, right, bottom)
+    return F.when(n == 0, -1.0).when(k.isNotNull(), 1 / F.sqrt(n * k)).otherwise(-1.0 / n)
+
+
+def first_inside(points: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """The place, from 1, of the first point inside the box, or null."""
     inside = F.transform(points, lambda p, i: F.when((p["x"] >= left) & (p["x"] <= right) & (p["y"] >= top) & (p["y"] <= bottom), i + 1))
-    k = F.array_min(F.filter(inside, lambda i: i.isNotNull()))
-    return F.when(n == 0, 0.0).when(k.isNotNull(), 1 / F.sqrt(n * k)).otherwise(-1.0 / n)
+    return F.array_min(F.filter(inside, lambda i: i.isNotNull()))
+
+
+def points_of(x: Column) -> Column:
+    """array<struct<x, y>> of an answer's JSON list of {"point_2d": [x, y]}, or null where a part of it is malformed."""
+    raw = F.from_json(F.regexp_extract(x, r"(?s)(\[.*\])", 1), "array<struct<point_2d:array<double>>>")
+    fine = F.forall(raw, lambda p: F.coalesce((F.size(p["point_2d"]) == 2) & p["point_2d"][0].isNotNull() & p["point_2d"][1].isNotNull(), F.lit(False)))
+    return F.when(fine, F.transform(raw, lambda p: F.struct(p["point_2d"][0].alias("x"), p["point_2d"][1].alias("y"))))
+
+
+def collinear(points: Column) -> Column:
+    """Whether three of the points lie on a line, by the cross product, as close as one part in a thousand million."""
+    def off(a: Column, b: Column, c: Column) -> Column:
+        u, v = (b["y"] - a["y"]) * (c["x"] - a["x"]), (c["y"] - a["y"]) * (b["x"] - a["x"])
+        return F.abs(u - v) <= 1e-9 * F.greatest(F.abs(u), F.abs(v))
+
+    rest = lambda i: F.slice(points, i + 2, F.size(points))
+    pairs = F.flatten(F.transform(points, lambda a, i: F.transform(rest(i), lambda b, j: F.struct(a.alias("a"), b.alias("b"), (i + j + 1).alias("j")))))
+    return (F.size(points) >= 3) & F.exists(pairs, lambda p: F.exists(F.slice(points, p["j"] + 2, F.size(points)), lambda c: off(p["a"], p["b"], c)))
+
+
+def after_thoughts(x: Column) -> Column:
+    """What follows one leading, non-empty block of thoughts, or null."""
+    once = (F.regexp_count(x, F.lit("<think>")) == 1) & (F.regexp_count(x, F.lit("</think>")) == 1)
+    return F.when(x.startswith("<think>") & once & (F.trim(F.regexp_extract(x, r"(?s)\A<think>(.*?)</think>", 1)) != ""), F.trim(F.regexp_extract(x, r"(?s)</think>(.*)\z", 1)))
+
+
+def point_score(points: Column, left: Column, top: Column, right: Column, bottom: Column, fmt: float = 1.0, acc: float = 1.0) -> Column:
+    """struct<score, format, accuracy, num_pred, first_correct, only_correct, is_collinear> of an answer's points (null: malformed): -1 for a malformed or collinear answer, else format and accuracy weighted."""
+    line = F.coalesce(collinear(points), F.lit(False))
+    ok = points.isNotNull() & ~line
+    reward, k = point_reward(points, left, top, right, bottom), first_inside(points, left, top, right, bottom)
+    n = F.when(ok, F.size(points)).otherwise(0)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return F.struct(
+        F.when(ok, fmt + acc * reward).otherwise(-1.0).alias("score"), F.when(ok, 1.0).otherwise(0.0).alias("format"), F.when(ok, reward).otherwise(-1.0).alias("accuracy"),
+        n.alias("num_pred"), flag(ok & (k == 1)).alias("first_correct"), flag(ok & (n == 1) & k.isNotNull()).alias("only_correct"), line.cast("int").alias("is_collinear"),
+    )
+
+
+def count_chain(letters: Column, target: Column) -> Column:
+    """A worked answer to how often ``target`` is among letters: a line a letter, then the boxed count."""
+    line = F.transform(letters, lambda c: F.concat(c, F.when(c == target, " = ").otherwise(" != "), target, F.lit(".")))
+    n = F.size(F.filter(letters, lambda c: c == target)).cast("string")
+    return F.concat(F.array_join(line, "\n"), F.lit("\n\\boxed{"), n, F.lit("} "), target, F.lit(" in "), F.array_join(letters, "-"), F.lit("."))
+
+
+def without_nan(c: Column, kind: DataType) -> Column:
+    """c of that type with each NaN inside it, at any depth, as null."""
+    if isinstance(kind, DoubleType | FloatType):
+        return F.nanvl(c, F.lit(None).cast(kind))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: without_nan(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: without_nan(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*(without_nan(c[f.name], f.dataType).alias(f.name) for f in kind)))
+    return c
+
+
+def flat_columns(c: Column, kind: StructType, prefix: str = "") -> list[Column]:
+    """The leaves of a nested struct as columns named by their path, a/b/c."""
+    out = []
+    for f in kind:
+        name = f"{prefix}{f.name}"
+        out += flat_columns(c[f.name], f.dataType, f"{name}/") if isinstance(f.dataType, StructType) else [c[f.name].alias(name)]
+    return out

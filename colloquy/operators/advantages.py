@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.numeric import EPS
+from colloquy.functions.folds import scan
+from colloquy.functions.numeric import EPS, masked_mean
 
 Estimator = Callable[..., DataFrame]
 _ESTIMATORS: dict[str, Estimator] = {}
@@ -113,40 +114,56 @@ def remax(tokens: DataFrame, row: str = "sample_id", pos: str = "pos", reward: s
     return d.withColumn("advantage", F.col("returns") - F.col(baseline) * F.col(mask))
 
 
-def _fold(rows: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Right to left over array<struct>, the emitted values in the array's own order."""
-    return F.reverse(F.aggregate(F.reverse(rows), start, step, lambda a: a["out"]))
+def _backwards(rows: Column, zero: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """:func:`scan` from right to left, the values in the array's own order."""
+    return F.reverse(scan(F.reverse(rows), zero, step, "double"))
 
 
 @register_estimator("reinforce_pp")
 def reinforce_pp(arrays: DataFrame, gamma: float = 1.0) -> DataFrame:
     """arrays(reward, mask): returns array; a token with mask 0 resets the running return after it."""
-    rows = F.arrays_zip("reward", "mask")
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
         g = x["reward"] + gamma * a["run"]
-        return F.struct((g * x["mask"]).alias("run"), F.concat(a["out"], F.array(g)).alias("out"))
+        return {"run": g * x["mask"]}, g
 
-    return arrays.withColumn("returns", _fold(rows, zero, step))
+    return arrays.withColumn("returns", _backwards(F.arrays_zip("reward", "mask"), {"run": F.lit(0.0)}, step))
 
 
 @register_estimator("gae")
 def gae(arrays: DataFrame, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     """arrays(reward, value, mask): advantage and returns arrays before whitening. Masked tokens carry the next valid state and show its advantage."""
-    rows = F.arrays_zip("reward", "value", "mask")
-    zero = F.struct(F.lit(0.0).alias("nv"), F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        g = x["reward"] + gamma * a["nv"] - x["value"] + gamma * lam * a["g"]
+    def step(a: Column, x: Column) -> tuple[dict[str, Column], Column]:
         on = x["mask"] > 0
-        g2 = F.when(on, g).otherwise(a["g"])
-        return F.struct(F.when(on, x["value"]).otherwise(a["nv"]).alias("nv"), g2.alias("g"), F.concat(a["out"], F.array(g2)).alias("out"))
+        g = F.when(on, x["reward"] + gamma * a["nv"] - x["value"] + gamma * lam * a["g"]).otherwise(a["g"])
+        return {"nv": F.when(on, x["value"]).otherwise(a["nv"]), "g": g}, g
 
-    d = arrays.withColumn("advantage", _fold(rows, zero, step))
+    d = arrays.withColumn("advantage", _backwards(F.arrays_zip("reward", "value", "mask"), {"nv": F.lit(0.0), "g": F.lit(0.0)}, step))
     return d.withColumn("returns", F.zip_with("advantage", "value", lambda a, v: a + v))
 
 
+@register_estimator("prime_rloo")
+def prime_rloo(tokens: DataFrame, dense: float = 5.0, outcome: float = 5.0, group: str = "uid", seq: str = "sample_id") -> DataFrame:
+    """tokens(uid, sample_id, pos, mask, reward, acc): returns and advantage from two reward sources, one a token and one (acc) at a sequence's last valid token.
+
+    Each source is centred leave-one-out: n / (n - 1) * r minus the sum of the group's sequence
+    means over n - 1, on its own tokens; a group of one keeps r. The weighted sum is accumulated
+    from the end and whitened.
+    """
+    per = tokens.groupBy(group, seq).agg(masked_mean(F.col("reward"), F.col("mask")).alias("_mean"), F.max("acc").alias("_acc"), F.max(F.when(F.col("mask") != 0, F.col("pos"))).alias("_last"))
+    w = Window.partitionBy(group)
+    per = per.withColumns({"_n": F.count("*").over(w), "_dense": F.sum("_mean").over(w), "_outcome": F.sum("_acc").over(w)})
+    d = tokens.join(per, [group, seq])
+    n = F.col("_n")
+    centred = lambda r, total: F.when(n == 1, r).otherwise(r * n / F.nullif(n - 1, F.lit(0)) - total / F.nullif(n - 1, F.lit(0)))
+    reward = F.when(F.col("mask") != 0, dense * centred(F.col("reward"), F.col("_dense"))).otherwise(F.lit(0.0))
+    reward = reward + F.when(F.col("pos") == F.col("_last"), outcome * centred(F.col("_acc"), F.col("_outcome"))).otherwise(F.lit(0.0))
+    back = Window.partitionBy(seq).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("returns", F.sum(reward).over(back)).drop("_mean", "_acc", "_last", "_n", "_dense", "_outcome")
+    return whiten_weighted(d, "returns", "mask", "advantage")
+
+
 TERMINAL = ("diagnose", "answer", "final_answer")
 
 
@@ -173,6 +190,13 @@ def turn_advantage(turns: DataFrame, alpha: float = 0.5, terminal_coef: float =
     return d.withColumn("turn_advantage", value).drop("_turn", "_diag", "_single")
 
 
+def turn_or_outcome(rows: DataFrame, **params: float) -> DataFrame:
+    """:func:`turn_advantage` where rows have turns, else :func:`grpo` over the outcomes, as a log without turns has one row a response."""
+    if "turn_id" in rows.columns and "action" in rows.columns:
+        return turn_advantage(rows, **params)
+    return grpo(rows, score="outcome", norm=bool(params.get("norm", True))).withColumnRenamed("advantage", "turn_advantage")
+
+
 def softmean(beta: float, x: Column) -> Column:
     """Aggregate: ln(mean(exp(beta * x))) / beta, the mean for beta 0. Needs exp(beta * x) in range; see :func:`softmean_by` for the stable form."""
     return F.avg(x) if beta == 0 else F.ln(F.avg(F.exp(F.lit(beta) * x))) / beta

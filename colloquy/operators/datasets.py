@@ -8,27 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import hash_key
+from colloquy.sources.cache import cut, discard
 
 
 def group_split(rows: DataFrame, group: str, key: str, quotas: dict[str, int], seed: str) -> DataFrame:
     """rows with split: whole groups in hash order go to each part in turn until it has its quota, then parts are cut to it. No group is shared.
 
-    Only the table of groups goes through a window without partitions; rows follow by a join.
+    Rows get their exact place in that order side by side; a part takes the places from where
+    the last one's groups end, so only the ends come to the driver, one number a part.
     """
-    groups = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    order = hash_key(seed, group)
-    g = groups.withColumns({"_o": order}).withColumn("_before", F.sum("_n").over(Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("split", F.lit(None).cast("string"))
-    used = F.lit(0).cast("long")
+    d = cut(ranked(rows.withColumn("_o", hash_key(seed, group)), [F.col("_o"), F.col(group), F.col(key)], "_r"))
+    g = cut(d.groupBy(group).agg(F.min("_r").alias("_first"), F.max("_r").alias("_last")))
+    begin, split = 0, F.lit(None).cast("string")
     for name, quota in quotas.items():
-        mine = F.col("split").isNull() & (F.col("_before") - used < quota)
-        g = g.withColumn("split", F.when(mine, F.lit(name)).otherwise(F.col("split")))
-        taken = f"_t_{name}"
-        g = g.withColumn(taken, F.sum(F.when(F.col("split") == name, F.col("_n")).otherwise(0)).over(Window.partitionBy()))
-        used = used + F.col(taken)
-    d = rows.join(g.select(group, "_o", "split").where("split IS NOT NULL"), group)
-    limit = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col("split"))
-    k = F.row_number().over(Window.partitionBy("split").orderBy("_o", key))
-    return d.withColumn("_k", k).where(F.col("_k") <= limit).select(*rows.columns, "split")
+        split = F.when((F.col("_r") >= begin) & (F.col("_r") < begin + quota), F.lit(name)).otherwise(split)
+        last = g.where((F.col("_first") >= begin) & (F.col("_first") < begin + quota)).agg(F.max("_last")).first()[0]
+        begin = begin if last is None else last + 1
+    discard(g)
+    return d.withColumn("split", split).where("split IS NOT NULL").select(*rows.columns, "split")
 
 
 def initial_symptoms(edges: DataFrame, seed_n: str = "3", seed: str = "4") -> DataFrame:
@@ -40,13 +37,30 @@ def initial_symptoms(edges: DataFrame, seed_n: str = "3", seed: str = "4") -> Da
     return d.withColumn("_k", k).where((F.col("_r") == 1) | (F.col("_k") <= F.col("_x"))).drop("_r", "_n", "_x", "_k")
 
 
-def ranked(df: DataFrame, order: list[Column], out: str = "rank", buckets: int = 64) -> DataFrame:
+def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df dealt in ranges of the order, numbered in __p, and written: what is counted and what is shifted by the counts must be the same rows, even after a lost executor."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
+
+
+def _before(d: DataFrame, total: Column) -> DataFrame:
+    """__p, __b: the total of all ranges before one; as many rows as there are ranges, so a window without partitions and a broadcast are bounded."""
+    n = d.groupBy("__p").agg(total.alias("__n"))
+    return F.broadcast(n.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b")))
+
+
+def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Exact rank from 0 without one task holding all rows: ranges are sorted side by side, then shifted by the counts before them."""
-    d = df.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id())
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    n = d.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = n.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return d.join(F.broadcast(before), "__p").withColumn(out, (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__b")
+    d = _ranges(df, order)
+    r = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return d.withColumn("__r", r).join(_before(d, F.count("*")), "__p").withColumn(out, (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__b")
+
+
+def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
+    """The sum of value over the rows up to and with each, in order, in the way of :func:`ranked`."""
+    d = _ranges(df.withColumn("__v", value), order)
+    inner = F.sum("__v").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("__r", inner).join(_before(d, F.sum("__v")), "__p").withColumn(out, F.col("__b") + F.col("__r")).drop("__p", "__r", "__b", "__v")
 
 
 def ratio_split(df: DataFrame, key: str, ratio: float, seed: str, least: int = 1) -> DataFrame:

@@ -9,19 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.texts import clean_symptom, ngrams, normalized, symptom_type, words
+from colloquy.functions.texts import clean_symptom, held, ngrams, normalized, symptom_type, words
 
 
-def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a JSON document {disease: {symptom: weight}} or {disease: [symptom]}; other values are skipped."""
-    doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    doc.createOrReplaceTempView("_graph_document")
-    rows = spark.sql("SELECT d.key AS disease, d.value AS v FROM _graph_document, LATERAL variant_explode(v) AS d")
-    rows.createOrReplaceTempView("_graph_rows")
+def read_graph(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
+    """Edges of JSON documents {disease: {symptom: weight}} or {disease: [symptom]}, one a file or (wholetext False) one a line, which many tasks can read; other values are skipped."""
+    docs = spark.read.text(path, wholetext=wholetext).select(F.parse_json("value").alias("v"))
+    rows = spark.sql("SELECT d.key AS disease, d.value AS v FROM {docs}, LATERAL variant_explode(v) AS d", docs=docs)
     edges = spark.sql(
         """SELECT disease, CASE WHEN schema_of_variant(r.v) LIKE 'ARRAY%' THEN try_variant_get(e.value, '$', 'string') ELSE e.key END AS symptom,
                   CASE WHEN schema_of_variant(r.v) LIKE 'ARRAY%' THEN 1.0D ELSE try_variant_get(e.value, '$', 'double') END AS weight
-           FROM _graph_rows r, LATERAL variant_explode(r.v) AS e WHERE schema_of_variant(r.v) LIKE 'ARRAY%' OR schema_of_variant(r.v) LIKE 'OBJECT%'"""
+           FROM {rows} r, LATERAL variant_explode(r.v) AS e WHERE schema_of_variant(r.v) LIKE 'ARRAY%' OR schema_of_variant(r.v) LIKE 'OBJECT%'""",
+        rows=rows,
     )
     return merge(edges.where("symptom IS NOT NULL").select(normalized(F.col("disease")).alias("disease"), normalized(F.col("symptom")).alias("symptom"), "weight"))
 
@@ -60,7 +59,7 @@ def coverage(collected: DataFrame, cases: DataFrame, edges: DataFrame, weighted:
     """cases(case_id, disease), collected(case_id, symptom) -> case_id, coverage: share of the disease's weight (or symptoms) that was collected, 0 if it has none."""
     value = F.col("weight") if weighted else F.lit(1.0)
     total = edges.groupBy("disease").agg(F.sum(value).alias("total"))
-    hit = collected.distinct().join(cases, "case_id").join(edges, ["disease", "symptom"]).groupBy("case_id").agg(F.sum(value).alias("hit"))
+    hit = collected.distinct().hint("merge").join(cases, "case_id").hint("merge").join(edges, ["disease", "symptom"]).groupBy("case_id").agg(F.sum(value).alias("hit"))
     d = cases.join(total, "disease", "left").join(hit, "case_id", "left")
     return d.select("case_id", F.coalesce(F.col("hit") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)).alias("coverage"))
 
@@ -71,13 +70,30 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def jaccard(left: DataFrame, right: DataFrame, lkey: str, ltext: str, rkey: str, rtext: str, least: float = 0.0) -> DataFrame:
-    """lkey, rkey, score > 0 and >= least of all pairs that share a word; for a threshold, sizes must fit it first."""
+    """lkey, rkey, score > 0 and >= least of all pairs that share a word.
+
+    For a threshold the words are ordered by how rare they are on the right, and only the first
+    n - ceil(least * n) + 1 of a text's n words are joined: two texts that are similar enough share
+    one of these, so a word that all texts have joins nothing. Sizes must fit the threshold too. Candidates
+    get their exact score from their word sets.
+    """
     a, b = _tokens(left, lkey, ltext), _tokens(right, rkey, rtext).withColumnsRenamed({"_n": "_m"})
-    d = a.hint("merge").join(b, "_w")
-    if least > 0:
-        d = d.where((F.col("_m") >= least * F.col("_n")) & (F.col("_n") >= least * F.col("_m")))
-    both = d.groupBy(lkey, rkey).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
-    return both.select(lkey, rkey, (F.col("_c") / (F.col("_n") + F.col("_m") - F.col("_c"))).alias("score")).where(F.col("score") >= least)
+    if least <= 0:
+        both = a.hint("merge").join(b, "_w").groupBy(lkey, rkey).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_m").alias("_m"))
+        return both.select(lkey, rkey, (F.col("_c") / (F.col("_n") + F.col("_m") - F.col("_c"))).alias("score"))
+    common = b.groupBy("_w").agg(F.count("*").alias("_f"))
+
+    def rare(d: DataFrame, key: str, n: str) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(F.coalesce("_f", F.lit(0)), "_w")
+        d = d.hint("merge").join(common, "_w", "left").withColumn("_k", F.row_number().over(order))
+        return d.where(F.col("_k") <= F.col(n) - F.ceil(F.lit(least) * F.col(n) - 1e-9) + 1).select(key, n, "_w")
+
+    met = rare(a, lkey, "_n").hint("merge").join(rare(b, rkey, "_m"), "_w")
+    met = met.where((F.col("_m") >= least * F.col("_n")) & (F.col("_n") >= least * F.col("_m"))).select(lkey, rkey).distinct()
+    sets = lambda df, key, text, out: df.select(key, F.array_distinct(words(normalized(F.col(text)))).alias(out))
+    d = met.hint("merge").join(sets(left, lkey, ltext, "_a"), lkey).hint("merge").join(sets(right, rkey, rtext, "_b"), rkey)
+    same = F.size(F.array_intersect("_a", "_b"))
+    return d.select(lkey, rkey, (same / (F.size("_a") + F.size("_b") - same)).alias("score")).where(F.col("score") >= least)
 
 
 def top_matches(pairs: DataFrame, lkey: str, rkey: str, k: int) -> DataFrame:
@@ -91,28 +107,53 @@ def resolve(queries: DataFrame, diseases: DataFrame, least: float = 0.2) -> Data
     q = queries.select("query", normalized(F.col("query")).alias("_q"))
     exact = q.join(names, F.col("_q") == F.col("_d")).groupBy("query").agg(F.min("disease").alias("exact"))
     rest = queries.join(exact, "query", "left_anti")
-    close = top_matches(jaccard(rest, diseases, "query", "query", "disease", "disease", 0.0).where(F.col("score") >= least), "query", "disease", 1)
+    close = top_matches(jaccard(rest, diseases, "query", "query", "disease", "disease", least), "query", "disease", 1)
     return queries.join(exact, "query", "left").join(close.select("query", F.col("disease").alias("close")), "query", "left").select("query", F.coalesce("exact", "close").alias("disease"))
 
 
 def mentioned(texts: DataFrame, key: str, text: str, symptoms: DataFrame) -> DataFrame:
-    """key, symptom: dictionary entries that occur in the text as 1 to 4 words in a row; an equality join on n-grams."""
-    grams = texts.select(key, F.explode(ngrams(F.col(text))).alias("symptom"))
-    return grams.hint("merge").join(symptoms.select("symptom").distinct(), "symptom").select(key, "symptom").distinct()
+    """key, symptom: dictionary entries that occur in the text as 1 to 4 words in a row; an equality join on n-grams of the sizes that the dictionary has."""
+    entries = symptoms.select("symptom").distinct()
+    sizes = sorted(r["n"] for r in entries.select(F.size(F.split("symptom", " ")).alias("n")).where("n BETWEEN 1 AND 4").distinct().collect())
+    d = held(texts.select(key, text), _w=words(normalized(F.col(text))))
+    grams = d.select(key, F.explode(ngrams(F.col("_w"), sizes)).alias("symptom"))
+    return grams.hint("merge").join(entries, "symptom", "left_semi").select(key, "symptom").distinct()
+
+
+def _grams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, g: distinct runs of 1 to 3 characters."""
+    s = F.col(text)
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))
+    some = [F.when(F.length(s) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    return df.select(key, F.explode(F.array_distinct(F.concat(*some))).alias("g"))
+
+
+def containing(whole: DataFrame, part: DataFrame, wkey: str, pkey: str) -> DataFrame:
+    """wkey, pkey of all pairs of whole(wkey) and part(pkey), both distinct texts, where the first holds the second.
+
+    A text that holds another holds each of its runs of three characters (or all of it, if it
+    is shorter): they meet on the part's rarest one, and ``contains`` decides.
+    """
+    grams = _grams(whole, wkey, wkey)
+    often = grams.groupBy("g").agg(F.count("*").alias("_f"))
+    runs = _grams(part.where(F.length(pkey) > 0), pkey, pkey).where(F.length("g") == F.least(F.length(pkey), F.lit(3)))
+    key = runs.hint("merge").join(often, "g", "left").groupBy(pkey).agg(F.min_by("g", F.struct(F.coalesce("_f", F.lit(0)), F.col("g"))).alias("g"))
+    return grams.hint("merge").join(key, "g").where(F.col(wkey).contains(F.col(pkey))).select(wkey, pkey)
 
 
 def diseases_of(queries: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """queries(query) -> query, disease, score, rank: the best edge of a disease, weight times 1 for a substring either way, else times Jaccard from .5 on.
 
-    Equal texts and n-grams are substrings. Substrings have no equality to join on, so each
-    distinct symptom meets each distinct query once, the queries being the few of a request.
+    Equal texts and n-grams are substrings.
     """
     symptoms = edges.select("symptom").distinct()
     q = queries.select("query", normalized(F.col("query")).alias("_q"))
-    inside = symptoms.join(F.broadcast(q), F.col("_q").contains(F.col("symptom")) | F.col("symptom").contains(F.col("_q"))).select("query", "symptom", F.lit(1.0).alias("factor"))
+    texts = q.select("_q").distinct()
+    inside = containing(texts, symptoms, "_q", "symptom").unionByName(containing(symptoms, texts, "symptom", "_q")).distinct()
+    inside = inside.hint("merge").join(q, "_q").select("query", "symptom", F.lit(1.0).alias("factor"))
     close = jaccard(queries, symptoms, "query", "query", "symptom", "symptom", 0.5).withColumnRenamed("score", "factor")
     factor = inside.unionByName(close).groupBy("query", "symptom").agg(F.max("factor").alias("factor"))
-    best = factor.join(edges, "symptom").groupBy("query", "disease").agg(F.max(F.col("weight") * F.col("factor")).alias("score")).where("score > 0")
+    best = factor.hint("merge").join(edges, "symptom").groupBy("query", "disease").agg(F.max(F.col("weight") * F.col("factor")).alias("score")).where("score > 0")
     return top_matches(best, "query", "disease", k)
 
 

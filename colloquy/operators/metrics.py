@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.numeric import hash_key
+
 
 def long(df: DataFrame, keys: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Columns other than keys as rows (metric, value)."""
@@ -18,12 +20,12 @@ def sizes(n: Column) -> Column:
     return F.when(n > 1, F.concat(powers, F.array(n))).otherwise(F.array().cast("array<bigint>"))
 
 
-def group_metrics(rows: DataFrame, keys: list[str], value: str, order: str, pred: str | None = None) -> DataFrame:
+def group_metrics(rows: DataFrame, keys: list[str], value: str, order: str, pred: str | None = None, draws: int = 0, seed: str = "42") -> DataFrame:
     """keys, metric, value for each group: mean@N, and for N > 1 std@N (population), best@n and worst@n, mean and std, of n draws with replacement.
 
     The largest of n draws from v1 <= ... <= vN is v_i with probability (i/N)^n - ((i-1)/N)^n,
     so no draws are made. maj@N is the value of the first row of the commonest ``pred`` (ties
-    to the pred seen first).
+    to the pred seen first); with ``draws`` there is maj@n for n below N too (:func:`resampled_majority`).
     """
     w = Window.partitionBy(*keys)
     d = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.col(order).alias("_o"), *([F.col(pred).alias("_p")] if pred else []))
@@ -46,12 +48,34 @@ def group_metrics(rows: DataFrame, keys: list[str], value: str, order: str, pred
         votes = d.where("_n > 1").groupBy(*keys, "_n", "_p").agg(F.count("*").alias("c"), F.min("_o").alias("o"), F.min_by("_v", "_o").alias("v"))
         top = votes.groupBy(*keys, "_n").agg(F.min_by("v", F.struct(-F.col("c"), F.col("o"))).alias("value"))
         out = out.unionByName(top.select(*keys, at("maj", F.col("_n"), "/mean").alias("metric"), "value"))
+        if draws:
+            out = out.unionByName(resampled_majority(d, keys, draws, seed))
     return out
 
 
-def validation(rows: DataFrame, source: str, group: str, value: str, order: str, pred: str | None = None) -> DataFrame:
+def resampled_majority(d: DataFrame, keys: list[str], draws: int, seed: str) -> DataFrame:
+    """maj@n/mean and maj@n/std for n below the group's size: the value of the first row of the commonest pred among n rows drawn with replacement, over ``draws`` such samples.
+
+    A draw is a hash of seed, group, sample and place, so that no partitioning changes it; ties go to the pred drawn first.
+    """
+    at = lambda t: F.concat(F.lit("maj@"), F.col("k").cast("string"), F.lit(t))
+    rows = d.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_o")))
+    g = rows.groupBy(*keys).agg(F.first("_n").alias("_n"))
+    e = g.withColumn("k", F.explode(F.filter(sizes(F.col("_n")), lambda k: k < F.col("_n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    e = e.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    h = F.conv(F.substring(hash_key(seed, *keys, "k", "b", "j"), 1, 8), 16, 10).cast("long")
+    e = e.withColumn("_r", (h % F.col("_n") + 1).cast("int")).drop("_n")
+    e = e.hint("merge").join(rows.select(*keys, "_r", "_v", "_p"), [*keys, "_r"])
+    votes = e.groupBy(*keys, "k", "b", "_p").agg(F.count("*").alias("c"), F.min("j").alias("j"), F.min_by("_v", "j").alias("v"))
+    won = votes.groupBy(*keys, "k", "b").agg(F.min_by("v", F.struct(-F.col("c"), F.col("j"))).alias("v"))
+    m = won.groupBy(*keys, "k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    two = F.array(F.struct(at("/mean").alias("metric"), F.col("m").alias("value")), F.struct(at("/std").alias("metric"), F.col("s").alias("value")))
+    return m.select(*keys, F.explode(two).alias("x")).select(*keys, "x.metric", "x.value")
+
+
+def validation(rows: DataFrame, source: str, group: str, value: str, order: str, pred: str | None = None, draws: int = 0, seed: str = "42") -> DataFrame:
     """source, metric, value: the mean of :func:`group_metrics` over a source's groups that have the metric."""
-    return group_metrics(rows, [source, group], value, order, pred).groupBy(source, "metric").agg(F.avg("value").alias("value"))
+    return group_metrics(rows, [source, group], value, order, pred, draws, seed).groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
 def named(metrics: DataFrame, source: str, var: str = "var") -> DataFrame:
@@ -70,13 +94,72 @@ def reduced(metrics: DataFrame, name: str = "name", value: str = "value") -> Dat
     return metrics.groupBy(name).agg(c.alias(value))
 
 
-def data_metrics(rows: DataFrame, max_len: int, keys: list[str]) -> DataFrame:
-    """rows(score, resp_len): mean, max, min of scores of rows that were not aborted; lengths, clip and aborted ratios of all."""
+def _three(name: str, c: Column) -> list[Column]:
+    return [F.avg(c).alias(f"{name}_mean"), F.max(c).alias(f"{name}_max"), F.min(c).alias(f"{name}_min")]
+
+
+def data_metrics(rows: DataFrame, max_len: int, max_prompt: int, keys: list[str]) -> DataFrame:
+    """rows(score, reward, resp_len, prompt_len[, turns, tools]): mean, max, min of each; scores and rewards over rows that were not aborted (length 0), lengths over all rows and over those; clip and aborted ratios."""
     alive = F.col("resp_len") > 0
-    s = F.when(alive, F.col("score"))
-    n = F.col("resp_len").cast("double")
+    n, q = F.col("resp_len").cast("double"), F.col("prompt_len").cast("double")
+    some = [c for c in ("turns", "tools") if c in rows.columns]
     return rows.groupBy(*keys).agg(
-        F.avg(s).alias("score_mean"), F.max(s).alias("score_max"), F.min(s).alias("score_min"),
-        F.avg(n).alias("length_mean"), F.max(n).alias("length_max"), F.min(n).alias("length_min"),
-        F.avg((F.col("resp_len") == max_len).cast("double")).alias("clip_ratio"), F.avg((~alive).cast("double")).alias("aborted_ratio"),
+        *_three("score", F.when(alive, F.col("score"))), *_three("reward", F.when(alive, F.col("reward"))),
+        *_three("length", n), F.avg((F.col("resp_len") == max_len).cast("double")).alias("clip_ratio"),
+        *_three("alive_length", F.when(alive, n)), F.avg(F.when(alive, (F.col("resp_len") == max_len).cast("double"))).alias("alive_clip_ratio"),
+        F.avg((~alive).cast("double")).alias("aborted_ratio"),
+        *_three("prompt", q), F.avg((F.col("prompt_len") == max_prompt).cast("double")).alias("prompt_clip_ratio"),
+        *(x for c in some for x in _three(c, F.col(c).cast("double"))),
+    )
+
+
+def token_metrics(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """tokens(advantage, returns, value, mask): mean, max, min of each on valid tokens, and the explained variance."""
+    t = tokens.where("mask = 1")
+    ev = 1 - F.var_samp(F.col("returns") - F.col("value")) / (F.var_samp("returns") + F.lit(1e-5))
+    return t.groupBy(*keys).agg(*(x for c in ("advantage", "returns", "value") for x in _three(c, F.col(c))), ev.alias("explained_variance"))
+
+
+def preference_metrics(rows: DataFrame, pairs: DataFrame, max_len: int, max_prompt: int, key: str) -> DataFrame:
+    """One row a key: rows(score, reward, resp_len, prompt_len) as they are; pairs(chosen_lp, rejected_lp, ref_chosen_lp, ref_rejected_lp): mean log-probabilities and logits, the policy's log ratio minus the reference's."""
+    n, q = F.col("resp_len").cast("double"), F.col("prompt_len").cast("double")
+    a = rows.groupBy(key).agg(
+        *_three("score", F.col("score")), *_three("reward", F.col("reward")), *_three("length", n), F.avg((n == max_len).cast("double")).alias("clip_ratio"),
+        *_three("prompt", q), F.avg((q == max_prompt).cast("double")).alias("prompt_clip_ratio"),
     )
+    logit = (F.col("chosen_lp") - F.col("rejected_lp")) - (F.col("ref_chosen_lp") - F.col("ref_rejected_lp"))
+    b = pairs.groupBy(key).agg(F.avg(logit).alias("logits"), F.avg("chosen_lp").alias("chosen_lp"), F.avg("rejected_lp").alias("rejected_lp"))
+    return a.join(b, key, "left")
+
+
+def evaluation_summary(results: DataFrame, keys: list[str]) -> DataFrame:
+    """results(correct, has_final, invalid, turn_count, coverage): figures for the keys and their totals."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    return results.rollup(*keys).agg(F.count("*").alias("n"), share("correct").alias("accuracy"), share("has_final").alias("answer_rate"), share("invalid").alias("invalid_rate"), share("turn_count").alias("turns"), share("coverage").alias("coverage"))
+
+
+def imbalance(rows: DataFrame, step: str, order: str, length: str, k: int) -> DataFrame:
+    """step; least, most, gap of the length sums of k contiguous chunks, balanced_least and balanced_most of k parts dealt forth and back by length, and mean."""
+    w = Window.partitionBy(step)
+    r = rows.select(step, length, (F.row_number().over(w.orderBy(order)) - 1).alias("_i"), (F.row_number().over(w.orderBy(F.desc(length), order)) - 1).alias("_r"), F.count("*").over(w).alias("_n"))
+    turn = F.col("_r") % k
+    part = F.when(F.floor(F.col("_r") / k) % 2 == 0, turn).otherwise(k - 1 - turn)
+    of = lambda c: r.groupBy(step, c.alias("_p")).agg(F.sum(length).alias("_s"))
+    before = of(F.floor(F.col("_i") * k / F.col("_n"))).groupBy(step).agg(F.min("_s").alias("least"), F.max("_s").alias("most"), (F.max("_s") - F.min("_s")).alias("gap"))
+    after = of(part).groupBy(step).agg(F.min("_s").alias("balanced_least"), F.max("_s").alias("balanced_most"), (F.sum("_s") / k).alias("mean"))
+    return before.join(after, step)
+
+
+def pair_accuracy(rows: DataFrame, group: str, row: str, score: str, label: str) -> DataFrame:
+    """group, accuracy: over all pairs of a group's rows, the share that the score orders as the label does, weighted by the labels' gap; .5 without a gap. A pair of equal scores counts for the order of ``row``.
+
+    Labels have few values: each row meets each label of its group once, not each row. Right pairs are
+    those whose lower label stands before the higher one in the order of (score, row).
+    """
+    a = rows.select(group, F.col(row).alias("_i"), F.col(score).alias("_s"), F.col(label).alias("_l"))
+    each = a.groupBy(group, F.col("_l").alias("_m")).agg(F.count("*").alias("_c"))
+    d = a.hint("merge").join(each, group)
+    before = F.count_if(F.col("_l") == F.col("_m")).over(Window.partitionBy(group, "_m").orderBy("_s", "_i").rowsBetween(Window.unboundedPreceding, 0))
+    gap = F.greatest(F.col("_l") - F.col("_m"), F.lit(0.0))
+    t = d.withColumns({"_ok": gap * before, "_all": gap * F.col("_c")}).groupBy(group).agg(F.sum("_ok").alias("_ok"), F.sum("_all").alias("_all"))
+    return t.select(group, F.when(F.col("_all") == 0, 0.5).otherwise(F.col("_ok") / F.nullif(F.col("_all"), F.lit(0.0))).alias("accuracy"))

@@ -30,14 +30,14 @@ def dense(queries: DataFrame, corpus: DataFrame, k: int, shards: int = 32) -> Da
 
 def bm25(queries: DataFrame, docs: DataFrame, qid: str, did: str, k: int, text: str = "text") -> DataFrame:
     """qid, did, score: postings joined on the word with the query's words, summed by document."""
-    split = lambda df, key: df.select(key, F.explode(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")).alias("w"))
+    split = lambda df, key: df.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")).alias("w"))
     q = split(queries, qid).distinct()
     tf = split(docs, did).groupBy(did, "w").agg(F.count("*").alias("tf"))
     size = tf.groupBy(did).agg(F.sum("tf").alias("len"))
     stats = F.broadcast(size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")))
     wanted = tf.hint("merge").join(q.select("w").distinct(), "w", "left_semi")
     df = wanted.groupBy("w").agg(F.count("*").alias("df"))
-    d = wanted.hint("merge").join(df, "w").join(size.hint("merge"), did).crossJoin(stats)
+    d = wanted.hint("merge").join(df, "w").hint("merge").join(size, did).crossJoin(stats)
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("avg_len")))
     s = d.select(did, "w", weight.alias("x")).hint("merge").join(q, "w").groupBy(qid, did).agg(r4(F.sum("x")).alias("score"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.texts import diagnosis_match
+from colloquy.functions.parsing import denied_before
+from colloquy.functions.texts import diagnosis_match, normalized
+from colloquy.operators.graph import mentioned
 
 TERMINAL = ("diagnose", "answer", "final_answer")
 
@@ -36,23 +38,56 @@ def final_flag(turns: DataFrame) -> DataFrame:
     return turns.withColumn("is_final", F.coalesce(F.col("is_final"), last) if "is_final" in turns.columns else last)
 
 
-def graph_turn_rewards(turns: DataFrame, edges: DataFrame, beta: float = 1.0, turn_coef: float = 0.4, r_max: float = 1.0, r_wrong: float = 0.0, r_timeout: float = -2.0, tau: float = 0.6, min_new: int = 2) -> DataFrame:
-    """turns(episode_id, disease, turn_id, fact, action, diagnosis) with delta, coverage, r_diag, reward, is_correct, premature, is_duplicate.
+def collected(turns: DataFrame, edges: DataFrame) -> DataFrame:
+    """episode_id, turn_id, disease, item, source of turns(episode_id, disease, turn_id, fact): what a turn's fact adds.
 
-    The first mention of a symptom of the disease adds its share of the disease's weight;
-    the last turn adds the outcome of its diagnosis.
+    A symptom of the episode's own disease is itself (own); of other facts, the symptoms of the
+    whole graph that their words hold (other), else the fact as it is (verbatim). Unknown and empty
+    facts add nothing. Only facts that are not the disease's own are searched, each once.
     """
-    total = edges.groupBy("disease").agg(F.sum("weight").alias("_total"))
-    d = final_flag(first_mentions(turns))
-    d = d.join(edges.select("disease", F.col("symptom").alias("fact"), F.col("weight").alias("_w")), ["disease", "fact"], "left").join(total, "disease", "left")
-    gain = F.when(F.col("is_new") & F.col("_w").isNotNull() & (F.col("_total") > 0), F.col("_w") / F.col("_total")).otherwise(F.lit(0.0))
-    d = running(d.withColumn("delta", gain), F.col("delta"), "coverage")
-    d = running(d, F.col("is_new").cast("long"), "n_new")
+    f = normalized(F.col("fact"))
+    t = turns.select("episode_id", "turn_id", "disease", f.alias("_f")).where((F.col("_f") != "") & (F.lower(F.trim("fact")) != "unknown"))
+    own = edges.select("disease", F.col("symptom").alias("_f"), F.lit(True).alias("_own")).distinct()
+    d = t.hint("merge").join(own, ["disease", "_f"], "left")
+    rest = d.where("_own IS NULL")
+    found = mentioned(rest.select("_f", F.col("_f").alias("_text")).distinct(), "_f", "_text", edges)
+    rest = rest.hint("merge").join(found, "_f", "left")
+    source = F.when(F.col("symptom").isNull(), "verbatim").otherwise("other")
+    rest = rest.select("episode_id", "turn_id", "disease", F.coalesce("symptom", "_f").alias("item"), source.alias("source"))
+    return d.where("_own").select("episode_id", "turn_id", "disease", F.col("_f").alias("item"), F.lit("own").alias("source")).unionByName(rest)
+
+
+def graph_turn_rewards(turns: DataFrame, edges: DataFrame, initial: DataFrame | None = None, beta: float = 1.0, turn_coef: float = 0.4, r_max: float = 1.0, r_wrong: float = 0.0, r_timeout: float = -2.0, tau: float = 0.6, min_new: int = 2) -> DataFrame:
+    """turns(episode_id, disease, turn_id, fact, action, diagnosis) with delta, coverage, n_new, r_diag, reward, is_correct, premature, is_duplicate.
+
+    An item counts at its first mention (:func:`collected`), unless initial(episode_id, fact), cut to
+    the disease's own symptoms, has it. New symptoms of the disease add their share of its
+    weight, on top of the initial coverage; other items count as new facts only. The last turn adds the
+    outcome of its diagnosis. A fact collected before its turn is a duplicate.
+    """
+    own = edges.groupBy("disease", F.col("symptom").alias("item")).agg(F.max("weight").alias("_w"))
+    total = own.groupBy("disease").agg(F.sum("_w").alias("_total"))
+    share = F.coalesce(F.col("_w") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0))
+    first = collected(turns, edges).groupBy("episode_id", "disease", "item").agg(F.min("turn_id").alias("_first"))
+    if initial is not None:
+        cases = turns.select("episode_id", "disease").distinct()
+        start = initial.select("episode_id", normalized(F.col("fact")).alias("item")).distinct()
+        start = start.hint("merge").join(cases, "episode_id").hint("merge").join(own, ["disease", "item"]).select("episode_id", "disease", "item")
+        first = first.hint("merge").join(start, ["episode_id", "item"], "left_anti").unionByName(start.withColumn("_first", F.lit(-1).cast("long")))
+    first = first.hint("merge").join(own, ["disease", "item"], "left").hint("merge").join(total, "disease", "left")
+    by_turn = first.groupBy("episode_id", F.col("_first").alias("turn_id")).agg(F.sum(share).alias("delta"), F.count("*").alias("_new"))
+    before = by_turn.where("turn_id < 0").select("episode_id", F.col("delta").alias("_start"))
+    seen = first.select("episode_id", F.col("item").alias("_f"), "_first")
+    d = final_flag(turns).withColumn("_f", normalized(F.col("fact")))
+    d = d.hint("merge").join(by_turn, ["episode_id", "turn_id"], "left").join(before, "episode_id", "left").hint("merge").join(seen, ["episode_id", "_f"], "left")
+    d = d.fillna({"delta": 0.0, "_new": 0, "_start": 0.0})
+    d = running(running(d, F.col("delta"), "coverage"), F.col("_new"), "n_new").withColumn("coverage", F.col("_start") + F.col("coverage"))
     correct = F.col("is_final") & (F.col("action") == "diagnose") & F.coalesce(diagnosis_match(F.col("diagnosis"), F.col("disease")), F.lit(False))
     r_diag = F.when(~F.col("is_final"), 0.0).when(F.col("action") != "diagnose", r_timeout).when(correct, r_max).otherwise(r_wrong)
-    d = d.withColumns({"is_correct": correct, "r_diag": r_diag, "is_duplicate": ~F.col("is_new") & ~F.col("is_final")})
+    again = F.coalesce(F.col("_first") < F.col("turn_id"), F.lit(False))
+    d = d.withColumns({"is_correct": correct, "r_diag": r_diag, "is_duplicate": again & ~F.col("is_final")})
     d = d.withColumn("premature", F.col("is_correct") & ~((F.col("coverage") >= tau) & (F.col("n_new") >= min_new)))
-    return d.withColumn("reward", turn_coef * beta * F.col("delta") + F.col("r_diag")).drop("_w", "_total")
+    return d.withColumn("reward", turn_coef * beta * F.col("delta") + F.col("r_diag")).drop("_f", "_new", "_start", "_first")
 
 
 def fact_turn_rewards(turns: DataFrame, facts: DataFrame, beta: float = 1.0, turn_coef: float = 0.4, r_correct: float = 1.0, r_wrong: float = 0.0, r_timeout: float = -2.0) -> DataFrame:
@@ -117,16 +152,36 @@ def episode_metrics(turns: DataFrame) -> DataFrame:
 
 
 def fact_metrics(turns: DataFrame) -> DataFrame:
-    """Per episode of :func:`fact_turn_rewards`: totals and rates."""
+    """Per episode of :func:`fact_turn_rewards`: totals, rates and the coverage of the case's facts. is_no_eos is taken as false where turns lack it."""
     asks = F.greatest(F.count_if(F.col("action") == "ask"), F.lit(1))
+    no_eos = F.col("is_no_eos") if "is_no_eos" in turns.columns else F.lit(False)
+    right = F.col("is_final") & (F.col("action") == "answer") & (F.upper(F.trim("answer")) == F.upper(F.trim("answer_idx")))
+    new = (F.col("action") == "ask") & ~F.col("is_unknown") & ~F.col("is_duplicate")
     return turns.groupBy("episode_id").agg(
+        F.count("*").alias("turn_count"),
         F.sum("reward").alias("reward_sum"), F.avg("reward").alias("reward_mean"), F.sum("delta").alias("delta_sum"),
-        F.bool_or(F.col("action") == "answer").alias("answered"),
-        F.avg(F.col("action").isin("ask", "answer").cast("double")).alias("valid_format_rate"),
+        F.max_by("r_diag", "turn_id").alias("r_diag"),
+        F.bool_or(F.coalesce(right, F.lit(False))).alias("is_correct"), F.bool_or(F.col("action") == "answer").alias("answered"),
+        F.avg(F.col("action").isin("ask", "answer").cast("double")).alias("valid_format_rate"), F.avg(no_eos.cast("double")).alias("no_eos_rate"),
         (F.count_if("is_unknown") / asks).alias("unknown_rate"), (F.count_if("is_duplicate") / asks).alias("duplicate_rate"),
+        (F.count_if(new) / F.greatest(F.max(F.coalesce("n_facts", F.lit(0))), F.lit(1))).alias("fact_coverage"),
     )
 
 
+def verifier_metrics(turns: DataFrame) -> DataFrame:
+    """Per episode of :func:`verifier_rewards`(episode_id, turn_id, verifier, patient, is_final): eight rates over the turns before the last, which add up to 1, and the last turn's is_valid and is_correct. Rates are 0 without such turns."""
+    v, fine = F.col("verifier"), F.col("patient").isNotNull() & (F.col("patient") != "") & (F.col("patient") != REFUSAL)
+    kinds = {
+        "incorrect_format": ~F.col("valid"), "multiple": v == "<Multiple>", "repeated": v == "<Repeated>", "verify_timeout": v == "<Timeout>",
+        "effective": (v == "<Normal>") & fine, "human_reject": (v == "<Normal>") & ~fine, "human_timeout": v == "<HUMAN_Timeout>", "assistant_error": v.isNull() | (v == "<ERROR_RESPONSE>"),
+    }
+    early = ~F.col("is_final")
+    n = F.greatest(F.count_if(early), F.lit(1))
+    rates = [(F.count_if(early & (c if k == "incorrect_format" else F.col("valid") & F.coalesce(c, F.lit(False)))) / n).alias(f"{k}_rate") for k, c in kinds.items()]
+    last = [F.bool_or(F.col("is_final") & (F.col("kind") == "final_answer")), F.bool_or(F.col("is_final") & F.col("is_correct"))]
+    return turns.groupBy("episode_id").agg(F.count("*").alias("turn_count"), *rates, F.coalesce(last[0], F.lit(False)).alias("is_valid"), F.coalesce(last[1], F.lit(False)).alias("is_correct"))
+
+
 def trajectories(turns: DataFrame) -> DataFrame:
     """Per episode its turns, in order, as an array of structs."""
     cols = [c for c in turns.columns if c not in ("episode_id", "turn_id")]
@@ -163,7 +218,7 @@ def question_checks(questions: DataFrame, threshold: float = 0.7, multiple_first
 def place_rewards(turn_rewards: DataFrame, spans: DataFrame, value: str, seq: str = "sample_id") -> DataFrame:
     """seq, pos, value: each turn's reward at its span's last token; what has no span is added at the sequence's last span."""
     last = spans.groupBy(seq).agg(F.max("end").alias("_last"))
-    d = turn_rewards.join(spans.select(seq, "turn_id", "end"), [seq, "turn_id"], "left").join(last, seq)
+    d = turn_rewards.hint("merge").join(spans.select(seq, "turn_id", "end"), [seq, "turn_id"], "left").hint("merge").join(last, seq)
     return d.groupBy(seq, F.coalesce("end", "_last").alias("pos")).agg(F.sum(value).alias(value))
 
 
@@ -174,17 +229,14 @@ def text_turn_rewards(turns: DataFrame, edges: DataFrame, **params: float) -> Da
     with a denial among the five words before it doesn't count. A turn may collect several
     symptoms, so gains are summed by turn.
     """
-    from colloquy.functions.parsing import denied_before
-    from colloquy.operators.graph import mentioned
-
     keyed = turns.withColumn("_key", F.concat_ws("\u0001", "episode_id", F.col("turn_id").cast("string")))
-    found = mentioned(keyed, "_key", "text", edges).join(keyed, "_key")
+    found = mentioned(keyed, "_key", "text", edges).hint("merge").join(keyed, "_key")
     found = found.where(~denied_before(F.col("text"), F.col("symptom"))).select("episode_id", "turn_id", "disease", F.col("symptom").alias("fact"))
-    own = found.join(edges.select("disease", F.col("symptom").alias("fact"), "weight"), ["disease", "fact"])
+    own = found.hint("merge").join(edges.select("disease", F.col("symptom").alias("fact"), "weight"), ["disease", "fact"])
     first = own.groupBy("episode_id", "disease", "fact", "weight").agg(F.min("turn_id").alias("turn_id"))
     total = edges.groupBy("disease").agg(F.sum("weight").alias("_total"))
     gain = first.join(total, "disease").groupBy("episode_id", "turn_id").agg(F.sum(F.col("weight") / F.col("_total")).alias("delta"), F.count("*").alias("n_new"))
-    d = final_flag(turns).join(gain, ["episode_id", "turn_id"], "left").fillna({"delta": 0.0, "n_new": 0})
+    d = final_flag(turns).hint("merge").join(gain, ["episode_id", "turn_id"], "left").fillna({"delta": 0.0, "n_new": 0})
     d = running(running(d, F.col("delta"), "coverage"), F.col("n_new"), "n_collected")
     beta, coef = params.get("beta", 1.0), params.get("turn_coef", 0.4)
     right = F.col("is_final") & (F.col("action") == "diagnose") & F.coalesce(diagnosis_match(F.col("diagnosis"), F.col("disease")), F.lit(False))

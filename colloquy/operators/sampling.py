@@ -5,11 +5,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import hash_key
-from colloquy.operators.datasets import ranked
+from colloquy.operators.datasets import ranked, running_total
 
 
 def informative(df: DataFrame, group: str = "uid", metric: str = "score") -> DataFrame:
@@ -50,11 +50,7 @@ def resample(df: DataFrame, key: str, weight: str, n: int, seed: str, buckets: i
     equal buckets of the whole, so the range join has an equality.
     """
     total = F.broadcast(df.agg(F.sum(weight).alias("_t")))
-    d = ranked(df, [F.col(key)], "_k").withColumn("_p", F.floor(F.col("_k") / 4096))
-    part = d.groupBy("_p").agg(F.sum(weight).alias("_s"))
-    before = part.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_s")
-    d = d.join(F.broadcast(before), "_p")
-    d = d.withColumn("_hi", F.col("_b") + F.sum(weight).over(Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))).crossJoin(total)
+    d = running_total(df, [F.col(key)], F.col(weight), "_hi").crossJoin(total)
     d = d.withColumns({"_lo": (F.col("_hi") - F.col(weight)) / F.col("_t"), "_hi": F.col("_hi") / F.col("_t")}).where("_hi > _lo")
     d = d.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") * buckets), F.least(F.floor(F.col("_hi") * buckets), F.lit(buckets - 1)))))
     u = (F.conv(F.substring(hash_key(seed, "draw"), 1, 12), 16, 10).cast("double")) / float(1 << 48)
@@ -62,6 +58,16 @@ def resample(df: DataFrame, key: str, weight: str, n: int, seed: str, buckets: i
     return draws.hint("merge").join(d, "_bucket").where("_u >= _lo AND _u < _hi").select("draw", *df.columns)
 
 
+#: Rows of a step that are balanced at once. A batch is bounded by what one training step takes in; larger groups are an error.
+STEP_ROWS = 1 << 16
+
+
+def _bounded(pdf: pd.DataFrame) -> pd.DataFrame:
+    if len(pdf) > STEP_ROWS:
+        raise ValueError(f"step {pdf['step'].iloc[0]} has {len(pdf)} rows, more than STEP_ROWS; cut the table into steps, or use serpentine for a whole table")
+    return pdf.sort_values("row").reset_index(drop=True)
+
+
 def karmarkar_karp(lengths: list[int], k: int, equal: bool) -> list[int]:
     """The part of each length: repeatedly pair off the two candidate sets whose spread of sums is largest."""
     n = len(lengths)
@@ -91,7 +97,7 @@ def balanced(df: DataFrame, step: str, row: str, length: str, k: int, equal: boo
     """step, row, part: each step's batch (bounded by its size) in k parts of about equal length sums, step by step in parallel."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
+        pdf = _bounded(pdf)
         return pdf.assign(part=karmarkar_karp(pdf["length"].tolist(), k, equal))[["step", "row", "part"]]
 
     d = df.select(F.col(step).cast("long").alias("step"), F.col(row).cast("long").alias("row"), F.col(length).cast("long").alias("length"))
@@ -105,25 +111,31 @@ def serpentine(df: DataFrame, length: str, key: str, k: int) -> DataFrame:
     return d.withColumn("part", F.when(turn == 0, F.col("_r") % k).otherwise(k - 1 - F.col("_r") % k).cast("int")).drop("_r")
 
 
-def micro_batches(df: DataFrame, step: str, row: str, length: str, budget: int, least: int = 1) -> DataFrame:
-    """step, row, batch: as few batches a step as the budget allows, of about equal sums, heaviest (by squared lengths) first."""
+def micro_batches(df: DataFrame, step: str, row: str, length: str, budget: int, least: int = 1, divisor: int = 1) -> DataFrame:
+    """step, row, batch, place: as few batches a step as the budget allows (at least ``least``, a multiple of ``divisor``), of about equal sums, heaviest (by squared lengths) first.
+
+    place is the row's position when the batches are laid end to end, which restores the step's order.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row").reset_index(drop=True)
-        n = max(least, min(len(pdf), -(-int(pdf["length"].sum()) // budget)))
-        pdf["part"] = karmarkar_karp(pdf["length"].tolist(), min(n, len(pdf)), False)
+        pdf = _bounded(pdf)
+        if int(pdf["length"].max()) > budget:
+            raise ValueError(f"a row of length {int(pdf['length'].max())} exceeds the budget of {budget}")
+        n = max(least, -(-int(pdf["length"].sum()) // budget))
+        n = min(len(pdf), -(-n // divisor) * divisor)
+        pdf["part"] = karmarkar_karp(pdf["length"].tolist(), n, False)
         work = pdf.assign(w=pdf["length"] ** 2).groupby("part").agg(w=("w", "sum"), first=("row", "min")).sort_values(["w", "first"], ascending=[False, True])
-        return pdf.assign(batch=pdf["part"].map({p: i for i, p in enumerate(work.index)}))[["step", "row", "batch"]]
+        pdf["batch"] = pdf["part"].map({p: i for i, p in enumerate(work.index)})
+        pdf["place"] = pdf.sort_values(["batch", "row"]).assign(place=range(len(pdf)))["place"]
+        return pdf[["step", "row", "batch", "place"]]
 
     d = df.select(F.col(step).cast("long").alias("step"), F.col(row).cast("long").alias("row"), F.col(length).cast("long").alias("length"))
-    return d.groupBy("step").applyInPandas(run, "step long, row long, batch int")
+    return d.groupBy("step").applyInPandas(run, "step long, row long, batch int, place int")
 
 
-def epoch_order(df: DataFrame, key: str, epochs: int, seed: str, batch: int) -> DataFrame:
-    """epoch, batch, place and the rows, in another hash order each epoch."""
+def epoch_order(df: DataFrame, key: str, epochs: int, seed: str, batch: int, by: list[Column] | None = None) -> DataFrame:
+    """epoch, batch, place and the rows: in another hash order each epoch, or in the same order ``by`` (the key for sequential, a difficulty for curriculum)."""
     d = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_h", hash_key(seed, "epoch", key))
     n = F.broadcast(df.agg(F.count("*").alias("_n")))
-    r = ranked(d, [F.col("epoch"), F.col("_h"), F.col(key)], "_r").crossJoin(n)
+    r = ranked(d, [F.col("epoch"), *(by or [F.col("_h")]), F.col(key)], "_r").crossJoin(n)
     return r.withColumn("place", F.col("_r") - F.col("epoch") * F.col("_n")).withColumn("batch", F.floor(F.col("place") / batch)).drop("_h", "_r", "_n")
-
-

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.numeric import masked_mean
+from colloquy.functions.numeric import hash_key, masked_mean
+from colloquy.operators.advantages import with_global
+from colloquy.operators.datasets import ranked
 
 Diagnostics = Callable[..., DataFrame]
 _DIAGNOSTICS: dict[str, Diagnostics] = {}
@@ -107,6 +109,38 @@ def value_loss(tokens: DataFrame, clip: float = 0.5) -> DataFrame:
     return tokens.agg((0.5 * masked_mean(F.greatest(plain, clipped), m)).alias("loss"), masked_mean((clipped > plain).cast("double"), m).alias("clip_fraction"))
 
 
+@register_diagnostics("gpg")
+def gpg_loss(tokens: DataFrame, mode: str = "token-mean", seq: str = "sample_id") -> DataFrame:
+    """loss of tokens(new_lp, advantage, mask): minus log-probability times advantage."""
+    return aggregate_loss(tokens, -F.col("new_lp") * F.col("advantage"), mode, seq)
+
+
+def covariance(tokens: DataFrame) -> DataFrame:
+    """Valid tokens with cov, the product of what advantage and new_lp are above their means, to nine places (a sum's order may change the last bits of a mean)."""
+    v = with_global(tokens.where("mask = 1"), _a=F.avg("advantage"), _l=F.avg("new_lp"), _n=F.count("*"))
+    return v.withColumn("cov", F.round((F.col("advantage") - F.col("_a")) * (F.col("new_lp") - F.col("_l")), 9)).drop("_a", "_l")
+
+
+def kl_cov(tokens: DataFrame, ratio: float = 0.0002, seq: str = "sample_id") -> DataFrame:
+    """The share of valid tokens (one at least) with the largest covariance: their number from the global count, their choice by a distributed order."""
+    k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * ratio))
+    return ranked(covariance(tokens), [F.desc("cov"), F.col(seq), F.col("pos")], "_r").where(F.col("_r") < k).drop("_r", "_n")
+
+
+def clip_cov(tokens: DataFrame, low: float = 1.0, high: float = 5.0, ratio: float = 0.0002, clip: float = 0.2, seed: str = "9", seq: str = "sample_id") -> DataFrame:
+    """A hash-chosen share of the valid tokens (one at least), from those whose covariance lies between low and high and that clipping leaves alone."""
+    a, r = F.col("advantage"), F.exp(clamp(F.col("new_lp") - F.col("old_lp"), -20, 20))
+    clipped = -a * clamp(r, 1 - clip, 1 + clip) > -a * r
+    k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * ratio))
+    band = covariance(tokens).where((F.col("cov") > low) & (F.col("cov") < high) & ~clipped).withColumn("_h", hash_key(seed, seq, "pos"))
+    return ranked(band, [F.col("_h"), F.col(seq), F.col("pos")], "_r").where(F.col("_r") < k).drop("_r", "_n", "_h")
+
+
+def mismatches(tokens: DataFrame, a: str, b: str, seq: str = "sample_id") -> DataFrame:
+    """seq, n_different: valid tokens of a sequence whose ids differ."""
+    return tokens.groupBy(seq).agg(F.count_if((F.col("mask") == 1) & ~F.col(a).eqNullSafe(F.col(b))).alias("n_different"))
+
+
 def agreement(tokens: DataFrame, a: str, b: str) -> DataFrame:
     """Largest, mean and deviation of the probability gap of two policies on valid tokens, and their correlation."""
     t = tokens.where("mask = 1").select(F.exp(a).alias("p"), F.exp(b).alias("q"))
@@ -145,7 +179,7 @@ def gaps(tokens: DataFrame, seq: str = "sample_id") -> DataFrame:
 def spread(tokens: DataFrame, turns: DataFrame, value: str, seq: str = "sample_id") -> DataFrame:
     """Each token with its turn's value, 0 outside turns. Turns give their positions, so the join has equal keys only."""
     at = turns.select(seq, F.explode(F.sequence("start", "end")).alias("pos"), value)
-    return tokens.join(at, [seq, "pos"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    return tokens.hint("merge").join(at, [seq, "pos"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
 def eos_mask(ids: Column, eos: list[int]) -> Column:

@@ -45,10 +45,32 @@ def backup(nodes: DataFrame, gamma: float = 1.0, only_critic: bool = False) -> D
     return d.withColumn("advantage", F.when(F.col("parent_id").isNotNull(), gain / F.greatest("visits", F.lit(1)))).drop("_pv", "_pc", "_kids")
 
 
-def prune_siblings(nodes: DataFrame, threshold: float, seed: str = "7", w_var: float = 0.3, w_gap: float = 0.7) -> DataFrame:
-    """Children that stay: all of a parent whose spread score reaches the threshold, one (by hash) of the others."""
+def sibling_statistics(nodes: DataFrame) -> DataFrame:
+    """level, mean, std (population) of the variances of siblings' critic values by their parent's level, and over all levels (level null)."""
+    w = nodes.where("parent_id IS NOT NULL").groupBy("tree_id", "parent_id").agg(F.var_pop("critic_value").alias("v"), F.count("*").alias("n"), (F.min("level") - 1).alias("level"))
+    return w.where("n > 1").groupingSets([[], ["level"]], "level").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+
+def prune_siblings(nodes: DataFrame, threshold: float, seed: str = "7", stats: DataFrame | None = None, w_var: float = 0.3, w_gap: float = 0.7, chance: float = 0.9) -> DataFrame:
+    """Children that stay: one by hash of the children of a parent that is pruned, all of the others.
+
+    A parent of several children is pruned if w_var * z + w_gap * |critic value - mean of the
+    children's| is below the threshold and its draw (by hash) below ``chance``. z is the variance of
+    the children's values, normalised by stats(level, mean, std) of the parent's level, else by
+    those of all levels (level null), else as it is.
+    """
     w = Window.partitionBy("tree_id", "parent_id")
-    kids = nodes.where("parent_id IS NOT NULL").withColumns({"_v": F.var_pop("critic_value").over(w), "_q": F.avg("critic_value").over(w), "_k": F.row_number().over(w.orderBy(hash_key(seed, "tree_id", "node_id")))})
-    up = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("critic_value").alias("_pc"))
-    d = kids.join(up, ["tree_id", "parent_id"])
-    return d.where((w_var * F.col("_v") + w_gap * F.abs(F.col("_pc") - F.col("_q")) >= threshold) | (F.col("_k") == 1)).drop("_v", "_q", "_k", "_pc")
+    kids = nodes.where("parent_id IS NOT NULL").withColumns({"_v": F.var_pop("critic_value").over(w), "_q": F.avg("critic_value").over(w), "_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(hash_key(seed, "tree_id", "node_id")))})
+    up = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("critic_value").alias("_pc"), F.col("level").alias("_pl"))
+    d = kids.hint("merge").join(up, ["tree_id", "parent_id"])
+    z = F.col("_v")
+    if stats is not None:
+        # a row a level, and levels are few; the depth of trees bounds them
+        by = F.broadcast(stats.where("level IS NOT NULL").select(F.col("level").alias("_pl"), F.col("mean").alias("_m"), F.col("std").alias("_s")).limit(MAX_DEPTH + 1))
+        all_ = F.broadcast(stats.where("level IS NULL").agg(F.max("mean").alias("_gm"), F.max("std").alias("_gs")))
+        d = d.join(by, "_pl", "left").crossJoin(all_)
+        score = lambda m, s: (F.col("_v") - F.col(m)) / (F.col(s) + F.lit(1e-7))
+        z = F.when(F.col("_m").isNotNull(), score("_m", "_s")).when(F.col("_gm").isNotNull(), score("_gm", "_gs")).otherwise(F.col("_v"))
+    u = F.conv(F.substring(hash_key(seed + "u", "tree_id", "parent_id"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    pruned = (F.col("_n") > 1) & (w_var * z + w_gap * F.abs(F.col("_pc") - F.col("_q")) < threshold) & (u < chance)
+    return d.where(~pruned | (F.col("_k") == 1)).select(*nodes.columns)

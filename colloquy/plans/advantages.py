@@ -157,24 +157,33 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("episode_id", "turn_id", r6("turn_advantage").alias("turn_advantage"))
 
 
+@query("e12", "SELECT uid, sample_id, round(CASE WHEN n = 1 THEN score / (1 + 1e-6) ELSE (score - m) / (s + 1e-6) END, 6) + 0.0 AS advantage FROM (SELECT uid, sample_id, score, count(*) OVER w AS n, avg(score) OVER w AS m, stddev_samp(score) OVER w AS s FROM rollouts WINDOW w AS (PARTITION BY uid)) t", R)
+def e12(spark: SparkSession, sf: str) -> DataFrame:
+    """A log without turns: the outcome's advantage."""
+    d = A.turn_or_outcome(view(spark, sf, "rollouts").withColumnRenamed("score", "outcome"))
+    return d.select("uid", "sample_id", r6("turn_advantage").alias("advantage"))
+
+
 @query(
     "e13",
-    """WITH g AS (SELECT uid, sample_id, score, CASE WHEN pred = 'click' THEN 1.0 ELSE 0.0 END AS acc FROM rollouts),
-l AS (SELECT *, count(*) OVER (PARTITION BY uid) AS n, sum(score) OVER (PARTITION BY uid) AS ss, sum(acc) OVER (PARTITION BY uid) AS sa FROM g),
-t AS (SELECT uid, sample_id, CASE WHEN n = 1 THEN score + acc ELSE (score - (ss - score) / (n - 1)) + (acc - (sa - acc) / (n - 1)) END AS x, 1.0 AS mask FROM l),
+    """WITH l AS (SELECT sample_id, sample_id % 300 AS uid, pos, mask, reward, CAST(sample_id % 2 AS DOUBLE) AS acc FROM token_logs),
+q AS (SELECT uid, sample_id, sum(reward * mask) / (sum(mask) + 1e-8) AS mean, max(acc) AS acc, max(CASE WHEN mask <> 0 THEN pos END) AS last FROM l GROUP BY 1, 2),
+g AS (SELECT *, count(*) OVER w AS n, sum(mean) OVER w AS sm, sum(acc) OVER w AS sa FROM q WINDOW w AS (PARTITION BY uid)),
+c AS (SELECT l.sample_id, l.pos, l.mask,
+  CASE WHEN l.mask <> 0 THEN 5 * CASE WHEN n = 1 THEN l.reward ELSE l.reward * n / (n - 1) - sm / (n - 1) END ELSE 0 END
+  + CASE WHEN l.pos = g.last THEN 5 * CASE WHEN n = 1 THEN g.acc ELSE g.acc * n / (n - 1) - sa / (n - 1) END ELSE 0 END AS r FROM l JOIN g ON g.sample_id = l.sample_id),
+t AS (SELECT sample_id, pos, CAST(mask AS DOUBLE) AS mask, sum(r) OVER (PARTITION BY sample_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS x FROM c),
 """
     + _WHITE
     + """
-SELECT uid, sample_id, round((x - m) / sqrt(v + 1e-8), 6) + 0.0 AS advantage FROM t, m, v""",
-    R,
+SELECT sample_id, pos, round(x, 6) + 0.0 AS returns, round((x - m) / sqrt(v + 1e-8), 6) + 0.0 AS advantage FROM t, m, v""",
+    ("token_logs",),
 )
 def e13(spark: SparkSession, sf: str) -> DataFrame:
-    """Leave-one-out on two reward sources, added, whitened."""
-    w = Window.partitionBy("uid")
-    n = F.count("*").over(w)
-    d = view(spark, sf, "rollouts").withColumns({"acc": F.when(F.col("pred") == "click", 1.0).otherwise(0.0), "one": F.lit(1.0)})
-    loo = lambda c: F.when(n == 1, F.col(c)).otherwise(F.col(c) - (F.sum(c).over(w) - F.col(c)) / F.nullif(n - 1, F.lit(0)))
-    return _out(A.whiten_weighted(d.withColumn("x", loo("score") + loo("acc")), "x", "one", "advantage"))
+    """Leave-one-out on token rewards and on the outcome at the last valid token, accumulated from the end, whitened."""
+    t = view(spark, sf, "token_logs").withColumns({"uid": F.col("sample_id") % 300, "acc": (F.col("sample_id") % 2).cast("double")})
+    d = A.prime_rloo(t)
+    return d.select("sample_id", "pos", r6("returns").alias("returns"), r6("advantage").alias("advantage"))
 
 
 @query(
@@ -218,16 +227,21 @@ def e15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "e16",
-    """SELECT tree_id, node_id FROM (
-  SELECT *, var_pop(critic_value) OVER (PARTITION BY tree_id, parent_id) AS v, avg(critic_value) OVER (PARTITION BY tree_id, parent_id) AS q,
-         row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY md5(concat('7|', CAST(tree_id AS VARCHAR), '|', CAST(node_id AS VARCHAR)))) AS k
-  FROM tree_nodes) t
-JOIN (SELECT tree_id AS pt, node_id AS pn, critic_value AS pc FROM tree_nodes) p ON p.pt = t.tree_id AND p.pn = t.parent_id
-WHERE 0.3 * v + 0.7 * abs(pc - q) >= 0.1 OR k = 1""",
+    """WITH k AS (SELECT *, var_pop(critic_value) OVER w AS v, avg(critic_value) OVER w AS q, count(*) OVER w AS n, row_number() OVER (PARTITION BY tree_id, parent_id ORDER BY md5(concat('7|', CAST(tree_id AS VARCHAR), '|', CAST(node_id AS VARCHAR)))) AS k
+  FROM tree_nodes WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY tree_id, parent_id)),
+g AS (SELECT DISTINCT tree_id, parent_id, level - 1 AS pl, v FROM k WHERE n > 1),
+s AS (SELECT pl, avg(v) AS m, stddev_pop(v) AS s FROM g WHERE pl % 2 = 0 GROUP BY 1), a AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM g),
+z AS (SELECT k.*, p.critic_value AS pc, CASE WHEN s.m IS NOT NULL THEN (v - s.m) / (s.s + 1e-7) ELSE (v - a.m) / (a.s + 1e-7) END AS z,
+  CAST(('0x' || substr(md5(concat('7u|', CAST(k.tree_id AS VARCHAR), '|', CAST(k.parent_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM k JOIN tree_nodes p ON p.tree_id = k.tree_id AND p.node_id = k.parent_id LEFT JOIN s ON s.pl = p.level, a)
+SELECT tree_id, node_id FROM z WHERE NOT (n > 1 AND 0.3 * z + 0.7 * abs(pc - q) < 0.1 AND u < 0.9) OR k = 1""",
     ("tree_nodes",),
 )
 def e16(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.prune_siblings(view(spark, sf, "tree_nodes"), threshold=0.1).select("tree_id", "node_id")
+    """Statistics of every other level; the rest take those of all levels."""
+    n = view(spark, sf, "tree_nodes")
+    stats = trees.sibling_statistics(n).where("level IS NULL OR level % 2 = 0")
+    return trees.prune_siblings(n, threshold=0.1, stats=stats).select("tree_id", "node_id")
 
 
 @query(

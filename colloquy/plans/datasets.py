@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import hash_key, r6
+from colloquy.functions.texts import cascade_failure
 from colloquy.operators import datasets as DS
 from colloquy.operators import graph as G
 from colloquy.operators import retrieval
 from colloquy.plans.base import query
+from colloquy.plans.text import _CASES, _FAILURE, _cases
 from colloquy.sources import cache, files
 from colloquy.sources.views import table, view
 
@@ -44,15 +46,15 @@ def a2(spark: SparkSession, sf: str) -> DataFrame:
     return count(good, False).unionByName(count(bad, True))
 
 
-@query("a3", "SELECT disease, symptom, round(weight, 6) + 0.0 AS weight FROM kg_edges WHERE disease_group < 'c' UNION ALL SELECT 'listed', 'sign', 1.0", K)
+@query("a3", "SELECT disease, symptom, round(weight, 6) + 0.0 AS weight FROM kg_edges UNION ALL SELECT 'listed', 'sign', 1.0", K)
 def a3(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges as one JSON document, with a list entry and one of no use, read back."""
+    """A graph in JSON documents, one a disease, and one with a list entry and one of no use, read back side by side."""
     path = _tmp(spark)
-    e = view(spark, sf, "kg_edges").where("disease_group < 'c'")
-    one = e.groupBy("disease").agg(F.map_from_entries(F.collect_list(F.struct("symptom", "weight"))).alias("m")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("disease", "m")))).alias("j"))
-    tail = F.lit('"listed": ["sign"], "odd": 3}')
-    one.select(F.when(F.length("j") > 2, F.concat(F.expr("substr(j, 1, length(j) - 1)"), F.lit(", "), tail)).otherwise(F.concat(F.lit("{"), tail)).alias("value")).coalesce(1).write.text(path)
-    return G.read_graph(spark, path).select("disease", "symptom", r6("weight").alias("weight"))
+    e = view(spark, sf, "kg_edges").groupBy("disease").agg(F.map_from_entries(F.collect_list(F.struct("symptom", "weight"))).alias("m"))
+    one = F.concat(F.substring(F.to_json(F.create_map("disease", "m")), F.lit(1), F.length(F.to_json(F.create_map("disease", "m"))) - 1), F.lit("}"))
+    odd = spark.range(1).select(F.lit('{"listed": ["sign"], "odd": 3}').alias("value"))
+    e.select(one.alias("value")).unionByName(odd).write.text(path)
+    return G.read_graph(spark, path, wholetext=False).select("disease", "symptom", r6("weight").alias("weight"))
 
 
 @query("a4", "SELECT n_nationkey AS key, n_name AS name, NULL::VARCHAR AS segment FROM nation UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -200,16 +202,16 @@ def c17(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c17_bm25",
-    """WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM documents WHERE lang = 'en'),
+    """WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '')) AS w FROM documents),
 tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM len), df AS (SELECT w, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM benchmark WHERE item_id < 5),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: x <> '')) AS w FROM benchmark WHERE item_id % 50 = 0),
 s AS (SELECT item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM q JOIN tf ON tf.w = q.w JOIN df ON df.w = q.w JOIN len ON len.doc_id = tf.doc_id, st GROUP BY 1, 2)
 SELECT item_id, doc_id, round(score, 4) + 0.0 AS score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 4) DESC, doc_id) <= 3""",
 )
 def c17_bm25(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    q = table(spark, sf, "benchmark").where("item_id < 5")
-    return retrieval.bm25(q, d, "item_id", "doc_id", 3)
+    """Items whose id is divisible by 50 against all documents of all languages."""
+    q = table(spark, sf, "benchmark").where("item_id % 50 = 0")
+    return retrieval.bm25(q, table(spark, sf, "documents"), "item_id", "doc_id", 3)
 
 
 @query("f17", "SELECT p_partkey, string_agg(o, ',' ORDER BY h) AS options FROM (SELECT p_partkey, o, md5('1|' || CAST(p_partkey AS VARCHAR) || '|' || o) AS h FROM (SELECT p_partkey, unnest([p_brand, p_type, p_name]) AS o FROM part) t) u GROUP BY 1")
@@ -340,33 +342,57 @@ def b24(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", both["split"].alias("split"), both["kind"].alias("kind"), both["user"].alias("user"))
 
 
-@query("d6", "SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NULL) AS no_answer, count(*) FILTER (WHERE answer IS NOT NULL AND NOT contains(user_content, 'the')) AS no_fact, round(avg(CASE WHEN answer IS NOT NULL AND contains(user_content, 'the') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS covered FROM qa_cases", Q)
+@query("d6", f"WITH {_CASES}, f AS (SELECT info, {_FAILURE} AS failure FROM c) SELECT count(*) AS total, count(*) FILTER (WHERE failure = 'fail_diag_keyword') AS fail_diag_keyword, count(*) FILTER (WHERE failure = 'fail_answer_type') AS fail_answer_type, count(*) FILTER (WHERE failure = 'fail_no_symptoms') AS fail_no_symptoms, count(*) FILTER (WHERE failure IS NULL) AS passed, round(CAST(count(*) FILTER (WHERE failure IS NULL AND lower(info) = 'heart failure') AS DOUBLE) / greatest(count(*) FILTER (WHERE failure IS NULL), 1), 6) + 0.0 AS covered FROM f", Q)
 def d6(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts by stage of a cascade."""
-    has, fact = F.col("answer").isNotNull(), F.col("user_content").contains("the")
-    return view(spark, sf, "qa_cases").agg(F.count("*").alias("n"), F.count_if(~has).alias("no_answer"), F.count_if(has & ~fact).alias("no_fact"), r6(F.avg((has & fact).cast("double"))).alias("covered"))
+    """Counts by stage of the cascade, and the share of what passed whose answer is a known disease."""
+    known = spark.createDataFrame([("heart failure",)], "disease string")
+    d = _cases(spark, sf).select(F.lower(F.trim("info")).alias("disease"), cascade_failure(F.col("question"), F.col("info"), F.col("facts")).alias("failure"))
+    d = G.hit_flag(d, known, "disease", "known")
+    n = lambda stage: F.count_if(F.col("failure") == stage).alias(stage)
+    passed = F.col("failure").isNull()
+    return d.agg(F.count("*").alias("total"), n("fail_diag_keyword"), n("fail_answer_type"), n("fail_no_symptoms"), F.count_if(passed).alias("passed"), r6(F.count_if(passed & F.col("known")) / F.greatest(F.count_if(passed), F.lit(1))).alias("covered"))
 
 
-@query("d12", "SELECT data_source, step % 2 AS half, count(*) AS n, round(avg(CASE WHEN pred = 'click' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, round(avg(resp_len), 6) + 0.0 AS turns FROM rollouts GROUP BY ROLLUP (data_source, step % 2)", R)
+@query(
+    "d12",
+    """SELECT data_source, step % 2 AS half, count(*) AS n, round(avg(CASE WHEN pred = 'click' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, round(avg(CASE WHEN pred IN ('click', 'view') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS answer_rate,
+round(avg(CASE WHEN resp_len < 5 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS invalid_rate, round(avg(resp_len), 6) + 0.0 AS turns, round(avg(score / 100.0), 6) + 0.0 AS coverage FROM rollouts GROUP BY ROLLUP (data_source, step % 2)""",
+    R,
+)
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation by split, with totals."""
-    r = view(spark, sf, "rollouts").withColumn("half", F.col("step") % 2)
-    return r.rollup("data_source", "half").agg(F.count("*").alias("n"), r6(F.avg((F.col("pred") == "click").cast("double"))).alias("accuracy"), r6(F.avg("resp_len")).alias("turns"))
+    from colloquy.operators.metrics import evaluation_summary
+
+    r = view(spark, sf, "rollouts").select("data_source", (F.col("step") % 2).alias("half"), (F.col("pred") == "click").alias("correct"), F.col("pred").isin("click", "view").alias("has_final"), (F.col("resp_len") < 5).alias("invalid"), F.col("resp_len").alias("turn_count"), (F.col("score") / 100.0).alias("coverage"))
+    d = evaluation_summary(r, ["data_source", "half"])
+    return d.select("data_source", "half", "n", *(r6(c).alias(c) for c in d.columns[3:]))
 
 
 @query(
     "d33",
-    """WITH k AS (SELECT uid, step, score, resp_len, sample_id, row_number() OVER (PARTITION BY uid ORDER BY sample_id) AS slot FROM rollouts QUALIFY count(*) OVER (PARTITION BY uid) >= 2),
-t AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, slot) AS r FROM k WHERE slot <= 2)
-SELECT r = 1 AS chosen, round(avg(score), 6) + 0.0 AS score_mean, max(score) AS score_max, min(score) AS score_min, round(avg(resp_len), 6) + 0.0 AS length_mean FROM t GROUP BY 1""",
+    """WITH b AS (SELECT *, score - 0.1 * resp_len AS reward, 1 + sample_id % 40 AS prompt_len FROM rollouts),
+k AS (SELECT uid, step, score, resp_len, row_number() OVER (PARTITION BY uid ORDER BY sample_id) AS slot FROM b QUALIFY count(*) OVER (PARTITION BY uid) >= 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, slot) AS r FROM k WHERE slot <= 2),
+p AS (SELECT uid, max(step) FILTER (WHERE r = 1) AS step, max(-resp_len / 50.0) FILTER (WHERE r = 1) AS c, max(-resp_len / 50.0) FILTER (WHERE r = 2) AS j, max(-resp_len / 60.0) FILTER (WHERE r = 1) AS rc, max(-resp_len / 40.0) FILTER (WHERE r = 2) AS rj FROM t GROUP BY 1),
+l AS (SELECT step, avg((c - j) - (rc - rj)) AS logits, avg(c) AS chosen_lp, avg(j) AS rejected_lp FROM p GROUP BY 1)
+SELECT b.step, """
+    + ", ".join(f"round(CAST({f}({x}) AS DOUBLE), 6) + 0.0 AS {n}_{t}" for n, x in (("score", "score"), ("reward", "reward"), ("length", "resp_len"), ("prompt", "prompt_len")) for f, t in (("avg", "mean"), ("max", "max"), ("min", "min")))
+    + """, round(avg(CASE WHEN resp_len = 97 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS clip_ratio, round(avg(CASE WHEN prompt_len = 40 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS prompt_clip_ratio,
+round(max(logits), 6) + 0.0 AS logits, round(max(chosen_lp), 6) + 0.0 AS chosen_lp, round(max(rejected_lp), 6) + 0.0 AS rejected_lp FROM b LEFT JOIN l ON l.step = b.step GROUP BY b.step""",
     R,
 )
 def d33(spark: SparkSession, sf: str) -> DataFrame:
-    """Preference pairs: figures of the chosen and of the rejected."""
+    """Preference runs: figures of all rows, log-probabilities and logits of the pairs, by step."""
+    from colloquy.operators.metrics import preference_metrics
+
     w = Window.partitionBy("uid")
-    d = view(spark, sf, "rollouts").withColumns({"slot": F.row_number().over(w.orderBy("sample_id")), "n": F.count("*").over(w)}).where("n >= 2 AND slot <= 2")
-    d = d.withColumn("chosen", F.row_number().over(w.orderBy(F.desc("score"), "slot")) == 1)
-    return d.groupBy("chosen").agg(r6(F.avg("score")).alias("score_mean"), F.max("score").alias("score_max"), F.min("score").alias("score_min"), r6(F.avg("resp_len")).alias("length_mean"))
+    b = view(spark, sf, "rollouts").withColumns({"reward": F.col("score") - 0.1 * F.col("resp_len"), "prompt_len": 1 + F.col("sample_id") % 40})
+    d = b.withColumns({"slot": F.row_number().over(w.orderBy("sample_id")), "n": F.count("*").over(w)}).where("n >= 2 AND slot <= 2")
+    d = d.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "slot")))
+    of = lambda r, by: F.max(F.when(F.col("r") == r, -F.col("resp_len") / by))
+    pairs = d.groupBy("uid").agg(F.max(F.when(F.col("r") == 1, F.col("step"))).alias("step"), of(1, 50.0).alias("chosen_lp"), of(2, 50.0).alias("rejected_lp"), of(1, 60.0).alias("ref_chosen_lp"), of(2, 40.0).alias("ref_rejected_lp"))
+    m = preference_metrics(b, pairs, 97, 40, "step")
+    return m.select("step", *(r6(c).alias(c) for c in m.columns[1:]))
 
 
 @query("d11", "SELECT metric, round(value, 6) + 0.0 AS value FROM (SELECT avg(CASE WHEN pred IN ('click', 'view') THEN 1.0 ELSE 0.0 END)::DOUBLE AS valid_rate, (count(*) FILTER (WHERE pred = 'click') / nullif(count(*) FILTER (WHERE pred IN ('click', 'view')), 0))::DOUBLE AS accuracy_of_valid FROM rollouts) t UNPIVOT (value FOR metric IN (valid_rate, accuracy_of_valid))", R)

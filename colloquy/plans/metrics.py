@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.numeric import r4, r6
 from colloquy.operators import metrics as M
 from colloquy.plans.base import query
+from colloquy.plans.text import _SCORED
 from colloquy.sources.views import table, view
 
 R = ("rollouts",)
@@ -29,6 +30,15 @@ g AS (SELECT data_source, uid, 'mean@' || CAST(count(*) AS VARCHAR) AS metric, a
   UNION ALL SELECT data_source, uid, 'worst@' || CAST(k AS VARCHAR) || '/mean', w1 FROM m UNION ALL SELECT data_source, uid, 'worst@' || CAST(k AS VARCHAR) || '/std', sqrt(greatest(w2 - w1 * w1, 0)) FROM m
   UNION ALL SELECT data_source, uid, 'maj@' || CAST(n AS VARCHAR) || '/mean', v FROM mj)
 """
+#: Votes among rows drawn with replacement: draws by hash, ties to the pred drawn first.
+_DRAWS = 8
+_MAJ = f""", rr AS (SELECT *, row_number() OVER (PARTITION BY data_source, uid ORDER BY o) AS r FROM d WHERE n > 1),
+dw AS (SELECT g0.data_source, g0.uid, k.k, b.b, j.j, CAST(('0x' || substr(md5(concat_ws('|', '42', g0.data_source, g0.uid, CAST(k.k AS VARCHAR), CAST(b.b AS VARCHAR), CAST(j.j AS VARCHAR))), 1, 8)) AS BIGINT) % g0.n + 1 AS r
+  FROM (SELECT DISTINCT data_source, uid, n FROM d WHERE n > 1) g0 JOIN k ON k.n = g0.n AND k.k < g0.n, range({_DRAWS}) b(b), range(64) j(j) WHERE j.j < k.k),
+dv AS (SELECT dw.data_source, dw.uid, k, b, p, count(*) AS c, min(j) AS j, arg_min(v, j) AS v FROM dw JOIN rr ON rr.data_source = dw.data_source AND rr.uid = dw.uid AND rr.r = dw.r GROUP BY 1, 2, 3, 4, 5),
+dm AS (SELECT data_source, uid, k, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT * FROM dv QUALIFY row_number() OVER (PARTITION BY data_source, uid, k, b ORDER BY c DESC, j) = 1) t GROUP BY 1, 2, 3),
+g2 AS (SELECT * FROM g UNION ALL SELECT data_source, uid, 'maj@' || CAST(k AS VARCHAR) || '/mean', m FROM dm UNION ALL SELECT data_source, uid, 'maj@' || CAST(k AS VARCHAR) || '/std', s FROM dm)
+"""
 
 
 @query("d16", _GM + "SELECT data_source, metric, round(avg(value), 4) + 0.0 AS value FROM g WHERE metric LIKE 'mean%' OR metric LIKE 'std%' GROUP BY 1, 2", R)
@@ -43,9 +53,9 @@ def d17(spark: SparkSession, sf: str) -> DataFrame:
     return v.where(F.col("metric").rlike("^(best|worst)")).select("data_source", "uid", "metric", r4("value").alias("value"))
 
 
-@query("d18", _GM + "SELECT data_source, metric, round(avg(value), 4) + 0.0 AS value FROM g WHERE metric LIKE 'maj%' GROUP BY 1, 2", R)
+@query("d18", _GM + _MAJ + "SELECT data_source, metric, round(avg(value), 4) + 0.0 AS value FROM g2 WHERE metric LIKE 'maj%' GROUP BY 1, 2", R)
 def d18(spark: SparkSession, sf: str) -> DataFrame:
-    v = M.validation(_rolls(spark, sf), "data_source", "uid", "score", "sample_id", "pred")
+    v = M.validation(_rolls(spark, sf), "data_source", "uid", "score", "sample_id", "pred", draws=_DRAWS)
     return v.where(F.col("metric").rlike("^maj")).select("data_source", "metric", r4("value").alias("value"))
 
 
@@ -74,16 +84,29 @@ def d20(spark: SparkSession, sf: str) -> DataFrame:
     return M.reduced(_rolls(spark, sf).select(name.alias("name"), F.col("score").alias("value"))).select("name", r6("value").alias("value"))
 
 
+def _three(name: str, x: str, where: str = "") -> str:
+    of = f" FILTER (WHERE {where})" if where else ""
+    return ", ".join(f"round(CAST({f}({x}){of} AS DOUBLE), 6) + 0.0 AS {name}_{tail}" for f, tail in (("avg", "mean"), ("max", "max"), ("min", "min")))
+
+
+_BATCH = "SELECT * REPLACE (resp_len - 1 AS resp_len), score - 0.1 * resp_len AS reward, 1 + sample_id % 40 AS prompt_len, 1 + sample_id % 6 AS turns, sample_id % 3 AS tools FROM rollouts"
+
+
+def _batch(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("sample_id")
+    return _rolls(spark, sf).withColumns({"reward": F.col("score") - 0.1 * F.col("resp_len"), "prompt_len": 1 + k % 40, "turns": 1 + k % 6, "tools": k % 3, "resp_len": F.col("resp_len") - 1})
+
+
 @query(
     "d13",
-    """SELECT step, round(avg(score) FILTER (WHERE resp_len > 0), 6) + 0.0 AS score_mean, round(max(score) FILTER (WHERE resp_len > 0), 6) + 0.0 AS score_max, round(min(score) FILTER (WHERE resp_len > 0), 6) + 0.0 AS score_min,
-round(avg(resp_len), 6) + 0.0 AS length_mean, round(CAST(max(resp_len) AS DOUBLE), 6) + 0.0 AS length_max, round(CAST(min(resp_len) AS DOUBLE), 6) + 0.0 AS length_min,
-round(avg(CASE WHEN resp_len = 96 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS clip_ratio, round(avg(CASE WHEN resp_len > 0 THEN 0.0 ELSE 1.0 END), 6) + 0.0 AS aborted_ratio
-FROM (SELECT * REPLACE (resp_len - 1 AS resp_len) FROM rollouts) t GROUP BY step""",
+    f"""SELECT step, {_three('score', 'score', 'resp_len > 0')}, {_three('reward', 'reward', 'resp_len > 0')}, {_three('length', 'resp_len')}, {_three('alive_length', 'resp_len', 'resp_len > 0')},
+round(avg(CASE WHEN resp_len = 96 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS clip_ratio, round(avg(CASE WHEN resp_len = 96 THEN 1.0 ELSE 0.0 END) FILTER (WHERE resp_len > 0), 6) + 0.0 AS alive_clip_ratio, round(avg(CASE WHEN resp_len > 0 THEN 0.0 ELSE 1.0 END), 6) + 0.0 AS aborted_ratio,
+{_three('prompt', 'prompt_len')}, round(avg(CASE WHEN prompt_len = 40 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS prompt_clip_ratio, {_three('turns', 'turns')}, {_three('tools', 'tools')} FROM ({_BATCH}) t GROUP BY step""",
     R,
 )
 def d13(spark: SparkSession, sf: str) -> DataFrame:
-    m = M.data_metrics(_rolls(spark, sf).withColumn("resp_len", F.col("resp_len") - 1), 96, ["step"])
+    """Figures of rows by step; those of tokens are d13_tokens."""
+    m = M.data_metrics(_batch(spark, sf), 96, 40, ["step"])
     return m.select("step", *(r6(c).alias(c) for c in m.columns[1:]))
 
 
@@ -106,14 +129,7 @@ def d15(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "d21",
-    """WITH x AS (SELECT data_source, CASE WHEN data_source = 'openai/gsm8k' THEN CASE WHEN regexp_extract(solution, '#### (-?[0-9.,]+)', 1) = ground_truth THEN 1.0 ELSE 0.0 END
-  WHEN data_source = 'searchR1_nq' THEN CASE WHEN trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(solution, '<answer>(.*)</answer>', 1)), '[.]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) = ground_truth THEN 1.0 ELSE 0.0 END
-  ELSE CASE WHEN regexp_extract(solution, 'Answer: *(.*)$', 1) = ground_truth THEN 1.0 ELSE -1.0 END END AS score FROM responses)
-SELECT data_source, round(avg(score), 6) + 0.0 AS score FROM x GROUP BY 1""",
-    ("responses",),
-)
+@query("d21", f"SELECT data_source, round(avg(CAST({_SCORED} AS DOUBLE)), 6) + 0.0 AS score FROM responses GROUP BY 1", ("responses",))
 def d21(spark: SparkSession, sf: str) -> DataFrame:
     from colloquy.operators.scoring import score_by_source
 
@@ -172,16 +188,15 @@ def _acc():
 @query(
     "c15",
     f"""WITH a AS (SELECT uid, sample_id, score, {_ACC} AS acc FROM rollouts),
-p AS (SELECT a.uid, abs(a.acc - b.acc) AS gap, CASE WHEN (a.score > b.score) = (a.acc > b.acc) THEN 1.0 ELSE 0.0 END AS ok FROM a JOIN a b ON a.uid = b.uid AND a.sample_id < b.sample_id)
-SELECT uid, round(CASE WHEN sum(gap) = 0 THEN 0.5 ELSE sum(ok * gap) / sum(gap) END, 6) + 0.0 AS accuracy FROM p GROUP BY uid""",
+p AS (SELECT a.uid, abs(a.acc - b.acc) AS gap, CASE WHEN (a.score > b.score) = (a.acc > b.acc) THEN 1.0 ELSE 0.0 END AS ok FROM a JOIN a b ON a.uid = b.uid AND a.sample_id < b.sample_id),
+s AS (SELECT uid, sum(gap) AS g, sum(ok * gap) AS k FROM p GROUP BY uid)
+SELECT u.uid, round(CASE WHEN coalesce(g, 0) = 0 THEN 0.5 ELSE k / g END, 6) + 0.0 AS accuracy FROM (SELECT DISTINCT uid FROM rollouts) u LEFT JOIN s ON s.uid = u.uid""",
     R,
 )
 def c15(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of a group, counted without making them."""
     a = _rolls(spark, sf).select("uid", "sample_id", "score", _acc().alias("acc"))
-    b = a.select("uid", *(F.col(c).alias(f"{c}_2") for c in ("sample_id", "score", "acc")))
-    p = a.join(b, "uid").where("sample_id < sample_id_2")
-    gap, ok = F.abs(F.col("acc") - F.col("acc_2")), ((F.col("score") > F.col("score_2")) == (F.col("acc") > F.col("acc_2"))).cast("double")
-    return p.groupBy("uid").agg(r6(F.when(F.sum(gap) == 0, 0.5).otherwise(F.sum(ok * gap) / F.nullif(F.sum(gap), F.lit(0.0)))).alias("accuracy"))
+    return M.pair_accuracy(a, "uid", "sample_id", "score", "acc").select("uid", r6("accuracy").alias("accuracy"))
 
 
 @query(
@@ -240,13 +255,16 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d24",
-    """WITH r AS (SELECT step, resp_len, row_number() OVER (PARTITION BY step ORDER BY sample_id) - 1 AS k, count(*) OVER (PARTITION BY step) AS n FROM rollouts),
-c AS (SELECT step, k * 4 // n AS part, sum(resp_len) AS tokens FROM r GROUP BY 1, 2)
-SELECT step, CAST(min(tokens) AS BIGINT) AS least, CAST(max(tokens) AS BIGINT) AS most, CAST(max(tokens) - min(tokens) AS BIGINT) AS gap FROM c GROUP BY step""",
+    """WITH r AS (SELECT step, resp_len, row_number() OVER (PARTITION BY step ORDER BY sample_id) - 1 AS k, row_number() OVER (PARTITION BY step ORDER BY resp_len DESC, sample_id) - 1 AS q, count(*) OVER (PARTITION BY step) AS n FROM rollouts),
+c AS (SELECT step, k * 4 // n AS part, sum(resp_len) AS tokens FROM r GROUP BY 1, 2),
+b AS (SELECT step, CASE WHEN (q // 4) % 2 = 0 THEN q % 4 ELSE 3 - q % 4 END AS part, sum(resp_len) AS tokens FROM r GROUP BY 1, 2)
+SELECT c.step, CAST(least AS BIGINT) AS least, CAST(most AS BIGINT) AS most, CAST(most - least AS BIGINT) AS gap, CAST(balanced_least AS BIGINT) AS balanced_least, CAST(balanced_most AS BIGINT) AS balanced_most, round(mean, 6) + 0.0 AS mean
+FROM (SELECT step, min(tokens) AS least, max(tokens) AS most FROM c GROUP BY 1) c JOIN (SELECT step, min(tokens) AS balanced_least, max(tokens) AS balanced_most, sum(tokens) / 4 AS mean FROM b GROUP BY 1) b ON b.step = c.step""",
     R,
 )
 def d24(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("step")
-    r = _rolls(spark, sf).select("step", "resp_len", (F.row_number().over(w.orderBy("sample_id")) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    c = r.groupBy("step", F.floor(F.col("k") * 4 / F.col("n")).alias("part")).agg(F.sum("resp_len").alias("tokens"))
-    return c.groupBy("step").agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), (F.max("tokens") - F.min("tokens")).alias("gap"))
+    """Before and after parts are balanced by length."""
+    d = M.imbalance(_rolls(spark, sf), "step", "sample_id", "resp_len", 4)
+    return d.select("step", "least", "most", "gap", "balanced_least", "balanced_most", r6("mean").alias("mean"))
+
+

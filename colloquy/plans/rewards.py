@@ -16,9 +16,14 @@ TK = ("episode_turns", "kg_edges")
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Diagnoses name the disease in half of the episodes."""
-    t = view(spark, sf, "episode_turns")
-    return t.withColumn("diagnosis", F.when(F.length("episode_id") % 2 == 0, F.col("disease")).otherwise(F.lit("something else")))
+    """Diagnoses name the disease in half of the episodes; some facts are unknown, some hold a further one, some are none of the graph's."""
+    t, k = view(spark, sf, "episode_turns"), F.col("turn_id")
+    fact = F.when(k % 11 == 10, F.lit("unknown")).when(k % 5 == 4, F.concat("fact", F.lit(" and finding 7 today"))).when(k % 7 == 6, F.concat(F.lit("odd "), k.cast("string"))).otherwise(F.col("fact"))
+    return t.withColumns({"diagnosis": F.when(F.length("episode_id") % 2 == 0, F.col("disease")).otherwise(F.lit("something else")), "fact": fact})
+
+
+def _initial(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "episode_turns").where("turn_id = 3").select("episode_id", "fact")
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,19 +53,32 @@ def e23(spark: SparkSession, sf: str) -> DataFrame:
     return W.final_flag(view(spark, sf, "episode_turns")).select("episode_id", "turn_id", "is_final")
 
 
-_I1 = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY episode_id, fact ORDER BY turn_id) = 1 AS is_new, turn_id = max(turn_id) OVER (PARTITION BY episode_id) AS is_final FROM episode_turns),
+#: What each turn's fact adds: itself if the disease has it, else the graph's symptoms whose words it holds, else the fact as it is.
+_ITEMS = """x AS (SELECT episode_id, disease, turn_id, action, CASE WHEN turn_id % 11 = 10 THEN 'unknown' WHEN turn_id % 5 = 4 THEN fact || ' and finding 7 today' WHEN turn_id % 7 = 6 THEN 'odd ' || CAST(turn_id AS VARCHAR) ELSE fact END AS fact,
+  turn_id = max(turn_id) OVER (PARTITION BY episode_id) AS is_final FROM episode_turns),
+own AS (SELECT x.*, k.symptom IS NOT NULL AS own FROM x LEFT JOIN kg_edges k ON k.disease = x.disease AND k.symptom = x.fact),
+hit AS (SELECT u.fact, s.symptom FROM (SELECT DISTINCT fact FROM own WHERE NOT own AND fact <> 'unknown') u JOIN (SELECT DISTINCT symptom FROM kg_edges) s ON contains(' ' || u.fact || ' ', ' ' || s.symptom || ' ')),
+item AS (SELECT episode_id, disease, turn_id, fact AS item, 'own' AS source FROM own WHERE own
+  UNION ALL SELECT o.episode_id, o.disease, o.turn_id, coalesce(hit.symptom, o.fact), CASE WHEN hit.symptom IS NULL THEN 'verbatim' ELSE 'other' END FROM own o LEFT JOIN hit ON hit.fact = o.fact WHERE NOT own AND o.fact <> 'unknown')"""
+
+_I1 = f"""WITH {_ITEMS},
 tot AS (SELECT disease, sum(weight) AS total FROM kg_edges GROUP BY 1),
-g AS (SELECT n.*, CASE WHEN is_new AND k.weight IS NOT NULL THEN k.weight / total ELSE 0.0 END AS delta FROM n LEFT JOIN kg_edges k ON k.disease = n.disease AND k.symptom = n.fact LEFT JOIN tot ON tot.disease = n.disease),
-c AS (SELECT *, sum(delta) OVER (PARTITION BY episode_id ORDER BY turn_id ROWS UNBOUNDED PRECEDING) AS coverage, sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id ORDER BY turn_id ROWS UNBOUNDED PRECEDING) AS n_new,
-        is_final AND action = 'diagnose' AND length(episode_id) % 2 = 0 AS is_correct FROM g),
+st AS (SELECT DISTINCT e.episode_id, e.disease, e.fact AS item FROM episode_turns e JOIN kg_edges k ON k.disease = e.disease AND k.symptom = e.fact WHERE e.turn_id = 3),
+fi AS (SELECT i.episode_id, i.disease, i.item, min(i.turn_id) AS t0 FROM item i LEFT JOIN st ON st.episode_id = i.episode_id AND st.item = i.item WHERE st.item IS NULL GROUP BY 1, 2, 3 UNION ALL SELECT episode_id, disease, item, -1 FROM st),
+g AS (SELECT fi.*, coalesce(k.weight / tot.total, 0) AS share FROM fi LEFT JOIN kg_edges k ON k.disease = fi.disease AND k.symptom = fi.item LEFT JOIN tot ON tot.disease = fi.disease),
+b AS (SELECT episode_id, t0, sum(share) AS delta, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT x.*, coalesce(b.delta, 0) AS delta, coalesce(s0.delta, 0) + sum(coalesce(b.delta, 0)) OVER w AS coverage, sum(coalesce(b.n, 0)) OVER w AS n_new, coalesce(f2.t0 < x.turn_id, false) AS again,
+        x.is_final AND x.action = 'diagnose' AND length(x.episode_id) % 2 = 0 AS is_correct
+      FROM x LEFT JOIN b ON b.episode_id = x.episode_id AND b.t0 = x.turn_id LEFT JOIN b s0 ON s0.episode_id = x.episode_id AND s0.t0 = -1 LEFT JOIN fi f2 ON f2.episode_id = x.episode_id AND f2.item = x.fact
+      WINDOW w AS (PARTITION BY x.episode_id ORDER BY x.turn_id ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT *, CASE WHEN NOT is_final THEN 0.0 WHEN action <> 'diagnose' THEN -2.0 WHEN is_correct THEN 1.0 ELSE 0.0 END AS r_diag, is_correct AND NOT (coverage >= 0.6 AND n_new >= 2) AS premature FROM c)
 """
 
 
-@query("i1", _I1 + "SELECT episode_id, turn_id, round(coverage, 6) + 0.0 AS coverage, round(0.4 * delta + r_diag, 6) + 0.0 AS reward, is_correct, premature, NOT is_new AND NOT is_final AS is_duplicate FROM r", TK)
+@query("i1", _I1 + "SELECT episode_id, turn_id, round(coverage, 6) + 0.0 AS coverage, CAST(n_new AS BIGINT) AS n_new, round(0.4 * delta + r_diag, 6) + 0.0 AS reward, is_correct, premature, again AND NOT is_final AS is_duplicate FROM r", TK)
 def i1(spark: SparkSession, sf: str) -> DataFrame:
-    d = W.graph_turn_rewards(_turns(spark, sf), _edges(spark, sf))
-    return d.select("episode_id", "turn_id", r6("coverage").alias("coverage"), r6("reward").alias("reward"), "is_correct", "premature", "is_duplicate")
+    d = W.graph_turn_rewards(_turns(spark, sf), _edges(spark, sf), _initial(spark, sf))
+    return d.select("episode_id", "turn_id", r6("coverage").alias("coverage"), "n_new", r6("reward").alias("reward"), "is_correct", "premature", "is_duplicate")
 
 
 @query(
@@ -71,7 +89,7 @@ round(max(coverage), 6) + 0.0 AS coverage, bool_or(is_correct) AS is_correct, bo
     TK,
 )
 def d8(spark: SparkSession, sf: str) -> DataFrame:
-    m = W.episode_metrics(W.graph_turn_rewards(_turns(spark, sf), _edges(spark, sf)))
+    m = W.episode_metrics(W.graph_turn_rewards(_turns(spark, sf), _edges(spark, sf), _initial(spark, sf)))
     return m.select("episode_id", r6("delta_sum").alias("delta_sum"), r6("valid_format_rate").alias("valid_format_rate"), r6("coverage").alias("coverage"), "is_correct", "premature", "turn_count")
 
 
@@ -111,14 +129,17 @@ def i3(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "d9",
     _I3
-    + """SELECT episode_id, round(sum(0.4 * delta + r_diag), 6) + 0.0 AS reward_sum, bool_or(action = 'answer') AS answered,
+    + """SELECT episode_id, count(*) AS turn_count, round(sum(0.4 * delta + r_diag), 6) + 0.0 AS reward_sum, round(avg(0.4 * delta + r_diag), 6) + 0.0 AS reward_mean, round(sum(delta), 6) + 0.0 AS delta_sum, round(arg_max(r_diag, turn_id), 6) + 0.0 AS r_diag,
+bool_or(is_final AND action = 'answer' AND answer = answer_idx) AS is_correct, bool_or(action = 'answer') AS answered, round(avg(CASE WHEN action IN ('ask', 'answer') THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS valid_format_rate,
+round(avg(CASE WHEN turn_id % 4 = 3 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS no_eos_rate,
 round(CAST(count(*) FILTER (WHERE is_unknown) AS DOUBLE) / greatest(count(*) FILTER (WHERE action = 'ask'), 1), 6) + 0.0 AS unknown_rate,
-round(CAST(count(*) FILTER (WHERE is_duplicate) AS DOUBLE) / greatest(count(*) FILTER (WHERE action = 'ask'), 1), 6) + 0.0 AS duplicate_rate FROM r GROUP BY 1""",
+round(CAST(count(*) FILTER (WHERE is_duplicate) AS DOUBLE) / greatest(count(*) FILTER (WHERE action = 'ask'), 1), 6) + 0.0 AS duplicate_rate,
+round(CAST(count(*) FILTER (WHERE action = 'ask' AND own AND k = 1) AS DOUBLE) / greatest(max(n_facts), 1), 6) + 0.0 AS fact_coverage FROM r GROUP BY 1""",
     TK,
 )
 def d9(spark: SparkSession, sf: str) -> DataFrame:
-    m = W.fact_metrics(_fact_rewards(spark, sf))
-    return m.select("episode_id", r6("reward_sum").alias("reward_sum"), "answered", r6("unknown_rate").alias("unknown_rate"), r6("duplicate_rate").alias("duplicate_rate"))
+    m = W.fact_metrics(_fact_rewards(spark, sf).withColumn("is_no_eos", F.col("turn_id") % 4 == 3))
+    return m.select(*(c if c in ("episode_id", "turn_count", "is_correct", "answered") else r6(c).alias(c) for c in m.columns))
 
 
 _I4 = """WITH t AS (SELECT sample_id, text, CASE CAST(sample_id % 5 AS INT) WHEN 0 THEN '<Normal>' WHEN 1 THEN '<Repeated>' WHEN 2 THEN '<Timeout>' WHEN 3 THEN '<HUMAN_Timeout>' END AS verifier, answer_idx FROM (
@@ -147,14 +168,25 @@ def i4(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "d10",
     _I4
-    + """SELECT sample_id % 100 AS batch, round(avg(CASE WHEN kind IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS incorrect_format_rate, round(avg(CASE WHEN kind = 'question' AND verifier = '<Repeated>' THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS repeated_rate,
-round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS correct_rate FROM r GROUP BY 1""",
+    + """, v AS (SELECT *, CAST(sample_id // 6 AS BIGINT) AS episode_id, sample_id = max(sample_id) OVER (PARTITION BY sample_id // 6) AS fin, sample_id % 7 <> 0 AS fine,
+  CASE CAST(sample_id % 6 AS INT) WHEN 0 THEN '<Normal>' WHEN 1 THEN '<Repeated>' WHEN 2 THEN '<Timeout>' WHEN 3 THEN '<HUMAN_Timeout>' WHEN 4 THEN '<Multiple>' END AS tag FROM k),
+e AS (SELECT *, CASE WHEN kind IS NULL THEN 'format' WHEN tag IS NULL THEN 'error' WHEN tag = '<Normal>' AND fine THEN 'effective' WHEN tag = '<Normal>' THEN 'reject' ELSE tag END AS what FROM v)
+SELECT episode_id, count(*) AS turn_count, """
+    + ", ".join(
+        f"round(CAST(count(*) FILTER (WHERE NOT fin AND what = '{what}') AS DOUBLE) / greatest(count(*) FILTER (WHERE NOT fin), 1), 6) + 0.0 AS {name}_rate"
+        for name, what in (("incorrect_format", "format"), ("multiple", "<Multiple>"), ("repeated", "<Repeated>"), ("verify_timeout", "<Timeout>"), ("effective", "effective"), ("human_reject", "reject"), ("human_timeout", "<HUMAN_Timeout>"), ("assistant_error", "error"))
+    )
+    + """, coalesce(bool_or(fin AND kind = 'final_answer'), false) AS is_valid, bool_or(fin AND coalesce(kind = 'final_answer' AND upper(trim(substr(tail, 14))) = answer_idx, false)) AS is_correct FROM e GROUP BY 1""",
     ("model_outputs",),
 )
 def d10(spark: SparkSession, sf: str) -> DataFrame:
-    share = lambda c: r6(F.avg(F.coalesce(c, F.lit(False)).cast("double")))
-    d = _verified(spark, sf).groupBy((F.col("sample_id") % 100).alias("batch"))
-    return d.agg(share(~F.col("valid")).alias("incorrect_format_rate"), share((F.col("kind") == "question") & (F.col("verifier") == "<Repeated>")).alias("repeated_rate"), share(F.col("is_correct")).alias("correct_rate"))
+    """Six turns an episode; every seventh patient refuses."""
+    m, k = view(spark, sf, "model_outputs"), F.col("sample_id")
+    text = F.when(k % 3 == 0, F.col("text")).when(k % 3 == 1, F.concat(F.lit("<think>y</think> Final Answer: "), "answer_idx")).otherwise(F.concat(F.lit("<think>z</think>Question: "), "text"))
+    tag = F.when(k % 6 == 0, "<Normal>").when(k % 6 == 1, "<Repeated>").when(k % 6 == 2, "<Timeout>").when(k % 6 == 3, "<HUMAN_Timeout>").when(k % 6 == 4, "<Multiple>")
+    d = m.select(F.floor(k / 6).alias("episode_id"), k.alias("turn_id"), text.alias("text"), tag.alias("verifier"), F.when(k % 7 != 0, "yes").alias("patient"), "answer_idx")
+    e = W.verifier_metrics(W.verifier_rewards(W.final_flag(d)))
+    return e.select(*(r6(c).alias(c) if c.endswith("_rate") else c for c in e.columns))
 
 
 _FACTS = "u AS (SELECT episode_id, concat('F', right(fact, 2)) AS fact_id, min(fact) AS text FROM episode_turns WHERE turn_id < 2 GROUP BY 1, 2)"
@@ -226,25 +258,17 @@ def c12(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("k", F.row_number().over(w)).where("k = 1").select("conv_id", "turn", "fact_id")
 
 
-@query(
-    "c2",
-    """SELECT t.episode_id, t.turn_id, CASE WHEN k.symptom IS NOT NULL THEN 'own' WHEN a.symptom IS NOT NULL THEN 'other' ELSE 'verbatim' END AS source FROM episode_turns t
-LEFT JOIN (SELECT * FROM kg_edges WHERE weight > 0.05) k ON k.disease = t.disease AND k.symptom = t.fact LEFT JOIN (SELECT DISTINCT symptom FROM kg_edges WHERE weight > 0.1) a ON a.symptom = t.fact""",
-    TK,
-)
+@query("c2", f"WITH {_ITEMS} SELECT episode_id, turn_id, item, source FROM item", TK)
 def c2(spark: SparkSession, sf: str) -> DataFrame:
-    """A fact counts as the disease's own symptom, else as one that the graph's dictionary finds in it, else verbatim."""
-    e = _edges(spark, sf)
-    t = view(spark, sf, "episode_turns")
-    own = e.where("weight > 0.05").select("disease", F.col("symptom").alias("fact"), F.lit("own").alias("a"))
-    any_ = e.where("weight > 0.1").select(F.col("symptom").alias("fact"), F.lit("other").alias("b")).distinct()
-    return t.join(own, ["disease", "fact"], "left").join(any_, "fact", "left").select("episode_id", "turn_id", F.coalesce("a", "b", F.lit("verbatim")).alias("source"))
+    """A fact counts as the disease's own symptom, else as those that the graph's dictionary finds in it, else verbatim."""
+    return W.collected(_turns(spark, sf), _edges(spark, sf)).select("episode_id", "turn_id", "item", "source")
 
 
 @query(
     "i2",
     """WITH t AS (SELECT *, turn_id = max(turn_id) OVER (PARTITION BY episode_id) AS is_final FROM episode_turns),
-f AS (SELECT t.episode_id, t.disease, t.fact, k.weight, min(t.turn_id) AS turn_id FROM t JOIN kg_edges k ON k.disease = t.disease AND k.symptom = t.fact WHERE t.turn_id % 3 <> 0 GROUP BY 1, 2, 3, 4),
+m AS (SELECT episode_id, disease, turn_id, fact FROM t WHERE turn_id % 3 <> 0 UNION ALL SELECT episode_id, disease, turn_id, 'finding 7' FROM t WHERE turn_id % 4 = 1 AND NOT (turn_id % 3 = 0 AND fact = 'finding 7')),
+f AS (SELECT m.episode_id, m.disease, m.fact, k.weight, min(m.turn_id) AS turn_id FROM m JOIN kg_edges k ON k.disease = m.disease AND k.symptom = m.fact GROUP BY 1, 2, 3, 4),
 s AS (SELECT disease, sum(weight) AS total FROM kg_edges GROUP BY 1),
 g AS (SELECT episode_id, turn_id, sum(weight / total) AS delta FROM f JOIN s ON s.disease = f.disease GROUP BY 1, 2)
 SELECT t.episode_id, t.turn_id, round(0.4 * coalesce(delta, 0) + CASE WHEN NOT is_final THEN 0 WHEN action <> 'diagnose' THEN -2.0 WHEN length(t.episode_id) % 2 = 0 THEN 1.0 ELSE 0.0 END, 6) + 0.0 AS reward
@@ -252,7 +276,11 @@ FROM t LEFT JOIN g ON g.episode_id = t.episode_id AND g.turn_id = t.turn_id""",
     TK,
 )
 def i2(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts out of text; every third turn denies its fact."""
-    t = _turns(spark, sf)
-    text = F.concat(F.when(F.col("turn_id") % 3 == 0, "he has no ").otherwise("he has "), "fact", F.lit(" today"))
-    return W.text_turn_rewards(t.withColumn("text", text), _edges(spark, sf)).select("episode_id", "turn_id", r6("reward").alias("reward"))
+    """Facts out of sentences of several forms; every third turn denies its fact, every fourth tells of a second one far from the denial."""
+    k = F.col("turn_id")
+    t = view(spark, sf, "episode_turns").withColumn("diagnosis", F.when(F.length("episode_id") % 2 == 0, F.col("disease")).otherwise(F.lit("something else")))
+    head = F.when(k % 3 == 0, "he has no ").when(k % 3 == 1, "he has had ").otherwise("since the day before yesterday there is ")
+    tail = F.when(k % 4 == 1, " but as he says himself all the time there is finding 7 too").when(k % 4 == 2, "").otherwise(" today")
+    return W.text_turn_rewards(t.withColumn("text", F.concat(head, "fact", tail)), _edges(spark, sf)).select("episode_id", "turn_id", r6("reward").alias("reward"))
+
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import r6
@@ -38,9 +38,24 @@ def b14(spark: SparkSession, sf: str) -> DataFrame:
     return S.band_sample(_rolls(spark, sf), "uid", "score", "resp_len", 30, 70, 90, 2.0).select("uid", "sample_id")
 
 
-@query("c16", None)
+@query("c16", "SELECT 1000 AS draws, 1000 AS answered, true AS inside, true AS heavier FROM (SELECT count(*) FROM rollouts) t", R)
 def c16(spark: SparkSession, sf: str) -> DataFrame:
-    """Draws by the hash of a number, so rows only; the test compares with a direct search."""
+    """What must hold of 1000 draws: each finds one row, whose weight is above 0, and the rows drawn weigh more than rows do on average."""
+    d = S.weights(_rolls(spark, sf).select("sample_id", "score"), "pow", 2.0)
+    got = S.resample(d, "sample_id", "weight", 1000, "5")
+    mean = F.broadcast(d.agg(F.avg("weight").alias("mean")))
+    g = got.crossJoin(mean).agg(F.count("*").cast("int").alias("draws"), F.count_distinct("draw").cast("int").alias("answered"), F.bool_and(F.col("weight") > 0).alias("inside"), (F.avg("weight") > F.max("mean")).alias("heavier"))
+    return g
+
+
+@query(
+    "c16_draws",
+    """WITH w AS (SELECT sample_id, power(abs(score), 2) AS w FROM rollouts), c AS (SELECT sample_id, w, sum(w) OVER (ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER () AS t FROM w),
+u AS (SELECT i AS draw, CAST(('0x' || substr(md5('5|' || CAST(i AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM range(1000) r(i))
+SELECT draw, sample_id FROM u JOIN c ON u.u >= (hi - w) / t AND u.u < hi / t""",
+    R,
+)
+def c16_draws(spark: SparkSession, sf: str) -> DataFrame:
     d = S.weights(_rolls(spark, sf).select("sample_id", "score"), "pow", 2.0)
     return S.resample(d, "sample_id", "weight", 1000, "5").select("draw", "sample_id")
 
@@ -109,9 +124,18 @@ def f15(spark: SparkSession, sf: str) -> DataFrame:
     return S.epoch_order(_rolls(spark, sf).select("sample_id"), "sample_id", 2, "2", 64).select("epoch", "sample_id", "place")
 
 
-@query("f13", None)
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps of 512 rows, as many as the table gives."""
+    return _rolls(spark, sf).withColumn("step", F.floor(F.col("sample_id") / 512))
+
+
+@query("f13", "SELECT CAST(sample_id // 512 AS BIGINT) AS step, count(*) AS n, CAST(sum(resp_len) AS BIGINT) AS total, true AS balanced FROM rollouts GROUP BY 1", R)
 def f13(spark: SparkSession, sf: str) -> DataFrame:
-    return S.balanced(_rolls(spark, sf), "step", "sample_id", "resp_len", 4)
+    """Four parts a step; they hold every row once, and their sums differ by less than the longest row."""
+    r = _steps(spark, sf)
+    parts = S.balanced(r, "step", "sample_id", "resp_len", 4).withColumnRenamed("row", "sample_id")
+    s = parts.hint("merge").join(r.select("step", "sample_id", "resp_len"), ["step", "sample_id"]).groupBy("step", "part").agg(F.count("*").alias("n"), F.sum("resp_len").alias("s"), F.max("resp_len").alias("longest"))
+    return s.groupBy("step").agg(F.sum("n").alias("n"), F.sum("s").alias("total"), (F.max("s") - F.min("s") <= F.max("longest")).alias("balanced"))
 
 
 @query(
@@ -124,6 +148,29 @@ def f13_serpentine(spark: SparkSession, sf: str) -> DataFrame:
     return S.serpentine(_rolls(spark, sf).select("sample_id", "resp_len"), "resp_len", "sample_id", 8).select("sample_id", "part")
 
 
-@query("f14", None)
+@query(
+    "f14",
+    """SELECT CAST(sample_id // 512 AS BIGINT) AS step, count(*) AS n, CAST(sum(resp_len) AS BIGINT) AS total, CAST(ceil(ceil(sum(resp_len) / 2048.0) / 2) * 2 AS BIGINT) AS batches, true AS within, true AS heavy_first, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS places FROM rollouts GROUP BY 1""",
+    R,
+)
 def f14(spark: SparkSession, sf: str) -> DataFrame:
-    return S.micro_batches(_rolls(spark, sf), "step", "sample_id", "resp_len", 2048)
+    """Batches a step, an even number: every row once, about equal sums, the heaviest first, and places that restore the order."""
+    r = _steps(spark, sf)
+    b = S.micro_batches(r, "step", "sample_id", "resp_len", 2048, divisor=2).withColumnRenamed("row", "sample_id")
+    d = b.hint("merge").join(r.select("step", "sample_id", "resp_len"), ["step", "sample_id"]).groupBy("step", "batch").agg(F.count("*").alias("n"), F.sum("resp_len").alias("s"), F.sum(F.col("resp_len") * F.col("resp_len")).alias("w"), F.sum("place").alias("p"))
+    later = F.lead("w").over(Window.partitionBy("step").orderBy("batch"))
+    d = d.withColumn("down", F.coalesce(later <= F.col("w"), F.lit(True)))
+    return d.groupBy("step").agg(F.sum("n").alias("n"), F.sum("s").alias("total"), F.count("*").alias("batches"), (F.max("s") <= 2048).alias("within"), F.bool_and("down").alias("heavy_first"), F.sum("p").alias("places"))
+
+
+@query("f15_sequential", "SELECT CAST(e AS INTEGER) AS epoch, sample_id, row_number() OVER (PARTITION BY e ORDER BY sample_id) - 1 AS place FROM rollouts, range(2) r(e)", R)
+def f15_sequential(spark: SparkSession, sf: str) -> DataFrame:
+    return S.epoch_order(_rolls(spark, sf).select("sample_id"), "sample_id", 2, "2", 64, by=[F.col("sample_id")]).select("epoch", "sample_id", "place")
+
+
+@query("f15_curriculum", "SELECT CAST(e AS INTEGER) AS epoch, sample_id, row_number() OVER (PARTITION BY e ORDER BY d, sample_id) - 1 AS place FROM (SELECT sample_id, round(avg(score) OVER (PARTITION BY uid), 6) AS d FROM rollouts) t, range(2) r(e)", R)
+def f15_curriculum(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts by their difficulty so far."""
+    r = _rolls(spark, sf)
+    d = r.select("uid", "sample_id").hint("merge").join(r.groupBy("uid").agg(F.round(F.avg("score"), 6).alias("difficulty")), "uid").drop("uid")
+    return S.epoch_order(d, "sample_id", 2, "2", 64, by=[F.col("difficulty"), F.col("sample_id")]).select("epoch", "sample_id", "place")

@@ -141,20 +141,19 @@ def h24(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("sample_id", F.concat_ws(" ", K.fit(F.col("ids"), 4, 9, side="left", cut="middle").cast("array<string>")).alias("ids"))
 
 
-@query(
-    "f9",
-    """WITH v AS (SELECT *, reward - 0.05 AS advantage FROM token_logs WHERE mask = 1), m AS (SELECT avg(advantage) AS a, avg(new_lp) AS l, greatest(1, CAST(floor(count(*) * 0.002) AS BIGINT)) AS k FROM v),
-c AS (SELECT sample_id, pos, round((advantage - a) * (new_lp - l), 9) AS cov, k FROM v, m)
-SELECT sample_id, pos FROM c QUALIFY row_number() OVER (ORDER BY cov DESC, sample_id, pos) <= k""",
-    L,
-)
+_COV = """WITH v AS (SELECT *, reward - 0.05 AS advantage, least(greatest(new_lp - old_lp, -20), 20) AS d FROM token_logs WHERE mask = 1),
+m AS (SELECT avg(advantage) AS a, avg(new_lp) AS l, greatest(1, CAST(floor(count(*) * 0.002) AS BIGINT)) AS k FROM v),
+c AS (SELECT sample_id, pos, round((advantage - a) * (new_lp - l), 9) AS cov, k, -advantage * greatest(least(exp(d), 1.2), 0.8) > -advantage * exp(d) AS clipped FROM v, m)"""
+
+
+@query("f9", _COV + " SELECT sample_id, pos FROM c QUALIFY row_number() OVER (ORDER BY cov DESC, sample_id, pos) <= k", L)
 def f9(spark: SparkSession, sf: str) -> DataFrame:
-    """The tokens of largest covariance: their number from the global count, their choice by a distributed order."""
-    from colloquy.operators.datasets import ranked
+    return K.kl_cov(_logs(spark, sf), 0.002).select("sample_id", "pos")
+
 
-    v = with_global(_logs(spark, sf).where("mask = 1"), a=F.avg("advantage"), l=F.avg("new_lp"), k=F.greatest(F.lit(1).cast("long"), F.floor(F.count("*") * 0.002)))
-    c = v.select("sample_id", "pos", F.round((F.col("advantage") - F.col("a")) * (F.col("new_lp") - F.col("l")), 9).alias("cov"), "k")
-    return ranked(c, [F.desc("cov"), F.col("sample_id"), F.col("pos")]).where(F.col("rank") < F.col("k")).select("sample_id", "pos")
+@query("f9_clip", _COV + " SELECT sample_id, pos FROM c WHERE cov > 0.001 AND cov < 0.01 AND NOT clipped QUALIFY row_number() OVER (ORDER BY md5('9|' || CAST(sample_id AS VARCHAR) || '|' || CAST(pos AS VARCHAR)), sample_id, pos) <= k", L)
+def f9_clip(spark: SparkSession, sf: str) -> DataFrame:
+    return K.clip_cov(_logs(spark, sf), 0.001, 0.01, 0.002).select("sample_id", "pos")
 
 
 @query("i7", "SELECT sample_id, round(least(-(resp_len - 60) / 36.0, 0), 6) + 0.0 AS penalty FROM rollouts", ("rollouts",))
@@ -222,3 +221,31 @@ SELECT round(0.5 * ({_mm('greatest(p1, p2)')}), 6) + 0.0 AS loss, round({_mm('CA
 def i12(spark: SparkSession, sf: str) -> DataFrame:
     d = K.diagnostics("value")(_logs(spark, sf).withColumn("pred", F.col("reward")), clip=0.02)
     return d.select(r6("loss").alias("loss"), r6("clip_fraction").alias("clip_fraction"))
+
+
+@query("i12_gpg", f"SELECT round({_mm('-new_lp * (reward - 0.05)')}, 6) + 0.0 AS loss FROM token_logs", L)
+def i12_gpg(spark: SparkSession, sf: str) -> DataFrame:
+    return K.diagnostics("gpg")(_logs(spark, sf)).select(r6("loss").alias("loss"))
+
+
+@query("d27_ids", "SELECT sample_id, count(*) FILTER (WHERE mask = 1 AND pos % 7 <> CASE WHEN reward > 0.05 THEN pos % 5 ELSE pos % 7 END) AS n_different FROM token_logs GROUP BY 1", L)
+def d27_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of two runs that part where the reward is high."""
+    t = _logs(spark, sf).withColumns({"a": F.col("pos") % 7, "b": F.when(F.col("reward") > 0.05, F.col("pos") % 5).otherwise(F.col("pos") % 7)})
+    return K.mismatches(t, "a", "b").select("sample_id", "n_different")
+
+
+@query(
+    "d13_tokens",
+    """SELECT uid, round(avg(reward - 0.05), 6) + 0.0 AS advantage_mean, round(max(reward - 0.05), 6) + 0.0 AS advantage_max, round(min(reward - 0.05), 6) + 0.0 AS advantage_min,
+round(avg(reward + value), 6) + 0.0 AS returns_mean, round(max(reward + value), 6) + 0.0 AS returns_max, round(min(reward + value), 6) + 0.0 AS returns_min,
+round(avg(value), 6) + 0.0 AS value_mean, round(max(value), 6) + 0.0 AS value_max, round(min(value), 6) + 0.0 AS value_min,
+round(1 - var_samp(reward + value - value) / (var_samp(reward + value) + 1e-5), 4) + 0.0 AS explained_variance FROM token_logs WHERE mask = 1 GROUP BY 1""",
+    L,
+)
+def d13_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    from colloquy.functions.numeric import r4
+    from colloquy.operators.metrics import token_metrics
+
+    m = token_metrics(_logs(spark, sf), ["uid"])
+    return m.select("uid", *((r4 if c == "explained_variance" else r6)(c).alias(c) for c in m.columns[1:]))

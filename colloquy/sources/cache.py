@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of this process only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of this process only for a local master where that is unset, as in tests."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-colloquy-"))
 
 
@@ -21,7 +23,16 @@ def cut(df: DataFrame) -> DataFrame:
     """df written once and read back."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._colloquy_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for tables that nothing reads any more."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._colloquy_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

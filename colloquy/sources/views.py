@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS: dict[str, str] = {
@@ -57,14 +60,17 @@ SELECT event_id AS sample_id,
 FROM events""",
     "responses": r"""
 SELECT p_partkey AS sample_id, CAST(p_size AS STRING) AS ground_truth,
-       CASE WHEN p_partkey % 3 = 0 THEN 'openai/gsm8k' WHEN p_partkey % 3 = 1 THEN 'searchR1_nq' ELSE 'math_dapo' END AS data_source,
-       CASE WHEN p_partkey % 3 = 0 THEN concat('so #### ', CAST(p_size + p_partkey % 2 AS STRING))
-            WHEN p_partkey % 3 = 1 THEN concat('<answer>The ', CAST(p_size + p_partkey % 2 AS STRING), '.</answer>')
-            ELSE concat('Answer: ', CAST(p_size + p_partkey % 2 AS STRING)) END AS solution
+       CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN 'openai/gsm8k' WHEN 1 THEN 'searchR1_nq' WHEN 2 THEN 'math_dapo' WHEN 3 THEN 'lighteval/MATH' ELSE 'hiyouga/geometry3k' END AS data_source,
+       CASE CAST(p_partkey % 5 AS INT)
+         WHEN 0 THEN concat('so #### ', CAST(p_size + p_partkey % 2 AS STRING))
+         WHEN 1 THEN concat('<answer>The ', CAST(p_size + p_partkey % 2 AS STRING), '.</answer>', CASE WHEN p_partkey % 3 = 0 THEN repeat('<answer></answer>', 11) ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat('<answer>The ', CAST(p_size + p_partkey % 2 AS STRING), '</answer>') ELSE '' END)
+         WHEN 2 THEN concat('Answer: ', CAST(p_size + p_partkey % 2 AS STRING))
+         WHEN 3 THEN concat('so ', chr(92), 'boxed{x = ', CAST(p_size + p_partkey % 2 AS STRING), chr(92), '%}')
+         ELSE concat(CASE WHEN p_partkey % 3 = 0 THEN 'so ' ELSE '<think>t</think>' END, chr(92), 'boxed{', CAST(p_size + p_partkey % 2 AS STRING), chr(92), 'text{ kg}}') END AS solution
 FROM part""",
     "qa_cases": r"""
 SELECT d.doc_id, d.source,
-       concat(substr(d.text, 1, 80), chr(10), 'Problem: ', substr(d.text, 81, 80), chr(10), 'Options: {"A": "x", "B": "y"}') AS user_content,
+       concat(substr(d.text, 1, CAST(floor(length(d.text) / 2.0) AS INT)), chr(10), 'Problem: ', substr(d.text, CAST(floor(length(d.text) / 2.0) AS INT) + 1), chr(10), 'Options: {"A": "x", "B": "y"}') AS user_content,
        CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS answer
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "dialogue": r"""
@@ -80,7 +86,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of VIEWS as a DataFrame over the tables of ``sf_dir``."""
-    for t in TABLES:
-        if t in VIEWS[name]:
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(VIEWS[name])
+    sql, own = VIEWS[name], hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    for t in TABLES:  # under names that no user's view has
+        sql, n = re.subn(rf"\b(FROM|JOIN) {t}\b", rf"\1 _colloquy_{own}_{t}", sql)
+        if n:
+            table(spark, sf_dir, t).createOrReplaceTempView(f"_colloquy_{own}_{t}")
+    return spark.sql(sql)

@@ -7,7 +7,7 @@ and buffers steps that come early.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from colloquy.functions.folds import scan
+
 ALPHA = 0.4
 
 
@@ -31,14 +33,13 @@ def run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 def ewma_fold(points: Column, alpha: float = ALPHA) -> Column:
     """array<struct<step, x>> in order -> array<struct<step, value>>: the first x seeds, NaN and null leave the value."""
-    zero = F.struct(F.lit(None).cast("double").alias("v"), F.array().cast("array<struct<step:bigint,value:double>>").alias("out"))
 
-    def step(a: Column, p: Column) -> Column:
+    def step(a: Column, p: Column) -> tuple[dict[str, Column], Column]:
         x = F.nanvl(p["x"], F.lit(None).cast("double"))
         v = F.when(x.isNull(), a["v"]).when(a["v"].isNull(), x).otherwise(alpha * x + (1 - alpha) * a["v"])
-        return F.struct(v.alias("v"), F.concat(a["out"], F.array(F.struct(p["step"].alias("step"), v.alias("value")))).alias("out"))
+        return {"v": v}, F.struct(p["step"].alias("step"), v.alias("value"))
 
-    return F.aggregate(points, zero, step, lambda a: a["out"])
+    return scan(points, {"v": F.lit(None).cast("double")}, step, "struct<step:bigint,value:double>")
 
 
 def ewma(df: DataFrame, name: str = "name", step: str = "step", x: str = "x", alpha: float = ALPHA) -> DataFrame:
@@ -47,39 +48,102 @@ def ewma(df: DataFrame, name: str = "name", step: str = "step", x: str = "x", al
     return df.groupBy(name).agg(p.alias("p")).select(name, F.explode(ewma_fold(F.col("p"), alpha)).alias("e")).select(name, "e.step", "e.value")
 
 
-def ewma_stream(stream: DataFrame, first_step: int = 0, alpha: float = ALPHA) -> DataFrame:
+def ewma_stream(stream: DataFrame, first_step: int = 0, alpha: float = ALPHA, max_wait: int = 256) -> DataFrame:
     """Stream form of :func:`ewma` on stream(name, step, x); steps that come early wait for the missing ones."""
 
-    def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        want, value, held = state.get if state.exists else (first_step, None, "{}")
+    def update(value: float | None, x: list[float | None]) -> float | None:
+        return value if x[0] is None else x[0] if value is None else alpha * x[0] + (1 - alpha) * value
+
+    return _stateful(stream, in_order(update, None, first_step, ["x"], max_wait), ["x"])
+
+
+def _next_coef(v, kl, n, target: float, horizon: float, limit: float):
+    return v * (1 + max(min(kl / target - 1, limit), -limit) * n / horizon)
+
+
+def adaptive_kl(points: Column, start: float, target: float, horizon: float, limit: float = 0.2) -> Column:
+    """array<struct<step, kl, n>> in order -> array<struct<step, coef>>: the coefficient after each step, moved by the clipped relative error."""
+
+    def step(a: Column, p: Column) -> tuple[dict[str, Column], Column]:
+        error = F.greatest(F.least(p["kl"] / target - 1, F.lit(limit)), F.lit(-limit))
+        v = a["v"] * (1 + error * p["n"] / horizon)
+        return {"v": v}, F.struct(p["step"].alias("step"), v.alias("coef"))
+
+    return scan(points, {"v": F.lit(start)}, step, "struct<step:bigint,coef:double>")
+
+
+def in_order(update: Callable[[Any, pd.Series], tuple[Any, Any]], start: Any, first_step: int, columns: list[str], max_wait: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    """A state function that gives (name, step, value) for each step of a key in order, whatever order they come in.
+
+    Steps that come early wait; when more than ``max_wait`` of them wait for a missing one, it is given
+    up, so the state is bounded and a lost step cannot stop a stream. Steps that come again are left out.
+    """
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        want, value, held = state.get if state.exists else (first_step, start, "{}")
         waiting = {int(k): v for k, v in json.loads(held).items()}
         for pdf in batches:
-            waiting.update({int(s): None if pd.isna(v) else float(v) for s, v in zip(pdf["step"], pdf["x"], strict=True)})
+            for row in pdf[["step", *columns]].itertuples(index=False):
+                if row.step >= want:
+                    waiting[int(row.step)] = [None if pd.isna(x) else float(x) for x in row[1:]]
         out = []
-        while want in waiting:
-            x = waiting.pop(want)
-            if x is not None:
-                value = x if value is None else alpha * x + (1 - alpha) * value
+        while waiting and (want in waiting or len(waiting) > max_wait):
+            want = want if want in waiting else min(waiting)
+            value = update(value, waiting.pop(want))
             out.append((key[0], want, value))
             want += 1
         state.update((want, value, json.dumps(waiting)))
         yield pd.DataFrame(out, columns=["name", "step", "value"])
 
-    return stream.select("name", F.col("step").cast("long").alias("step"), F.col("x").cast("double").alias("x")).groupBy("name").applyInPandasWithState(
-        update, "name string, step long, value double", "want long, value double, held string", "append", GroupStateTimeout.NoTimeout
-    )
+    return run
 
 
-def adaptive_kl(points: Column, start: float, target: float, horizon: float, limit: float = 0.2) -> Column:
-    """array<struct<step, kl, n>> in order -> array<struct<step, coef>>: the coefficient after each step, moved by the clipped relative error."""
-    zero = F.struct(F.lit(start).alias("v"), F.array().cast("array<struct<step:bigint,coef:double>>").alias("out"))
+def _stateful(stream: DataFrame, run: Callable[..., Iterator[pd.DataFrame]], columns: list[str]) -> DataFrame:
+    rows = stream.select("name", F.col("step").cast("long").alias("step"), *(F.col(c).cast("double").alias(c) for c in columns))
+    return rows.groupBy("name").applyInPandasWithState(run, "name string, step long, value double", "want long, value double, held string", "append", GroupStateTimeout.NoTimeout)
 
-    def step(a: Column, p: Column) -> Column:
-        error = F.greatest(F.least(p["kl"] / target - 1, F.lit(limit)), F.lit(-limit))
-        v = a["v"] * (1 + error * p["n"] / horizon)
-        return F.struct(v.alias("v"), F.concat(a["out"], F.array(F.struct(p["step"].alias("step"), v.alias("coef")))).alias("out"))
 
-    return F.aggregate(points, zero, step, lambda a: a["out"])
+def adaptive_kl_stream(stream: DataFrame, start: float, target: float, horizon: float, limit: float = 0.2, first_step: int = 0, max_wait: int = 256) -> DataFrame:
+    """Stream form of :func:`adaptive_kl` on stream(name, step, kl, n): name, step, value."""
+    update = lambda v, x: _next_coef(v, x[0], x[1], target, horizon, limit)
+    return _stateful(stream, in_order(update, start, first_step, ["kl", "n"], max_wait), ["kl", "n"])
+
+
+def gather_groups(stream: DataFrame, path: str, target: int, max_batches: int, group: str = "uid", step: str = "step", metric: str = "score") -> DataFrame:
+    """Each batch's groups whose metric varies (or of one row) are kept, with their first step, until there are ``target`` of them; the first by (step, group) count. More batches than ``max_batches`` without reaching it are an error.
+
+    A batch has its own folder, so that a batch tried again is not counted twice; a group that
+    comes in several batches counts at the first.
+    """
+    spark = stream.sparkSession
+
+    def have() -> DataFrame:
+        return spark.read.schema(f"{group} string, {step} long").parquet(f"{path}/rows").groupBy(group).agg(F.min(step).alias(step))
+
+    def put(df: DataFrame, batch: int) -> None:
+        if batch and have().count() >= target:
+            return
+        if batch >= max_batches:
+            raise RuntimeError(f"{max_batches} batches gave fewer than {target} groups")
+        g = df.groupBy(F.col(group).cast("string").alias(group)).agg(F.stddev_pop(metric).alias("s"), F.count("*").alias("n"), F.min(step).cast("long").alias(step))
+        g.where("s > 0 OR n = 1").select(group, step).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = have()
+    if got.count() < target:
+        raise RuntimeError(f"the stream ended with fewer than {target} groups")
+    return got.orderBy(step, group).limit(target)
+
+
+def difficulty_stream(stream: DataFrame, path: str, group: str = "uid", metric: str = "score") -> DataFrame:
+    """Curriculum: group, difficulty (mean of the metric over all batches so far), n. Each batch adds its sums in a folder of its own."""
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.groupBy(group).agg(F.sum(metric).alias("s"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    d = stream.sparkSession.read.schema(f"{group} string, s double, n long").parquet(f"{path}/rows")
+    return d.groupBy(group).agg((F.sum("s") / F.sum("n")).alias("difficulty"), F.sum("n").alias("n"))
 
 
 def grow(stream: DataFrame, path: str, keep: Column) -> None:
@@ -91,19 +155,35 @@ def grow(stream: DataFrame, path: str, keep: Column) -> None:
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def episodes(stream: DataFrame, max_turns: int, reward_final: float = 1.0, reward_timeout: float = -2.0) -> DataFrame:
-    """stream(episode_id, turn_id, action) -> episode_id, turns, outcome, once an episode: when a final action has come, or its turns have run out."""
+FINAL = ("diagnose", "answer", "final_answer")
+
+
+def episodes(stream: DataFrame, max_turns: int, reward_final: float = 1.0, reward_timeout: float = -2.0, idle_ms: int | None = None) -> DataFrame:
+    """stream(episode_id, turn_id, action) -> episode_id, turns, outcome, once an episode: at its final action, or when its turns have run out, or when nothing came for ``idle_ms``.
+
+    An episode that is done stays known for ``idle_ms``, so that late turns don't open it again; then its
+    state goes. Without ``idle_ms`` there is no timer, and no state goes: a run over what is there
+    now needs that, since timers keep it waiting.
+    """
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, done = state.get if state.exists else (0, False)
-        for pdf in batches:
-            if done:
-                continue
-            seen += len(pdf)
-            if pdf["action"].isin(["diagnose", "answer", "final_answer"]).any() or seen >= max_turns:
+        row = lambda outcome: pd.DataFrame([(key[0], seen, outcome)], columns=["episode_id", "turns", "outcome"])
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield row(reward_timeout)
+            return
+        turns = pd.concat(list(batches)).sort_values("turn_id")
+        for action in [] if done else turns["action"]:
+            seen += 1
+            if action in FINAL or seen >= max_turns:
                 done = True
-                final = pdf["action"].isin(["diagnose", "answer", "final_answer"]).any()
-                yield pd.DataFrame([(key[0], seen, reward_final if final else reward_timeout)], columns=["episode_id", "turns", "outcome"])
+                yield row(reward_final if action in FINAL else reward_timeout)
+                break
         state.update((seen, done))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return stream.groupBy("episode_id").applyInPandasWithState(update, "episode_id string, turns long, outcome double", "seen long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    schema, mode = "episode_id string, turns long, outcome double", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy("episode_id").applyInPandasWithState(update, schema, "seen long, done boolean", "append", mode)
