@@ -11,8 +11,8 @@ document int64 id (NO_ID for null) and uint32 ids; per level uint64 length, its
 the last the bitmap (bits from the low end) and the directory (uint32 a BLOCK of bits).
 
 Segments are rows of a table written by Spark in ascending doc_id order (nulls first,
-repeated ids by text), so any store that Spark writes will do. A null text has no ids
-but the end id.
+repeated ids by a hash of the text), so any store that Spark writes will do. A null text
+has no ids but the end id. The least long, NO_ID, stands for null and is no id of its own.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def write(docs: DataFrame, path: str, end: int) -> DataFrame:
             return pd.DataFrame([row], columns=["part", "seq", "first_doc", "n_docs", "n_tokens", "before", "payload"])
 
         for pdf in batches:
-            for d, x in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"].tolist(), end), strict=True):
+            for d, x in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"], end), strict=True):
                 held.append((d, x))
                 size += len(x) // 4
                 if size >= SEGMENT:
@@ -127,7 +127,10 @@ def write(docs: DataFrame, path: str, end: int) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash and the row's number spread rows that share an id, or have none, over several ranges
+    order = ["doc_id", "_hash", "_row"]
+    rows = rows.withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(width(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(ordered.mapInPandas(run, _SCHEMA))
 
 

@@ -1,88 +1,138 @@
-"""Texts to ids with the tokenizers library, remembering the ids of pieces that recur.
+"""Texts to ids with the tokenizers library, remembering the ids of parts that recur.
 
 A text is cut where the tokenizer cuts anyway, so the ids of the parts, one after the
-other, are the ids of the text; the library sees a part again only if it has
-gone unused while KEEP others were met.
+other, are the ids of the text. Cutting and the search among known parts are Arrow
+kernels over a slice of texts at a time; the library sees a part once, and again only
+if it went unused while KEEP others were met.
+
+The rules of cutting hold for the pre-tokenizers of byte_bpe_50k.json and
+word_bpe_49k.json; a file with other ones is refused.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-KEEP, SLICE = 300_000, 2_000_000
-_DOUBLE = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
-_LINES = re.compile(r"\n\s|\s\n")
+#: Parts remembered, characters of text worked on at a time, and new parts given to the library at a time.
+KEEP, SLICE, SOME = 1_000_000, 8_000_000, 20_000
+_W = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_DOUBLE = rf"{_W} {_W}|{_W} \z|\A {_W}|\A \z|\x00"
+_LINES = rf"\n{_W}|{_W}\n"
 #: A mark after a letter begins a piece for every pre-tokenizer here (U+0130 lower-cases to two characters, of which the last is no letter).
-_MARK = re.compile(r"[.,!?;:*#$%&|](?<=[A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ].)")
-_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARK = r"([A-Za-zÀ-ÖØ-öø-\x{12f}\x{131}-ɏ])([.,!?;:*#$%&|])"
+
+Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
 
 
-def before_spaces(text: str) -> list[str]:
+def before_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """For byte-level pre-tokenizers, which bind one space to what follows: cuts before single spaces, around single line ends and before marks; none where spaces or other white space meet."""
-    if "\0" in text:
-        return [text]
-    odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _BLANKS)
-    if odd and _DOUBLE.search(text):
-        return [text]
-    cut = _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ")
-    if "\n" in text and not ((odd or "\n\n" in text) and _LINES.search(text)):
-        cut = cut.replace("\n", "\0\n\0")
-    return cut.split("\0")
-
-
-def at_blanks(text: str) -> list[str]:
+    marked = pc.replace_substring(pc.replace_substring_regex(texts, _MARK, "\\1\0\\2"), " ", "\0 ")
+    apart = pc.replace_substring(marked, "\n", "\0\n\0")
+    cut = pc.if_else(pc.match_substring_regex(texts, _LINES), marked, apart)
+    return cut, pc.match_substring_regex(texts, _DOUBLE).to_numpy(zero_copy_only=False)
+
+
+def at_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """For pre-tokenizers that drop white space: cuts at spaces and line ends, and before marks."""
-    return _MARK.sub(" \\g<0>", text).replace("\n", " ").split(" ")
+    marked = pc.replace_substring_regex(texts, _MARK, "\\1\0\\2")
+    cut = pc.replace_substring(pc.replace_substring(marked, "\n", "\0"), " ", "\0")
+    return cut, pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+
+
+#: The pre-tokenizer parts that each rule of cutting is right for.
+FITS = {
+    "before_spaces": [("ByteLevel", True)],
+    "at_blanks": [("Split", "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), ("ByteLevel", False)],
+}
+
+
+def _fits(path: str, cut: Cut) -> bool:
+    with open(path, encoding="utf-8") as f:
+        pre = json.load(f)["pre_tokenizer"] or {}
+    parts = pre.get("pretokenizers", [pre])
+    return [(p.get("type"), p["pattern"]["Regex"] if p.get("type") == "Split" else p.get("use_regex")) for p in parts] == FITS[cut.__name__]
 
 
 class Encoder:
-    def __init__(self, path: str, cut: Callable[[str], list[str]]):
+    def __init__(self, path: str, cut: Cut):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        if not _fits(path, cut):
+            raise ValueError(f"{cut.__name__} isn't known to be right for the pre-tokenizer of {path}")
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self._forget()
 
-    def encode(self, texts: list[str], end: int | None = None) -> list[bytes]:
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def encode(self, texts: Iterable[str], end: int | None = None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then ``end`` if given."""
-        tail, at, out = b"" if end is None else end.to_bytes(4, "little"), 0, []
-        while at < len(texts):
-            cut, size = [], 0
-            while at < len(texts) and size < SLICE:
-                cut.append(self.cut(texts[at]))
-                size += len(texts[at])
-                at += 1
-            known = self._learn({c for chunks in cut for c in chunks})
-            out += [b"".join([known[c] for c in chunks]) + tail for chunks in cut]
+        tail, some, size, out = b"" if end is None else end.to_bytes(4, "little"), [], 0, []
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size >= SLICE:
+                out += self._slice(some, tail)
+                some, size = [], 0
+        return out + self._slice(some, tail) if some else out
+
+    def _slice(self, texts: list[str], tail: bytes) -> list[bytes]:
+        rows = pa.array(texts, pa.large_string())
+        cut, whole = self.cut(rows)
+        alone = np.flatnonzero(whole)
+        lists = pc.split_pattern(cut.filter(pa.array(~whole)), "\0")
+        parts = pa.concat_arrays([lists.flatten(), rows.take(pa.array(alone))])
+        n_parts = np.ones(len(texts), np.int64)
+        n_parts[~whole] = pc.list_value_length(lists).to_numpy()
+        coded = parts.dictionary_encode()
+        at = self._learn(coded.dictionary)[coded.indices.to_numpy()]
+        begin = np.cumsum(self.size) - self.size
+        n = self.size[at]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)].astype("<u4").tobytes()
+        # parts of the cut texts come first, then the texts that stay whole
+        order = np.append(np.flatnonzero(~whole), alone)
+        stop = np.append(0, ends)[np.cumsum(n_parts[order])] * 4
+        out: list[bytes] = [b""] * len(texts)
+        for i, a, b in zip(order.tolist(), np.append(0, stop[:-1]).tolist(), stop.tolist(), strict=True):
+            out[i] = ids[a:b] + tail
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of all ``chunks``: from the parts in use, else from those in use before, else from the library."""
-        import numpy as np
-
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Where each of the distinct ``parts`` stands among the known ones, after the library has seen the new ones."""
         if len(self.known) > KEEP:
-            self.before, self.known = self.known, {}
-        new = chunks.difference(self.known)
-        again = new.intersection(self.before)
-        self.known.update((c, self.before[c]) for c in again)
-        new = list(new.difference(again))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)  # each part by itself, one result for all
-            flat = np.array(got.ids, "<u4").tobytes()
-            ends = np.cumsum(4 * np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))).tolist()
-            self.known.update(zip(some, [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        return self.known
+            used = pc.index_in(self.known, value_set=parts).is_valid().to_numpy(zero_copy_only=False)
+            self.ids, self.known, self.size = self.ids[np.repeat(used, self.size)], self.known.filter(pa.array(used)), self.size[used]
+        parts = parts.cast(pa.string())
+        found = pc.index_in(parts, value_set=self.known)
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        at[missing] = np.arange(len(self.known), len(self.known) + int(missing.sum()))
+        new = parts.filter(pa.array(missing))
+        ids, sizes = [self.ids], [self.size]
+        for k in range(0, len(new), SOME):
+            words = new[k : k + SOME].to_pylist()
+            got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)  # each part by itself, one result for all
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)))
+        self.known = pa.concat_arrays([self.known, new])
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        return at
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, cut: Callable[[str], list[str]]) -> Encoder:
+def encoder(path: str, cut: Cut) -> Encoder:
     """One a Python worker and vocabulary."""
     key = (path, cut.__name__)
     if key not in _encoders:
