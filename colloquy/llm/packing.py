@@ -1,14 +1,18 @@
 """Sequences of at most LENGTH ids, filled with lexically near documents.
 
-The corpus is dealt into shards, each a bounded run of a task's rows. A shard has an
-inverted index from token to documents with BM25 weights. A sequence starts with a seed,
+BM25's statistics cover all documents: how many hold each token, and their mean length.
+Each document is keyed by its KEYS heaviest tokens, and Spark deals the documents by the
+order of these keys, so that documents about the same things meet wherever they were in
+the input; a hash spreads those of equal keys over tasks. A shard is a bounded run of that
+order with an inverted index from token to documents. A sequence starts with a seed,
 the document that the last sequence cut (its rest) or else the next unused one; while
-it has room, the seed's most distinctive tokens are looked up, and the unused documents
-that score best follow. Documents are cut where a sequence is full, so only a shard's
-last ids could need padding; they go to sequences of falling powers of two, which need none.
+it has room, all of the seed's tokens are looked up, and the unused documents that score
+best follow, ties to the earlier. Documents are cut where a sequence is full, so only a
+shard's last ids could need padding; they go to sequences of falling powers of two, which
+need none.
 
-Sequence ids are unique and depend on the row order of the input's partitions alone.
-Null texts have the end id only; repeated rows are packed once each.
+Sequence ids are unique. Null texts have the end id only; repeated rows are packed once
+each; a null doc_id stays null.
 """
 
 from __future__ import annotations
@@ -22,38 +26,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import discard, materialize, opened, sealed, width
 from colloquy.llm.vocab import at_blanks, encoder
 
 LENGTH, SHARD_DOCS, SHARD_IDS = 2048, 2048, 8 << 20
-K1, B, QUERY = 1.2, 0.75, 24
+K1, B, KEYS = 1.2, 0.75, 3
+
+
+class Statistics:
+    """Documents, mean length, and for each token how many documents hold it. As long as the vocabulary, whatever the corpus."""
+
+    def __init__(self, docs: int, ids: int, holds: np.ndarray):
+        self.mean, self.holds = ids / max(docs, 1), holds
+        self.idf = np.log1p((docs - holds + 0.5) / (holds + 0.5))
+
+    def weight(self, token: np.ndarray, tf: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return self.idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+
+def statistics(coded: DataFrame, vocabulary: int, dtype: str) -> Statistics:
+    """Over all rows of coded(ids); a row a task and token is summed by Spark, a row a token comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(vocabulary + 2, np.int64)
+        for pdf in batches:
+            for raw in pdf["ids"]:
+                ids = np.frombuffer(raw, dtype)
+                n[distinct(ids)[0]] += 1
+                n[-2:] += 1, len(ids)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"token": at, "n": n[at]})
+
+    got = coded.select("ids").mapInPandas(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(vocabulary + 2, np.int64)
+    n[got["token"]] = got["n"]
+    return Statistics(int(n[-2]), int(n[-1]), n[:-2])
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each occurs."""
+    s = np.sort(ids, kind="stable")  # a radix sort for 16 bits
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    return s[first].astype(np.int64), np.diff(np.append(first, len(s)))
+
+
+def heaviest(ids: np.ndarray, stats: Statistics) -> list[int]:
+    """The KEYS tokens of largest weight that another document holds too, -1 where there are fewer."""
+    token, tf = distinct(ids)
+    shared = stats.holds[token] > 1
+    token, w = token[shared], stats.weight(token[shared], tf[shared], len(ids))
+    order = np.lexsort((token, -w))[:KEYS] if len(w) <= 64 else np.argpartition(-w, KEYS)[:KEYS]
+    best = token[order][np.lexsort((token[order], -w[order]))].tolist()
+    return best + [-1] * (KEYS - len(best))
 
 
 class Index:
-    """BM25 over the documents of one shard; tokens in one document only find nothing and are left out."""
+    """BM25 over the documents of one shard; tokens that one of them alone holds find nothing and are left out."""
 
-    def __init__(self, ids: list[np.ndarray]):
+    def __init__(self, ids: list[np.ndarray], stats: Statistics):
         size = np.array([len(x) for x in ids])
         doc = np.repeat(np.arange(len(ids)), size)
         key, tf = np.unique(np.concatenate(ids).astype(np.int64) * len(ids) + doc, return_counts=True)
         term, self.doc = key // len(ids), key % len(ids)
-        first = np.flatnonzero(np.diff(term, prepend=-1))
-        df = np.diff(np.append(first, len(term)))
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / size.mean())
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.begin, self.df = first, df
-        of = np.repeat(np.arange(len(first)), df)
-        # each document's QUERY tokens of highest weight among those that other documents have
-        shared = np.flatnonzero(np.repeat(df > 1, df))
-        order = shared[np.lexsort((of[shared], -self.weight[shared], self.doc[shared]))]
-        d = self.doc[order]
-        place = np.arange(len(d)) - np.searchsorted(d, d)
-        order, d = order[place < QUERY], d[place < QUERY]
-        cuts = np.searchsorted(d, np.arange(1, len(ids)))
-        self.query = np.split(of[order], cuts)
+        self.begin = np.flatnonzero(np.diff(term, prepend=-1))
+        self.df = np.diff(np.append(self.begin, len(term)))
+        self.weight = stats.weight(term, tf, size[self.doc])
+        shared = np.flatnonzero(np.repeat(self.df > 1, self.df))
+        of = np.repeat(np.arange(len(self.begin)), self.df)[shared]
+        order = np.argsort(self.doc[shared], kind="stable")
+        self.query = np.split(of[order], np.searchsorted(self.doc[shared][order], np.arange(1, len(ids))))
 
     def near(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents by score, best first, ties to the earlier."""
+        """Unused documents by score for all tokens of the seed, best first, ties to the earlier."""
         terms = self.query[seed]
         if not len(terms):
             return []
@@ -66,9 +110,9 @@ class Index:
         return hit[np.argsort(-score[hit], kind="stable")].tolist()
 
 
-def plan(ids: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+def plan(ids: list[np.ndarray], stats: Statistics) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece of a shard."""
-    index, used = Index(ids), np.zeros(len(ids), bool)
+    index, used = Index(ids, stats), np.zeros(len(ids), bool)
     queue, left = [], sum(len(x) for x in ids)
     unused = iter(range(len(ids)))
     seq = offset = 0
@@ -96,32 +140,47 @@ def plan(ids: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
 
 def packed(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    vocabulary = max(encoder(path, at_blanks).tokenizer.get_vocab_size(), end + 1)
+    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, at_blanks)
+        for pdf in batches:
+            ids = [np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in enc.encode(pdf["text"], end)]
+            yield pdf[["doc_id", "no_id"]].assign(ids=ids)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(keys=[heaviest(np.frombuffer(x, dtype), model.value) for x in pdf["ids"]])
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 40
-        held: list[tuple[object, bytes]] = []
+        held: list[tuple[int, bool, np.ndarray]] = []
         size = 0
 
         def flush() -> pd.DataFrame:
             nonlocal first, held, size
             rows = []
-            for doc, start, n, seq, offset in plan([np.frombuffer(x, "<u4") for _, x in held]):
-                d, x = held[doc]
-                rows.append((d, start, n, zlib.crc32(x[4 * start : 4 * (start + n)]), len(x) // 4, first + seq, offset))
-            first, held, size = rows[-1][5] + 1, [], 0
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            return out.astype({"doc_id": "Int64"})
+            for at, start, n, seq, offset in plan([x for _, _, x in held], model.value):
+                doc, no_id, x = held[at]
+                rows.append((doc, no_id, start, n, zlib.crc32(x[start : start + n].astype("<u4").tobytes()), len(x), first + seq, offset))
+            first, held, size = rows[-1][6] + 1, [], 0
+            return pd.DataFrame(rows, columns=["doc_id", "no_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for pdf in batches:
-            docs_ = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-            for d, x in zip(docs_, enc.encode(pdf["text"].tolist(), end), strict=True):
-                held.append((d, x))
-                size += len(x) // 4
+            for doc, no_id, raw in zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist(), pdf["ids"], strict=True):
+                held.append((doc, no_id, np.frombuffer(raw, dtype)))
+                size += len(held[-1][2])
                 if len(held) >= SHARD_DOCS or size >= SHARD_IDS:
                     yield flush()
         if held:
             yield flush()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    coded = materialize(sealed(docs).mapInPandas(encode, "doc_id long, no_id boolean, ids binary"))
+    model = docs.sparkSession.sparkContext.broadcast(statistics(coded, vocabulary, dtype))
+    rows = materialize(coded.mapInPandas(keyed, "doc_id long, no_id boolean, ids binary, keys array<int>"))
+    discard(coded)
+    order = [*(F.col("keys")[k] for k in range(KEYS)), F.xxhash64("doc_id", "ids"), F.col("doc_id")]
+    dealt = rows.repartitionByRange(width(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "no_id", "ids")
+    schema = "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return opened(dealt.mapInPandas(pack, schema))
