@@ -25,7 +25,8 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from colloquy.llm.common import opened, sealed
 
 #: Words kept in each of two generations, and characters of text worked on at a time.
 KEEP, SLICE = 300_000, 4_000_000
@@ -139,6 +140,10 @@ class Encoder:
     """Texts to ids, with the words met before."""
 
     def __init__(self, path: str, pattern: str):
+        # cutting at single spaces is right for patterns that bind one space to what follows it
+        probe = "a b. c's 1 é,  x"
+        if regex.findall(pattern, probe) != [w for c in re.split("(?<=[^ ])(?= [^ ])", probe) for w in regex.findall(pattern, c)]:
+            raise ValueError("the pattern doesn't cut before single spaces")
         self.ranks, self.words = Ranks(path), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -198,9 +203,9 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         enc = encoder(path, pattern)
         for pdf in batches:
             ids = enc.encode(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "decoded": [enc.ranks.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids]})
+            yield pdf[["doc_id", "no_id"]].assign(ids=ids, decoded=[enc.ranks.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    return opened(sealed(docs).mapInPandas(run, "doc_id long, no_id boolean, ids binary, decoded binary"))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -214,6 +219,6 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 back = enc.ranks.decode(np.frombuffer(x, "<u4").astype(np.int64))
                 out.append((len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(back).hexdigest()))
             n, ids, back = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back})
+            yield pdf[["doc_id", "no_id"]].assign(n_tokens=n, ids_sha256=ids, decoded_sha256=back)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return opened(sealed(docs).mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string"))
