@@ -1,31 +1,37 @@
 """URL verdicts: host and path rules, else the log-likelihood ratio of two character models.
 
-Both models are variable-order Markov models over the bytes of host and path: an order-k
+Both models are variable-order Markov models over the characters of host and path: an order-k
 estimate is smoothed by the order below it, p_k = (n(ctx, c) + BETA * p_{k-1}) / (n(ctx) + BETA).
-They learn from every URL that a rule judges. Counts are kept in SLOTS hashed cells an
-order and class, so the model that goes to all tasks has a fixed size however long the
-input. A fifth of the judged URLs (by a hash of the url) stays out of the counts that calibrate
+They learn from every URL that a rule judges, with exact counts in Spark tables that grow
+with the input. A window is a character with the ORDER before it. Counts of an order are
+sums over the windows that end alike, and estimates go up order by order: a join on the
+suffix, which as many grams share as the alphabet has characters. A URL's score is the mean
+of its windows' log ratios, summed as integers, so that no order of rows changes it.
+
+A fifth of the judged URLs (by a hash of host and path) stays out of the counts that calibrate
 the cut: it is where balanced accuracy is best on that fifth.
 
 Null urls and urls without ``://`` have an empty host and path; they fit no rule and
-score 0. Repeated rows give repeated results; extra columns are ignored.
+score 0. Repeated rows give repeated results; extra columns are ignored. Repeated urls
+count as often as they occur.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower
+from colloquy.llm.common import ascii_lower, discard, materialize
 
 #: rule -> verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-ORDER, SLOTS, BETA, FOLDS, BINS, SPAN = 5, 1 << 18, 2.0, 5, 4096, 8.0
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+ORDER, BETA, FOLDS, BINS, SPAN = 5, 2.0, 5, 4096, 8.0
+#: Symbols before a text and at its end, the chance of a symbol below order 0, and the unit of summed log ratios.
+START, STOP, FLOOR, UNIT = "\x01", "\x03", 1 / 256, float(1 << 32)
+#: Keys that hold more than this share of all rows are joined by broadcast; there are at most 1 / HOT of them.
+HOT = 1e-4
+_COUNTS = ("a", "r", "pa", "pr")  # accepted, rejected; the same without the held-out fold
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -54,73 +60,70 @@ def judged(pages: DataFrame) -> DataFrame:
     return df.withColumn("by_rule", F.when(F.col("rule").isNotNull(), verdict))
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Offsets of each text's first symbol, and for each order the cells of contexts and of context with symbol."""
-    raw = [b"\x00" * ORDER + t.encode() + b"\x03" for t in texts]
-    size = np.array([len(r) for r in raw])
-    b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
-    begins = np.cumsum(size) - size
-    real = np.ones(len(b), bool)
-    real[(begins[:, None] + np.arange(ORDER)).ravel()] = False
-    at = np.flatnonzero(real)
-    ctx, cells = np.zeros(len(at), np.uint64), []
-    for k in range(ORDER + 1):
-        if k:
-            ctx = (ctx ^ b[at - k]) * _MIX + np.uint64(k)
-            ctx ^= ctx >> np.uint64(29)
-        gram = (ctx ^ (b[at] << np.uint64(20))) * _MIX
-        cells.append((((ctx * _MIX) >> np.uint64(40)) % SLOTS, (gram >> np.uint64(40)) % SLOTS))
-    return np.cumsum(size - ORDER) - (size - ORDER), [(c.astype(np.int64), g.astype(np.int64)) for c, g in cells]
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    n = np.zeros((2, 2, ORDER + 1, SLOTS), np.int64)  # class, (context, gram), order
-    for pdf in batches:
-        for k, part in pdf.groupby("accepted"):
-            for order, pair in enumerate(_grams(part["s"].tolist())[1]):
-                for which, cell in enumerate(pair):
-                    n[int(k), which, order] += np.bincount(cell, minlength=SLOTS)
-    at = np.flatnonzero(n)
-    yield pd.DataFrame({"cell": at, "n": n.ravel()[at]})
-
-
-def train(labelled: DataFrame) -> np.ndarray:
-    """Counts over all rows of ``labelled(s, accepted)``; at most 4 * (ORDER + 1) * SLOTS cells come to the driver."""
-    got = labelled.select("s", F.col("accepted").cast("int").alias("accepted")).mapInPandas(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(4 * (ORDER + 1) * SLOTS, np.float32)
-    n[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
-    return n.reshape(2, 2, ORDER + 1, SLOTS)
-
-
-def log_ratio(texts: list[str], n: np.ndarray) -> np.ndarray:
-    """Mean over a text's symbols of log p(accepted) - log p(rejected); 0 for an empty text."""
-    if not texts:
-        return np.zeros(0)
-    begins, cells = _grams(texts)
-    p = [np.full(len(cells[0][0]), 1 / 256) for _ in range(2)]
-    for order, (ctx, gram) in enumerate(cells):
-        for k in range(2):
-            p[k] = (np.minimum(n[k, 1, order, gram], n[k, 0, order, ctx]) + BETA * p[k]) / (n[k, 0, order, ctx] + BETA)
-    ratio = np.log(p[1]) - np.log(p[0])
-    size = np.diff(np.append(begins, len(ratio)))
-    return np.where(size > 1, np.add.reduceat(ratio, begins) / size, 0.0)
-
-
-def scored(df: DataFrame, n: np.ndarray, on: str) -> DataFrame:
-    """df with score, the log ratio of column ``on``."""
-    model = df.sparkSession.sparkContext.broadcast(n)
-
-    @F.pandas_udf("double")
-    def score(s: pd.Series) -> pd.Series:
-        return pd.Series(log_ratio(s.tolist(), model.value))
-
-    return df.withColumn("score", score(on))
+def windows(texts: DataFrame, *keep: str) -> DataFrame:
+    """keep, w: each symbol of texts(s) with the ORDER before it, the end symbol included."""
+    chars = F.array_remove(F.split(F.concat(F.lit(START * ORDER), "s", F.lit(STOP)), ""), "")
+    d = texts.withColumn("_c", chars)  # referred to often, so that it is not evaluated anew for each symbol
+    at = F.sequence(F.lit(0), F.size("_c") - (ORDER + 1))
+    w = F.transform(at, lambda i: F.concat(*(F.get(F.col("_c"), i + k) for k in range(ORDER + 1))))
+    return d.select(*keep, F.explode(w).alias("w"))
+
+
+def learned(texts: DataFrame) -> DataFrame:
+    """texts(s, n, accepted, held) -> w, c, ratio, trial: each window, how often it occurs in texts, and its log ratio under all counts and without the held-out fold.
+
+    ``accepted`` is null where nothing is known; such texts give windows but no counts.
+    """
+    n, yes, no, part = F.col("n"), F.col("accepted"), ~F.col("accepted"), ~F.col("held")
+    counts = {"a": yes, "r": no, "pa": yes & part, "pr": no & part}
+    grams = windows(texts, "n", "accepted", "held").groupBy(F.col("w").alias("g"))
+    level = materialize(grams.agg(F.count("*").alias("c"), *(F.sum(F.when(v, n).otherwise(0)).alias(k) for k, v in counts.items())))
+    levels = [level]
+    for k in range(ORDER - 1, -1, -1):
+        levels.append(materialize(levels[-1].groupBy(F.right("g", F.lit(k + 1)).alias("g")).agg(*(F.sum(c).alias(c) for c in _COUNTS))))
+    below = None
+    for k, level in enumerate(reversed(levels)):
+        of = Window.partitionBy(F.substring("g", 1, k))  # the context; with no more grams than symbols
+        d = level.withColumns({f"all_{c}": F.sum(c).over(of) for c in _COUNTS})
+        if below is None:
+            d = d.withColumns({f"low_{c}": F.lit(FLOOR) for c in _COUNTS})
+        else:
+            d = d.withColumn("suffix", F.right("g", F.lit(k))).hint("merge").join(below, "suffix")
+        d = d.withColumns({f"est_{c}": (F.col(c) + BETA * F.col(f"low_{c}")) / (F.col(f"all_{c}") + BETA) for c in _COUNTS})
+        if k < ORDER:
+            below = d.select(F.col("g").alias("suffix"), *(F.col(f"est_{c}").alias(f"low_{c}") for c in _COUNTS))
+    unit = lambda a, r: F.round((F.ln(a) - F.ln(r)) * UNIT).cast("long")
+    out = materialize(d.select(F.col("g").alias("w"), "c", unit(F.col("est_a"), F.col("est_r")).alias("ratio"), unit(F.col("est_pa"), F.col("est_pr")).alias("trial")))
+    discard(*levels)
+    return out
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, n: str) -> DataFrame:
+    """The inner join of rows with values on ``key``, of which values has each once and with ``n``, its number of rows. The few that hold a share of HOT or more are broadcast, the rest is shuffled."""
+    total = values.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total * HOT
+    often = F.broadcast(values.where(hot).drop(n))
+    rest = rows.join(often.select(key), key, "left_anti").hint("merge").join(values.where(~hot).drop(n), key)
+    return rows.join(often, key).unionByName(rest)
+
+
+def scored(texts: DataFrame) -> DataFrame:
+    """texts(id, s, n, accepted, held) -> id, score, trial: the means over a text's symbols of log p(accepted) - log p(rejected); trial without the held-out fold. 0 for an empty text."""
+    model = learned(texts)
+    d = lookup(windows(texts.where("s <> ''"), "id"), model, "w", "c").groupBy("id")
+    mean = lambda c: F.sum(c) / F.count("*") / UNIT
+    found = d.agg(mean("ratio").alias("score"), mean("trial").alias("trial"))
+    zero = F.lit(0.0)
+    out = materialize(texts.select("id").hint("merge").join(found, "id", "left").select("id", F.coalesce("score", zero).alias("score"), F.coalesce("trial", zero).alias("trial")))
+    discard(model)
+    return out
 
 
 def cut(held: DataFrame) -> float:
-    """The score at or above which balanced accuracy over ``held(score, accepted)`` is best; BINS rows come to the driver."""
+    """The score at or above which balanced accuracy over ``held(score, accepted, n)`` is best; BINS rows come to the driver."""
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) * (BINS / (2 * SPAN)))))
-    got = held.groupBy(bin_.cast("int").alias("bin")).agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")).toPandas()
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    got = held.groupBy(bin_.cast("int").alias("bin")).agg(count(F.col("accepted")).alias("a"), count(~F.col("accepted")).alias("r")).toPandas()
     a, r = np.zeros(BINS + 1), np.zeros(BINS + 1)
     a[got["bin"]], r[got["bin"]] = got["a"], got["r"]
     if not a.sum() or not r.sum():
@@ -133,11 +136,13 @@ def cut(held: DataFrame) -> float:
 def filtered(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, score."""
     df = judged(pages).withColumn("s", F.concat("host", "path"))
-    labelled = df.where(F.col("by_rule").isNotNull()).select("s", (F.col("by_rule") == "allow").alias("accepted"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).alias("fold"))
-    part = train(labelled.where("fold <> 0"))
-    held = scored(labelled.where("fold = 0"), part, "s")
-    threshold = cut(held)
-    full = train(labelled)
-    out = scored(df, full, "s")
+    distinct = df.groupBy("s").agg(F.count("*").alias("n"), F.any_value(F.col("by_rule") == "allow").alias("accepted"))  # host and path decide the rule
+    held = F.pmod(F.xxhash64("s"), F.lit(FOLDS)) == 0
+    texts = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5("s")).alias("key"), "s", "n", "accepted", held.alias("held")))
+    scores = scored(texts.drop("key"))
+    known = materialize(texts.hint("merge").join(scores, "id").select("key", "n", "accepted", "held", "score", "trial"))
+    threshold = cut(known.where("held AND accepted IS NOT NULL").select(F.col("trial").alias("score"), "accepted", "n"))
+    discard(scores)
+    out = lookup(df.withColumn("key", F.unhex(F.md5("s"))), known.select("key", "n", "score"), "key", "n")
     verdict = F.coalesce(F.col("by_rule"), F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

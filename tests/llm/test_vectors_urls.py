@@ -3,7 +3,8 @@
 import math
 
 import numpy as np
-import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import topk, urls
 
@@ -59,17 +60,62 @@ def test_url_rules(spark):
     assert urls.filtered(df.limit(0)).count() == 0
 
 
-def test_url_models_held_out(spark):
+def brute_scores(texts):
+    """(full, without the held-out fold) of each text by dictionaries of counts."""
+    out = []
+    for use in (lambda h: True, lambda h: not h):
+        gram, ctx = {}, {}
+        for s, n, accepted, held in texts:
+            if accepted is None or not use(held):
+                continue
+            padded = urls.START * urls.ORDER + s + urls.STOP
+            for i in range(urls.ORDER, len(padded)):
+                for k in range(urls.ORDER + 1):
+                    gram[accepted, padded[i - k : i + 1]] = gram.get((accepted, padded[i - k : i + 1]), 0) + n
+                    ctx[accepted, k, padded[i - k : i]] = ctx.get((accepted, k, padded[i - k : i]), 0) + n
+        scores = []
+        for s, *_ in texts:
+            padded, total = urls.START * urls.ORDER + s + urls.STOP, 0.0
+            for i in range(urls.ORDER, len(padded)):
+                p = {}
+                for c in (True, False):
+                    p[c] = urls.FLOOR
+                    for k in range(urls.ORDER + 1):
+                        p[c] = (gram.get((c, padded[i - k : i + 1]), 0) + urls.BETA * p[c]) / (ctx.get((c, k, padded[i - k : i]), 0) + urls.BETA)
+                total += math.log(p[True]) - math.log(p[False])
+            scores.append(total / (len(s) + 1) if s else 0.0)
+        out.append(scores)
+    return list(zip(*out, strict=True))
+
+
+def _random_urls():
     rng = np.random.default_rng(1)
     part = lambda alphabet: "".join(rng.choice(list(alphabet), 12))
-    rows = [(f"{part('abcde')}.example.net", f"/en/{part('abc')}", True) for _ in range(600)] + [(f"{part('defgh')}.example.net", f"/x/{part('fgh')}", False) for _ in range(600)]
-    df = spark.createDataFrame(pd.DataFrame([(h + p, a) for h, p, a in rows], columns=["s", "accepted"]))
-    held = df.where("pmod(xxhash64(s), 5) = 0")
-    n = urls.train(df.where("pmod(xxhash64(s), 5) <> 0"))
-    scored = urls.scored(held, n, "s")
-    at = urls.cut(scored)
-    hit = [(r["score"] >= at) == r["accepted"] for r in scored.collect()]
-    assert len(hit) > 100 and np.mean(hit) > 0.95
+    rows = [(f"{part('abcde')}.example.net/en/{part('abc')}", True) for _ in range(300)] + [(f"{part('defgh')}.net/x/{part('fgh')}", False) for _ in range(300)]
+    rows += [(f"{part('abé日')}.com/{part('abc')}", None) for _ in range(60)] + [("", None), ("x", None), ("long.net/" + "ab" * 3000, False)]
+    return rows
+
+
+@pytest.mark.parametrize("hot", [urls.HOT, 1.0, 0.0])
+def test_url_scores_against_dictionaries(spark, hot, monkeypatch):
+    monkeypatch.setattr(urls, "HOT", hot)  # some, none or all windows by broadcast
+    texts = [(s, 1 + i % 3, a, i % 5 == 0) for i, (s, a) in enumerate(_random_urls())]
+    got = {r["id"]: r for r in urls.scored(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, s string, n long, accepted boolean, held boolean").repartition(3)).collect()}
+    assert len(got) == len(texts)
+    for i, (full, trial) in enumerate(brute_scores(texts)):
+        assert abs(got[i]["score"] - full) < 1e-6 and abs(got[i]["trial"] - trial) < 1e-6, texts[i]
+
+
+def test_url_models_held_out(spark):
+    rows = [(i, "http://" + s, a) for i, (s, a) in enumerate(_random_urls()) if a is not None and len(s) < 99]
+    df = spark.createDataFrame([(i, u) for i, u, _ in rows] + [(None, None)], "page_id long, url string")
+    texts = urls.judged(df).where("by_rule IS NOT NULL").select(F.col("page_id").alias("id"), F.concat("host", "path").alias("s"), F.lit(1).alias("n"), (F.col("by_rule") == "allow").alias("accepted"))
+    texts = texts.withColumn("held", F.pmod(F.xxhash64("s"), F.lit(urls.FOLDS)) == 0)
+    held = urls.scored(texts).join(texts, "id").where("held").select(F.col("trial").alias("score"), "accepted", "n")
+    at = urls.cut(held)
+    hit = [(r["score"] >= at) == r["accepted"] for r in held.collect()]
+    assert len(hit) > 60 and np.mean(hit) > 0.95
+    assert urls.filtered(df).count() == len(rows) + 1
 
 
 def test_pipeline(spark, docs):
