@@ -27,7 +27,7 @@ from colloquy.llm.common import materialize, width
 BLOCK, SCALE, SEGMENTS = 1024, 256, (4, 16)
 #: Pairs whose vectors are gathered at a time.
 PAIRS = 1 << 15
-_BLOCKS = "dim int, block long, n int, ids binary, vecs binary"
+_BLOCKS = "dim int, block long, size int, ids binary, vecs binary"
 
 
 def integers(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -38,8 +38,14 @@ def integers(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding")
     return fine.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * SCALE)).alias("v"))
 
 
+def narrow(v: np.ndarray) -> tuple[int, bytes]:
+    """Bytes an integer, 2 or 8, and the components as little-endian integers of that size."""
+    size = 2 if len(v) and -(1 << 15) <= v.min() and v.max() < 1 << 15 else 8
+    return size, v.astype(f"<i{size}").tobytes()
+
+
 def blocks(rows: DataFrame) -> DataFrame:
-    """Up to BLOCK vectors of one length a row: ids and components as little-endian 64-bit integers."""
+    """Up to BLOCK vectors of one length a row: ids as 64-bit integers, components in the narrowest that hold them all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -50,7 +56,7 @@ def blocks(rows: DataFrame) -> DataFrame:
             for dim, part in pdf.groupby(size):
                 for at in range(0, len(part), BLOCK):
                     some = part.iloc[at : at + BLOCK]
-                    yield pd.DataFrame([(dim, number, len(some), some["vec_id"].to_numpy("<i8").tobytes(), np.concatenate(some["v"].to_numpy()).astype("<i8").tobytes())], columns=["dim", "block", "n", "ids", "vecs"])
+                    yield pd.DataFrame([(dim, number, *narrow(np.concatenate(some["v"].to_numpy())), some["vec_id"].to_numpy("<i8").tobytes())], columns=["dim", "block", "size", "vecs", "ids"])
                     number += 1
 
     return rows.mapInPandas(run, _BLOCKS)
@@ -69,9 +75,9 @@ def _segments(v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Vectors:
     """A block, opened, with its statistics."""
 
-    def __init__(self, ids: bytes, vecs: bytes, dim: int):
+    def __init__(self, ids: bytes, vecs: bytes, dim: int, size: int = 8):
         self.ids = np.frombuffer(ids, "<i8")
-        self.v = np.frombuffer(vecs, "<i8").reshape(-1, dim)
+        self.v = np.frombuffer(vecs, f"<i{size}").astype(np.int64).reshape(-1, dim)
         self.f = self.v.astype(np.float64)
         self.most = float(np.abs(self.f).max()) if len(self.v) else 0.0
         self.stats = [np.hstack(_segments(self.f, n)) for n in SEGMENTS]
@@ -100,9 +106,8 @@ def search(q: Vectors, x: Vectors, best: list[tuple[np.ndarray, np.ndarray]], k:
     done = 0
     for at in range(0, len(rows), PAIRS):
         r, c = rows[at : at + PAIRS], cols[at : at + PAIRS]
-        if len(r) < coarse.size // 4:
-            fine = np.einsum("ij,ij->i", q.stats[1][r], x.stats[1][c]) + slack
-            r, c = r[fine >= floor[r]], c[fine >= floor[r]]
+        fine = np.einsum("ij,ij->i", q.stats[1][r], x.stats[1][c]) + slack
+        r, c = r[fine >= floor[r]], c[fine >= floor[r]]
         own = q.ids[r] != x.ids[c]
         r, c = r[own], c[own]
         done += len(r)
@@ -125,8 +130,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     n = max(1, few.count() // BLOCK)
     q = materialize(blocks(few.repartition(n)))
     q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    q = q.select("shard", F.col("dim").alias("qdim"), F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-    met = x.hint("merge").join(q, (x["shard"] == q["shard"]) & (x["dim"] == q["qdim"])).select(q["shard"], "dim", "qblock", "qids", "qvecs", "ids", "vecs")
+    q = q.select("shard", F.col("dim").alias("qdim"), F.col("block").alias("qblock"), F.col("size").alias("qsize"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    met = x.hint("merge").join(q, (x["shard"] == q["shard"]) & (x["dim"] == q["qdim"])).select(q["shard"], "dim", "qblock", "qsize", "qids", "qvecs", "size", "ids", "vecs")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, best, query = None, [], None
@@ -145,9 +150,9 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 if (row.shard, row.qblock) != now:
                     if now is not None:
                         yield out()
-                    now, query = (row.shard, row.qblock), Vectors(row.qids, row.qvecs, row.dim)
+                    now, query = (row.shard, row.qblock), Vectors(row.qids, row.qvecs, row.dim, row.qsize)
                     best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query.ids]
-                search(query, Vectors(row.ids, row.vecs, row.dim), best, k)
+                search(query, Vectors(row.ids, row.vecs, row.dim, getattr(row, "size")), best, k)
         if now is not None:
             yield out()
 
