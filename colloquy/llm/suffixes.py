@@ -2,21 +2,24 @@
 
 A byte goes if a string of LENGTH bytes over it also starts earlier (smaller doc_id, or
 earlier in the same document). Prefix doubling gives every position a rank for its first
-h bytes and pairs ranks at growing offsets, dropping positions as they become unique,
-until the prefixes are past the threshold. Three things keep that from sorting all
-positions over and over:
-
-* Equal prefixes need equal names, not sorted ones, so ranks are 64-bit names made in
-  the task by the same pairing (1, 2, 4, ... 32 bytes), without a shuffle.
-* Round h = 32 sorts only anchors. The anchor of a LENGTH-byte string is its least
-  32-byte name (the first, if several), so equal strings have their anchors at the same
-  offset, and the strings of one anchor start at consecutive positions: a segment.
-  A name that occurs once drops its whole segment; a segment that is equal to an earlier one
-  is removed as a whole.
-* Round h = 66 drops the halves of a segment whose name of 66 bytes, to the left or to
-  the right of the anchor, occurs once; round h = LENGTH sorts what is left, position by
-  position.
-
+h bytes, sorts the pairs (rank at i, rank at i + offset) at growing offsets, and drops
+positions as they become unique, until the prefixes are past the threshold. Only equality of ranks
+matters here, so a rank is a 64-bit name, made from the pair of names below it.
+
+* h = 1, 2, 4, ... 32: pairs at offsets 1 to 16 lie in one task's buffer and are named there.
+* h = 32, sorted by Spark: only anchors are sent. The anchor of a LENGTH-byte string is its least
+  32-byte name (the first, if several). It depends on the string's bytes alone, so equal
+  strings have their anchors at the same place in them, and a string whose anchor's name
+  occurs once is unique: thinning to anchors loses none. The strings of one anchor start at
+  consecutive positions, a segment, which falls as a whole with its anchor. A segment that
+  equals an earlier one goes as a whole.
+* h = 66, in the same sort: pairs (rank at p - 34, rank at p) and (rank at p, rank at p + 34) around an
+  anchor p, by 8 bits of their names; the half of a segment whose pair occurs once is dropped.
+* h = LENGTH, sorted by Spark: every position that is left, by the pair (rank of 64 bytes at i,
+  rank of 64 bytes at i + 36), in the order of documents and places; the first of each pair stays.
+
+Two different strings are taken as equal only if both 64-bit ranks of the last round agree
+(or, for whole segments, the names of a segment and of its anchor).
 Before each shuffle a batch keeps the earliest of its own equal keys, so a string that
 a third of all documents hold costs a row a batch.
 
@@ -36,20 +39,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import materialize
+from colloquy.llm.common import discard, materialize, opened
 
 LENGTH, SEED = 100, 32
 SPREAD = LENGTH - SEED + 1  # places that a seed can have in a string
 HALF = (LENGTH - SEED) // 2
 #: Positions that a task names at a time.
 CHUNK = 1 << 18
-#: Spans up to which they are broadcast (about 64 MB) instead of shuffling the texts.
-BROADCAST_ROWS = 4_000_000
+#: Bytes of spans (two longs each, and 64 a document) up to which they are broadcast instead of shuffling the texts.
+BROADCAST_BYTES = 64 << 20
 NO_ID = -(1 << 63)
 
 _M, _N, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 20) - 1)
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROW = "key long, seg long, doc long, tag long, w long, kind int"
+_ROW = "key long, next long, seg long, doc long, tag long, w long, kind int"
 SHIPPED, OPEN, GONE = 0, 1, 2
 
 
@@ -71,6 +74,11 @@ def names(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return four, h
 
 
+def ends(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the first and of the last 64 of the LENGTH bytes from positions ``at``."""
+    return pair(h[at], h[at + 32]), pair(h[at + LENGTH - 64], h[at + LENGTH - 32])
+
+
 def whole(four: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Names of the LENGTH bytes from positions ``at``."""
     return pair(pair(h[at], h[at + 32]), pair(h[at + 64], four[at + 96]))
@@ -119,12 +127,11 @@ def anchors(buf: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return p, first, last, part, h[p], seg.view(np.int64), marks
 
 
-def _first_of(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lead): rows by key, document, place; lead marks the first of each key."""
-    order = np.lexsort((at, doc, key))
-    k = key[order]
-    lead = np.ones(len(k), bool)
-    lead[1:] = k[1:] != k[:-1]
+def _first_of(doc: np.ndarray, at: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lead): rows by keys, document, place; lead marks the first of each key."""
+    order = np.lexsort((at, doc, *keys))
+    lead = np.ones(len(order), bool)
+    lead[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
     return order, lead
 
 
@@ -142,8 +149,8 @@ def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[begin], lo[begin], np.maximum.reduceat(hi, begin)
 
 
-def _rows(key: np.ndarray, seg: np.ndarray, doc: np.ndarray, w: np.ndarray, kind: int) -> pd.DataFrame:
-    return pd.DataFrame({"key": key, "seg": seg, "doc": doc, "w": w, "kind": np.full(len(doc), kind, np.int32)})
+def _rows(key: np.ndarray, seg: np.ndarray, doc: np.ndarray, w: np.ndarray, kind: int, then: np.ndarray | int = 0) -> pd.DataFrame:
+    return pd.DataFrame({"key": key, "next": then, "seg": seg, "doc": doc, "w": w, "kind": np.full(len(doc), kind, np.int32)})
 
 
 def _gone(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pd.DataFrame:
@@ -164,7 +171,7 @@ def _decoded(rows: pd.DataFrame, each: pd.DataFrame) -> pd.DataFrame:
     code = rows["doc"].to_numpy(np.int64)
     doc, tag = each["doc"].to_numpy(np.int64)[code], each["tag"].to_numpy(np.int64)[code]
     key = rows["key"].to_numpy(np.int64)
-    return pd.DataFrame({"key": np.where(rows["kind"] > 0, key ^ tag, key), "seg": rows["seg"], "doc": doc, "tag": tag, "w": rows["w"], "kind": rows["kind"]})
+    return pd.DataFrame({"key": np.where(rows["kind"] > 0, key ^ tag, key), "next": rows["next"], "seg": rows["seg"], "doc": doc, "tag": tag, "w": rows["w"], "kind": rows["kind"]})
 
 
 def _name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,14 +185,14 @@ def _name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not got:
             continue
         name, seg, doc, p, left, more, marks = (np.concatenate(x) for x in zip(*got, strict=True))
-        order, lead = _first_of(seg, doc, p)
+        order, lead = _first_of(doc, p, seg)
         head = order[lead][np.cumsum(lead) - 1]
         again, order = order[(doc[order] != doc[head]) | (p[order] != p[head])], order[lead]
         lo = p[again] - left[again]
         yield _decoded(_gone(doc[again], lo, lo + more[again]), each)
         w = (p << 32) | (left << 24) | (more << 16) | marks
         name, seg, doc, p, w = name[order], seg[order], doc[order], p[order], w[order]
-        order, lead = _first_of(name, doc, p)
+        order, lead = _first_of(doc, p, name)
         several = np.zeros(len(order), bool)
         several[np.flatnonzero(lead)] = np.diff(np.append(np.flatnonzero(lead), len(order))) > 1
         ship, rest = order[lead], order[~lead]
@@ -230,11 +237,11 @@ def _whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf, each = _coded(pdf)
 
         def flush() -> None:
-            four, h = names(np.frombuffer(b"".join(x for _, _, _, x in pieces), np.uint8))
+            h = names(np.frombuffer(b"".join(x for _, _, _, x in pieces), np.uint8))[1]
             n = np.array([hi - lo + 1 for _, lo, hi, _ in pieces])
             skip = np.cumsum([0, *(len(x) for _, _, _, x in pieces)])[:-1]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            got.append((whole(four, h, np.repeat(skip, n) + step), np.repeat([d for d, _, _, _ in pieces], n), np.repeat([lo for _, lo, _, _ in pieces], n) + step))
+            got.append((*ends(h, np.repeat(skip, n) + step), np.repeat([d for d, _, _, _ in pieces], n), np.repeat([lo for _, lo, _, _ in pieces], n) + step))
 
         for doc, text, los, his in zip(pdf["doc"].tolist(), pdf["text"], pdf["lo"], pdf["hi"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -251,15 +258,15 @@ def _whole_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             flush()
         if not got:
             continue
-        name, doc, at = (np.concatenate(x) for x in zip(*got, strict=True))
-        name = name.view(np.int64)
-        order, lead = _first_of(name, doc, at)
+        name, then, doc, at = (np.concatenate(x) for x in zip(*got, strict=True))
+        name, then = name.view(np.int64), then.view(np.int64)
+        order, lead = _first_of(doc, at, then, name)
         same = np.cumsum(lead) - 1
         head = order[lead][same]
         again = order[(doc[order] != doc[head]) | (at[order] != at[head])]
         yield _decoded(_gone(doc[again], at[again], at[again]), each)
         ship = order[lead]
-        yield _decoded(_rows(name[ship], np.zeros(len(ship), np.int64), doc[ship], at[ship], SHIPPED), each)
+        yield _decoded(_rows(name[ship], np.zeros(len(ship), np.int64), doc[ship], at[ship], SHIPPED, then[ship]), each)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -269,7 +276,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def _few(spans: DataFrame) -> bool:
     n, total = spans.agg(F.count("*"), F.sum(F.size("lo"))).first()
-    return n + (total or 0) <= BROADCAST_ROWS
+    return 64 * n + 16 * (total or 0) <= BROADCAST_BYTES
 
 
 def _gather(rows: DataFrame) -> DataFrame:
@@ -295,10 +302,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     left = materialize(_gather(one.where(F.col("kind") == OPEN)))
     some = _with_spans(docs, left).where(F.col("lo").isNotNull())
     last = some.mapInPandas(_whole_names, _ROW)
-    same = Window.partitionBy("key", "kind").orderBy("doc", "tag", "w")
+    same = Window.partitionBy("key", "next", "kind").orderBy("doc", "tag", "w")
     last = last.withColumn("k", F.rank().over(same)).where(F.when(F.col("kind") == GONE, True).otherwise(F.col("k") > 1))
     more = last.select("doc", "tag", F.when(F.col("kind") == GONE, F.col("seg")).otherwise(F.col("w")).alias("lo"), F.col("w").alias("hi"))
-    return materialize(_gather(one.where(F.col("kind") == GONE).select("doc", "tag", "lo", "hi").unionByName(more)))
+    out = materialize(_gather(one.where(F.col("kind") == GONE).select("doc", "tag", "lo", "hi").unionByName(more)))
+    discard(one, left)
+    return out
 
 
 def _keyed(docs: DataFrame, *keep: Column | str) -> DataFrame:
@@ -332,11 +341,11 @@ def digest(docs: DataFrame) -> DataFrame:
                 sha.update(raw[at:])
                 out.append((len(raw), int((b - a).sum()), len(a), sha.hexdigest()))
             rows = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            rows.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield rows
+            yield rows.assign(doc_id=pdf["doc"], no_id=pdf["no_id"])
 
     spans = repeats(_keyed(docs))
-    return _with_spans(_keyed(docs, F.col("doc_id").cast("long").alias("doc_id")), spans).select("doc_id", "text", "lo", "hi").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = _with_spans(_keyed(docs, F.col("doc_id").isNull().alias("no_id")), spans).select("doc", "no_id", "text", "lo", "hi")
+    return opened(both.mapInPandas(run, "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -360,8 +369,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     spans = repeats(_keyed(docs))
-    few = _few(spans)
-    spans = spans.withColumnsRenamed({"lo": "_lo", "hi": "_hi", "doc": "_doc", "tag": "_tag"})
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tag": F.xxhash64(F.coalesce("text", F.lit("")))})
-    both = keyed.join(F.broadcast(spans) if few else spans.hint("merge"), ["_doc", "_tag"], "left")
-    return both.withColumn("text", F.when(F.col("_lo").isNull(), F.col("text")).otherwise(kept("text", "_lo", "_hi"))).select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    both = _with_spans(keyed, spans)
+    text = F.when(F.col("lo").isNull(), F.col("row.text")).otherwise(kept("row.text", "lo", "hi")).alias("text")
+    return both.select(*(text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
