@@ -1,7 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-SQL functions alone. Offsets are code points. A null text has no spans; repeated rows
-give repeated results; extra columns pass through unless they have a result's name.
+SQL functions alone. Words on either side raise a span's score (CONTEXT) or lower it
+(AGAINST): telephone numbers, social security numbers and passport numbers stand or fall by
+them, while a checksum outweighs them. Offsets are code points. A null text has no
+spans; repeated rows give repeated results; extra columns pass through, whatever their
+names, but for base and spans, which the results replace.
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 TEL = r"(?<![0-9A-Za-z+-])\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}(?![0-9-])"
+PASSPORT = r"(?<![0-9A-Za-z-])[A-Z]{1,2}[0-9]{7,8}(?![0-9A-Za-z-])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 
-KINDS = ("email", "ip", "card", "phone", "iban", "tel", "ssn")
-#: Prior score of a confirmed span, and the words that raise it.
-PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "tel": 0.7, "ssn": 0.3}
+KINDS = ("email", "ip", "card", "phone", "iban", "tel", "ssn", "passport")
+BASE = 4
+#: Prior score of a confirmed span, and the words nearby that raise it.
+PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "tel": 0.6, "ssn": 0.4, "passport": 0.2}
 CONTEXT = {
     "email": "mail|contact", "ip": "address|host|server", "card": "card|visa|credit|payment", "phone": "phone|call|tel|mobile",
-    "iban": "iban|bank|account", "tel": "phone|call|tel|mobile|fax", "ssn": "ssn|social|security|insurance",
+    "iban": "iban|bank|account", "tel": "phone|call|tel|mobile|fax", "ssn": "ssn|social|security|insurance", "passport": "passport|travel document",
 }
-NEAR, LIFT, THRESHOLD = 48, 0.3, 0.5
+#: Words nearby that lower it: numbers of things, not of people.
+AGAINST = r"\b(order|invoice|part|serial|model|version|isbn|ticket|sku|build)\b"
+BEFORE, AFTER, LIFT, DROP, THRESHOLD = 48, 24, 0.3, 0.3, 0.5
 
 
 def luhn(digits: Column) -> Column:
@@ -61,9 +68,8 @@ def _ip_ok(v: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """docs with base and spans: array<struct<start, ord, kind, end, value>>; spans has the base ones and the added ones."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("_t", t)
+    """docs with base and spans: array<struct<start, ord, kind, end, value, score>>; spans has the base ones and the added ones."""
+    df = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     t = F.col("_t")
     many = t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}")
     between = lambda n, lo, hi: (n >= lo) & (n <= hi)
@@ -74,27 +80,34 @@ def found(docs: DataFrame) -> DataFrame:
     iban = F.filter(matches(t, IBAN, t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")), lambda s: mod97(F.regexp_replace(s["value"], " ", "")))
     tel = matches(t, TEL, t.rlike(r"\([0-9]{3}\)"))
     ssn = matches(t, SSN, t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"))
-    df = df.withColumns({f"_{k}": tagged(c, k, i) for i, (k, c) in enumerate(zip(KINDS, (email, ip, card, phone, iban, tel, ssn), strict=True))})
-    df = df.withColumn("base", F.concat("_email", "_ip", "_card", "_phone"))
+    passport = matches(t, PASSPORT, t.rlike("[A-Z][0-9]{7}"))
+    each = (email, ip, card, phone, iban, tel, ssn, passport)
+    df = df.withColumns({f"_{k}": tagged(c, k, i) for i, (k, c) in enumerate(zip(KINDS, each, strict=True))})
+    df = df.withColumn("_base", F.concat(*(f"_{k}" for k in KINDS[:BASE])))
+    of = lambda table, kind: F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), kind)
 
     def score(s: Column) -> Column:
-        near = F.lower(F.substring(t, F.greatest(s["start"] + 1 - NEAR, F.lit(1)), F.lit(NEAR)))
-        prior = F.element_at(F.create_map(*(F.lit(x) for kv in PRIOR.items() for x in kv)), s["kind"])
-        words = F.element_at(F.create_map(*(F.lit(x) for kv in CONTEXT.items() for x in kv)), s["kind"])
-        return F.round(F.least(F.lit(1.0), prior + F.when(F.regexp_like(near, words), F.lit(LIFT)).otherwise(F.lit(0.0))), 2)
-
-    added = F.filter(F.concat("_iban", "_tel", "_ssn"), lambda s: ~overlaps(s, F.col("base")))
-    scored = F.transform(F.concat(F.col("base"), added), lambda s: s.withField("score", score(s)))
-    df = df.withColumn("_all", F.when(F.size(F.concat("base", "_iban", "_tel", "_ssn")) > 0, scored))
-    keep = F.filter("_all", lambda s: (s["ord"] < 4) | (s["score"] >= THRESHOLD))
-    df = df.withColumn("spans", F.coalesce(keep, F.filter(F.transform("base", lambda s: s.withField("score", F.lit(0.0))), lambda s: F.lit(False))))
-    return df.drop("_t", "_all", *(f"_{k}" for k in KINDS))
+        before = F.substring(t, F.greatest(s["start"] + 1 - BEFORE, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
+        near = F.lower(F.concat(before, F.lit(" "), F.substring(t, s["end"] + 1, F.lit(AFTER))))
+        up = F.when(F.regexp_like(near, of(CONTEXT, s["kind"])), F.lit(LIFT)).otherwise(F.lit(0.0))
+        down = F.when(F.regexp_like(near, F.lit(AGAINST)), F.lit(DROP)).otherwise(F.lit(0.0))
+        return F.round(F.least(F.lit(1.0), of(PRIOR, s["kind"]) + up - down), 2)
+
+    more = F.concat(*(f"_{k}" for k in KINDS[BASE:]))
+    added = F.filter(more, lambda s: ~overlaps(s, F.col("_base")))
+    scored = F.transform(F.concat(F.col("_base"), added), lambda s: s.withField("score", score(s)))
+    df = df.withColumn("_all", F.when(F.size(F.concat("_base", more)) > 0, scored))
+    none = F.filter(F.transform("_base", lambda s: s.withField("score", F.lit(0.0))), lambda s: F.lit(False))
+    keep = F.filter("_all", lambda s: (s["ord"] < BASE) | (s["score"] >= THRESHOLD))
+    rest = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("base", "spans")]
+    return df.select(*rest, F.coalesce(F.filter("_all", lambda s: s["ord"] < BASE), none).alias("base"), F.coalesce(keep, none).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's row for each document."""
+    """The contract's row for each document, and the scores of its spans in their order."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found(docs.select("doc_id", "text")).select("doc_id", *(count(k) for k in KINDS[:4]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform(F.sort_array("spans"), lambda s: s["score"].cast("string")), ",")
+    return found(docs.select("doc_id", "text")).select("doc_id", *(count(k) for k in KINDS[:BASE]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Quality rules as a bitmask ledger, with SQL functions alone.
 
-Every rule is evaluated once a document. The ledger keeps the measurements and one
-bit a failed rule; a policy is a mask over those bits, so a new policy or an ablation
-needs no text again. A null text has no words; a null doc_id stays null; repeated
-rows give repeated ledger rows; extra columns are ignored.
+Every rule is evaluated once a document. The ledger keeps the measurements, one bit a
+failed rule and the version of the rules; a policy is a mask over those bits, so a new
+policy or an ablation reads the stored ledger and no text. A null text has no words; a
+null doc_id stays null; repeated rows give repeated ledger rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.common import materialize
+
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -25,6 +28,8 @@ RULES: list[tuple[str, Column | str]] = [
     ("repeated_lines", "n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines"),
     ("shouting", "n_words > 0 AND 2 * n_capitals > word_chars"),
 ]
+#: Changes with RULES, so that ledgers of other rules are not mixed up.
+RULE_SET = "2"
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 
 #: version -> the rules that reject.
@@ -56,7 +61,8 @@ def measured(docs: DataFrame) -> DataFrame:
     same = F.zip_with(
         F.slice("_s", F.lit(1), F.size("_s") - 1),
         F.slice("_s", F.lit(2), F.size("_s") - 1),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
+        # equal hashes propose, the words themselves decide
+        lambda a, b: F.when((a["h"] == b["h"]) & (F.slice("_w", a["i"] + 1, F.lit(WINDOW)) == F.slice("_w", b["i"] + 1, F.lit(WINDOW))), F.array(a["i"], b["i"])),
     )
     df = df.withColumn("_p", F.when(F.col("_s").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))))
     steps = F.zip_with(F.slice("_p", F.lit(1), F.size("_p") - 1), F.slice("_p", F.lit(2), F.size("_p") - 1), lambda a, b: F.least(F.lit(WINDOW), b - a))
@@ -75,20 +81,30 @@ def measured(docs: DataFrame) -> DataFrame:
     return df.select(*docs.columns, F.inline(F.array(row)))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``measured`` with fail_bits (int): one bit for each failed rule."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """``measured`` with fail_bits (int), one bit for each failed rule, and rule_set."""
     bits = sum((F.when(F.expr(rule) if isinstance(rule, str) else rule, F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES[1:]), F.when(F.expr(RULES[0][1]), F.lit(1)).otherwise(F.lit(0)))
-    return measured(docs).withColumn("fail_bits", bits)
+    return measured(docs).withColumns({"fail_bits": bits, "rule_set": F.lit(RULE_SET)})
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, measurements, fail_bits, rule_set of docs(doc_id, text, ...)."""
+    return _judged(docs.select("doc_id", "text")).drop("text")
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once."""
+    return materialize(ledger(docs))
 
 
 def apply_policy(led: DataFrame, version: str = "v2") -> DataFrame:
-    """kept (boolean): no rule of the policy failed."""
-    return led.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(version))) == 0)
+    """kept (boolean), no rule of the policy failed, and the policy's name."""
+    return led.withColumns({"kept": F.col("fail_bits").bitwiseAND(F.lit(mask(version))) == 0, "policy": F.lit(version)})
 
 
 def kept(docs: DataFrame, version: str = "v2") -> DataFrame:
     """The rows of docs that the policy keeps, with the columns of docs alone."""
-    return apply_policy(ledger(docs.select(F.struct("*").alias("_doc"), "text")), version).where("kept").select("_doc.*")
+    return apply_policy(_judged(docs.select(F.struct("*").alias("_doc"), "text")), version).where("kept").select("_doc.*")
 
 
 def ablation(led: DataFrame, version: str = "v2") -> DataFrame:

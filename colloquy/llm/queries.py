@@ -26,9 +26,14 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    led = quality.apply_policy(quality.stored(table(spark, sf_dir, "documents")))
     base = led["fail_bits"].bitwiseAND(quality.mask("base")) != 0
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "policy")
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs, from the ledger alone."""
+    return quality.ablation(quality.stored(table(spark, sf_dir, "documents")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,19 +62,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_dedup, op2_url_filter, op3_exact_topk, op4_quality_rules, op5_packing, op6_pii, op7_byte_bpe, op8_token_store, op9_secret_scan, op10_suffix_dedup)
+    for f in (op1_simhash_dedup, op2_url_filter, op3_exact_topk, op4_quality_rules, op5_packing, op6_pii, op7_byte_bpe, op8_token_store, op9_secret_scan, op10_suffix_dedup, quality_ablation)
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_exact_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-           FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
-    "op4_quality_rules": r"""
+_LEDGER = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -86,11 +82,27 @@ m AS (
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
          CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals
-  FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words
-            OR (n_words > 0 AND word_chars < 2 * n_words) OR word_chars > 20 * n_words
-            OR (n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines) OR (n_words > 0 AND 2 * n_capitals > word_chars)) AS kept
-FROM m""",
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+l AS (
+  SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+         + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 8 ELSE 0 END
+         + CASE WHEN word_chars > 20 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
+         + CASE WHEN n_words > 0 AND 2 * n_capitals > word_chars THEN 64 ELSE 0 END AS INTEGER) AS fail_bits FROM m)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op4_quality_rules": _LEDGER
+    + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'v2' AS policy FROM l""",
+    "quality_ablation": _LEDGER
+    + """, rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32), ('shouting', 64)) t(rule, b))
+SELECT rule, count(*) FILTER (WHERE fail_bits & b <> 0) AS rejected, count(*) FILTER (WHERE fail_bits = b) AS rejected_alone, count(*) FILTER (WHERE fail_bits & (127 - b) = 0) AS kept_without
+FROM l, rules GROUP BY rule""",
 }
