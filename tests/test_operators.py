@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.functions import numeric, parsing, texts
+from colloquy.functions import folds, numeric, parsing, texts
 from colloquy.operators import advantages as A
 from colloquy.operators import datasets as DS
+from colloquy.operators import graph as G
 from colloquy.operators import metrics as M
 from colloquy.operators import sampling as S
 from colloquy.operators import scoring, tokens, trees
@@ -204,3 +205,123 @@ def test_user_scorer(spark):
 
     d = spark.createDataFrame([("a", "a"), ("b", "a"), ("boom", "a"), ("nan", "a")], "x string, t string").coalesce(1)
     assert [r[0] for r in d.select(scoring.user_scorer(exact)(F.col("x"), F.col("t"), bonus=1.0)).collect()] == [2.0, 1.5, 0.0, 0.0]
+
+
+def test_ngrams(spark):
+    d = spark.createDataFrame([(1, "a b c d e f"), (2, "a"), (3, ""), (4, None)], "k int, t string")
+    w = texts.held(d, w=texts.words(texts.normalized(F.col("t"))))
+    got = {r["k"]: r["g"] for r in w.select("k", texts.ngrams(F.col("w")).alias("g")).collect()}
+    want = [" ".join("abcdef"[i : i + n]) for n in range(1, 5) for i in range(7 - n)]
+    assert sorted(got[1]) == sorted(want) and len(got[1]) == 18 and got[2] == ["a"] and got[3] == [] and not got[4]
+
+
+def test_mentions_in_a_long_text(spark):
+    rng = random.Random(2)
+    words = [rng.choice("abcdefgh") * 2 for _ in range(5000)]
+    grams = {" ".join(words[i : i + n]) for n in range(1, 5) for i in range(len(words) - n + 1)}
+    entries = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(n)) for n in (1, 2, 3, 4, 5) for _ in range(40)]
+    d, s = spark.createDataFrame([(1, " ".join(words))], "k int, t string"), spark.createDataFrame([(e,) for e in entries], "symptom string")
+    assert {r["symptom"] for r in G.mentioned(d, "k", "t", s).collect()} == {e for e in entries if e in grams and e.count(" ") < 4}
+
+
+def test_texts_that_hold_others(spark):
+    rng = random.Random(4)
+    some = lambda n, most: sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(0, most))) for _ in range(n)})
+    whole, part = some(200, 12), some(200, 5)
+    got = rows(G.containing(spark.createDataFrame([(x,) for x in whole], "a string"), spark.createDataFrame([(x,) for x in part], "b string"), "a", "b"), "a", "b")
+    assert got == sorted((a, b) for a in whole for b in part if b and b in a)
+
+
+@pytest.mark.parametrize("least", [0.0, 0.2, 0.5, 1.0])
+def test_similar_names(spark, least):
+    rng = random.Random(6)
+    names = sorted({" ".join(rng.choice(["the", "the", "of", *(f"w{i}" for i in range(9))]) for _ in range(rng.randint(1, 6))) for _ in range(60)})
+    d = spark.createDataFrame([(n,) for n in names], "a string")
+    got = {(r["a"], r["b"]): r["score"] for r in G.jaccard(d, d.withColumnRenamed("a", "b"), "a", "a", "b", "b", least).collect()}
+    sets = {n: set(n.split()) for n in names}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in names for b in names}
+    assert got == pytest.approx({k: v for k, v in want.items() if v > 0 and v >= least})
+
+
+def test_scan_over_many_blocks(spark):
+    d = spark.createDataFrame([([float(i) for i in range(1000)],), ([],)], "x array<double>")
+    step = lambda a, x: ({"s": a["s"] + x}, a["s"] + x)
+    got = [r[0] for r in d.select(folds.scan(F.col("x"), {"s": F.lit(0.0)}, step, "double")).collect()]
+    assert got[0] == [i * (i + 1) / 2 for i in range(1000)] and got[1] == []
+
+
+def test_first_mentions_of_the_graph(spark):
+    """Initial symptoms, symptoms of other diseases inside a sentence, verbatim facts, repeats: worked out by hand."""
+    edges = spark.createDataFrame([("flu", "fever", 3.0), ("flu", "dry cough", 1.0), ("gout", "swollen toe", 5.0)], "disease string, symptom string, weight double")
+    facts = ["fever", "he says: swollen toe and dry cough", "unknown", "odd", "dry cough", "odd"]
+    turns = spark.createDataFrame([("e", "flu", i, f, "diagnose" if i == 5 else "ask", "Flu") for i, f in enumerate(facts)], "episode_id string, disease string, turn_id long, fact string, action string, diagnosis string")
+    from colloquy.operators import rewards as W
+
+    got = W.graph_turn_rewards(turns, edges, spark.createDataFrame([("e", "Fever"), ("e", "headache")], "episode_id string, fact string")).orderBy("turn_id").collect()
+    assert [r["delta"] for r in got] == [0, 0.25, 0, 0, 0, 0] and [r["coverage"] for r in got] == [0.75, 1, 1, 1, 1, 1]
+    assert [r["n_new"] for r in got] == [0, 2, 2, 3, 3, 3] and [r["is_duplicate"] for r in got] == [True, False, False, False, True, False]
+    assert got[-1]["is_correct"] and not got[-1]["premature"] and got[-1]["reward"] == 1.0
+
+
+def test_answers_after_clean_up(spark):
+    pairs = {"\\dfrac12": "\\frac{1}{2}", "0.5": "\\frac{1}{2}", "3/4": "\\frac{3}{4}", "x=5": "5", "\\sqrt2": "\\sqrt{2}", "12\\%": "12", ".25": "0.25", "90^\\circ": "90", "5\\text{ cm}": "5", "\\left(1,\\right)": "(1,)", "\\frac3{4}": "\\frac{3}{4}", "03/4": "03/4", "": ""}
+    d = spark.createDataFrame(list(pairs.items()), "x string, want string")
+    assert all(r["got"] == r["want"] for r in d.select("want", scoring.math_normal(F.col("x")).alias("got")).collect())
+    finals = {"x = $5$": "5", "1,234": "1234", "\\text{five}": "five", "12 square feet": "12", "a fracab": "frac{a}{b}", "\\boxed{7}": "7", "1,2x": "1,2x"}
+    d = spark.createDataFrame(list(finals.items()), "x string, want string")
+    assert [(r["got"], r["want"]) for r in d.select("want", scoring.answer_normal(F.col("x")).alias("got")).collect() if r["got"] != r["want"]] == []
+
+
+def test_managers_and_user_files(spark, tmp_path):
+    (tmp_path / "own.py").write_text("import time\n\ndef slow(x, t, wait=0.0):\n    if x == 'sleep':\n        time.sleep(wait)\n    if x == 'bad':\n        raise ValueError(x)\n    return float(x == t)\n")
+    d = spark.createDataFrame([("a", "a"), ("b", "a"), ("bad", "bad"), ("sleep", "sleep")], "solution string, ground_truth string").coalesce(1)
+    began = __import__("time").time()
+    got = dict(rows(scoring.manager("prime")(d, scorer=scoring.from_file(f"{tmp_path}/own.py", "slow"), limit=1.0, wait=60.0), "solution", "score"))
+    assert got == {"a": 1.0, "b": 0.0, "bad": 0.0, "sleep": 0.0} and __import__("time").time() - began < 40
+    with pytest.raises(ValueError):
+        scoring.from_file(f"{tmp_path}/own.py", "none such")
+    with pytest.raises(ValueError):
+        scoring.manager("none such")
+    with pytest.raises(ValueError):
+        scoring.register_manager("naive")(lambda rows: rows)
+
+
+def test_majority_of_resamples(spark):
+    d = spark.createDataFrame([("s", "u", i, float(i), "A") for i in range(1, 6)], "src string, uid string, k long, v double, p string")
+    got = {r["metric"]: r["value"] for r in M.group_metrics(d, ["src", "uid"], "v", "k", "p", draws=400).collect() if r["metric"].startswith("maj")}
+    assert set(got) == {"maj@2/mean", "maj@2/std", "maj@4/mean", "maj@4/std", "maj@5/mean"}
+    assert got["maj@2/mean"] == pytest.approx(3, abs=0.3) and got["maj@2/std"] == pytest.approx(2**0.5, abs=0.2)  # one pred: the first row drawn
+
+
+def test_prime_by_hand(spark):
+    t = spark.createDataFrame([("u", 1, 0, 1, 1.0, 1.0), ("u", 1, 1, 1, 3.0, 1.0), ("u", 2, 0, 1, 4.0, 0.0), ("u", 2, 1, 0, 9.0, 0.0)], "uid string, sample_id long, pos long, mask int, reward double, acc double")
+    got = {(r["sample_id"], r["pos"]): r["returns"] for r in A.prime_rloo(t, 1.0, 1.0).collect()}
+    # sums of means 6 and 1: tokens 2r - 6, outcome 2a - 1
+    assert got == pytest.approx({(1, 0): -4 + 0 + 1, (1, 1): 0 + 1, (2, 0): 2 - 1, (2, 1): 0}, abs=1e-6)
+
+
+def test_streams_that_gather(spark, tmp_path):
+    for step in range(3):
+        spark.createDataFrame([(f"g{step}{i}", float(j * (i % 2)), step) for i in range(4) for j in range(2)], "uid string, score double, step long").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    read = lambda: steps.read_steps(spark, f"{tmp_path}/in", "uid string, score double, step long")
+    assert rows(steps.gather_groups(read(), f"{tmp_path}/a", 3, 5), "uid") == [("g01",), ("g03",), ("g11",)]
+    with pytest.raises(Exception, match="fewer than 99 groups"):
+        steps.gather_groups(read(), f"{tmp_path}/b", 99, 5)
+    with pytest.raises(Exception, match="fewer than 99 groups"):
+        steps.gather_groups(read(), f"{tmp_path}/c", 99, 2)
+    assert rows(steps.difficulty_stream(read(), f"{tmp_path}/d"), "uid", "difficulty")[1] == ("g01", 0.5)
+
+
+def test_steps_that_never_come(spark, tmp_path):
+    spark.createDataFrame([("a", s, 2.0) for s in (1, 2, 3, 4, 5)], "name string, step long, x double").coalesce(1).write.json(f"{tmp_path}/in")
+    out = steps.run(steps.ewma_stream(steps.read_steps(spark, f"{tmp_path}/in", "name string, step long, x double"), max_wait=3), f"{tmp_path}/out")
+    assert rows(out, "step") == [(1,), (2,), (3,), (4,), (5,)]  # step 0 is given up
+
+
+def test_users_views_stay(spark):
+    from colloquy.sources.views import view
+
+    spark.range(1).createOrReplaceTempView("events")
+    view(spark, "/root/testdata/sf0.001", "rollouts").limit(1).count()
+    assert spark.table("events").columns == ["id"]
+    spark.catalog.dropTempView("events")
