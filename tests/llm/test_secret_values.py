@@ -31,6 +31,31 @@ def got(spark):
     return {r["doc_id"]: r["spans"] for r in secrets.digest(docs).collect()}
 
 
+#: text, whether its value is linked, kinds of part in the link's rank
+LINKS = [
+    (f"see https://db.example.com/x for {VALUE}", None),
+    (f"see https://db.example.com/x secret=abcdefgh1 for {VALUE}", 2),
+    (f"{ID} see https://db.example.com/x for {VALUE}", 2),
+    (f"client_id=team-12345 https://db.example.com/x token: abcdefgh1 {VALUE}", 3),
+    (f"{ID} {VALUE}", 1),
+    (f"secret=abcdefgh1 {VALUE}", None),
+]
+
+
+def test_links_tell_their_parts(spark):
+    got = {r["doc_id"]: r["links"] for r in secrets.digest(spark.createDataFrame(list(enumerate(t for t, _ in LINKS)), "doc_id long, text string")).collect()}
+    for i, (text, rank) in enumerate(LINKS):
+        at = text.index(VALUE)
+        assert got[i] == "" if rank is None else got[i].startswith(f"weak:{at}:{at + len(VALUE)}=") and got[i].endswith(f"#{rank}"), (text, got[i])
+    assert got[4] == f"weak:{len(ID) + 1}:{len(ID) + 1 + len(VALUE)}=access:0:{len(ID)}#1"
+
+
+def test_rows_that_join_alike(spark):
+    text = f"{ID} {VALUE}"
+    rows = secrets.digest(spark.createDataFrame([(5, "x"), (None, "5|x"), (None, text), (None, text), (7, None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["spans"].count("weak")) for r in rows) == [(False, 5, 0), (False, 7, 0), (True, 0, 0), (True, 0, 1), (True, 0, 1)]
+
+
 @pytest.mark.parametrize("i", range(len(CASES)))
 def test_weak_value(got, i):
     text, value = CASES[i]
