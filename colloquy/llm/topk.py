@@ -6,9 +6,9 @@ means. The same statistics bound the distance from below; the inner product is (
 |x|^2 - d^2) / 2. A block of candidates is bounded with 4 segments, what may still beat a
 query's k-th score with 16, and only survivors are computed, on integers.
 
-All queries meet all candidates in blocks: candidates are dealt into shards, each block of
-queries goes to every shard, and a task keeps the k best of one block of queries at a
-time. Vectors that are null, empty or hold null or non-finite components take no part; vectors
+All queries meet all candidates in blocks, in a grid: candidate blocks are dealt into shards,
+query blocks into groups, and a cell of the grid holds about CELL of each at most, so that a block
+travels once a cell and not once a partner. A cell keeps the k best of each of its queries. Vectors that are null, empty or hold null or non-finite components take no part; vectors
 meet vectors of their own length only. Rows that share a vec_id are one query and never
 each other's candidates; repeated candidates count once each.
 """
@@ -27,6 +27,8 @@ from colloquy.llm.common import materialize, width
 BLOCK, SCALE, SEGMENTS = 1024, 256, (4, 16)
 #: Pairs whose vectors are gathered at a time.
 PAIRS = 1 << 15
+#: Candidate blocks and query blocks in a cell; a block has BLOCK vectors.
+CELL = (64, 16)
 _BLOCKS = "dim int, block long, size int, ids binary, vecs binary"
 
 
@@ -123,40 +125,30 @@ def search(q: Vectors, x: Vectors, best: list[tuple[np.ndarray, np.ndarray]], k:
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score for each of queries(vec_id, v) against candidates(vec_id, v)."""
-    spark = candidates.sparkSession
-    shards = width(spark)
-    x = blocks(candidates).withColumn("shard", F.pmod(F.xxhash64("block"), F.lit(shards)).cast("int"))
-    few = materialize(queries.select("vec_id", F.col("v")).dropDuplicates(["vec_id"]))
-    n = max(1, few.count() // BLOCK)
-    q = materialize(blocks(few.repartition(n)))
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    q = q.select("shard", F.col("dim").alias("qdim"), F.col("block").alias("qblock"), F.col("size").alias("qsize"), F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-    met = x.hint("merge").join(q, (x["shard"] == q["shard"]) & (x["dim"] == q["qdim"])).select(q["shard"], "dim", "qblock", "qsize", "qids", "qvecs", "size", "ids", "vecs")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, best, query = None, [], None
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame(
-                {
-                    "query_id": np.repeat(query.ids, [len(s) for s, _ in best]),
-                    "vec_id": np.concatenate([i for _, i in best]),
-                    "score": np.concatenate([s for s, _ in best]),
-                }
-            )
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if (row.shard, row.qblock) != now:
-                    if now is not None:
-                        yield out()
-                    now, query = (row.shard, row.qblock), Vectors(row.qids, row.qvecs, row.dim, row.qsize)
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query.ids]
-                search(query, Vectors(row.ids, row.vecs, row.dim, getattr(row, "size")), best, k)
-        if now is not None:
-            yield out()
-
-    found = met.sortWithinPartitions("shard", "qblock").mapInPandas(run, "query_id long, vec_id long, score long")
+    few = materialize(queries.select("vec_id", "v").dropDuplicates(["vec_id"]))
+    q = materialize(blocks(few.repartition(max(1, few.count() // BLOCK))))
+    x = materialize(blocks(candidates))
+    shards = max(width(candidates.sparkSession), -(-x.count() // CELL[0]))
+    groups = max(1, -(-q.count() // CELL[1]))
+    dealt = lambda df, n: F.pmod(F.xxhash64(df["block"]), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = x.withColumn("shard", dealt(x, shards)).withColumn("group", every(groups))
+    q = q.withColumn("group", dealt(q, groups)).withColumn("shard", every(shards))
+
+    def run(xs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        rows = lambda df: [(Vectors(r.ids, r.vecs, r.dim, r.size), r.dim) for r in df.itertuples(index=False)]
+        theirs = rows(xs) if len(qs) else []
+        for query, dim in rows(qs):
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query.ids]
+            for other, size in theirs:
+                if size == dim:
+                    search(query, other, best, k)
+            out.append((np.repeat(query.ids, [len(s) for s, _ in best]), np.concatenate([i for _, i in best]), np.concatenate([s for s, _ in best])))
+        ids, others, scores = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return pd.DataFrame({"query_id": ids, "vec_id": others, "score": scores})
+
+    found = x.groupBy("shard", "group").cogroup(q.groupBy("shard", "group")).applyInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from colloquy.llm import topk, urls
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("cell", [topk.CELL, (1, 1)])
+def test_topk(spark, cell, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", cell)
+    monkeypatch.setattr(topk, "BLOCK", 16 if cell == (1, 1) else 1024)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(300)]
     rows += [(300, rows[0][1], 0), (301, rows[0][1], 0), (302, None, 0), (303, [1.0, None] + [0.0] * 6, 0), (304, [float("nan")] * 8, 0), (305, [math.inf] + [0.0] * 7, 0), (350, [0.5, 0.5], 0), (351, [0.25, -1.0], 0), (None, [0.0] * 8, 0), (352, [], 0)]
