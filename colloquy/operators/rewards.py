@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.parsing import denied_before
 from colloquy.functions.texts import diagnosis_match, normalized
 from colloquy.operators.graph import mentioned
+from colloquy.sources.cache import cut
 
 TERMINAL = ("diagnose", "answer", "final_answer")
 
@@ -48,7 +49,7 @@ def collected(turns: DataFrame, edges: DataFrame) -> DataFrame:
     f = normalized(F.col("fact"))
     t = turns.select("episode_id", "turn_id", "disease", f.alias("_f")).where((F.col("_f") != "") & (F.lower(F.trim("fact")) != "unknown"))
     own = edges.select("disease", F.col("symptom").alias("_f"), F.lit(True).alias("_own")).distinct()
-    d = t.hint("merge").join(own, ["disease", "_f"], "left")
+    d = cut(t.hint("merge").join(own, ["disease", "_f"], "left"))  # read three times below
     rest = d.where("_own IS NULL")
     found = mentioned(rest.select("_f", F.col("_f").alias("_text")).distinct(), "_f", "_text", edges)
     rest = rest.hint("merge").join(found, "_f", "left")
@@ -65,7 +66,8 @@ def graph_turn_rewards(turns: DataFrame, edges: DataFrame, initial: DataFrame |
     weight, on top of the initial coverage; other items count as new facts only. The last turn adds the
     outcome of its diagnosis. A fact collected before its turn is a duplicate.
     """
-    own = edges.groupBy("disease", F.col("symptom").alias("item")).agg(F.max("weight").alias("_w"))
+    own = cut(edges.groupBy("disease", F.col("symptom").alias("item")).agg(F.max("weight").alias("_w")))  # read five times below
+    edges = own.select("disease", F.col("item").alias("symptom"))
     total = own.groupBy("disease").agg(F.sum("_w").alias("_total"))
     share = F.coalesce(F.col("_w") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0))
     first = collected(turns, edges).groupBy("episode_id", "disease", "item").agg(F.min("turn_id").alias("_first"))
@@ -74,7 +76,7 @@ def graph_turn_rewards(turns: DataFrame, edges: DataFrame, initial: DataFrame |
         start = initial.select("episode_id", normalized(F.col("fact")).alias("item")).distinct()
         start = start.hint("merge").join(cases, "episode_id").hint("merge").join(own, ["disease", "item"]).select("episode_id", "disease", "item")
         first = first.hint("merge").join(start, ["episode_id", "item"], "left_anti").unionByName(start.withColumn("_first", F.lit(-1).cast("long")))
-    first = first.hint("merge").join(own, ["disease", "item"], "left").hint("merge").join(total, "disease", "left")
+    first = cut(first.hint("merge").join(own, ["disease", "item"], "left").hint("merge").join(total, "disease", "left"))  # read three times below
     by_turn = first.groupBy("episode_id", F.col("_first").alias("turn_id")).agg(F.sum(share).alias("delta"), F.count("*").alias("_new"))
     before = by_turn.where("turn_id < 0").select("episode_id", F.col("delta").alias("_start"))
     seen = first.select("episode_id", F.col("item").alias("_f"), "_first")
