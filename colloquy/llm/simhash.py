@@ -141,6 +141,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with one row of each group: its least doc_id's. Rows that share that id, and rows without an id, stay."""
-    keep = materialize(grouped(docs.select("doc_id", "text"), words).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct())
+    keep = materialize(grouped(docs.select("doc_id", "text"), words).where("doc_id = component_id").select("doc_id").distinct())
     keep = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep.hint("merge")
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

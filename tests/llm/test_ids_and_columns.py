@@ -30,8 +30,9 @@ def big(spark):
 
 @pytest.mark.parametrize("name", DIGESTS)
 def test_ids_survive(big, name):
-    got = sorted((r["doc_id"] for r in DIGESTS[name](big).collect()), key=repr)
-    assert got == sorted(IDS, key=repr)
+    rows = DIGESTS[name](big).collect()
+    got = [r["doc_id"] for r in rows if name != "packing" or r["start"] == 0]  # packing cuts documents
+    assert sorted(got, key=repr) == sorted(IDS, key=repr)
 
 
 @pytest.mark.parametrize("stage", [quality.kept, near.representatives, simhash.representatives, suffixes.deduplicated])
