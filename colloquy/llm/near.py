@@ -7,8 +7,12 @@ find the rest. Exact set similarity decides on every candidate of either kind. T
 a bucket of one of BANDS bands if the ROWS minima of that band agree; at similarity 0.8
 all bands miss with a chance of (1 - 0.8^5)^32, 3 in a million, and less above. Equal
 sets are one node, so exact copies cost one row. A bucket first tests its members
-against its least and its greatest one, which links a large group of copies without its
-pairs; then every pair in a bucket whose members these links did not join is tested too.
+against its least and its most central one (whose buckets hold most rows: the text that the
+others were made from, if it is there), which links a large group of copies without its
+pairs. What these links did not join, in buckets with several components, is joined on
+shingles: two sets that are similar enough share one of the rarest n - ceil(0.8 n) + 1 of
+either, and copies that are not have their own changes there. So no pairs of a bucket
+are made, and none of its similar ones is lost.
 
 Texts under WORDS words are one shingle; texts without words are copies of each other.
 """
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm import simhash
@@ -91,13 +95,24 @@ def _similar(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return materialize(both.where((a + b) * same >= a * total).select("u", "v"))
 
 
-def _crossing(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs(u, v) in one bucket of members(bucket, key) whose nodes found(node, component) does not join."""
+def _crossing(members: DataFrame, found: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs(u, v) of nodes that found(node, component) does not join, from buckets of members(bucket, key) with several components: those whose sets share a shingle among their rarest."""
     named = materialize(members.hint("merge").join(found, members["key"] == found["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component")))
     split = materialize(named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
-    left = materialize(named.hint("merge").join(split, "bucket", "left_semi"))
-    u, v = left.select("bucket", F.col("key").alias("u"), F.col("component").alias("cu")), left.select("bucket", F.col("key").alias("v"), F.col("component").alias("cv"))
-    return u.hint("merge").join(v, "bucket").where("cu < cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left = materialize(named.hint("merge").join(split, "bucket", "left_semi").select("key", "component").distinct())
+    texts = prints.select("key", "text").hint("merge").join(left, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    sets = materialize(texts.mapInPandas(_sets, "key long, set array<long>"))
+    tokens = sets.select("key", F.size("set").alias("n"), F.explode("set").alias("token"))
+    often = materialize(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
+    a, b = SIMILAR
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("f", F.lit(1)), "token"))
+    rare = tokens.hint("merge").join(often, "token", "left").withColumn("place", place)
+    rare = rare.where(f"f IS NOT NULL AND place <= n - floor((n * {a} + {b - 1}) / {b}) + 1").select("key", "n", "token")
+    rare = materialize(rare.hint("merge").join(left, "key"))
+    discard(named, split, left, sets, often)
+    of = lambda c: rare.select("token", F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"))
+    met = of("u").hint("merge").join(of("v"), "token").where(f"cu < cv AND {b} * nu >= {a} * nv AND {b} * nv >= {a} * nu")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _balls(nodes: DataFrame) -> DataFrame:
@@ -113,16 +128,18 @@ def _balls(nodes: DataFrame) -> DataFrame:
 def _components(nodes: DataFrame, prints: DataFrame) -> DataFrame:
     """node, component of nodes(key, fp, buckets) that are similar to another."""
     rows = materialize(nodes.select("key", F.explode("buckets").alias("bucket")))
-    met = materialize(rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi"))
+    met = materialize(rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "lo", "n"))
     members = materialize(rows.hint("merge").join(met, "bucket"))
-    discard(rows, met)
-    ends = F.explode(F.array("lo", "hi"))
-    star = members.select("key", ends.alias("hub")).where("key <> hub").select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
+    company = members.groupBy("key").agg(F.sum("n").alias("company"))
+    mid = members.hint("merge").join(company, "key").groupBy("bucket").agg(F.max_by("key", F.struct("company", "key")).alias("mid"))
+    hubs = members.hint("merge").join(materialize(mid), "bucket").select("key", F.explode(F.array("lo", "mid")).alias("hub")).where("key <> hub")
+    star = hubs.select(F.least("key", "hub").alias("u"), F.greatest("key", "hub").alias("v"))
     star = materialize(star.union(_balls(nodes.select("key", "fp"))).distinct())
+    discard(rows, met)
     links = _similar(star, prints)
     found = materialize(components(links))
-    rest = materialize(_crossing(members.select("bucket", "key"), found).hint("merge").join(star, ["u", "v"], "left_anti"))
-    discard(star)
+    rest = materialize(_crossing(members.select("bucket", "key"), found, prints).hint("merge").join(star, ["u", "v"], "left_anti"))
+    discard(star, members)
     if rest.isEmpty():
         return found
     more = _similar(rest, prints)
@@ -136,7 +153,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     nodes = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *first))
     found = _components(nodes, prints)
     named = nodes.hint("merge").join(found, nodes["key"] == found["node"], "left")
-    keep = named.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("doc_id").alias("_id"))
-    keep = materialize(keep.where("_id IS NOT NULL").select("_id").distinct())
+    keep = named.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("doc_id").alias("doc_id"))
+    keep = materialize(keep.where("doc_id IS NOT NULL").select("doc_id").distinct())
+    discard(prints, nodes)
     keep = F.broadcast(keep) if keep.count() <= BROADCAST_IDS else keep.hint("merge")
-    return docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
