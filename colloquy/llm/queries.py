@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, packing, pii, quality, secrets, simhash, suffixes, tokenstore, topk, urls
+from colloquy.llm import bpe, chat, packing, pii, quality, runs, secrets, simhash, suffixes, tokenstore, topk, urls, variants
 from colloquy.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +61,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for k, r in enumerate(("user", "assistant"))))))
+    return chat.digest(rows.unionByName(extra))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_dedup, op2_url_filter, op3_exact_topk, op4_quality_rules, op5_packing, op6_pii, op7_byte_bpe, op8_token_store, op9_secret_scan, op10_suffix_dedup, quality_ablation)
+    for f in (op1_simhash_dedup, op2_url_filter, op3_exact_topk, op4_quality_rules, op5_packing, op6_pii, op7_byte_bpe, op8_token_store, op9_secret_scan, op10_suffix_dedup, op11_periodic_runs, op12_spelling_variants, op13_chat_format, quality_ablation)
 }
 
 _LEDGER = r"""
@@ -101,6 +117,15 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
     "op4_quality_rules": _LEDGER
     + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 'v2' AS policy FROM l""",
+    "op13_chat_format": r"""
+WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+e AS (SELECT *, length(regexp_replace(replace(text, '\', '\\'), '<s>|</s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]', '\0x', 'g')) AS n FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE role WHEN 'user' THEN length('[INST]  [/INST]') WHEN 'assistant' THEN length('</s>') ELSE length('<<SYS>>  <</SYS>>') END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
     "quality_ablation": _LEDGER
     + """, rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32), ('shouting', 64)) t(rule, b))
 SELECT rule, count(*) FILTER (WHERE fail_bits & b <> 0) AS rejected, count(*) FILTER (WHERE fail_bits = b) AS rejected_alone, count(*) FILTER (WHERE fail_bits & (127 - b) = 0) AS kept_without
