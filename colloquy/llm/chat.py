@@ -213,6 +213,8 @@ class _Expression:
             return out
         if word := self.take(*_WORDS):
             return ("const", _WORDS[word])
+        if self.take("-"):
+            return ("const", -self.need("int"))
         if self.at < len(self.tokens) and self.tokens[self.at][0] in ("str", "int"):
             self.at += 1
             return ("const", self.tokens[self.at - 1][1])
@@ -256,13 +258,11 @@ def parse(source: str) -> list[tuple]:
                 inner, _, _ = block(("endfor",), depth + 1)
                 out.append(("for", m[1], _Expression(m[2]).whole(), inner))
             elif word == "if":
-                arms, test = [], _Expression(more).whole()
-                while True:
-                    inner, word, more = block(("elif", "else", "endif") if test != ("const", True) or not arms else ("endif",), depth + 1)
+                arms: list[tuple] = []
+                while word != "endif":
+                    test = ("const", True) if word == "else" else _Expression(more).whole()
+                    inner, word, more = block(("endif",) if word == "else" else ("elif", "else", "endif"), depth + 1)
                     arms.append((test, inner))
-                    if word == "endif":
-                        break
-                    test = _Expression(more).whole() if word == "elif" else ("const", True)
                 out.append(("if", arms))
             elif word == "generation":
                 inner, _, _ = block(("endgeneration",), depth + 1)
