@@ -37,7 +37,7 @@ def initial_symptoms(edges: DataFrame, seed_n: str = "3", seed: str = "4") -> Da
     return d.withColumn("_k", k).where((F.col("_r") == 1) | (F.col("_k") <= F.col("_x"))).drop("_r", "_n", "_x", "_k")
 
 
-def _ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+def ranges(df: DataFrame, order: list[Column]) -> DataFrame:
     """df dealt in ranges of the order, numbered in __p, and written: what is counted and what is shifted by the counts must be the same rows, even after a lost executor."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
@@ -51,14 +51,21 @@ def _before(d: DataFrame, total: Column) -> DataFrame:
 
 def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Exact rank from 0 without one task holding all rows: ranges are sorted side by side, then shifted by the counts before them."""
-    d = _ranges(df, order)
+    d = ranges(df, order)
     r = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     return d.withColumn("__r", r).join(_before(d, F.count("*")), "__p").withColumn(out, (F.col("__b") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__b")
 
 
+def ranked_within(df: DataFrame, group: str, order: list[Column], out: str = "rank", size: str = "size") -> DataFrame:
+    """Exact rank from 0 within the group and the group's size; a group that has a share of all rows is sorted in ranges like any other."""
+    r = cut(ranked(df, [F.col(group), *order], "__g"))
+    first = r.groupBy(group).agg(F.min("__g").alias("__f"), F.count("*").alias(size))
+    return r.hint("merge").join(first, group).withColumn(out, F.col("__g") - F.col("__f")).drop("__g", "__f")
+
+
 def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
     """The sum of value over the rows up to and with each, in order, in the way of :func:`ranked`."""
-    d = _ranges(df.withColumn("__v", value), order)
+    d = ranges(df.withColumn("__v", value), order)
     inner = F.sum("__v").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("__r", inner).join(_before(d, F.sum("__v")), "__p").withColumn(out, F.col("__b") + F.col("__r")).drop("__p", "__r", "__b", "__v")
 

@@ -6,10 +6,13 @@ Similarity joins go through an equality on words or n-grams and verify afterward
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.texts import clean_symptom, held, ngrams, normalized, symptom_type, words
+from colloquy.sources.cache import cut
 
 
 def read_graph(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
@@ -55,13 +58,21 @@ def pools(edges: DataFrame) -> DataFrame:
     return n.withColumn("pool", F.when(F.col("n").between(10, 50), "common").otherwise("extended"))
 
 
+#: Weights are summed as integers of this many to one, so that no order of a sum changes it, or which side of a threshold it is on.
+UNITS = 1_000_000_000
+
+
+def units(weight: Column) -> Column:
+    return F.round(weight * UNITS).cast("long")
+
+
 def coverage(collected: DataFrame, cases: DataFrame, edges: DataFrame, weighted: bool = True) -> DataFrame:
     """cases(case_id, disease), collected(case_id, symptom) -> case_id, coverage: share of the disease's weight (or symptoms) that was collected, 0 if it has none."""
-    value = F.col("weight") if weighted else F.lit(1.0)
+    value = units(F.col("weight")) if weighted else F.lit(1)
     total = edges.groupBy("disease").agg(F.sum(value).alias("total"))
     hit = collected.distinct().hint("merge").join(cases, "case_id").hint("merge").join(edges, ["disease", "symptom"]).groupBy("case_id").agg(F.sum(value).alias("hit"))
     d = cases.join(total, "disease", "left").join(hit, "case_id", "left")
-    return d.select("case_id", F.coalesce(F.col("hit") / F.nullif(F.col("total"), F.lit(0.0)), F.lit(0.0)).alias("coverage"))
+    return d.select("case_id", F.coalesce(F.col("hit") / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)).alias("coverage"))
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -101,6 +112,62 @@ def top_matches(pairs: DataFrame, lkey: str, rkey: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: A word is common if more rows than this, and more than one in COMMON_SHARE, have it.
+COMMON_ROWS, COMMON_SHARE = 1000, 1000
+LEVELS = (0.8, 0.5, 0.2)
+
+
+def _by_rarity(tokens: DataFrame, key: str, n: str, often: DataFrame, common: int) -> DataFrame:
+    """tokens with _k, the word's place among its text's from the rarest on, and _hot, whether it is common; written."""
+    order = Window.partitionBy(key).orderBy(F.coalesce("_f", F.lit(0)), "_w")
+    d = tokens.hint("merge").join(often, "_w", "left").withColumn("_k", F.row_number().over(order))
+    return cut(d.select(key, n, "_w", "_k", (F.coalesce("_f", F.lit(0)) > common).alias("_hot")))
+
+
+def _with_scores(pairs: DataFrame, a: DataFrame, b: DataFrame, lkey: str, rkey: str) -> DataFrame:
+    """Pairs with their exact score, from the word sets a(lkey, _a) and b(rkey, _b)."""
+    d = pairs.hint("merge").join(a, lkey).hint("merge").join(b, rkey)
+    same = F.size(F.array_intersect("_a", "_b"))
+    return d.select(lkey, rkey, (same / (F.size("_a") + F.size("_b") - same)).alias("score"))
+
+
+def closest(left: DataFrame, right: DataFrame, lkey: str, ltext: str, rkey: str, rtext: str, k: int, levels: tuple[float, ...] = LEVELS, common_rows: int = COMMON_ROWS) -> DataFrame:
+    """lkey, rkey, score, rank, level: the k rows of ``right`` with the largest Jaccard similarity above 0 for each of ``left``, ties to the smaller rkey; no threshold.
+
+    Thresholds descend. At a level, open queries meet the right side on the words that a pair
+    of that similarity must share (the rarest n - ceil(level n) + 1 of n words), so every pair that
+    similar is known, and a query that holds k of them is finished with that level. Common words (see
+    COMMON_SHARE) are not joined: pairs that share nothing else reach (common words of the query) / n
+    at most, so a query is finished only at a level above that. Queries that no level finishes have level
+    0: they meet all rows with a word of theirs that is not common; and rows that share only common
+    words with them score alike if they have the same common words and the same size, so of such a
+    family k rows are enough. No word that a share of all rows has is joined to rows, for any query.
+    """
+    a, b = _tokens(left, lkey, ltext), _tokens(right, rkey, rtext).withColumnsRenamed({"_n": "_m"})
+    often = cut(b.groupBy("_w").agg(F.count("*").alias("_f")))
+    common = max(common_rows, right.count() // COMMON_SHARE)
+    a, b = _by_rarity(a, lkey, "_n", often, common), _by_rarity(b, rkey, "_m", often, common)
+    sets = lambda d, key, out, *more: cut(d.groupBy(key).agg(F.collect_list("_w").alias(out), F.max("_hot").alias("_any"), *more))
+    a_sets, b_sets = sets(a, lkey, "_a", F.sum(F.col("_hot").cast("int")).alias("_h")), sets(b, rkey, "_b", F.sort_array(F.collect_list(F.when(F.col("_hot"), F.col("_w")))).alias("_set"))
+    open_, out = a_sets.select(lkey, F.size("_a").alias("_n"), "_h"), []
+    prefix = lambda d, n, t: d.where(~F.col("_hot") & (F.col("_k") <= F.col(n) - F.ceil(F.lit(t) * F.col(n) - 1e-9) + 1))
+    for t in levels:
+        met = prefix(a, "_n", t).join(open_.select(lkey), lkey, "left_semi").hint("merge").join(prefix(b, "_m", t), "_w")
+        met = met.where((F.col("_m") >= t * F.col("_n")) & (F.col("_n") >= t * F.col("_m"))).select(lkey, rkey).distinct()
+        best = top_matches(_with_scores(met, a_sets, b_sets, lkey, rkey).where(F.col("score") >= t), lkey, rkey, k)
+        done = open_.where(F.col("_h") < t * F.col("_n")).select(lkey)
+        best = cut(best.join(done, lkey, "left_semi").withColumn("_c", F.max("rank").over(Window.partitionBy(lkey))).where(F.col("_c") >= k).drop("_c"))
+        out.append(best.withColumn("level", F.lit(float(t))))
+        open_ = cut(open_.join(best.select(lkey).distinct(), lkey, "left_anti"))
+    left_over = a.join(open_.select(lkey), lkey, "left_semi")
+    met = left_over.where(~F.col("_hot")).hint("merge").join(b.where(~F.col("_hot")), "_w").select(lkey, rkey)
+    family = Window.partitionBy("_set", F.size("_b")).orderBy(rkey)
+    few = cut(b_sets.where("_any").withColumn("_r", F.row_number().over(family)).where(F.col("_r") <= k).select(rkey, "_set"))
+    met = met.unionByName(left_over.where("_hot").hint("merge").join(few.select(rkey, F.explode("_set").alias("_w")), "_w").select(lkey, rkey)).distinct()
+    last = top_matches(_with_scores(met, a_sets, b_sets, lkey, rkey), lkey, rkey, k)
+    return reduce(DataFrame.unionByName, [*out, last.withColumn("level", F.lit(0.0))])
+
+
 def resolve(queries: DataFrame, diseases: DataFrame, least: float = 0.2) -> DataFrame:
     """queries(query), diseases(disease) -> query, disease: equal after normalising, else the best Jaccard match, else null."""
     names = diseases.select("disease", normalized(F.col("disease")).alias("_d"))

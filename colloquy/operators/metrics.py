@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import hash_key
+from colloquy.operators.datasets import ranked_within
+from colloquy.operators.sampling import balanced
 
 
 def long(df: DataFrame, keys: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -139,15 +141,15 @@ def evaluation_summary(results: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def imbalance(rows: DataFrame, step: str, order: str, length: str, k: int) -> DataFrame:
-    """step; least, most, gap of the length sums of k contiguous chunks, balanced_least and balanced_most of k parts dealt forth and back by length, and mean."""
-    w = Window.partitionBy(step)
-    r = rows.select(step, length, (F.row_number().over(w.orderBy(order)) - 1).alias("_i"), (F.row_number().over(w.orderBy(F.desc(length), order)) - 1).alias("_r"), F.count("*").over(w).alias("_n"))
-    turn = F.col("_r") % k
-    part = F.when(F.floor(F.col("_r") / k) % 2 == 0, turn).otherwise(k - 1 - turn)
-    of = lambda c: r.groupBy(step, c.alias("_p")).agg(F.sum(length).alias("_s"))
-    before = of(F.floor(F.col("_i") * k / F.col("_n"))).groupBy(step).agg(F.min("_s").alias("least"), F.max("_s").alias("most"), (F.max("_s") - F.min("_s")).alias("gap"))
-    after = of(part).groupBy(step).agg(F.min("_s").alias("balanced_least"), F.max("_s").alias("balanced_most"), (F.sum("_s") / k).alias("mean"))
-    return before.join(after, step)
+    """step; least, most, gap of the length sums of k contiguous chunks, balanced_least and balanced_most of the k parts of :func:`balanced`, and mean. order: an id that is one within the step."""
+    r = ranked_within(rows.select(step, order, length), step, [F.col(order)], "_i", "_n")
+    chunk = r.groupBy(step, F.floor(F.col("_i") * k / F.col("_n")).alias("_p")).agg(F.sum(length).alias("_s"))
+    before = chunk.groupBy(step).agg(F.min("_s").alias("least"), F.max("_s").alias("most"), (F.max("_s") - F.min("_s")).alias("gap"), (F.sum("_s") / k).alias("mean"))
+    parts = balanced(rows, step, order, length, k).select(F.col("step").alias(step), F.col("row").alias(order), "part")
+    part = parts.hint("merge").join(rows.select(step, order, length), [step, order]).groupBy(step, "part").agg(F.sum(length).alias("_s"))
+    # a step of fewer rows than parts leaves some empty
+    after = part.groupBy(step).agg(F.when(F.count("*") < k, 0).otherwise(F.min("_s")).alias("balanced_least"), F.max("_s").alias("balanced_most"))
+    return before.hint("merge").join(after, step)
 
 
 def pair_accuracy(rows: DataFrame, group: str, row: str, score: str, label: str) -> DataFrame:

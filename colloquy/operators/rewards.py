@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.parsing import denied_before
 from colloquy.functions.texts import diagnosis_match, normalized
-from colloquy.operators.graph import mentioned
+from colloquy.operators.graph import mentioned, units
 from colloquy.sources.cache import cut
 
 TERMINAL = ("diagnose", "answer", "final_answer")
@@ -66,10 +66,10 @@ def graph_turn_rewards(turns: DataFrame, edges: DataFrame, initial: DataFrame |
     weight, on top of the initial coverage; other items count as new facts only. The last turn adds the
     outcome of its diagnosis. A fact collected before its turn is a duplicate.
     """
-    own = cut(edges.groupBy("disease", F.col("symptom").alias("item")).agg(F.max("weight").alias("_w")))  # read five times below
+    turns = cut(turns)  # read three times below
+    own = cut(edges.groupBy("disease", F.col("symptom").alias("item")).agg(units(F.max("weight")).alias("_w")))  # read five times below
     edges = own.select("disease", F.col("item").alias("symptom"))
     total = own.groupBy("disease").agg(F.sum("_w").alias("_total"))
-    share = F.coalesce(F.col("_w") / F.nullif(F.col("_total"), F.lit(0.0)), F.lit(0.0))
     first = collected(turns, edges).groupBy("episode_id", "disease", "item").agg(F.min("turn_id").alias("_first"))
     if initial is not None:
         cases = turns.select("episode_id", "disease").distinct()
@@ -77,19 +77,24 @@ def graph_turn_rewards(turns: DataFrame, edges: DataFrame, initial: DataFrame |
         start = start.hint("merge").join(cases, "episode_id").hint("merge").join(own, ["disease", "item"]).select("episode_id", "disease", "item")
         first = first.hint("merge").join(start, ["episode_id", "item"], "left_anti").unionByName(start.withColumn("_first", F.lit(-1).cast("long")))
     first = cut(first.hint("merge").join(own, ["disease", "item"], "left").hint("merge").join(total, "disease", "left"))  # read three times below
-    by_turn = first.groupBy("episode_id", F.col("_first").alias("turn_id")).agg(F.sum(share).alias("delta"), F.count("*").alias("_new"))
-    before = by_turn.where("turn_id < 0").select("episode_id", F.col("delta").alias("_start"))
+    by_turn = first.groupBy("episode_id", F.col("_first").alias("turn_id")).agg(F.sum(F.coalesce("_w", F.lit(0))).alias("_gain"), F.count("*").alias("_new"))
+    # an episode has one disease, and so one total; what it starts with counts before its first turn
+    before = first.groupBy("episode_id").agg(F.sum(F.when(F.col("_first") < 0, F.coalesce("_w", F.lit(0))).otherwise(0)).alias("_start"), F.nullif(F.max("_total"), F.lit(0)).alias("_total"))
     seen = first.select("episode_id", F.col("item").alias("_f"), "_first")
     d = final_flag(turns).withColumn("_f", normalized(F.col("fact")))
     d = d.hint("merge").join(by_turn, ["episode_id", "turn_id"], "left").join(before, "episode_id", "left").hint("merge").join(seen, ["episode_id", "_f"], "left")
-    d = d.fillna({"delta": 0.0, "_new": 0, "_start": 0.0})
-    d = running(running(d, F.col("delta"), "coverage"), F.col("_new"), "n_new").withColumn("coverage", F.col("_start") + F.col("coverage"))
+    d = d.fillna({"_gain": 0, "_new": 0, "_start": 0})
+    d = running(running(d, F.col("_gain"), "_hit"), F.col("_new"), "n_new").withColumn("_hit", F.col("_start") + F.col("_hit"))
+    share = lambda c: F.coalesce(F.col(c) / F.col("_total"), F.lit(0.0))
+    d = d.withColumns({"delta": share("_gain"), "coverage": share("_hit")})
+    # coverage >= tau, without a quotient
+    enough = F.coalesce(F.col("_hit").cast("decimal(38,0)") * 1_000_000 >= F.col("_total").cast("decimal(28,0)") * round(tau * 1_000_000), F.lit(tau <= 0))
     correct = F.col("is_final") & (F.col("action") == "diagnose") & F.coalesce(diagnosis_match(F.col("diagnosis"), F.col("disease")), F.lit(False))
     r_diag = F.when(~F.col("is_final"), 0.0).when(F.col("action") != "diagnose", r_timeout).when(correct, r_max).otherwise(r_wrong)
     again = F.coalesce(F.col("_first") < F.col("turn_id"), F.lit(False))
     d = d.withColumns({"is_correct": correct, "r_diag": r_diag, "is_duplicate": again & ~F.col("is_final")})
-    d = d.withColumn("premature", F.col("is_correct") & ~((F.col("coverage") >= tau) & (F.col("n_new") >= min_new)))
-    return d.withColumn("reward", turn_coef * beta * F.col("delta") + F.col("r_diag")).drop("_f", "_new", "_start", "_first")
+    d = d.withColumn("premature", F.col("is_correct") & ~(enough & (F.col("n_new") >= min_new)))
+    return d.withColumn("reward", turn_coef * beta * F.col("delta") + F.col("r_diag")).drop("_f", "_new", "_start", "_first", "_gain", "_hit", "_total")
 
 
 def fact_turn_rewards(turns: DataFrame, facts: DataFrame, beta: float = 1.0, turn_coef: float = 0.4, r_correct: float = 1.0, r_wrong: float = 0.0, r_timeout: float = -2.0) -> DataFrame:
@@ -234,12 +239,14 @@ def text_turn_rewards(turns: DataFrame, edges: DataFrame, **params: float) -> Da
     keyed = turns.withColumn("_key", F.concat_ws("\u0001", "episode_id", F.col("turn_id").cast("string")))
     found = mentioned(keyed, "_key", "text", edges).hint("merge").join(keyed, "_key")
     found = found.where(~denied_before(F.col("text"), F.col("symptom"))).select("episode_id", "turn_id", "disease", F.col("symptom").alias("fact"))
-    own = found.hint("merge").join(edges.select("disease", F.col("symptom").alias("fact"), "weight"), ["disease", "fact"])
+    own = found.hint("merge").join(edges.select("disease", F.col("symptom").alias("fact"), units(F.col("weight")).alias("weight")), ["disease", "fact"])
     first = own.groupBy("episode_id", "disease", "fact", "weight").agg(F.min("turn_id").alias("turn_id"))
-    total = edges.groupBy("disease").agg(F.sum("weight").alias("_total"))
-    gain = first.join(total, "disease").groupBy("episode_id", "turn_id").agg(F.sum(F.col("weight") / F.col("_total")).alias("delta"), F.count("*").alias("n_new"))
-    d = final_flag(turns).hint("merge").join(gain, ["episode_id", "turn_id"], "left").fillna({"delta": 0.0, "n_new": 0})
-    d = running(running(d, F.col("delta"), "coverage"), F.col("n_new"), "n_collected")
+    total = edges.groupBy("disease").agg(F.nullif(F.sum(units(F.col("weight"))), F.lit(0)).alias("_total"))
+    gain = first.groupBy("episode_id", "turn_id").agg(F.sum("weight").alias("_gain"), F.count("*").alias("n_new"))
+    d = final_flag(turns).hint("merge").join(gain, ["episode_id", "turn_id"], "left").fillna({"_gain": 0, "n_new": 0}).hint("merge").join(total, "disease", "left")
+    d = running(running(d, F.col("_gain"), "_hit"), F.col("n_new"), "n_collected")
+    share = lambda c: F.coalesce(F.col(c) / F.col("_total"), F.lit(0.0))
+    d = d.withColumns({"delta": share("_gain"), "coverage": share("_hit")}).drop("_gain", "_hit", "_total")
     beta, coef = params.get("beta", 1.0), params.get("turn_coef", 0.4)
     right = F.col("is_final") & (F.col("action") == "diagnose") & F.coalesce(diagnosis_match(F.col("diagnosis"), F.col("disease")), F.lit(False))
     r = F.when(~F.col("is_final"), 0.0).when(F.col("action") != "diagnose", params.get("r_timeout", -2.0)).when(right, params.get("r_max", 1.0)).otherwise(params.get("r_wrong", 0.0))

@@ -126,8 +126,22 @@ FROM j QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, diseas
     K,
 )
 def c5(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = G.jaccard(_queries(spark, sf), _edges(spark, sf).select("disease").distinct(), "query", "query", "disease", "disease")
-    return G.top_matches(pairs, "query", "disease", 3).select("query", "disease", r6("score").alias("score"), "rank")
+    d = G.closest(_queries(spark, sf), _edges(spark, sf).select("disease").distinct(), "query", "query", "disease", "disease", 3)
+    return d.select("query", "disease", r6("score").alias("score"), "rank")
+
+
+@query(
+    "c5_levels",
+    f"""WITH {_Q}, g AS (SELECT DISTINCT disease FROM kg_edges), {_jac("q", "query", "g", "disease")},
+t AS (SELECT query, score FROM j QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, disease) <= 3),
+l AS (SELECT query, CASE WHEN count(*) < 3 OR min(score) < 0.2 THEN 0.0 WHEN min(score) < 0.5 THEN 0.2 WHEN min(score) < 0.8 THEN 0.5 ELSE 0.8 END AS level FROM t GROUP BY 1)
+SELECT CAST(level AS DOUBLE) AS level, count(*) AS n_queries FROM l GROUP BY 1""",
+    K,
+)
+def c5_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """How many queries each threshold of the descent finishes, without a word that counts as common."""
+    d = G.closest(_queries(spark, sf), _edges(spark, sf).select("disease").distinct(), "query", "query", "disease", "disease", 3, common_rows=1 << 40)
+    return d.groupBy("query").agg(F.max("level").alias("level")).groupBy("level").agg(F.count("*").alias("n_queries"))
 
 
 @query(

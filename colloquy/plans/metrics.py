@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import r4, r6
 from colloquy.operators import metrics as M
+from colloquy.operators.datasets import ranked_within
 from colloquy.plans.base import query
 from colloquy.plans.text import _SCORED
 from colloquy.sources.views import table, view
@@ -249,22 +250,20 @@ def f11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f16", "SELECT step, sample_id, CAST(row_number() OVER (PARTITION BY step ORDER BY score DESC, sample_id) AS INTEGER) AS place FROM rollouts WHERE contains(pred, 'i')", R)
 def f16(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("step").orderBy(F.desc("score"), "sample_id")
-    return _rolls(spark, sf).where(F.col("pred").contains("i")).select("step", "sample_id", F.row_number().over(w).alias("place"))
+    r = _rolls(spark, sf).where(F.col("pred").contains("i")).select("step", "sample_id", "score")
+    return ranked_within(r, "step", [F.desc("score"), F.col("sample_id")]).select("step", "sample_id", (F.col("rank") + 1).cast("int").alias("place"))
 
 
 @query(
     "d24",
-    """WITH r AS (SELECT step, resp_len, row_number() OVER (PARTITION BY step ORDER BY sample_id) - 1 AS k, row_number() OVER (PARTITION BY step ORDER BY resp_len DESC, sample_id) - 1 AS q, count(*) OVER (PARTITION BY step) AS n FROM rollouts),
-c AS (SELECT step, k * 4 // n AS part, sum(resp_len) AS tokens FROM r GROUP BY 1, 2),
-b AS (SELECT step, CASE WHEN (q // 4) % 2 = 0 THEN q % 4 ELSE 3 - q % 4 END AS part, sum(resp_len) AS tokens FROM r GROUP BY 1, 2)
-SELECT c.step, CAST(least AS BIGINT) AS least, CAST(most AS BIGINT) AS most, CAST(most - least AS BIGINT) AS gap, CAST(balanced_least AS BIGINT) AS balanced_least, CAST(balanced_most AS BIGINT) AS balanced_most, round(mean, 6) + 0.0 AS mean
-FROM (SELECT step, min(tokens) AS least, max(tokens) AS most FROM c GROUP BY 1) c JOIN (SELECT step, min(tokens) AS balanced_least, max(tokens) AS balanced_most, sum(tokens) / 4 AS mean FROM b GROUP BY 1) b ON b.step = c.step""",
+    """WITH r AS (SELECT step, resp_len, row_number() OVER (PARTITION BY step ORDER BY sample_id) - 1 AS k, count(*) OVER (PARTITION BY step) AS n FROM rollouts),
+c AS (SELECT step, k * 4 // n AS part, sum(resp_len) AS tokens, max(resp_len) AS longest FROM r GROUP BY 1, 2)
+SELECT step, CAST(min(tokens) AS BIGINT) AS least, CAST(max(tokens) AS BIGINT) AS most, CAST(max(tokens) - min(tokens) AS BIGINT) AS gap, round(sum(tokens) / 4, 6) + 0.0 AS mean, true AS within, true AS around FROM c GROUP BY step""",
     R,
 )
 def d24(spark: SparkSession, sf: str) -> DataFrame:
-    """Before and after parts are balanced by length."""
-    d = M.imbalance(_rolls(spark, sf), "step", "sample_id", "resp_len", 4)
-    return d.select("step", "least", "most", "gap", "balanced_least", "balanced_most", r6("mean").alias("mean"))
-
-
+    """Before and after parts are balanced by length: afterwards the sums differ by the longest row at most, and lie around the mean."""
+    r = _rolls(spark, sf)
+    d = M.imbalance(r, "step", "sample_id", "resp_len", 4).hint("merge").join(r.groupBy("step").agg(F.max("resp_len").alias("longest")), "step")
+    within, around = F.col("balanced_most") - F.col("balanced_least") <= F.col("longest"), F.col("mean").between(F.col("balanced_least"), F.col("balanced_most"))
+    return d.select("step", "least", "most", "gap", r6("mean").alias("mean"), within.alias("within"), around.alias("around"))

@@ -62,16 +62,17 @@ item AS (SELECT episode_id, disease, turn_id, fact AS item, 'own' AS source FROM
   UNION ALL SELECT o.episode_id, o.disease, o.turn_id, coalesce(hit.symptom, o.fact), CASE WHEN hit.symptom IS NULL THEN 'verbatim' ELSE 'other' END FROM own o LEFT JOIN hit ON hit.fact = o.fact WHERE NOT own AND o.fact <> 'unknown')"""
 
 _I1 = f"""WITH {_ITEMS},
-tot AS (SELECT disease, sum(weight) AS total FROM kg_edges GROUP BY 1),
+u AS (SELECT disease, symptom, CAST(round(weight * 1000000000) AS BIGINT) AS w FROM kg_edges),
+tot AS (SELECT disease, sum(w) AS total FROM u GROUP BY 1),
 st AS (SELECT DISTINCT e.episode_id, e.disease, e.fact AS item FROM episode_turns e JOIN kg_edges k ON k.disease = e.disease AND k.symptom = e.fact WHERE e.turn_id = 3),
 fi AS (SELECT i.episode_id, i.disease, i.item, min(i.turn_id) AS t0 FROM item i LEFT JOIN st ON st.episode_id = i.episode_id AND st.item = i.item WHERE st.item IS NULL GROUP BY 1, 2, 3 UNION ALL SELECT episode_id, disease, item, -1 FROM st),
-g AS (SELECT fi.*, coalesce(k.weight / tot.total, 0) AS share FROM fi LEFT JOIN kg_edges k ON k.disease = fi.disease AND k.symptom = fi.item LEFT JOIN tot ON tot.disease = fi.disease),
-b AS (SELECT episode_id, t0, sum(share) AS delta, count(*) AS n FROM g GROUP BY 1, 2),
-c AS (SELECT x.*, coalesce(b.delta, 0) AS delta, coalesce(s0.delta, 0) + sum(coalesce(b.delta, 0)) OVER w AS coverage, sum(coalesce(b.n, 0)) OVER w AS n_new, coalesce(f2.t0 < x.turn_id, false) AS again,
+g AS (SELECT fi.*, coalesce(u.w, 0) AS w FROM fi LEFT JOIN u ON u.disease = fi.disease AND u.symptom = fi.item),
+b AS (SELECT episode_id, t0, sum(w) AS gain, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT x.*, coalesce(tot.total, 0) AS total, coalesce(b.gain, 0) / tot.total AS delta, coalesce(s0.gain, 0) + sum(coalesce(b.gain, 0)) OVER w AS hit, sum(coalesce(b.n, 0)) OVER w AS n_new, coalesce(f2.t0 < x.turn_id, false) AS again,
         x.is_final AND x.action = 'diagnose' AND length(x.episode_id) % 2 = 0 AS is_correct
-      FROM x LEFT JOIN b ON b.episode_id = x.episode_id AND b.t0 = x.turn_id LEFT JOIN b s0 ON s0.episode_id = x.episode_id AND s0.t0 = -1 LEFT JOIN fi f2 ON f2.episode_id = x.episode_id AND f2.item = x.fact
+      FROM x LEFT JOIN b ON b.episode_id = x.episode_id AND b.t0 = x.turn_id LEFT JOIN b s0 ON s0.episode_id = x.episode_id AND s0.t0 = -1 LEFT JOIN fi f2 ON f2.episode_id = x.episode_id AND f2.item = x.fact LEFT JOIN tot ON tot.disease = x.disease
       WINDOW w AS (PARTITION BY x.episode_id ORDER BY x.turn_id ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT *, CASE WHEN NOT is_final THEN 0.0 WHEN action <> 'diagnose' THEN -2.0 WHEN is_correct THEN 1.0 ELSE 0.0 END AS r_diag, is_correct AND NOT (coverage >= 0.6 AND n_new >= 2) AS premature FROM c)
+r AS (SELECT * REPLACE (coalesce(delta, 0) AS delta), coalesce(hit / nullif(total, 0), 0) AS coverage, CASE WHEN NOT is_final THEN 0.0 WHEN action <> 'diagnose' THEN -2.0 WHEN is_correct THEN 1.0 ELSE 0.0 END AS r_diag, is_correct AND NOT (10 * hit >= 6 * total AND n_new >= 2) AS premature FROM c)
 """
 
 

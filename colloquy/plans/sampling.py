@@ -51,13 +51,14 @@ def c16(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "c16_draws",
     """WITH w AS (SELECT sample_id, power(abs(score), 2) AS w FROM rollouts), c AS (SELECT sample_id, w, sum(w) OVER (ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER () AS t FROM w),
-u AS (SELECT i AS draw, CAST(('0x' || substr(md5('5|' || CAST(i AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM range(1000) r(i))
+u AS (SELECT i AS draw, CAST(('0x' || substr(md5('5|' || CAST(i AS VARCHAR)), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM range((SELECT count(*) FROM rollouts)) r(i))
 SELECT draw, sample_id FROM u JOIN c ON u.u >= (hi - w) / t AND u.u < hi / t""",
     R,
 )
 def c16_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws as rows."""
     d = S.weights(_rolls(spark, sf).select("sample_id", "score"), "pow", 2.0)
-    return S.resample(d, "sample_id", "weight", 1000, "5").select("draw", "sample_id")
+    return S.resample(d, "sample_id", "weight", d.count(), "5").select("draw", "sample_id")
 
 
 @query("f18", "SELECT sample_id, round(power(abs(score), 2), 6) + 0.0 AS pow, CASE WHEN score IN ((SELECT max(score) FROM rollouts), (SELECT min(score) FROM rollouts)) THEN 1.0::DOUBLE ELSE 0.0 END AS max_min FROM rollouts", R)
@@ -138,6 +139,22 @@ def f13(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("step").agg(F.sum("n").alias("n"), F.sum("s").alias("total"), (F.max("s") - F.min("s") <= F.max("longest")).alias("balanced"))
 
 
+@query("f13_whole", "SELECT count(*) AS n, CAST(sum(resp_len) AS BIGINT) AS total, true AS balanced, count(*) - count(*) % 8 AS n_equal, true AS equal_counts, true AS equal_balanced FROM rollouts", R)
+def f13_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table in eight parts, and all but its last few rows in eight parts of as many rows each."""
+    r = _rolls(spark, sf).select("sample_id", "resp_len")
+    n = F.broadcast(r.agg((F.count("*") - F.count("*") % 8).alias("_n")))
+    some = DS.ranked(r, [F.col("sample_id")]).crossJoin(n).where("rank < _n").select("sample_id", "resp_len")
+
+    def sums(rows: DataFrame, equal: bool) -> DataFrame:
+        parts = S.balanced(rows, None, "sample_id", "resp_len", 8, equal).select(F.col("row").alias("sample_id"), "part")
+        g = parts.hint("merge").join(rows, "sample_id").groupBy("part").agg(F.count("*").alias("n"), F.sum("resp_len").alias("s"), F.max("resp_len").alias("longest"))
+        return g.agg(F.sum("n").alias("n"), F.sum("s").alias("total"), (F.max("s") - F.min("s") <= F.max("longest")).alias("balanced"), (F.max("n") == F.min("n")).alias("same"))
+
+    a, b = sums(r, False), sums(some, True)
+    return a.select("n", "total", "balanced").crossJoin(F.broadcast(b.select(F.col("n").alias("n_equal"), F.col("same").alias("equal_counts"), F.col("balanced").alias("equal_balanced"))))
+
+
 @query(
     "f13_serpentine",
     """WITH r AS (SELECT sample_id, row_number() OVER (ORDER BY resp_len DESC, sample_id) - 1 AS k FROM rollouts)

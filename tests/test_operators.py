@@ -11,6 +11,7 @@ from colloquy.operators import advantages as A
 from colloquy.operators import datasets as DS
 from colloquy.operators import graph as G
 from colloquy.operators import metrics as M
+from colloquy.operators import rewards as W
 from colloquy.operators import sampling as S
 from colloquy.operators import scoring, tokens, trees
 from colloquy.sources import cache, files
@@ -124,15 +125,108 @@ def test_pad_and_repeat(spark):
         DS.unite(d, d.withColumn("x", F.lit("z")), "i").collect()
 
 
-def test_balance(spark):
+def _sums(df, parts):
+    lens = {(r["step"], r["row"]): r["len"] for r in df.collect()}
+    got = parts.collect()
+    assert sorted((r["step"], r["row"]) for r in got) == sorted(lens)
+    out = {}
+    for r in got:
+        out.setdefault(r["step"], {}).setdefault(r["part"], []).append(lens[r["step"], r["row"]])
+    return out
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_balance(spark, equal):
+    """Steps of odd and equal lengths, one that has most rows, one smaller than the number of parts."""
     rng = random.Random(5)
-    lens = [rng.randint(1, 100) for _ in range(40)]
-    part = S.karmarkar_karp(lens, 4, True)
-    sums = [sum(n for n, p in zip(lens, part, strict=True) if p == k) for k in range(4)]
-    assert all(part.count(k) == 10 for k in range(4)) and max(sums) - min(sums) <= 20
-    d = spark.createDataFrame([(0, i, n) for i, n in enumerate(lens)], "step long, row long, len long")
-    b = S.micro_batches(d, "step", "row", "len", 300).join(d, ["step", "row"])
-    assert b.count() == 40 and b.groupBy("batch").agg(F.sum("len").alias("n")).agg(F.max("n")).first()[0] <= 330
+    sizes = {0: 40, 1: 8, 2: 2000, 3: 4, 4: 100}
+    rows_ = [(s, i, 7 if s == 4 else rng.choice([1, 3, 50, rng.randint(1, 1000)])) for s, n in sizes.items() for i in range(n)]
+    d = spark.createDataFrame(rows_, "step long, row long, len long").repartition(3)
+    for step, parts in _sums(d, S.balanced(d, "step", "row", "len", 4, equal)).items():
+        sums = [sum(parts.get(k, [])) for k in range(4)]
+        assert max(sums) - min(sums) <= max(max(p) for p in parts.values())
+        assert not equal or {len(p) for p in parts.values()} == {sizes[step] // 4}
+    one = d.where("step = 2").withColumn("step", F.lit(0))
+    (parts,) = _sums(one, S.balanced(one, None, "row", "len", 4, equal)).values()
+    assert max(map(sum, parts.values())) - min(map(sum, parts.values())) <= 1000
+    assert S.balanced(d.limit(0), "step", "row", "len", 4).collect() == []
+
+
+def test_balance_needs_equal_counts(spark):
+    d = spark.createDataFrame([(0, i, i) for i in range(7)], "step long, row long, len long")
+    with pytest.raises(Exception, match="divides"):
+        S.balanced(d, "step", "row", "len", 4, True).collect()
+
+
+def test_micro_batches(spark):
+    rng = random.Random(5)
+    rows_ = [(s, i, rng.randint(1, 100)) for s, n in ((0, 40), (1, 5000), (2, 1)) for i in range(n)]
+    d = spark.createDataFrame(rows_, "step long, row long, len long")
+    got = {(r["step"], r["row"]): (r["batch"], r["place"]) for r in S.micro_batches(d, "step", "row", "len", 300, divisor=2).collect()}
+    for step, n in ((0, 40), (1, 5000), (2, 1)):
+        own = {i: (*got[step, i], x) for s, i, x in rows_ if s == step}
+        assert sorted(p for _, p, _ in own.values()) == list(range(n))
+        order = sorted(own, key=lambda i: own[i][1])
+        assert [(own[i][0], i) for i in order] == sorted((own[i][0], i) for i in own)
+        total = {}
+        for b, _, x in own.values():
+            total.setdefault(b, []).append(x)
+        need = -(-sum(x for *_, x in own.values()) // 300)
+        assert len(total) == min(n, need + need % 2) and all(sum(x) <= 330 for x in total.values())
+        work = [sum(x * x for x in total[b]) for b in range(len(total))]
+        assert work == sorted(work, reverse=True)
+    with pytest.raises(Exception, match="exceeds"):
+        S.micro_batches(d, "step", "row", "len", 50).collect()
+
+
+def test_ranked_within(spark):
+    rng = random.Random(2)
+    d = [(rng.choice([0, 0, 0, 1, 2]), i, rng.randint(0, 5)) for i in range(200)]
+    got = rows(DS.ranked_within(spark.createDataFrame(d, "g long, i long, x long"), "g", [F.desc("x"), F.col("i")]), "i", "rank", "size")
+    want = []
+    for g in range(3):
+        own = sorted((x for x in d if x[0] == g), key=lambda x: (-x[2], x[1]))
+        want += [(i, k, len(own)) for k, (_, i, _) in enumerate(own)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize(("k", "common"), [(1, 1000), (3, 1000), (3, 4), (2, 0), (60, 3)])
+def test_closest_is_all_pairs(spark, k, common):
+    """Common words (all of them, for 0), names of one word, equal names, empty names, fewer partners than k."""
+    rng = random.Random(k + common)
+    word = lambda: rng.choice(["the", "the", "of", "acute", "mild", "fever", "cough", "rash", "pain", "joint", "x1", "x2", "x3"])
+    left = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 5, 9])))) for i in range(40)]
+    right = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 2, 3, 5, 9])))) for i in range(120)]
+    got = G.closest(spark.createDataFrame(left, "a long, x string"), spark.createDataFrame(right, "b long, y string"), "a", "x", "b", "y", k, common_rows=common)
+    want = []
+    for a, x in left:
+        u = set(x.split())
+        pairs = sorted((-len(u & set(y.split())) / len(u | set(y.split())), b) for b, y in right if u & set(y.split()))
+        want += [(a, b, r, round(-s, 9)) for r, (s, b) in enumerate(pairs[:k], 1)]
+    assert sorted((r["a"], r["b"], r["rank"], round(r["score"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_closest_levels(spark):
+    """A query that a level finishes is not carried on, and one with common words only is left to the last."""
+    right = [(i, f"name{i} word{i} the") for i in range(50)] + [(99, "name1 word1")]
+    left = [(1, "name1 word1"), (2, "name2 other"), (3, "the")]
+    d = G.closest(spark.createDataFrame(left, "a long, x string"), spark.createDataFrame(right, "b long, y string"), "a", "x", "b", "y", 1, common_rows=10)
+    assert rows(d, "a", "b", "level") == [(1, 99, 0.8), (2, 2, 0.2), (3, 0, 0.0)]
+
+
+@pytest.mark.parametrize("parts", ["1", "7", "50"])
+def test_premature_whatever_the_order(spark, parts):
+    """Six tenths of a weight of tenths is not less than 0.6, in any order of the sum."""
+    edges = spark.createDataFrame([("flu", f"s{i}", 0.1) for i in range(10)] + [("flu", "s10", 0.0)], "disease string, symptom string, weight double")
+    turns = [("e", "flu", i, f"s{i}", "ask", None) for i in range(6)] + [("e", "flu", 6, "s10", "diagnose", "flu")]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        d = W.graph_turn_rewards(spark.createDataFrame(turns, "episode_id string, disease string, turn_id long, fact string, action string, diagnosis string").repartition(3), edges)
+        last = d.where("turn_id = 6").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert (last["coverage"], last["premature"], last["is_correct"], last["n_new"]) == (0.6, False, True, 7)
 
 
 def test_resample_finds_the_interval(spark):
