@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import hash_key
 from colloquy.sources.cache import cut
 
-MAX_DEPTH = 64
-
+#: Trees of more levels than this are contracted instead of walked level by level.
+SHALLOW = 24
+#: Rounds of contraction; each halves chains and takes leaves off, so that deeper trees than any log has are done long before.
+ROUNDS = 200
+#: Rows of statistics that are broadcast.
+LEVELS = 1 << 16
 
-def backup(nodes: DataFrame, gamma: float = 1.0, only_critic: bool = False) -> DataFrame:
-    """nodes(tree_id, node_id, parent_id, level, is_terminal, action_reward, critic_value) with value, visits, advantage.
 
-    Deepest level first: a leaf that ended is worth 0, an inner node the mean over its
-    children of reward + gamma * value. Visits are the ended leaves at or below a node. The
-    root has no advantage; others have r + gamma * V(s') - V(s), by critic values for only
-    children, over visits. Each level is a join and a grouping by parent of that level's rows;
-    the lineage is cut once a level.
-    """
-    deepest = nodes.agg(F.max("level")).first()[0]
-    if deepest is None:
-        deepest = -1
-    if deepest > MAX_DEPTH:
-        raise ValueError(f"trees deeper than {MAX_DEPTH} levels: {deepest}")
+def _by_level(nodes: DataFrame, deepest: int, gamma: float) -> DataFrame:
+    """nodes with value, visits: each level is a join and a grouping by parent of that level's rows; the lineage is cut once a level."""
     done = below = None
     for level in range(deepest, -1, -1):
         here = nodes.where(F.col("level") == level)
@@ -36,8 +31,88 @@ def backup(nodes: DataFrame, gamma: float = 1.0, only_critic: bool = False) -> D
         here = here.withColumns({"value": F.when(F.col("is_terminal"), F.lit(0.0)).otherwise(F.col("_v")), "visits": F.when(F.col("is_terminal"), F.lit(1).cast("long")).otherwise(F.coalesce("_n", F.lit(0).cast("long")))}).drop("_v", "_n")
         below = cut(here)
         done = below if done is None else done.unionByName(below)
-    if done is None:
+    return done
+
+
+def _by_contraction(nodes: DataFrame, gamma: float) -> DataFrame:
+    """nodes with value, visits, in a number of rounds that grows with the logarithm of the depth.
+
+    A round rakes and compresses. Nodes that have become known give their share to their parent; one
+    that waits for nothing more is known. One that waits for a single child is a link: its value is
+    a + b V(child) if the child has a value, else z, and its visits are n more than the child's. A link whose child is
+    known is known; one whose child is a link takes the two functions as one and waits for that
+    link's child, so a chain halves. Only open nodes are carried to the next round.
+    """
+    key = ["tree_id", "node_id"]
+    own = nodes.select("tree_id", "node_id", "parent_id", F.col("action_reward").cast("double").alias("r"), F.coalesce("is_terminal", F.lit(False)).alias("_end"))
+    new = own.where("_end").select("tree_id", "node_id", "parent_id", "r", F.lit(0.0).alias("value"), F.lit(1).cast("long").alias("visits"))
+    zero = {"acc": F.lit(0.0), "k": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "next": F.lit(None).cast(nodes.schema["node_id"].dataType), **dict.fromkeys("abz", F.lit(None).cast("double"))}
+    live = own.where(~F.col("_end")).withColumns(zero).drop("_end")
+    columns, found = live.columns, [cut(new)]
+    live, new = cut(live), found[0]
+    for _ in range(ROUNDS):
+        if live.isEmpty():
+            break
+        none = F.lit(None)
+        kids = live.select("tree_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("_c"), "r", none.cast("double").alias("value"), F.lit(0).cast("long").alias("visits"), F.lit(1).alias("_open"))
+        kids = kids.unionByName(new.select("tree_id", F.col("parent_id").alias("node_id"), none.cast(nodes.schema["node_id"].dataType).alias("_c"), "r", "value", "visits", F.lit(0).alias("_open")))
+        share = F.when(F.col("value").isNotNull(), F.col("r") + gamma * F.col("value"))
+        g = kids.where("node_id IS NOT NULL").groupBy(*key).agg(F.sum(share).alias("_acc"), F.count(share).alias("_k"), F.sum("visits").alias("_n"), F.sum("_open").alias("_u"), F.max("_c").alias("_c"), F.max(F.when(F.col("_open") == 1, F.col("r"))).alias("_r"))
+        d = live.hint("merge").join(g, key, "left").fillna({"_acc": 0.0, "_k": 0, "_n": 0, "_u": 0})
+        free = F.col("next").isNull()
+        add = {"acc": F.col("acc") + F.col("_acc"), "k": F.col("k") + F.col("_k"), "n": F.col("n") + F.col("_n")}
+        d = d.withColumns({c: F.when(free, e).otherwise(F.col(c)) for c, e in add.items()})
+        link = free & (F.col("_u") == 1)
+        mean = F.col("acc") / F.nullif(F.col("k"), F.lit(0))
+        d = d.withColumn("_known", free & (F.col("_u") == 0)).withColumns({
+            "next": F.when(link, F.col("_c")).otherwise(F.col("next")),
+            "a": F.when(link, (F.col("acc") + F.col("_r")) / (F.col("k") + 1)).otherwise(F.col("a")),
+            "b": F.when(link, gamma / (F.col("k") + 1)).otherwise(F.col("b")),
+            "z": F.when(link, mean).otherwise(F.col("z")),
+        })
+        d = cut(d.select(*columns, "_known", F.when(F.col("_known"), mean).alias("value")))
+        raked = d.where("_known").select("tree_id", "node_id", "parent_id", "r", "value", F.col("n").alias("visits"))
+        found.append(raked)
+        links, rest = d.where("next IS NOT NULL"), d.where("next IS NULL AND NOT _known")
+        known = reduce(DataFrame.unionByName, found).select("tree_id", F.col("node_id").alias("next"), F.col("value").alias("_v"), F.col("visits").alias("_m"), F.lit(True).alias("_is"), *(none.cast("double").alias(f"_{c}") for c in "abz"), none.cast(nodes.schema["node_id"].dataType).alias("_next"))
+        on = links.select("tree_id", F.col("node_id").alias("next"), none.cast("double").alias("_v"), F.col("n").alias("_m"), F.lit(False).alias("_is"), *(F.col(c).alias(f"_{c}") for c in "abz"), F.col("next").alias("_next"))
+        j = links.drop("value").hint("merge").join(known.unionByName(on), ["tree_id", "next"], "left")
+        through = lambda x: F.when(F.col(x).isNull(), F.col("z")).otherwise(F.col("a") + F.col("b") * F.col(x))
+        ended, further = F.coalesce("_is", F.lit(False)), F.coalesce(~F.col("_is"), F.lit(False))
+        j = j.select(
+            "tree_id", "node_id", "parent_id", "r", "acc", "k",
+            F.when(F.col("_is").isNotNull(), F.col("n") + F.col("_m")).otherwise(F.col("n")).alias("n"),
+            F.when(further, F.col("_next")).otherwise(F.col("next")).alias("next"),
+            F.when(further, F.col("a") + F.col("b") * F.col("_a")).otherwise(F.col("a")).alias("a"),
+            F.when(further, F.col("b") * F.col("_b")).otherwise(F.col("b")).alias("b"),
+            F.when(further, through("_z")).otherwise(F.col("z")).alias("z"),
+            ended.alias("_known"), F.when(ended, through("_v")).alias("value"),
+        )
+        j = cut(j)
+        passed = j.where("_known").select("tree_id", "node_id", "parent_id", "r", "value", F.col("n").alias("visits"))
+        found.append(passed)
+        new = raked.unionByName(passed)
+        live = rest.select(*columns).unionByName(j.where(~F.col("_known")).select(*columns))
+    else:
+        raise ValueError(f"open after {ROUNDS} rounds: parents go round in a circle")
+    got = reduce(DataFrame.unionByName, found).select(*key, "value", "visits")
+    return nodes.hint("merge").join(got, key)
+
+
+def backup(nodes: DataFrame, gamma: float = 1.0, only_critic: bool = False, shallow: int = SHALLOW) -> DataFrame:
+    """nodes(tree_id, node_id, parent_id, level, is_terminal, action_reward, critic_value) with value, visits, advantage.
+
+    A leaf that ended is worth 0, an inner node the mean over its children of reward + gamma *
+    value, those without a value left out. Visits are the ended leaves at or below a node. The
+    root has no advantage; others have r + gamma * V(s') - V(s), by critic values for only
+    children, over visits. Trees of up to ``shallow`` levels are walked from the deepest
+    up, deeper ones contracted, in as many rounds as the depth has binary digits or so.
+    """
+    deepest = nodes.agg(F.max("level")).first()[0]
+    if deepest is None:
         done = nodes.withColumns({"value": F.lit(None).cast("double"), "visits": F.lit(0).cast("long")})
+    else:
+        done = _by_level(nodes, deepest, gamma) if deepest <= shallow else _by_contraction(nodes, gamma)
     up = done.select("tree_id", F.col("node_id").alias("parent_id"), F.col("value").alias("_pv"), F.col("critic_value").alias("_pc"))
     d = done.withColumn("_kids", F.count("*").over(Window.partitionBy("tree_id", "parent_id"))).join(up, ["tree_id", "parent_id"], "left")
     by_critic = F.lit(only_critic) | (F.col("_kids") == 1)
@@ -65,8 +140,8 @@ def prune_siblings(nodes: DataFrame, threshold: float, seed: str = "7", stats: D
     d = kids.hint("merge").join(up, ["tree_id", "parent_id"])
     z = F.col("_v")
     if stats is not None:
-        # a row a level, and levels are few; the depth of trees bounds them
-        by = F.broadcast(stats.where("level IS NOT NULL").select(F.col("level").alias("_pl"), F.col("mean").alias("_m"), F.col("std").alias("_s")).limit(MAX_DEPTH + 1))
+        by = cut(stats.where("level IS NOT NULL").select(F.col("level").alias("_pl"), F.col("mean").alias("_m"), F.col("std").alias("_s")))
+        by = F.broadcast(by) if by.count() <= LEVELS else by.hint("merge")
         all_ = F.broadcast(stats.where("level IS NULL").agg(F.max("mean").alias("_gm"), F.max("std").alias("_gs")))
         d = d.join(by, "_pl", "left").crossJoin(all_)
         score = lambda m, s: (F.col("_v") - F.col(m)) / (F.col(s) + F.lit(1e-7))

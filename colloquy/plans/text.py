@@ -280,7 +280,7 @@ def h18(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "h19",
     """WITH m AS (SELECT *, CASE CAST(sample_id % 4 AS INT) WHEN 0 THEN 'x = ' || ground_truth || '\\%' WHEN 1 THEN '.' || ground_truth WHEN 2 THEN '\\tfrac' || left(ground_truth, 1) || '3' ELSE ground_truth || '\\text{ kg}' END AS v,
-  CASE CAST(sample_id % 3 AS INT) WHEN 0 THEN 'y = $' || ground_truth || '$ dollars' WHEN 1 THEN '\\text{' || ground_truth || '} square units' ELSE '1,00' || ground_truth END AS w FROM responses)
+  CASE CAST(sample_id % 3 AS INT) WHEN 0 THEN 'y = $' || ground_truth || '$ dollars' WHEN 1 THEN '\\text{' || ground_truth || '} square units' ELSE '1,00' || ground_truth END AS w FROM responses),
 m1 AS (SELECT *, split_part(replace(replace(v, '\\%', ''), 'tfrac', 'frac'), '\\text{ ', 1) AS v1, regexp_replace(regexp_replace(list_last(string_split(w, '=')), ' |dollars|square|units|[$]', '', 'g'), '\\\\text[{](.*?)[}]', '\\1', 'g') AS w1 FROM m),
 m2 AS (SELECT *, replace(regexp_replace(CASE WHEN starts_with(v1, '.') THEN '0' || v1 ELSE v1 END, '^[^=]{0,2}=([^=]*)$', '\\1'), ' ', '') AS v2 FROM m1),
 m3 AS (SELECT *, regexp_replace(v2, '\\\\frac([^{])([^{])', '\\\\frac{\\1}{\\2}', 'g') AS v3 FROM m2)

@@ -1,20 +1,24 @@
 """Golden values, invariants, and batch against stream."""
 
+import base64
 import json
+import pickle
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import folds, numeric, parsing, texts
 from colloquy.operators import advantages as A
+from colloquy.operators import builders
 from colloquy.operators import datasets as DS
 from colloquy.operators import graph as G
 from colloquy.operators import metrics as M
 from colloquy.operators import rewards as W
 from colloquy.operators import sampling as S
-from colloquy.operators import scoring, tokens, trees
-from colloquy.sources import cache, files
+from colloquy.operators import scoring, sft, tokens, trees
+from colloquy.sources import cache, custom, files
 from colloquy.streaming import steps, windows
 
 
@@ -419,3 +423,230 @@ def test_users_views_stay(spark):
     view(spark, "/root/testdata/sf0.001", "rollouts").limit(1).count()
     assert spark.table("events").columns == ["id"]
     spark.catalog.dropTempView("events")
+
+
+def _folded(tree, gamma):
+    """value and visits by walking each tree from its leaves, without recursion."""
+    kids, out = {}, {}
+    for n, (parent, _, _) in tree.items():
+        kids.setdefault(parent, []).append(n)
+    order, at = [], list(kids.get(None, []))
+    while at:
+        n = at.pop()
+        order.append(n)
+        at += kids.get(n, [])
+    for n in reversed(order):
+        if tree[n][2]:
+            out[n] = (0.0, 1)
+            continue
+        known = [(tree[c][1] + gamma * out[c][0], out[c][1]) for c in kids.get(n, []) if out[c][0] is not None]
+        out[n] = (sum(v for v, _ in known) / len(known), sum(m for _, m in known)) if known else (None, 0)
+    return out
+
+
+def _tree(rng, n, pick):
+    """node: (parent, reward, is_terminal); some leaves have not ended, and some inner nodes have."""
+    parent = {0: None} | {i: pick(i) for i in range(1, n)}
+    inner = set(parent.values())
+    return {i: (p, round(rng.random(), 3), rng.random() < (0.02 if i in inner else 0.8)) for i, p in parent.items()}
+
+
+@pytest.mark.parametrize("gamma", [1.0, 0.9])
+def test_deep_trees(spark, gamma):
+    """A chain of 10,000 nodes, one whose end is unknown, a caterpillar, bushy and odd trees, a single node: all as a walk folds them."""
+    rng = random.Random(8)
+    forest = {
+        0: _tree(rng, 10_000, lambda i: i - 1) | {9_999: (9_998, 0.5, True)},
+        1: _tree(rng, 300, lambda i: i - 1) | {299: (298, 0.5, False)},
+        2: _tree(rng, 900, lambda i: i - 1 if i % 2 == 0 or i == 1 else max(i - 2, 0)),
+        3: _tree(rng, 600, lambda i: rng.randrange(i)),
+        4: _tree(rng, 600, lambda i: max(0, i - rng.randint(1, 4))),
+        5: {0: (None, 0.0, True)},
+        6: {0: (None, 0.0, False)},
+    }
+    rows_, want = [], {}
+    for t, tree in forest.items():
+        depth = {}
+        for n, (p, r, end) in tree.items():
+            depth[n] = 0 if p is None else depth[p] + 1
+            rows_.append((t, n, p, depth[n], end, r, 0.0))
+        want |= {(t, n): x for n, x in _folded(tree, gamma).items()}
+    d = spark.createDataFrame(rows_, "tree_id long, node_id long, parent_id long, level int, is_terminal boolean, action_reward double, critic_value double").repartition(3)
+    got = {(r["tree_id"], r["node_id"]): (r["value"], r["visits"]) for r in trees.backup(d, gamma).collect()}
+    assert got.keys() == want.keys()
+    for k, (v, m) in want.items():
+        assert got[k][1] == m and (got[k][0] == v if v is None else got[k][0] == pytest.approx(v, abs=1e-6)), k
+
+
+def test_contraction_is_the_walk(spark):
+    rng = random.Random(3)
+    tree = _tree(rng, 200, lambda i: (i - 1) // 2)
+    depth = {}
+    rows_ = []
+    for n, (p, r, end) in tree.items():
+        depth[n] = 0 if p is None else depth[p] + 1
+        rows_.append((1, n, p, depth[n], end, r, rng.random()))
+    d = spark.createDataFrame(rows_, "tree_id long, node_id long, parent_id long, level int, is_terminal boolean, action_reward double, critic_value double")
+    a, b = (sorted((r["node_id"], r["value"] and round(r["value"], 9), r["visits"], r["advantage"] and round(r["advantage"], 9)) for r in trees.backup(d, 0.9, shallow=s).collect()) for s in (64, 0))
+    assert a == b
+
+
+def test_circle_of_parents(spark, monkeypatch):
+    monkeypatch.setattr(trees, "ROUNDS", 6)
+    d = spark.createDataFrame([(1, 1, 2, 0, False, 0.0, 0.0), (1, 2, 1, 1, False, 0.0, 0.0)], "tree_id long, node_id long, parent_id long, level int, is_terminal boolean, action_reward double, critic_value double")
+    with pytest.raises(ValueError, match="circle"):
+        trees.backup(d, shallow=0)
+
+
+CHATS = [
+    [("system", "You are a helpful assistant."), ("user", "What is 2+2?"), ("assistant", "2+2 equals 4."), ("user", "And what is 4+4?"), ("assistant", "4+4 equals 8.")],
+    [("system", "You are a helpful assistant."), ("user", "Tell me a joke."), ("assistant", "Why did the chicken cross the road?"), ("user", "Why?"), ("assistant", "To get to the other side!")],
+]
+
+
+def _points(text):
+    return F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
+
+
+def _chats(spark, chats, length=512, truncation="error"):
+    d = spark.createDataFrame([(i, c) for i, c in enumerate(chats)], "id int, m array<struct<role string, content string>>")
+    head = lambda role: F.concat(F.lit("<|im_start|>"), role, F.lit("\n"))
+    d = sft.multi_turn(d.select("id", sft.message_parts(F.col("m"), _points, head, "<|im_end|>\n").alias("parts")), "parts", length, 7, truncation)
+    return [r["row"] for r in d.orderBy("id").collect()]
+
+
+def test_chat_masks(spark):
+    for chat, row in zip(CHATS, _chats(spark, CHATS), strict=True):
+        text = "".join(f"<|im_start|>{r}\n{c}<|im_end|>\n" for r, c in chat)
+        n = len(text)
+        assert [chr(x) for x in row.input_ids[:n]] == list(text) and set(row.input_ids[n:]) == {7}
+        assert all(len(a) == 512 for a in row)
+        on = "".join(chr(x) for x, m in zip(row.input_ids, row.loss_mask, strict=True) if m)
+        off = "".join(chr(x) for x, m in zip(row.input_ids[:n], row.loss_mask, strict=False) if not m)
+        said = [c for r, c in chat if r == "assistant"]
+        assert on == "".join(f"{c}<|im_end|>\n" for c in said) and not any(c in off for c in said)
+        assert row.attention_mask == [1] * n + [0] * (512 - n)
+        assert row.position_ids == [*range(n), *[0] * (512 - n)] and sum(row.loss_mask[n:]) == 0
+
+
+def test_chat_masks_cut_and_checked(spark):
+    n = len("".join(f"<|im_start|>{r}\n{c}<|im_end|>\n" for r, c in CHATS[0]))
+    whole = _chats(spark, CHATS[:1], n)[0]
+    for side, part in (("right", slice(0, 40)), ("left", slice(n - 40, n))):
+        row = _chats(spark, CHATS[:1], 40, side)[0]
+        assert (row.input_ids, row.loss_mask, row.attention_mask) == (whole.input_ids[part], whole.loss_mask[part], [1] * 40)
+    for bad, what in (([("user", "x"), ("system", "y")], "not the first"), ([("robot", "x")], "unknown role"), (CHATS[0], "longer")):
+        with pytest.raises(Exception, match=what):
+            _chats(spark, [bad], 40)
+    assert _chats(spark, [[("system", "s"), ("tool", "a"), ("tool", "b"), ("user", None)]], 200)[0].loss_mask == [0] * 200
+    assert _chats(spark, [[]], 3)[0].input_ids == [7, 7, 7]
+
+
+def _single(p, r, length, side):
+    """The rule, place by place."""
+    x, n = p + r, len(p) + len(r)
+    ids = x + [0] * (length - n) if n <= length else x[-length:] if side == "left" else x[:length]
+    attention = [1] * min(n, length) + [0] * max(length - n, 0)
+    loss = list(attention)
+    if len(p) > 1:
+        for i in range(min(len(p), length) - 1):
+            loss[i] = 0
+    if n:
+        loss[min(n, length) - 1] = 0
+    seen, places = 0, []
+    for a in attention:
+        seen += a
+        places.append(max(seen - 1, 0))
+    return ids, attention, places, loss
+
+
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_prompt_masks(spark, side):
+    cases = [([1, 2, 3], [4, 5]), ([1], [2, 3]), ([], [1, 2]), ([1, 2], []), ([], []), (list(range(1, 20)), [90, 91]), ([1, 2], list(range(30, 50))), ([1, 2, 3, 4, 5], [6, 7, 8])]
+    d = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(cases)] + [(99, None, [5])], "i int, p array<int>, r array<int>")
+    got = {r["i"]: tuple(r["row"]) for r in sft.single_turn(d, "p", "r", 8, 0, side).collect()}
+    assert got == {i: _single(p, r, 8, side) for i, (p, r) in enumerate(cases)} | {99: _single([], [5], 8, side)}
+    with pytest.raises(Exception, match="longer"):
+        sft.single_turn(d, "p", "r", 8, 0).collect()
+
+
+def test_row_builders(spark):
+    packed = base64.b64encode(zlib.compress(pickle.dumps(json.dumps([{"input": "9", "output": "81"}])))).decode()
+    evil = base64.b64encode(zlib.compress(pickle.dumps(random.Random))).decode()
+    rows_ = [
+        (1, "square", "", '[{"input": "2", "output": "4"}]', packed, "{}", "2024-08-01T00:00:00"),
+        (2, "cube", "def f(x):", None, '[{"input": "é", "output": "\\""}]', '{"func_name": "f"}', "2024-12-31T23:00:00"),
+        (3, "late", "", "[]", "[]", "{}", "2025-01-01T00:00:00"),
+        (4, "evil", None, "[]", evil, None, "2024-09-01T00:00:00"),
+    ]
+    d = spark.createDataFrame(rows_, "k int, question_content string, starter_code string, public_test_cases string, private_test_cases string, metadata string, contest_date string")
+    got = {r["extra_info"]["index"]: r for r in builders.built(d, builders.code(), "k").collect()}
+    truth = [json.loads(got[i]["reward_model"]["ground_truth"]) for i in range(3)]
+    assert truth == [{"inputs": ["2", "9"], "outputs": ["4", "81"], "fn_name": None}, {"inputs": ["é"], "outputs": ['"'], "fn_name": "f"}, {"inputs": [], "outputs": [], "fn_name": None}]
+    assert got[0]["prompt"][0]["content"].endswith("# YOUR CODE HERE\n```") and got[1]["prompt"][0]["content"].endswith("```python\ndef f(x):\n```")
+    q = spark.createDataFrame([(i, f"q{i}", "r", "a", "b", "c") for i in range(60)], ["k", "Question", "Correct Answer", "Incorrect Answer 1", "Incorrect Answer 2", "Incorrect Answer 3"])
+    out = builders.built(q, builders.gpqa("k"), "k").collect()
+    letters = [r["reward_model"]["ground_truth"] for r in out]
+    assert all(f"\n{x}) r" in r["prompt"][0]["content"] for x, r in zip(letters, out, strict=True)) and set(letters) == set("ABCD")
+
+
+def test_preferences(spark):
+    d = spark.createDataFrame([(i, f"p{i}", f"c{i}", f"r{i}") for i in range(10)], "k int, prompt string, chosen string, rejected string")
+    assert rows(builders.preference_sft(d.where("k = 1")), "prompt", "response", "kind") == [("p1", "c1", "chosen"), ("p1", "r1", "rejected")]
+    got = rows(builders.preference_rm(d, "k"), "split", "k")
+    assert got == [("test", 8), ("test", 9), *(("train", i) for i in range(8))]
+    r = builders.preference_rl(d.withColumn("response", F.col("chosen")), "k").orderBy("extra_info.index").first()
+    assert (r["prompt"][0]["content"], r["reward_model"]["style"], r["ability"], r["extra_info"]["index"]) == ("p0", "model", "alignment", 0)
+
+
+def test_case_records(spark):
+    records = [
+        {"disease": "flu", "chief_complaint": "I have a fever", "symptoms_pool": {"fever": 0.5}, "initial_symptoms": ["fever"], "data_source": "kg2"},
+        {"disease": "flu", "chief_complaint": "too short"},
+        {"ground_truth": {"answer_info": "cold", "atomic_facts": ["It runs."]}, "prompt": [{"role": "system", "content": "s"}, {"role": "user", "content": " my nose runs a lot \nProblem: which?\nOptions"}]},
+        {"disease": "", "ground_truth": {"disease": "rash", "symptoms_pool": {"itch": 1}, "initial_symptoms": ["itch"], "atomic_facts": ["x"]}, "prompt": [{"role": "user", "content": "it itches all over"}]},
+        {"ground_truth": "text", "prompt": [{"role": "user", "content": "it itches all over"}]},
+        {"disease": "flu", "prompt": [{"role": "user", "content": "nested complaint here"}]},
+    ]
+    d = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, "no json"), (10, None)], "i int, record string")
+    got = builders.case_rows(d, "record", "sys", "I say: {chief_complaint}", prefix="p_").orderBy("i").collect()
+    assert [(r["i"], r["disease"], r["chief_complaint"], r["initial_symptoms"], r["symptoms_pool"], r["data_source"]) for r in got] == [
+        (0, "flu", "I have a fever", ["fever"], {"fever": 0.5}, "p_kg2"),
+        (2, "cold", "my nose runs a lot", ["It runs."], {}, "p_kg"),
+        (3, "rash", "it itches all over", ["itch"], {"itch": 1.0}, "p_kg"),
+    ]
+    assert [tuple(m) for m in got[0]["prompt"]] == [("system", "sys"), ("user", "I say: I have a fever")]
+
+
+USER = """
+class Numbers:
+    schema = "n long, part int"
+
+    def __init__(self, options):
+        self.parts = int(options["parts"])
+
+    def partitions(self):
+        return list(range(self.parts))
+
+    def rows(self, part):
+        for k in range(3):
+            yield part * 3 + k, part
+
+class Odd:
+    def key(self, rows):
+        return (rows["n"] % 2).where(rows["n"] != 4)
+"""
+
+
+def test_user_classes(spark, tmp_path):
+    (tmp_path / "own.py").write_text(USER)
+    d = custom.dataset(spark, scoring.from_file(str(tmp_path / "own.py"), "Numbers"), parts=4)
+    assert rows(d, "n", "part") == [(k, k // 3) for k in range(12)]
+    assert d.rdd.getNumPartitions() == 4
+    got = sorted((r["place"], r["n"]) for r in custom.sampled(d, scoring.from_file(str(tmp_path / "own.py"), "Odd"), "n", "n").collect())
+    assert [n for _, n in got] == [0, 2, 6, 8, 10, 1, 3, 5, 7, 9, 11, 4] and [p for p, _ in got] == list(range(12))
+    for bad in (dict, "x"):
+        with pytest.raises(TypeError):
+            custom.dataset(spark, bad)
+    with pytest.raises(TypeError, match="key"):
+        custom.sampled(d, dict, "n", "n")
