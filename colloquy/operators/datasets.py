@@ -37,9 +37,9 @@ def initial_symptoms(edges: DataFrame, seed_n: str = "3", seed: str = "4") -> Da
     return d.withColumn("_k", k).where((F.col("_r") == 1) | (F.col("_k") <= F.col("_x"))).drop("_r", "_n", "_x", "_k")
 
 
-def ranges(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df dealt in ranges of the order, numbered in __p, and written: what is counted and what is shifted by the counts must be the same rows, even after a lost executor."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def ranges(df: DataFrame, order: list[Column], n: int | None = None) -> DataFrame:
+    """df dealt in n ranges of the order (as many as a shuffle has partitions), numbered in __p, and written: what is counted and what is shifted by the counts must be the same rows, even after a lost executor."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
 
 
@@ -76,15 +76,42 @@ def ratio_split(df: DataFrame, key: str, ratio: float, seed: str, least: int = 1
     return ranked(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], "_rank").crossJoin(n).withColumn("split", F.when(F.col("_rank") < F.col("_v"), "val").otherwise("train")).drop("_h", "_rank", "_v")
 
 
+#: Rows that one task may gather; the first n of more are found by ranges.
+GATHER = 1 << 16
+
+
+def first_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in an order that has no ties.
+
+    A few are the best of each task's best. Of more, rows are dealt into ranges of the order and counted, a number a
+    range; whole ranges are taken as they are, and only the range in which the n-th row lies is ranked, so no
+    task holds n rows.
+    """
+    if n <= GATHER:
+        return df.orderBy(*order).limit(n)
+    d = ranges(df, order)
+    left, whole, open_ = n, -1, None
+    for r in d.groupBy("__p").count().orderBy("__p").collect():  # as many rows as ranges
+        if left < r["count"]:
+            open_ = r["__p"]
+            break
+        left, whole = left - r["count"], r["__p"]
+    out = d.where(F.col("__p") <= whole).drop("__p")
+    if open_ is None or not left:
+        return out
+    part = ranked(d.where(F.col("__p") == open_).drop("__p"), order, "__k").where(F.col("__k") < left).drop("__k")
+    return out.unionByName(part)
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n rows by hash."""
-    return df.withColumn("_h", hash_key(seed, key)).orderBy("_h", key).limit(n).drop("_h")
+    return first_n(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], n).drop("_h")
 
 
 def fill_sample(first: DataFrame, spare: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """n rows by hash from ``first``, the gap filled from ``spare``."""
     both = first.withColumn("_f", F.lit(0)).unionByName(spare.withColumn("_f", F.lit(1)))
-    return both.withColumn("_h", hash_key(seed, key)).orderBy("_f", "_h", key).limit(n).drop("_h", "_f")
+    return first_n(both.withColumn("_h", hash_key(seed, key)), [F.col("_f"), F.col("_h"), F.col(key)], n).drop("_h", "_f")
 
 
 def mix(parts: list[tuple[DataFrame, float]], key: str, seed: str) -> DataFrame:

@@ -6,26 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import r4, r6
+from colloquy.operators.datasets import ranges
+from colloquy.sources.cache import cut
 
 K1, B = 1.2, 0.75
-#: Bytes of queries up to which they are broadcast to the corpus; beyond, both are dealt in blocks.
-QUERY_BYTES = 64 << 20
-
-
-def dense(queries: DataFrame, corpus: DataFrame, k: int, shards: int = 32) -> DataFrame:
-    """queries(qid, q), corpus(vec_id, embedding) -> qid, vec_id, score, rank. Queries are a request's few: every shard of the corpus meets them all and keeps its own k best first."""
-    width = queries.select(F.size("q").alias("n")).agg(F.sum("n")).first()[0] or 0
-    c = corpus.withColumn("_s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    if width * 8 <= QUERY_BYTES:
-        met = c.crossJoin(F.broadcast(queries))
-    else:
-        met = c.hint("merge").join(queries.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))), "_s")
+#: Vectors in a range of the corpus.
+RANGE = 4096
+
+
+def dense(queries: DataFrame, corpus: DataFrame, k: int, rows: int = RANGE) -> DataFrame:
+    """queries(qid, q), corpus(vec_id, embedding) -> qid, vec_id, score, rank, scored: the k largest inner products, exactly, ties to the smaller vec_id.
+
+    The corpus lies in ranges of about ``rows`` vectors by norm, longest first, and |q| |x| bounds a product. Queries
+    meet the first range, then twice as many ranges a time, but only those whose longest vector may still beat their
+    k-th score. scored is how many vectors a query was multiplied with. Vectors of one norm bound nothing: then a
+    query meets all ranges. A range keeps its own k best of a query first. Rows with a null id or vector take no part.
+    """
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    c = corpus.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding", norm("embedding").alias("_m"))
+    n = max(1, -(-corpus.count() // rows))
+    c = ranges(c, [F.desc("_m"), F.col("vec_id")], n)
+    top = cut(c.groupBy("__p").agg(F.max("_m").alias("_most")))  # a row a range
+    q = cut(queries.where("qid IS NOT NULL AND q IS NOT NULL").select("qid", "q", norm("q").alias("_n")))
+    kind = c.schema["vec_id"].dataType
+    best = cut(q.select("qid", F.lit(None).cast(kind).alias("vec_id"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("scored")).limit(0))
     dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    d = met.select("qid", "vec_id", "_s", r6(dot).alias("score"))
-    local = Window.partitionBy("qid", "_s").orderBy(F.desc("score"), "vec_id")
-    d = d.withColumn("_k", F.row_number().over(local)).where(F.col("_k") <= k)
-    last = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return d.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("qid", "vec_id", "score", "rank")
+    lo, wide = 0, 1
+    while lo < n:
+        floor = best.groupBy("qid").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("_floor"))
+        # scores are rounded to six places
+        beats = F.col("_floor").isNull() | (F.col("_n") * F.col("_most") >= F.col("_floor") - 1e-6)
+        some = F.broadcast(top.where(F.col("__p").between(lo, lo + wide - 1)))
+        met = q.hint("merge").join(floor, "qid", "left").join(some, beats).select("qid", "q", "__p").hint("merge").join(c, "__p")
+        d = met.select("qid", "vec_id", "__p", r6(dot).alias("score"))
+        w = Window.partitionBy("qid", "__p")
+        d = d.withColumns({"_k": F.row_number().over(w.orderBy(F.desc("score"), "vec_id")), "scored": F.count("*").over(w)}).where(F.col("_k") <= k)
+        both = d.select("qid", "vec_id", "score", F.when(F.col("_k") == 1, F.col("scored")).otherwise(0).alias("scored")).unionByName(best.select("qid", "vec_id", "score", F.when(F.col("rank") == 1, F.col("scored")).otherwise(0).alias("scored")))
+        last = Window.partitionBy("qid")
+        both = both.withColumns({"rank": F.row_number().over(last.orderBy(F.desc("score"), "vec_id")), "scored": F.sum("scored").over(last)})
+        best = cut(both.where(F.col("rank") <= k).select("qid", "vec_id", "score", "rank", "scored"))
+        lo, wide = lo + wide, 2 * wide
+    return best
 
 
 def bm25(queries: DataFrame, docs: DataFrame, qid: str, did: str, k: int, text: str = "text") -> DataFrame:

@@ -207,19 +207,32 @@ def link_facts(turns: DataFrame, facts: DataFrame, unknown: str = "unknown") ->
 def question_checks(questions: DataFrame, threshold: float = 0.7, multiple_first: bool = False) -> DataFrame:
     """questions(conv_id, turn, text) -> verifier: <Multiple> (over one question mark), <Repeated> (Jaccard over the threshold with an earlier one), else <Normal>.
 
-    A dialogue's earlier questions are bounded by its turns, so they ride along as an array.
+    Questions of a dialogue with the same words are one set, known by its first turn. Sets of a dialogue meet on
+    the rarest of their words there, as many as two sets of that similarity must share one of, and are then
+    compared; no row carries other questions along, and a long dialogue is not all its pairs.
     """
-    toks = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    d = questions.withColumn("_t", toks).withColumn("_before", F.collect_list("_t").over(w))
-
-    def close(o: Column) -> Column:
-        both = F.size(F.array_intersect(o, F.col("_t")))
-        return (F.size(o) > 0) & (F.size("_t") > 0) & (both / (F.size(o) + F.size("_t") - both) > threshold)
-
-    many, again = F.regexp_count("text", F.lit(r"\?")) > 1, F.exists("_before", close)
+    toks = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")))
+    d = questions.withColumn("_t", toks)
+    sets = cut(d.where(F.size("_t") > 0).groupBy("conv_id", "_t").agg(F.min("turn").alias("_first")))
+    words_ = sets.select("conv_id", "_first", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    often = words_.groupBy("conv_id", "_w").agg(F.count("*").alias("_f"))
+    order = Window.partitionBy("conv_id", "_first").orderBy("_f", "_w")
+    rare = words_.hint("merge").join(often, ["conv_id", "_w"]).withColumn("_k", F.row_number().over(order))
+    # of two sets, the larger shows n - ceil(t n) + 1 words, the smaller n - ceil(2 t / (1 + t) n) + 1, which is about half of that
+    shown = lambda share: F.col("_k") <= F.col("_n") - F.ceil(F.lit(share) * F.col("_n") - 1e-9) + 1
+    rare = cut(rare.where(shown(threshold)).select("conv_id", "_first", "_n", "_w", shown(2 * threshold / (1 + threshold)).alias("_few")))
+    small = rare.where("_few").select("conv_id", "_w", F.col("_first").alias("_other"), F.col("_n").alias("_m"))
+    met = rare.hint("merge").join(small, ["conv_id", "_w"]).where((F.col("_other") != F.col("_first")) & (F.col("_m") <= F.col("_n")) & (F.col("_m") >= threshold * F.col("_n")))
+    met = met.select("conv_id", F.greatest("_first", "_other").alias("_first"), F.least("_first", "_other").alias("_early")).distinct()
+    met = met.hint("merge").join(sets.select("conv_id", "_first", "_t"), ["conv_id", "_first"]).hint("merge").join(sets.select("conv_id", F.col("_first").alias("_early"), F.col("_t").alias("_o")), ["conv_id", "_early"])
+    both = F.size(F.array_intersect("_o", "_t"))
+    close = met.where(both / (F.size("_o") + F.size("_t") - both) > threshold).select("conv_id", "_first").distinct().withColumn("_close", F.lit(True))
+    # a set that comes again is as near to itself as can be
+    known = sets.hint("merge").join(close, ["conv_id", "_first"], "left").select("conv_id", "_t", "_first", "_close")
+    d = d.hint("merge").join(known, ["conv_id", "_t"], "left")
+    many, again = F.regexp_count("text", F.lit(r"\?")) > 1, F.coalesce(F.col("_close") | (F.lit(threshold < 1) & (F.col("_first") < F.col("turn"))), (F.lit(threshold < 1) & (F.col("_first") < F.col("turn"))), F.lit(False))
     first, second = (("<Multiple>", many), ("<Repeated>", again)) if multiple_first else (("<Repeated>", again), ("<Multiple>", many))
-    return d.withColumn("verifier", F.when(first[1], first[0]).when(second[1], second[0]).otherwise("<Normal>")).drop("_t", "_before")
+    return d.select(*questions.columns, F.when(first[1], first[0]).when(second[1], second[0]).otherwise("<Normal>").alias("verifier"))
 
 
 def place_rewards(turn_rewards: DataFrame, spans: DataFrame, value: str, seq: str = "sample_id") -> DataFrame:

@@ -107,7 +107,14 @@ def f8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f10", "SELECT sample_id FROM rollouts ORDER BY uid, sample_id LIMIT 512", R)
 def f10(spark: SparkSession, sf: str) -> DataFrame:
-    return _rolls(spark, sf).orderBy("uid", "sample_id").limit(512).select("sample_id")
+    return DS.first_n(_rolls(spark, sf).select("uid", "sample_id"), [F.col("uid"), F.col("sample_id")], 512).select("sample_id")
+
+
+@query("f10_half", "SELECT sample_id FROM rollouts QUALIFY row_number() OVER (ORDER BY uid, sample_id) <= (SELECT count(*) // 2 FROM rollouts)", R)
+def f10_half(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch as large as half of the table."""
+    r = _rolls(spark, sf).select("uid", "sample_id")
+    return DS.first_n(r, [F.col("uid"), F.col("sample_id")], r.count() // 2).select("sample_id")
 
 
 @query("f12", "SELECT row_number() OVER (ORDER BY score, sample_id) - 1 AS pos, sample_id FROM rollouts", R)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import r4, r6
 from colloquy.plans.base import query
-from colloquy.sources.cache import shared_dir
+from colloquy.sources.cache import cut, shared_dir
 from colloquy.sources.views import table, view
 from colloquy.streaming import steps, windows
 
@@ -69,7 +69,26 @@ def j3_stream(spark: SparkSession, sf: str) -> DataFrame:
     k = (F.row_number().over(Window.partitionBy("name").orderBy("step")) - 1).cast("long")
     _points(spark, sf).select("name", k.alias("step"), F.col("x").alias("kl"), F.lit(10.0).alias("n")).repartition(4, F.md5(F.col("step").cast("string"))).write.json(path)
     d = steps.run(steps.adaptive_kl_stream(steps.read_steps(spark, path, "name string, step long, kl double, n double"), 0.05, 30.0, 100.0), _tmp(spark))
-    return d.select("name", "step", r6("value").alias("coef"))
+    return d.where("kind = 'value'").select("name", "step", r6("value").alias("coef"))
+
+
+@query(
+    "j2_late",
+    f"""WITH {_POINTS}, k AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY step) - 1 AS k FROM p), n AS (SELECT name, max(k) AS last FROM k GROUP BY 1)
+SELECT name, kind, CASE kind WHEN 'value' THEN last - 1 WHEN 'again' THEN 1 ELSE 2 END AS n FROM n, (VALUES ('value'), ('lost'), ('late'), ('again')) v(kind)""",
+    R,
+)
+def j2_late(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream says of steps that don't come in order: steps 1 and 2 are lost when six others have waited for them, come late, and step 3 comes again."""
+    path = _tmp(spark)
+    k = (F.row_number().over(Window.partitionBy("name").orderBy("step")) - 1).cast("long")
+    p = cut(_points(spark, sf).select("name", k.alias("step"), "x"))
+    # a file a batch, by name
+    for i, part in enumerate((p.where("step <> 1 AND step <> 2"), p.where("step = 2"), p.where("step = 1 OR step = 3"))):
+        part.coalesce(1).write.json(f"{path}/{i}")
+    stream = spark.readStream.schema("name string, step long, x double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(path)
+    d = steps.run(steps.ewma_stream(stream, max_wait=5), _tmp(spark))
+    return d.groupBy("name", "kind").agg(F.count("*").alias("n"))
 
 
 @query(

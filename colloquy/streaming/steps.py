@@ -1,21 +1,23 @@
 """Step-ordered streams: logs as a source, statistics and controllers that evolve a step at a time.
 
 Event time doesn't exist here; order is the step. State keeps the next step it waits for
-and buffers steps that come early.
+and, a row each, the steps that came early. Such streams need Spark's RocksDB state store
+(:func:`keyed_state`; :func:`run` sees to it).
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from colloquy.functions.folds import scan
+from colloquy.operators.datasets import first_n
 
 ALPHA = 0.4
 
@@ -25,9 +27,25 @@ def read_steps(spark: SparkSession, path: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state by key on each executor's disk, with what they change in their checkpoint; the session's own store comes back after."""
+    old = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, old) if old else spark.conf.unset(_PROVIDER)
+
+
 def run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Everything there is now, through a checkpointed parquet sink; returns the sink as a table."""
-    stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    with keyed_state(stream.sparkSession):
+        sink = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+        sink.trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -49,12 +67,12 @@ def ewma(df: DataFrame, name: str = "name", step: str = "step", x: str = "x", al
 
 
 def ewma_stream(stream: DataFrame, first_step: int = 0, alpha: float = ALPHA, max_wait: int = 256) -> DataFrame:
-    """Stream form of :func:`ewma` on stream(name, step, x); steps that come early wait for the missing ones."""
+    """Stream form of :func:`ewma` on stream(name, step, x): name, step, value, kind, as :class:`InOrder` gives them."""
 
     def update(value: float | None, x: list[float | None]) -> float | None:
         return value if x[0] is None else x[0] if value is None else alpha * x[0] + (1 - alpha) * value
 
-    return _stateful(stream, in_order(update, None, first_step, ["x"], max_wait), ["x"])
+    return _stateful(stream, InOrder(update, None, first_step, ["x"], max_wait), ["x"])
 
 
 def _next_coef(v, kl, n, target: float, horizon: float, limit: float):
@@ -72,67 +90,104 @@ def adaptive_kl(points: Column, start: float, target: float, horizon: float, lim
     return scan(points, {"v": F.lit(start)}, step, "struct<step:bigint,coef:double>")
 
 
-def in_order(update: Callable[[Any, pd.Series], tuple[Any, Any]], start: Any, first_step: int, columns: list[str], max_wait: int) -> Callable[..., Iterator[pd.DataFrame]]:
-    """A state function that gives (name, step, value) for each step of a key in order, whatever order they come in.
+class InOrder(StatefulProcessor):
+    """name, step, value, kind for each step of a key, in order, whatever order they come in.
 
-    Steps that come early wait; when more than ``max_wait`` of them wait for a missing one, it is given
-    up, so the state is bounded and a lost step cannot stop a stream. Steps that come again are left out.
+    Steps that come early are rows of a map in the key's state, which are written and read one by one; when more than
+    ``max_wait`` of them wait for missing steps, those are given up, so a lost step cannot stop a stream. Nothing goes
+    unsaid: kind is ``value``; ``lost`` for a step that is given up, with the value that stands; ``late`` for one that comes after
+    that; ``again`` for one that has been there (the first counts). The state is the next step, the value, at
+    most ``max_wait`` waiting steps, and the steps that are lost and have not come.
     """
 
-    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        want, value, held = state.get if state.exists else (first_step, start, "{}")
-        waiting = {int(k): v for k, v in json.loads(held).items()}
-        for pdf in batches:
-            for row in pdf[["step", *columns]].itertuples(index=False):
-                if row.step >= want:
-                    waiting[int(row.step)] = [None if pd.isna(x) else float(x) for x in row[1:]]
-        out = []
-        while waiting and (want in waiting or len(waiting) > max_wait):
-            want = want if want in waiting else min(waiting)
-            value = update(value, waiting.pop(want))
-            out.append((key[0], want, value))
+    def __init__(self, update: Callable[[Any, list[float | None]], Any], start: Any, first_step: int, columns: list[str], max_wait: int):
+        self.update, self.start, self.first_step, self.columns, self.max_wait = update, start, first_step, columns, max_wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "want long, value double, waiting long")
+        self.early = handle.getMapState("early", "step long", ", ".join(f"{c} double" for c in self.columns))
+        self.lost = handle.getMapState("lost", "step long", "since long")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        want, value, waiting = self.at.get() if self.at.exists() else (self.first_step, self.start, 0)
+        new, out = {}, []
+        for pdf in rows:
+            for step, *x in pdf[["step", *self.columns]].itertuples(index=False):
+                step = int(step)
+                if step < want:
+                    late = self.lost.containsKey((step,))
+                    if late:
+                        self.lost.removeKey((step,))
+                    out.append((key[0], step, value, "late" if late else "again"))
+                elif step in new or waiting and self.early.containsKey((step,)):
+                    out.append((key[0], step, value, "again"))
+                else:
+                    new[step] = tuple(None if pd.isna(v) else float(v) for v in x)
+        while new or waiting:
+            if want in new:
+                x = new.pop(want)
+            elif waiting and self.early.containsKey((want,)):
+                x, waiting = tuple(self.early.getValue((want,))), waiting - 1
+                self.early.removeKey((want,))
+            elif len(new) + waiting > self.max_wait:
+                ready = min([*new, *((k[0] for k in self.early.keys()) if waiting else ())])
+                for step in range(want, ready):
+                    self.lost.updateValue((step,), (want,))
+                    out.append((key[0], step, value, "lost"))
+                want = ready
+                continue
+            else:
+                break
+            value = self.update(value, x)
+            out.append((key[0], want, value, "value"))
             want += 1
-        state.update((want, value, json.dumps(waiting)))
-        yield pd.DataFrame(out, columns=["name", "step", "value"])
+        for step, x in new.items():
+            self.early.updateValue((step,), x)
+        self.at.update((want, value, waiting + len(new)))
+        yield pd.DataFrame(out, columns=["name", "step", "value", "kind"])
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def _stateful(stream: DataFrame, run: Callable[..., Iterator[pd.DataFrame]], columns: list[str]) -> DataFrame:
+def _stateful(stream: DataFrame, processor: StatefulProcessor, columns: list[str]) -> DataFrame:
     rows = stream.select("name", F.col("step").cast("long").alias("step"), *(F.col(c).cast("double").alias(c) for c in columns))
-    return rows.groupBy("name").applyInPandasWithState(run, "name string, step long, value double", "want long, value double, held string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("name").transformWithStateInPandas(statefulProcessor=processor, outputStructType="name string, step long, value double, kind string", outputMode="append", timeMode="none")
 
 
 def adaptive_kl_stream(stream: DataFrame, start: float, target: float, horizon: float, limit: float = 0.2, first_step: int = 0, max_wait: int = 256) -> DataFrame:
-    """Stream form of :func:`adaptive_kl` on stream(name, step, kl, n): name, step, value."""
+    """Stream form of :func:`adaptive_kl` on stream(name, step, kl, n): name, step, value, kind, as :class:`InOrder` gives them."""
     update = lambda v, x: _next_coef(v, x[0], x[1], target, horizon, limit)
-    return _stateful(stream, in_order(update, start, first_step, ["kl", "n"], max_wait), ["kl", "n"])
+    return _stateful(stream, InOrder(update, start, first_step, ["kl", "n"], max_wait), ["kl", "n"])
 
 
 def gather_groups(stream: DataFrame, path: str, target: int, max_batches: int, group: str = "uid", step: str = "step", metric: str = "score") -> DataFrame:
     """Each batch's groups whose metric varies (or of one row) are kept, with their first step, until there are ``target`` of them; the first by (step, group) count. More batches than ``max_batches`` without reaching it are an error.
 
-    A batch has its own folder, so that a batch tried again is not counted twice; a group that
-    comes in several batches counts at the first.
+    A batch writes the groups that are new with it to a folder of its own, so a batch tried again is not counted
+    twice, a group that comes in several batches counts at the first, and how many there are is a sum of the files' counts.
     """
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, f"{group} string, {step} long, batch long"
 
     def have() -> DataFrame:
-        return spark.read.schema(f"{group} string, {step} long").parquet(f"{path}/rows").groupBy(group).agg(F.min(step).alias(step))
+        return spark.read.schema(schema).parquet(f"{path}/rows").drop("batch")
 
     def put(df: DataFrame, batch: int) -> None:
-        if batch and have().count() >= target:
+        before = spark.read.schema(schema).parquet(f"{path}/rows").where(F.col("batch") < batch) if batch else None
+        if batch and before.count() >= target:  # of the files' own counts
             return
         if batch >= max_batches:
             raise RuntimeError(f"{max_batches} batches gave fewer than {target} groups")
         g = df.groupBy(F.col(group).cast("string").alias(group)).agg(F.stddev_pop(metric).alias("s"), F.count("*").alias("n"), F.min(step).cast("long").alias(step))
-        g.where("s > 0 OR n = 1").select(group, step).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        g = g.where("s > 0 OR n = 1").select(group, step)
+        g = g.join(before.select(group), group, "left_anti") if batch else g
+        g.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     got = have()
     if got.count() < target:
         raise RuntimeError(f"the stream ended with fewer than {target} groups")
-    return got.orderBy(step, group).limit(target)
+    return first_n(got, [F.col(step), F.col(group)], target)
 
 
 def difficulty_stream(stream: DataFrame, path: str, group: str = "uid", metric: str = "score") -> DataFrame:
@@ -158,32 +213,61 @@ def grow(stream: DataFrame, path: str, keep: Column) -> None:
 FINAL = ("diagnose", "answer", "final_answer")
 
 
-def episodes(stream: DataFrame, max_turns: int, reward_final: float = 1.0, reward_timeout: float = -2.0, idle_ms: int | None = None) -> DataFrame:
-    """stream(episode_id, turn_id, action) -> episode_id, turns, outcome, once an episode: at its final action, or when its turns have run out, or when nothing came for ``idle_ms``.
+class Episodes(StatefulProcessor):
+    """See :func:`episodes`."""
 
-    An episode that is done stays known for ``idle_ms``, so that late turns don't open it again; then its
-    state goes. Without ``idle_ms`` there is no timer, and no state goes: a run over what is there
-    now needs that, since timers keep it waiting.
-    """
+    def __init__(self, max_turns: int, reward_final: float, reward_timeout: float, idle_ms: int | None):
+        self.max_turns, self.reward_final, self.reward_timeout, self.idle_ms = max_turns, reward_final, reward_timeout, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "turns long")
+        # without a time to live it stays, so that late turns never open an episode again
+        self.done = handle.getValueState("done", "at long", ttlDurationMs=self.idle_ms) if self.idle_ms else handle.getValueState("done", "at long")
 
-    def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, done = state.get if state.exists else (0, False)
-        row = lambda outcome: pd.DataFrame([(key[0], seen, outcome)], columns=["episode_id", "turns", "outcome"])
-        if state.hasTimedOut:
-            state.remove()
-            if not done:
-                yield row(reward_timeout)
+    def _row(self, key: tuple[Any, ...], turns: int, outcome: float) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], turns, outcome)], columns=["episode_id", "turns", "outcome"])
+
+    def _timer(self, now: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if now is not None:
+            self.handle.registerTimer(now + self.idle_ms)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        turns = pd.concat(list(rows)).sort_values("turn_id")  # a batch's turns of one episode
+        if self.done.exists():
             return
-        turns = pd.concat(list(batches)).sort_values("turn_id")
-        for action in [] if done else turns["action"]:
+        seen, now = self.seen.get()[0] if self.seen.exists() else 0, timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else None
+        for action in turns["action"]:
             seen += 1
-            if action in FINAL or seen >= max_turns:
-                done = True
-                yield row(reward_final if action in FINAL else reward_timeout)
-                break
-        state.update((seen, done))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+            if action in FINAL or seen >= self.max_turns:
+                self.done.update((seen,))
+                self.seen.clear()
+                if self.idle_ms:
+                    self._timer(None)
+                yield self._row(key, seen, self.reward_final if action in FINAL else self.reward_timeout)
+                return
+        self.seen.update((seen,))
+        if self.idle_ms:
+            self._timer(now)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            seen = self.seen.get()[0]
+            self.seen.clear()
+            yield self._row(key, seen, self.reward_timeout)
+
+    def close(self) -> None:
+        pass
+
 
-    schema, mode = "episode_id string, turns long, outcome double", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy("episode_id").applyInPandasWithState(update, schema, "seen long, done boolean", "append", mode)
+def episodes(stream: DataFrame, max_turns: int, reward_final: float = 1.0, reward_timeout: float = -2.0, idle_ms: int | None = None) -> DataFrame:
+    """stream(episode_id, turn_id, action) -> episode_id, turns, outcome, once an episode: at its final action, or when its turns have run out, or when nothing came for ``idle_ms``.
+
+    An open episode's state is a number and a timer; one that is done leaves a mark, which lives for ``idle_ms``, so that
+    late turns don't open it again. Without ``idle_ms`` there is no timer, and marks stay.
+    """
+    rows = stream.select("episode_id", F.col("turn_id").cast("long").alias("turn_id"), "action")
+    processor = Episodes(max_turns, reward_final, reward_timeout, idle_ms)
+    return rows.groupBy("episode_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType="episode_id string, turns long, outcome double", outputMode="append", timeMode="processingTime" if idle_ms else "none")

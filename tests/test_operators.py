@@ -413,7 +413,92 @@ def test_streams_that_gather(spark, tmp_path):
 def test_steps_that_never_come(spark, tmp_path):
     spark.createDataFrame([("a", s, 2.0) for s in (1, 2, 3, 4, 5)], "name string, step long, x double").coalesce(1).write.json(f"{tmp_path}/in")
     out = steps.run(steps.ewma_stream(steps.read_steps(spark, f"{tmp_path}/in", "name string, step long, x double"), max_wait=3), f"{tmp_path}/out")
-    assert rows(out, "step") == [(1,), (2,), (3,), (4,), (5,)]  # step 0 is given up
+    assert rows(out, "step", "kind") == [(0, "lost"), *((s, "value") for s in (1, 2, 3, 4, 5))]
+
+
+def _batches(spark, path, schema, *batches):
+    """A file a batch, in order."""
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.json(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(path))
+
+
+def test_late_steps_are_told(spark, tmp_path):
+    """Early steps wait over batches; lost, late and repeated ones are rows; a key's state holds what waits and what is lost."""
+    x = lambda *s: [("a", k, float(k)) for k in s]
+    stream = _batches(spark, tmp_path / "in", "name string, step long, x double", x(0, 2), x(5, 4, 2), x(7, 8, 8), x(1, 3, 0), x(6, 9))
+    with steps.keyed_state(spark):
+        q = steps.ewma_stream(stream, alpha=1.0, max_wait=4).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows(got.where("kind = 'value'"), "step", "value") == [(k, float(k)) for k in (0, 2, 4, 5, 6, 7, 8, 9)]
+    assert rows(got.where("kind <> 'value'"), "kind", "step") == [("again", 0), ("again", 2), ("again", 8), ("late", 1), ("late", 3), ("lost", 1), ("lost", 3)]
+    assert max(held) <= 1 + 4 + 2 and held[-1] == 1
+
+
+def test_idle_episodes_end(spark, tmp_path):
+    """An episode that goes quiet ends by its timer; one that is done leaves no row for late turns."""
+    import time
+
+    stream = _batches(spark, tmp_path / "in", "episode_id string, turn_id long, action string", [("quiet", 0, "ask"), ("done", 0, "answer")], [("done", 1, "ask"), ("more", 0, "ask")], [("more", 1, "diagnose")])
+    with steps.keyed_state(spark):
+        q = steps.episodes(stream, 5, idle_ms=4000).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start(f"{tmp_path}/out")
+    try:
+        until, got = time.time() + 90, []
+        while len(got) < 3 and time.time() < until:
+            time.sleep(1)
+            got = rows(spark.read.schema("episode_id string, turns long, outcome double").parquet(f"{tmp_path}/out"), "episode_id", "turns", "outcome") if (tmp_path / "out").exists() else []
+    finally:
+        q.stop()
+    assert got == [("done", 1, 1.0), ("more", 2, 1.0), ("quiet", 1, -2.0)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 99, 100, 137, 200, 500])
+def test_first_n_by_ranges(spark, monkeypatch, n):
+    monkeypatch.setattr(DS, "GATHER", -1)
+    d = spark.createDataFrame([(i * 7919 % 200, i % 3) for i in range(200)], "k long, g long").repartition(3)
+    want = sorted((r["g"], r["k"]) for r in d.collect())[:n]
+    assert rows(DS.first_n(d, [F.col("g"), F.col("k")], n), "g", "k") == want
+
+
+def test_dense_search_stops_by_norm(spark):
+    rng = random.Random(4)
+    vec = lambda scale: [scale * rng.uniform(-1, 1) for _ in range(8)]
+    corpus = [(i, vec(10.0 if i < 30 else 0.1)) for i in range(600)] + [(600, [0.0] * 8), (601, [0.0] * 8), (602, None)]
+    queries = [(q, vec(1.0)) for q in range(7)] + [(7, [0.0] * 8)]
+    from colloquy.operators import retrieval
+
+    got = retrieval.dense(spark.createDataFrame(queries, "qid long, q array<double>"), spark.createDataFrame(corpus, "vec_id long, embedding array<double>"), 3, rows=40).collect()
+    want = []
+    for q, x in queries:
+        scored = sorted((-(round(sum(a * b for a, b in zip(x, y, strict=True)), 6) + 0.0), i) for i, y in corpus if y)
+        want += [(q, i, r, -s) for r, (s, i) in enumerate(scored[:3], 1)]
+    assert sorted((r["qid"], r["vec_id"], r["rank"], pytest.approx(r["score"], abs=2e-6)) for r in got) == sorted(want)
+    assert max(r["scored"] for r in got if r["qid"] < 7) < 200 and {r["scored"] for r in got if r["qid"] == 7} == {602}
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.7])
+def test_repeated_questions(spark, threshold):
+    rng = random.Random(1)
+    word = lambda: rng.choice(["is", "it", "the", "pain", "fever", "night", "cough", "where?", "when?"])
+    asked = [(c, 2 * t, rng.choice([" ".join(word() for _ in range(rng.randint(0, 7))), "is it the pain", None if rng.random() < 0.1 else "x"])) for c in range(6) for t in range(25)]
+    d = spark.createDataFrame(asked, "conv_id long, turn long, text string")
+    want, seen = [], {}
+    for c, t, x in sorted(asked, key=lambda r: r[:2]):
+        w = set((x or "").lower().split())
+        again = any(w and o and len(w & o) / len(w | o) > threshold for o in seen.get(c, []))
+        seen.setdefault(c, []).append(w)
+        many = (x or "").count("?") > 1
+        want.append((c, t, "<Repeated>" if again else "<Multiple>" if many else "<Normal>"))
+    assert rows(W.question_checks(d, threshold), "conv_id", "turn", "verifier") == want
+
+
+def test_one_dialogue_of_many_questions(spark):
+    """50,000 turns, one in ten asked before."""
+    d = spark.range(50_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("do you have sign "), F.when(F.col("id") % 10 == 9, F.col("id") - 5).otherwise(F.col("id")).cast("string"), F.lit(" of kind "), F.md5(F.when(F.col("id") % 10 == 9, F.col("id") - 5).otherwise(F.col("id")).cast("string")), F.lit(" since "), F.md5((F.when(F.col("id") % 10 == 9, F.col("id") - 5).otherwise(F.col("id")) + 1).cast("string"))).alias("text"))
+    got = W.question_checks(d).groupBy("verifier").count()
+    assert rows(got, "verifier", "count") == [("<Normal>", 45_000), ("<Repeated>", 5_000)]
 
 
 def test_users_views_stay(spark):
