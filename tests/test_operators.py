@@ -432,9 +432,9 @@ def test_late_steps_are_told(spark, tmp_path):
         q.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     got = spark.read.parquet(f"{tmp_path}/out")
-    assert rows(got.where("kind = 'value'"), "step", "value") == [(k, float(k)) for k in (0, 2, 4, 5, 6, 7, 8, 9)]
-    assert rows(got.where("kind <> 'value'"), "kind", "step") == [("again", 0), ("again", 2), ("again", 8), ("late", 1), ("late", 3), ("lost", 1), ("lost", 3)]
-    assert max(held) <= 1 + 4 + 2 and held[-1] == 1
+    assert rows(got.where("kind = 'value'"), "step", "value") == [(k, float(k)) for k in (0, 2, 3, 4, 5, 6, 7, 8, 9)]
+    assert rows(got.where("kind <> 'value'"), "kind", "step") == [("again", 0), ("again", 2), ("again", 8), ("late", 1), ("lost", 1)]
+    assert max(held) <= 1 + 4 + 1 and held[-1] == 1
 
 
 def test_idle_episodes_end(spark, tmp_path):
