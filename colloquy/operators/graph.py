@@ -41,15 +41,27 @@ def top_edges(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows of a side, counted beforehand, that is broadcast.
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df written, as a side to broadcast if it is small, else to merge."""
+    d = cut(df)
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d.hint("merge")
+
+
 def clean(edges: DataFrame, least: int, most: int) -> DataFrame:
-    """Clean symptoms only, diseases with at least ``least`` of them, the ``most`` heaviest each."""
-    d = edges.where(clean_symptom(F.col("symptom"))).withColumn("_n", F.count("*").over(Window.partitionBy("disease"))).where(F.col("_n") >= least)
+    """Clean symptoms only, diseases with at least ``least`` of them, the ``most`` heaviest each. A symptom is judged once, not once an edge."""
+    fine = small(edges.select("symptom").distinct().where(clean_symptom(F.col("symptom"))))
+    d = edges.join(fine, "symptom", "left_semi").withColumn("_n", F.count("*").over(Window.partitionBy("disease"))).where(F.col("_n") >= least)
     return top_edges(d, most).drop("_n", "rank")
 
 
 def dropped(edges: DataFrame) -> DataFrame:
     """How many edges fail by type of symptom."""
-    return edges.where(~clean_symptom(F.col("symptom"))).groupBy(symptom_type(F.col("symptom")).alias("symptom_type")).agg(F.count("*").alias("n"))
+    n = edges.groupBy("symptom").agg(F.count("*").alias("_n")).where(~clean_symptom(F.col("symptom")))
+    return n.groupBy(symptom_type(F.col("symptom")).alias("symptom_type")).agg(F.sum("_n").alias("n"))
 
 
 def pools(edges: DataFrame) -> DataFrame:
@@ -175,16 +187,20 @@ def resolve(queries: DataFrame, diseases: DataFrame, least: float = 0.2) -> Data
     exact = q.join(names, F.col("_q") == F.col("_d")).groupBy("query").agg(F.min("disease").alias("exact"))
     rest = queries.join(exact, "query", "left_anti")
     close = top_matches(jaccard(rest, diseases, "query", "query", "disease", "disease", least), "query", "disease", 1)
-    return queries.join(exact, "query", "left").join(close.select("query", F.col("disease").alias("close")), "query", "left").select("query", F.coalesce("exact", "close").alias("disease"))
+    return queries.join(exact, "query", "left").join(close.select("query", F.col("disease").alias("close")).hint("merge"), "query", "left").select("query", F.coalesce("exact", "close").alias("disease"))
 
 
 def mentioned(texts: DataFrame, key: str, text: str, symptoms: DataFrame) -> DataFrame:
-    """key, symptom: dictionary entries that occur in the text as 1 to 4 words in a row; an equality join on n-grams of the sizes that the dictionary has."""
-    entries = symptoms.select("symptom").distinct()
+    """key, symptom: dictionary entries that occur in the text as 1 to 4 words in a row; an equality join on n-grams of the sizes that the dictionary has.
+
+    A small dictionary goes to the texts, so that only n-grams that are entries are shuffled.
+    """
+    entries = cut(symptoms.select("symptom").where("symptom IS NOT NULL").distinct())
+    side = F.broadcast(entries) if entries.count() <= BROADCAST_ROWS else entries.hint("merge")
     sizes = sorted(r["n"] for r in entries.select(F.size(F.split("symptom", " ")).alias("n")).where("n BETWEEN 1 AND 4").distinct().collect())
     d = held(texts.select(key, text), _w=words(normalized(F.col(text))))
     grams = d.select(key, F.explode(ngrams(F.col("_w"), sizes)).alias("symptom"))
-    return grams.hint("merge").join(entries, "symptom", "left_semi").select(key, "symptom").distinct()
+    return grams.join(side, "symptom", "left_semi").select(key, "symptom").distinct()
 
 
 def _grams(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -109,14 +109,20 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     return cache.materialize(spark.createDataFrame([], "uid string, n long"), path)
 
 
-@query("a16", "SELECT 'a' AS name, count(*) AS n FROM region UNION ALL SELECT 'b', count(*) FROM nation")
+@query("a16", "SELECT 'a' AS name, count(*) AS n FROM supplier UNION ALL SELECT 'b', count(*) FROM customer")
 def a16(spark: SparkSession, sf: str) -> DataFrame:
     path = _tmp(spark)
-    files.append_named(table(spark, sf, "region").select(F.col("r_name").alias("x")), path, "a")
-    files.append_named(table(spark, sf, "nation").select(F.col("n_name").alias("x")), path, "b")
+    files.append_named(table(spark, sf, "supplier").select(F.col("s_name").alias("x")), path, "a")
+    files.append_named(table(spark, sf, "customer").select(F.col("c_name").alias("x")), path, "b")
     return spark.read.parquet(path).groupBy("name").agg(F.count("*").alias("n"))
 
 
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "supplier")
+    first = F.broadcast(s.agg(F.min("s_suppkey").alias("_first")))
+    return s.crossJoin(first).select((F.col("s_suppkey") - F.col("_first")).cast("long").alias("row_id"), F.col("s_name").alias("name"))
+
+
 _MAN = "SELECT step % 3 AS split, data_source, pred, len(string_split(uid, '-')) + step % 4 AS n FROM rollouts"
 
 
@@ -220,9 +226,9 @@ def f17(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(x), lambda s: s["o"]), ",").alias("options"))
 
 
-@query("g1", "SELECT 'n' AS kind, n_name AS name FROM nation UNION ALL SELECT 'r', r_name FROM region")
+@query("g1", "SELECT 'c' AS kind, c_name AS name FROM customer UNION ALL SELECT 's', s_name FROM supplier")
 def g1(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select(F.lit("n").alias("kind"), F.col("n_name").alias("name")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("name"), F.lit("r").alias("kind")))
+    return table(spark, sf, "customer").select(F.lit("c").alias("kind"), F.col("c_name").alias("name")).unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.lit("s").alias("kind")))
 
 
 @query("g3", "SELECT DISTINCT l_suppkey FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_linenumber = 6 AND l_quantity = 50 AND l_discount > 0.08")
@@ -256,15 +262,15 @@ def g8(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("fold", F.array_join(F.transform("x", lambda r: r["event_type"]), ",").alias("kinds"))
 
 
-@query("g9", "SELECT row_id, name, is_pad FROM (SELECT n_nationkey::BIGINT AS row_id, n_name AS name, false AS is_pad FROM nation UNION ALL SELECT n_nationkey + 25, n_name, true FROM nation WHERE n_nationkey < 3) t")
+@query("g9", "WITH s AS (SELECT CAST(s_suppkey AS BIGINT) - (SELECT min(s_suppkey) FROM supplier) AS row_id, s_name AS name, (SELECT count(*) FROM supplier) AS n FROM supplier) SELECT row_id, name, false AS is_pad FROM s UNION ALL SELECT row_id + n, name, true FROM s WHERE row_id < (7 - n % 7) % 7")
 def g9(spark: SparkSession, sf: str) -> DataFrame:
-    """25 rows padded to a multiple of 7."""
-    return DS.pad_to(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.col("n_name").alias("name")), 7, "row_id")
+    """Rows padded to a multiple of 7."""
+    return DS.pad_to(_suppliers(spark, sf), 7, "row_id")
 
 
-@query("g10", "SELECT n_nationkey::BIGINT AS row_id, (n_nationkey * 5 // 25)::BIGINT AS chunk FROM nation")
+@query("g10", "WITH s AS (SELECT CAST(s_suppkey AS BIGINT) - (SELECT min(s_suppkey) FROM supplier) AS row_id, (SELECT count(*) FROM supplier) AS n FROM supplier) SELECT row_id, CAST(row_id * 5 // n AS BIGINT) AS chunk FROM s")
 def g10(spark: SparkSession, sf: str) -> DataFrame:
-    return DS.chunked(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("row_id")), 5, "row_id")
+    return DS.chunked(_suppliers(spark, sf).select("row_id"), 5, "row_id")
 
 
 @query("g11", "SELECT conv_id, string_agg(role || CAST(turn AS VARCHAR), ',' ORDER BY turn) AS pairs FROM conversations GROUP BY 1")

@@ -172,11 +172,11 @@ def c6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "c7",
-    f"""SELECT disease, symptom, round(weight, 6) + 0.0 AS weight, CAST({_TOP} AS INTEGER) AS rank FROM kg_edges WHERE disease IN (SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) FROM part WHERE p_size <= 10) QUALIFY {_TOP} <= 3""",
+    f"""SELECT disease, symptom, round(weight, 6) + 0.0 AS weight, CAST({_TOP} AS INTEGER) AS rank FROM kg_edges WHERE disease IN (SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) FROM part) QUALIFY {_TOP} <= 3""",
     K,
 )
 def c7(spark: SparkSession, sf: str) -> DataFrame:
-    want = table(spark, sf, "part").where("p_size <= 10").select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("query"))
+    want = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("query"))
     got = G.resolve(want, _edges(spark, sf).select("disease").distinct(), least=1.0)
     return G.top_edges(_edges(spark, sf).join(got.select("disease").distinct(), "disease", "left_semi"), 3).select("disease", "symptom", r6("weight").alias("weight"), "rank")
 
@@ -198,6 +198,22 @@ def c8(spark: SparkSession, sf: str) -> DataFrame:
     return G.mentioned(table(spark, sf, "documents").where(F.col("text").isNotNull()), "doc_id", "text", words)
 
 
+@query(
+    "c8_sizes",
+    f"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array({_DOC}, '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b),
+dict AS (SELECT DISTINCT array_to_string(w[i:i + k - 1], ' ') AS symptom, k FROM p, range(1, 5) s(k) WHERE i + k - 1 <= len(w) AND (k > 1 OR length(w[i]) >= 12)),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array({_DOC}, '\\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS symptom FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) t, range(1, 5) s(k) WHERE i + k - 1 <= len(w))
+SELECT doc_id, symptom FROM g SEMI JOIN dict ON g.symptom = dict.symptom""",
+)
+def c8_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of all phrases of two to four words of the benchmark, and its long words."""
+    held = T.held(table(spark, sf, "benchmark").select("text"), w=T.words(T.normalized(F.col("text"))))
+    words = held.select(F.explode(T.ngrams(F.col("w"), (1, 2, 3, 4))).alias("symptom")).where(F.col("symptom").contains(" ") | (F.length("symptom") >= 12))
+    return G.mentioned(table(spark, sf, "documents").where(F.col("text").isNotNull()), "doc_id", "text", words)
+
+
 @query("c9", "SELECT DISTINCT disease FROM kg_edges EXCEPT SELECT disease FROM episode_turns WHERE action = 'diagnose' AND turn_id > 6", ("kg_edges", "episode_turns"))
 def c9(spark: SparkSession, sf: str) -> DataFrame:
     out = view(spark, sf, "episode_turns").where("action = 'diagnose' AND turn_id > 6").select("disease")
