@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 SQL functions alone. Words on either side raise a span's score (CONTEXT) or lower it
-(AGAINST): telephone numbers, social security numbers and passport numbers stand or fall by
+(AGAINST), and of both kinds the word that stands nearest decides, for the span if they are as
+near: telephone numbers, social security numbers and passport numbers stand or fall by
 them, while a checksum outweighs them. Offsets are code points. A null text has no
 spans; repeated rows give repeated results; extra columns pass through, whatever their
 names, but for base and spans, which the results replace.
@@ -34,7 +35,7 @@ CONTEXT = {
     "iban": "iban|bank|account", "tel": "phone|call|tel|mobile|fax", "ssn": "ssn|social|security|insurance", "passport": "passport|travel document",
 }
 #: Words nearby that lower it: numbers of things, not of people.
-AGAINST = r"\b(order|invoice|part|serial|model|version|isbn|ticket|sku|build)\b"
+AGAINST = r"\b(?:order|invoice|part|serial|model|version|isbn|ticket|sku|build)\b"
 BEFORE, AFTER, LIFT, DROP, THRESHOLD = 48, 24, 0.3, 0.3, 0.5
 
 
@@ -88,10 +89,16 @@ def found(docs: DataFrame) -> DataFrame:
 
     def score(s: Column) -> Column:
         before = F.substring(t, F.greatest(s["start"] + 1 - BEFORE, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
-        near = F.lower(F.concat(before, F.lit(" "), F.substring(t, s["end"] + 1, F.lit(AFTER))))
-        up = F.when(F.regexp_like(near, of(CONTEXT, s["kind"])), F.lit(LIFT)).otherwise(F.lit(0.0))
-        down = F.when(F.regexp_like(near, F.lit(AGAINST)), F.lit(DROP)).otherwise(F.lit(0.0))
-        return F.round(F.least(F.lit(1.0), of(PRIOR, s["kind"]) + up - down), 2)
+        before, after = F.lower(before), F.lower(F.substring(t, s["end"] + 1, F.lit(AFTER)))
+
+        def distance(words: Column) -> Column:
+            """Characters between the span and the nearest of the words; null without one."""
+            gap = lambda side, head, tail: F.when(F.regexp_like(side, words), F.length(F.call_function("regexp_extract", side, F.concat(F.lit(head), words, F.lit(tail)), F.lit(1))))
+            return F.least(gap(before, r"(?s)\A.*(?:", r")(.*)\z"), gap(after, r"(?s)\A(.*?)(?:", ")"))
+
+        up, down = distance(of(CONTEXT, s["kind"])), distance(F.lit(AGAINST))
+        shift = F.when(up.isNull() & down.isNull(), 0.0).when(down.isNull() | (up <= down), LIFT).otherwise(-DROP)
+        return F.round(F.least(F.lit(1.0), of(PRIOR, s["kind"]) + shift), 2)
 
     more = F.concat(*(f"_{k}" for k in KINDS[BASE:]))
     added = F.filter(more, lambda s: ~overlaps(s, F.col("_base")))

@@ -12,7 +12,9 @@ the last the bitmap (bits from the low end) and the directory (uint32 a BLOCK of
 
 Segments are rows of a table written by Spark in ascending doc_id order (nulls first,
 repeated ids by a hash of the text), so any store that Spark writes will do. A null text
-has no ids but the end id. The least long, NO_ID, stands for null and is no id of its own.
+has no ids but the end id. A special token's string within a text is ordinary text, as the
+vocabulary's own description encodes it (``encode_special_tokens``), so that no document can write
+the end id itself. The least long, NO_ID, stands for null and is no id of its own.
 """
 
 from __future__ import annotations

@@ -114,3 +114,12 @@ def test_context_changes_the_outcome(spark):
     got = {r["doc_id"]: (r["spans"].split(":")[0], r["scores"]) for r in pii.digest(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
     assert [got[i][0] for i in range(len(cases))] == ["ssn", "ssn", "", "", "tel", "tel", "", "passport", ""]
     assert got[0][1] == "0.7" and got[4][1] == "0.9" and got[5][1] == "0.6"
+
+
+def test_nearest_context_decides(spark):
+    t = "order 123-45-6789 and ssn 123-45-6780 call (212) 555-0100 or invoice (212) 555-0101"
+    cases = [t, "ssn order 123-45-6789", "order ssn 123-45-6789", "invoice 123-45-6789 ssn", "part: (212) 555-0100 fax", "part (212) 555-0100 fax"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    at = [t.index(x) for x in ("123-45-6780", "(212) 555-0100")]
+    assert got[0] == f"ssn:{at[0]}:{at[0] + 11},tel:{at[1]}:{at[1] + 14}"
+    assert [bool(got[i]) for i in range(1, 6)] == [False, True, True, True, True]
