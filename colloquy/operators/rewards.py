@@ -235,6 +235,40 @@ def question_checks(questions: DataFrame, threshold: float = 0.7, multiple_first
     return d.select(*questions.columns, F.when(first[1], first[0]).when(second[1], second[0]).otherwise("<Normal>").alias("verifier"))
 
 
+#: A word that more statements of one dialogue than this have is common there.
+COMMON_STATEMENTS = 200
+
+
+def best_statements(questions: DataFrame, statements: DataFrame, used: float = 0.25, common: int = COMMON_STATEMENTS) -> DataFrame:
+    """questions(conv_id, turn, words), statements(conv_id, fact_id, words), words as arrays without repeats -> conv_id, turn, fact_id: the dialogue's statement that shares most words with each question, one already made (fact_id < turn) counting ``used`` less, ties to the smallest fact_id; questions whose best score is not above 0 are left out.
+
+    They meet on words that are not common in their dialogue, and such pairs get their exact score. Statements
+    that share nothing but common words with a question score alike if they have the same common words, so of such a
+    family only its first statement, and the first that is not yet made, can be best: a long dialogue is not all
+    its pairs.
+    """
+    f = statements.select("conv_id", "fact_id", F.explode("words").alias("_w"))
+    often = f.groupBy("conv_id", "_w").agg((F.count("*") > common).alias("_hot"))
+    f = cut(f.hint("merge").join(often, ["conv_id", "_w"]))
+    q = questions.select("conv_id", "turn", F.explode("words").alias("_w"))
+    q = cut(q.hint("merge").join(f.groupBy("conv_id", "_w").agg(F.max("_hot").alias("_hot")), ["conv_id", "_w"]))
+    met = q.where(~F.col("_hot")).select("conv_id", "turn", "_w").hint("merge").join(f.where(~F.col("_hot")).select("conv_id", "fact_id", "_w"), ["conv_id", "_w"]).select("conv_id", "turn", "fact_id").distinct()
+    met = met.hint("merge").join(questions.select("conv_id", "turn", "words"), ["conv_id", "turn"]).hint("merge").join(statements.select("conv_id", "fact_id", F.col("words").alias("_v")), ["conv_id", "fact_id"])
+    cost = F.when(F.col("fact_id") < F.col("turn"), used).otherwise(0.0)
+    exact = met.select("conv_id", "turn", "fact_id", (F.size(F.array_intersect("words", "_v")) - cost).alias("score"))
+    own = f.where("_hot").groupBy("conv_id", "fact_id").agg(F.sort_array(F.collect_list("_w")).alias("_set"))
+    family = cut(own.groupBy("conv_id", "_set").agg(F.min("fact_id").alias("_first")))
+    member = own.hint("merge").join(family, ["conv_id", "_set"]).select("conv_id", "_first", F.col("fact_id").alias("_t"), F.lit(1).alias("_is"), "fact_id", F.lit(None).cast("long").alias("_n"), F.lit(None).cast(questions.schema["turn"].dataType).alias("turn"))
+    asked = q.where("_hot").hint("merge").join(family.select("conv_id", "_first", F.explode("_set").alias("_w")), ["conv_id", "_w"]).groupBy("conv_id", "turn", "_first").agg(F.count("*").alias("_n"))
+    asked = asked.select("conv_id", "_first", F.col("turn").alias("_t"), F.lit(0).alias("_is"), F.lit(None).cast(statements.schema["fact_id"].dataType).alias("fact_id"), "_n", "turn")
+    later = Window.partitionBy("conv_id", "_first").orderBy("_t", "_is").rowsBetween(1, Window.unboundedFollowing)
+    line = member.unionByName(asked).withColumn("_next", F.first("fact_id", ignorenulls=True).over(later)).where("_n IS NOT NULL")
+    two = line.select("conv_id", "turn", "_n", F.explode(F.array_distinct(F.array("_first", F.coalesce("_next", "_first")))).alias("fact_id"))
+    alike = two.select("conv_id", "turn", "fact_id", (F.col("_n") - cost).alias("score"))
+    best = exact.unionByName(alike).where("score > 0").groupBy("conv_id", "turn").agg(F.min(F.struct((-F.col("score")).alias("_s"), F.col("fact_id").alias("fact_id"))).alias("_b"))
+    return best.select("conv_id", "turn", F.col("_b.fact_id").alias("fact_id"))
+
+
 def place_rewards(turn_rewards: DataFrame, spans: DataFrame, value: str, seq: str = "sample_id") -> DataFrame:
     """seq, pos, value: each turn's reward at its span's last token; what has no span is added at the sequence's last span."""
     last = spans.groupBy(seq).agg(F.max("end").alias("_last"))

@@ -252,11 +252,9 @@ SELECT conv_id, turn, fact_id FROM s WHERE score > 0 QUALIFY row_number() OVER (
 )
 def c12(spark: SparkSession, sf: str) -> DataFrame:
     """Questions linked to the statement that shares most words; statements already made count a quarter less."""
-    d = view(spark, sf, "dialogue").withColumn("w", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 3)))
-    q, f = d.where("role = 'user'").select("conv_id", "turn", "w"), d.where("role = 'assistant'").select("conv_id", F.col("turn").alias("fact_id"), F.col("w").alias("v"))
-    s = q.join(f, "conv_id").withColumn("score", F.size(F.array_intersect("w", "v")) - F.when(F.col("fact_id") < F.col("turn"), 0.25).otherwise(0.0)).where("score > 0")
-    w = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), "fact_id")
-    return s.withColumn("k", F.row_number().over(w)).where("k = 1").select("conv_id", "turn", "fact_id")
+    d = view(spark, sf, "dialogue").withColumn("words", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 3)))
+    q, f = d.where("role = 'user'").select("conv_id", "turn", "words"), d.where("role = 'assistant'").select("conv_id", F.col("turn").alias("fact_id"), "words")
+    return W.best_statements(q, f)
 
 
 @query("c2", f"WITH {_ITEMS} SELECT episode_id, turn_id, item, source FROM item", TK)

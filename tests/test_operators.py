@@ -494,6 +494,21 @@ def test_repeated_questions(spark, threshold):
     assert rows(W.question_checks(d, threshold), "conv_id", "turn", "verifier") == want
 
 
+@pytest.mark.parametrize("common", [0, 2, 1000])
+def test_best_statements(spark, common):
+    rng = random.Random(common)
+    word = lambda: rng.choice(["pain", "fever", "night", "cough", "where", "since", "x1", "x2", "x3", "x4"])
+    turns = [(c, t, sorted({word() for _ in range(rng.randint(0, 5))})) for c in range(5) for t in range(40)]
+    q, f = [r for r in turns if r[1] % 2 == 0], [r for r in turns if r[1] % 2]
+    got = W.best_statements(spark.createDataFrame(q, "conv_id long, turn long, words array<string>"), spark.createDataFrame(f, "conv_id long, fact_id long, words array<string>"), common=common)
+    want = []
+    for c, t, w in q:
+        scored = sorted((-(len(set(w) & set(v)) - 0.25 * (i < t)), i) for d, i, v in f if d == c)
+        if scored[0][0] < 0:
+            want.append((c, t, scored[0][1]))
+    assert rows(got, "conv_id", "turn", "fact_id") == sorted(want)
+
+
 def test_one_dialogue_of_many_questions(spark):
     """50,000 turns, one in ten asked before."""
     d = spark.range(50_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.concat(F.lit("do you have sign "), F.when(F.col("id") % 10 == 9, F.col("id") - 5).otherwise(F.col("id")).cast("string"), F.lit(" of kind "), F.md5(F.when(F.col("id") % 10 == 9, F.col("id") - 5).otherwise(F.col("id")).cast("string")), F.lit(" since "), F.md5((F.when(F.col("id") % 10 == 9, F.col("id") - 5).otherwise(F.col("id")) + 1).cast("string"))).alias("text"))
