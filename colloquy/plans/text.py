@@ -297,11 +297,14 @@ def h19(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "responses").select("sample_id", S.qa_normal(F.col("solution")).alias("answer"), S.math_normal(v).alias("math"), S.answer_normal(w).alias("final"))
 
 
-_SCORED = """CASE WHEN data_source = 'openai/gsm8k' THEN CASE WHEN regexp_extract(solution, '#### (-?[0-9.,]+)', 1) = ground_truth THEN 1.0 ELSE 0.0 END
-WHEN data_source = 'searchR1_nq' THEN CASE WHEN regexp_extract(solution, 'The ([0-9]+)', 1) = ground_truth THEN CASE WHEN length(solution) > 200 THEN 0.25 ELSE 1.0 END ELSE 0.0 END
-WHEN data_source = 'lighteval/MATH' THEN CASE WHEN regexp_extract(solution, '= ([0-9]+)', 1) = ground_truth THEN 1.0 ELSE 0.0 END
-WHEN data_source = 'hiyouga/geometry3k' THEN CASE WHEN regexp_extract(solution, 'boxed\\{([0-9]+)', 1) = ground_truth THEN 0.9 ELSE 0.0 END + CASE WHEN starts_with(solution, '<think>') THEN 0.1 ELSE 0.0 END
-ELSE CASE WHEN regexp_extract(solution, 'Answer: *(.*)$', 1) = ground_truth THEN 1.0 ELSE -1.0 END END"""
+#: A boxed answer without percent, units, a short name before = and spaces; the label of a search question without case, punctuation, articles and spaces around.
+_BOXED = r"replace(regexp_replace(split_part(replace(regexp_extract(solution, '(?s).*\\boxed[{](.*)[}]', 1), '\%', ''), '\text{ ', 1), '^[^=]{0,2}=([^=]*)$', '\1'), ' ', '')"
+_NAMED = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(list_last(regexp_extract_all(solution, '(?s)<answer>(.*?)</answer>', 1))), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+_SCORED = rf"""CASE WHEN data_source = 'openai/gsm8k' THEN CASE WHEN replace(list_last(regexp_extract_all(right(solution, 300), '#### (-?[0-9.,]+)', 1)), ',', '') = ground_truth THEN 1.0 ELSE 0.0 END
+WHEN data_source = 'searchR1_nq' THEN CASE WHEN {_NAMED} = ground_truth THEN CASE WHEN len(string_split(solution, '<answer>')) - 1 > 10 THEN 0.25 ELSE 1.0 END ELSE 0.0 END
+WHEN data_source = 'lighteval/MATH' THEN CASE WHEN {_BOXED} = ground_truth THEN 1.0 ELSE 0.0 END
+WHEN data_source = 'hiyouga/geometry3k' THEN CASE WHEN {_BOXED} = ground_truth THEN 0.9 ELSE 0.0 END + CASE WHEN regexp_matches(solution, '(?s)^<think>.*</think>.*\\boxed[{{].*[}}]') THEN 0.1 ELSE 0.0 END
+ELSE CASE WHEN trim(list_last(regexp_extract_all(right(solution, 300), '(?i)Answer\s*:\s*([^\n]+)', 1))) = ground_truth THEN 1.0 ELSE -1.0 END END"""
 
 
 @query("i6", f"SELECT sample_id, round(CAST({_SCORED} AS DOUBLE), 6) + 0.0 AS score FROM responses", ("responses",))
