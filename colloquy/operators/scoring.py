@@ -64,7 +64,8 @@ def boxed(x: Column) -> Column:
 
 
 # What the clean-up of answers replaces and removes.
-MATH_DROPS = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$")
+MATH_LAYOUT = ("\n", "\\!")
+MATH_DROPS = ("\\left", "\\right", "^{\\circ}", "^\\circ", "\\$")
 ANSWER_SWAPS = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
 ANSWER_DROPS = (
     "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet",
@@ -84,10 +85,10 @@ def _swap(x: Column, old: str, new: str = "") -> Column:
 
 def math_normal(x: Column) -> Column:
     """A mathematical answer as text: no layout, degrees, dollars, percent or units; fractions and roots with braces; a short name before = dropped."""
-    for old in MATH_DROPS[:2]:
+    for old in MATH_LAYOUT:
         x = _swap(x, old)
     x = _swap(_swap(_swap(x, "\\\\", "\\"), "tfrac", "frac"), "dfrac", "frac")
-    for old in MATH_DROPS[2:]:
+    for old in MATH_DROPS:
         x = _swap(x, old)
     x = F.split_part(x, F.lit("\\text{ "), F.lit(1))
     x = _swap(_swap(_swap(x, "\\%"), " .", " 0."), "{.", "{0.")
