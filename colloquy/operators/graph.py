@@ -143,7 +143,7 @@ def _with_scores(pairs: DataFrame, a: DataFrame, b: DataFrame, lkey: str, rkey:
     return d.select(lkey, rkey, (same / (F.size("_a") + F.size("_b") - same)).alias("score"))
 
 
-def closest(left: DataFrame, right: DataFrame, lkey: str, ltext: str, rkey: str, rtext: str, k: int, levels: tuple[float, ...] = LEVELS, common_rows: int = COMMON_ROWS) -> DataFrame:
+def closest(left: DataFrame, right: DataFrame, lkey: str, ltext: str, rkey: str, rtext: str, k: int, levels: tuple[float, ...] | None = None, common_rows: int = COMMON_ROWS) -> DataFrame:
     """lkey, rkey, score, rank, level: the k rows of ``right`` with the largest Jaccard similarity above 0 for each of ``left``, ties to the smaller rkey; no threshold.
 
     Thresholds descend. At a level, open queries meet the right side on the words that a pair
@@ -153,11 +153,17 @@ def closest(left: DataFrame, right: DataFrame, lkey: str, ltext: str, rkey: str,
     at most, so a query is finished only at a level above that. Queries that no level finishes have level
     0: they meet all rows with a word of theirs that is not common; and rows that share only common
     words with them score alike if they have the same common words and the same size, so of such a
-    family k rows are enough. No word that a share of all rows has is joined to rows, for any query.
+    family k rows are enough. No word that a share of all rows has is joined to rows, for any query. Without
+    ``levels``, LEVELS are gone through if there is a common word; if there is none, a word of a query meets few rows anyway,
+    and all are met at once.
     """
     a, b = _tokens(left, lkey, ltext), _tokens(right, rkey, rtext).withColumnsRenamed({"_n": "_m"})
     often = cut(b.groupBy("_w").agg(F.count("*").alias("_f")))
     common = max(common_rows, right.count() // COMMON_SHARE)
+    if levels is None:
+        if often.where(F.col("_f") > common).isEmpty():
+            return top_matches(jaccard(left, right, lkey, ltext, rkey, rtext), lkey, rkey, k).withColumn("level", F.lit(0.0))
+        levels = LEVELS
     a, b = _by_rarity(a, lkey, "_n", often, common), _by_rarity(b, rkey, "_m", often, common)
     sets = lambda d, key, out, *more: cut(d.groupBy(key).agg(F.collect_list("_w").alias(out), F.max("_hot").alias("_any"), *more))
     a_sets, b_sets = sets(a, lkey, "_a", F.sum(F.col("_hot").cast("int")).alias("_h")), sets(b, rkey, "_b", F.sort_array(F.collect_list(F.when(F.col("_hot"), F.col("_w")))).alias("_set"))

@@ -140,7 +140,7 @@ SELECT CAST(level AS DOUBLE) AS level, count(*) AS n_queries FROM l GROUP BY 1""
 )
 def c5_levels(spark: SparkSession, sf: str) -> DataFrame:
     """How many queries each threshold of the descent finishes, without a word that counts as common."""
-    d = G.closest(_queries(spark, sf), _edges(spark, sf).select("disease").distinct(), "query", "query", "disease", "disease", 3, common_rows=1 << 40)
+    d = G.closest(_queries(spark, sf), _edges(spark, sf).select("disease").distinct(), "query", "query", "disease", "disease", 3, levels=G.LEVELS, common_rows=1 << 40)
     return d.groupBy("query").agg(F.max("level").alias("level")).groupBy("level").agg(F.count("*").alias("n_queries"))
 
 
