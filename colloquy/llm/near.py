@@ -31,6 +31,8 @@ WORDS, SEED = 5, simhash.SEED
 #: Similarity as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 32, 5
+#: Classes of set size to a factor of e, so that sizes of one class differ by some 3 %.
+SIZES = 32
 #: Shingles hashed at a time.
 CHUNK = 1024
 #: Ids up to which they are broadcast (at most 32 MB) instead of shuffling the texts.
@@ -79,6 +81,11 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": pdf["key"], "set": [shingles(t).view(np.int64) for t in pdf["text"]]})
 
 
+def _component_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"key": pdf["key"], "component": pdf["component"], "set": [shingles(t).view(np.int64) for t in pdf["text"]]})
+
+
 def _similar(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs(u, v) of nodes whose sets are similar."""
     some = materialize(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
@@ -92,13 +99,54 @@ def _similar(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     return materialize(both.where((a + b) * same >= a * total).select("u", "v"))
 
 
-def _crossing(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs(u, v) in one bucket of members(bucket, key) whose nodes found(node, component) does not join."""
+def _prefixes(nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """key, component, n, shingle, pos of nodes(key, component): the places from 0 of a set of n ordered by how many of the nodes have a shingle, rarest first.
+
+    Only the first fifth of each set, which its partner's first ninth must meet, and no shingle that one node alone has.
+    """
+    texts = prints.select("key", "text").hint("merge").join(nodes, "key").groupBy("key", "component").agg(F.min("text").alias("text"))
+    sets = texts.mapInPandas(_component_sets, "key long, component long, set array<long>")
+    rows = materialize(sets.select("key", "component", F.explode("set").alias("shingle")))
+    held = materialize(rows.groupBy("shingle").agg(F.count("*").alias("f")))
+    order = rows.hint("merge").join(held, "shingle").groupBy("key", "component").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("set"))
+    n = F.size("set")
+    first = order.select("key", "component", n.alias("n"), F.posexplode(F.slice("set", 1, F.floor(n / 5).cast("int") + 1)).alias("pos", "at"))
+    out = materialize(first.where("at.f > 1").select("key", "component", "n", "at.shingle", "pos"))
+    discard(rows, held)
+    return out
+
+
+def _crossing(members: DataFrame, found: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs(u, v) of nodes of different components of found(node, component) that may be similar, for all nodes of buckets of members(bucket, key) that found does not join.
+
+    Sets x and y, x the smaller, are similar if 9 times what they share is at least
+    4 (|x| + |y|). If the first shingle that they share is at place i of x and j of y, they
+    share |x| - i and |y| - j at most, so they meet where 9 i <= 5 |x| - 4 |y| and
+    9 j <= 5 |y| - 4 |x| or they are not similar. y asks only in the classes of size that
+    its j leaves open, so what a family has in common is met by those alone that have too little of
+    their own, and these are mostly joined already: where one component has most rows of a
+    shingle, its rows meet only those of others.
+    """
     named = materialize(members.hint("merge").join(found, members["key"] == found["node"], "left").select("bucket", "key", F.coalesce("component", "key").alias("component")))
     split = materialize(named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
-    left = materialize(named.hint("merge").join(split, "bucket", "left_semi"))
-    u, v = left.select("bucket", F.col("key").alias("u"), F.col("component").alias("cu")), left.select("bucket", F.col("key").alias("v"), F.col("component").alias("cv"))
-    return u.hint("merge").join(v, "bucket").where("cu < cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    nodes = materialize(named.hint("merge").join(split, "bucket", "left_semi").select("key", "component").distinct())
+    rows = _prefixes(nodes, prints)
+    size = lambda c: F.floor(F.log(c) * SIZES).cast("int")
+    index = rows.where("9 * pos <= n").select("shingle", size("n").alias("size"), F.col("key").alias("kx"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("i"))
+    low, high = F.ceil(F.col("n") * 4 / 5), F.least(F.col("n"), F.floor((F.col("n") * 5 - F.col("pos") * 9) / 4))
+    asked = rows.where(low <= high).select("shingle", F.explode(F.sequence(size(low), size(high))).alias("size"), F.col("key").alias("ky"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("pos").alias("j"))
+    index, asked = materialize(index), materialize(asked)
+    at = ["shingle", "size"]
+    held = asked.groupBy(*at, F.col("cy").alias("c")).agg(F.count("*").alias("k")).union(index.groupBy(*at, F.col("cx").alias("c")).agg(F.count("*").alias("k")))
+    held = held.groupBy(*at, "c").agg(F.sum("k").alias("k"))
+    most = materialize(held.groupBy(*at).agg(F.count("*").alias("cs"), F.max_by("c", F.struct("k", "c")).alias("most")).where("cs > 1").select(*at, "most"))
+    x = materialize(index.hint("merge").join(most, at).withColumn("own", F.expr("cx = most")).drop("most"))
+    y = materialize(asked.hint("merge").join(most, at).withColumn("other", F.expr("cy <> most")).drop("most"))
+    near = "cx <> cy AND (nx < ny OR nx = ny AND kx < ky) AND 9 * i <= 5 * nx - 4 * ny AND 9 * j <= 5 * ny - 4 * nx"
+    meet = lambda x, y: x.hint("merge").join(y, at).where(near).select(F.least("kx", "ky").alias("u"), F.greatest("kx", "ky").alias("v"))
+    out = materialize(meet(x, y.where("other")).union(meet(x.where("NOT own"), y.where("NOT other"))).distinct())
+    discard(named, split, nodes, rows, index, asked, most, x, y)
+    return out
 
 
 def _balls(nodes: DataFrame) -> DataFrame:
@@ -124,7 +172,7 @@ def _components(nodes: DataFrame, prints: DataFrame) -> DataFrame:
     discard(rows, met)
     links = _similar(star, prints)
     found = materialize(components(links))
-    rest = materialize(_crossing(members.select("bucket", "key"), found).hint("merge").join(star, ["u", "v"], "left_anti"))
+    rest = materialize(_crossing(members.select("bucket", "key"), found, prints).hint("merge").join(star, ["u", "v"], "left_anti"))
     discard(star, members)
     if rest.isEmpty():
         return found

@@ -51,3 +51,47 @@ def test_pairs_that_a_hub_does_not_join(spark):
 
 def test_no_documents(spark, none):
     assert near.representatives(none).count() == 0
+
+
+def crossing(spark, texts, found):
+    """What is left to test of texts in one bucket, as places in texts."""
+    from xxhash import xxh64_intdigest
+
+    keys = [xxh64_intdigest(near.shingles(t).tobytes(), near.SEED) - (1 << 63) for t in texts]
+    prints = spark.createDataFrame(list(zip(keys, texts, strict=True)), "key long, text string")
+    members = spark.createDataFrame([(b, k) for b in (1, 2) for k in keys], "bucket long, key long")
+    found = spark.createDataFrame([(keys[i], keys[c]) for i, c in found], "node long, component long")
+    at = {k: i for i, k in enumerate(keys)}
+    return {frozenset((at[r["u"]], at[r["v"]])) for r in near._crossing(members, found, prints).collect()}
+
+
+def variants(rng, n, most):
+    """Texts of one base with up to `most` edits each, words of their own or of all."""
+    base = [f"w{rng.randrange(50)}x{i}" for i in range(120)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(rng.randint(1, most)):
+            at, kind = rng.randrange(len(words)), rng.randrange(4)
+            words[at : at + 1] = [[f"own{k}at{at}"], ["common"], [], [words[at], "common"]][kind]
+        out.append(" ".join(words[: rng.randint(100, 140)]))
+    return out
+
+
+def test_crossing_keeps_every_similar_pair(spark):
+    texts = list(dict.fromkeys(variants(random.Random(9), 300, 9)))
+    want = {frozenset((a, b)) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8}
+    assert len(want) > 200 and want <= crossing(spark, texts, [])
+    joined = [(i, 0) for i in range(0, len(texts), 2)]  # one component of half of the texts, which meets others only
+    apart = {p for p in want if any(i % 2 for i in p)}
+    got = crossing(spark, texts, joined)
+    assert apart <= got and not any(all(i % 2 == 0 for i in p) for p in got)
+
+
+def test_family_that_is_not_similar_makes_no_pairs(spark):
+    """60 of 74 words in common, 0.65 similar: no pair is written, where a bucket's pairs were n (n - 1) / 2."""
+    shared = [f"s{i}" for i in range(60)]
+    texts = [" ".join(shared + [f"own{k}x{i}" for i in range(14)]) for k in range(200)]
+    assert jaccard(texts[0], texts[1]) < 0.8
+    assert crossing(spark, texts, []) == set()
+    assert near.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 200
