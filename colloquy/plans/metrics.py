@@ -256,14 +256,23 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "d24",
-    """WITH r AS (SELECT step, resp_len, row_number() OVER (PARTITION BY step ORDER BY sample_id) - 1 AS k, count(*) OVER (PARTITION BY step) AS n FROM rollouts),
-c AS (SELECT step, k * 4 // n AS part, sum(resp_len) AS tokens, max(resp_len) AS longest FROM r GROUP BY 1, 2)
-SELECT step, CAST(min(tokens) AS BIGINT) AS least, CAST(max(tokens) AS BIGINT) AS most, CAST(max(tokens) - min(tokens) AS BIGINT) AS gap, round(sum(tokens) / 4, 6) + 0.0 AS mean, true AS within, true AS around FROM c GROUP BY step""",
+    """WITH RECURSIVE r AS (SELECT step, resp_len, row_number() OVER (PARTITION BY step ORDER BY sample_id) - 1 AS k, count(*) OVER (PARTITION BY step) AS n FROM rollouts),
+c AS (SELECT step, k * 4 // n AS part, sum(resp_len) AS tokens, max(resp_len) AS longest FROM r GROUP BY 1, 2),
+l AS (SELECT step, resp_len AS x, count(*) AS n FROM rollouts GROUP BY 1, 2),
+f AS (SELECT step, CAST(-x AS BIGINT) AS s, CAST(row_number() OVER (PARTITION BY step ORDER BY x) - 1 AS BIGINT) AS t, CAST(CASE n % 4 WHEN 1 THEN [x, 0, 0, 0] WHEN 2 THEN [x, x, 0, 0] ELSE [x, x, x, 0] END AS BIGINT[]) AS v FROM l WHERE n % 4 > 0),
+h AS (SELECT step, list({'s': s, 't': t, 'v': v} ORDER BY s, t) AS h, count(*) AS tick FROM f GROUP BY 1
+  UNION ALL SELECT step, list_sort(list_append(h[3:], {'s': v[4] - v[1], 't': tick, 'v': v})), tick + 1
+  FROM (SELECT step, h, tick, list_reverse_sort([h[1].v[1] + h[2].v[4], h[1].v[2] + h[2].v[3], h[1].v[3] + h[2].v[2], h[1].v[4] + h[2].v[1]]) AS v FROM h WHERE len(h) > 1) m),
+w AS (SELECT step, sum(n // 4 * x) AS whole FROM l GROUP BY 1),
+b AS (SELECT w.step, whole + coalesce(h[1].v[4], 0) AS balanced_least, whole + coalesce(h[1].v[1], 0) AS balanced_most FROM w LEFT JOIN (SELECT step, h FROM h WHERE len(h) = 1) e ON e.step = w.step),
+a AS (SELECT step, min(tokens) AS least, max(tokens) AS most, sum(tokens) / 4 AS mean, max(longest) AS longest FROM c GROUP BY 1)
+SELECT a.step, CAST(least AS BIGINT) AS least, CAST(most AS BIGINT) AS most, CAST(most - least AS BIGINT) AS gap, CAST(balanced_least AS BIGINT) AS balanced_least, CAST(balanced_most AS BIGINT) AS balanced_most, round(mean, 6) + 0.0 AS mean,
+  balanced_most - balanced_least <= longest AS within, mean BETWEEN balanced_least AND balanced_most AS around FROM a JOIN b ON b.step = a.step""",
     R,
 )
 def d24(spark: SparkSession, sf: str) -> DataFrame:
-    """Before and after parts are balanced by length: afterwards the sums differ by the longest row at most, and lie around the mean."""
+    """Before and after parts are balanced by length (whole rounds, then the two sets of widest spread joined until one is left): afterwards the sums differ by the longest row at most, and lie around the mean."""
     r = _rolls(spark, sf)
     d = M.imbalance(r, "step", "sample_id", "resp_len", 4).hint("merge").join(r.groupBy("step").agg(F.max("resp_len").alias("longest")), "step")
     within, around = F.col("balanced_most") - F.col("balanced_least") <= F.col("longest"), F.col("mean").between(F.col("balanced_least"), F.col("balanced_most"))
-    return d.select("step", "least", "most", "gap", r6("mean").alias("mean"), within.alias("within"), around.alias("around"))
+    return d.select("step", "least", "most", "gap", "balanced_least", "balanced_most", r6("mean").alias("mean"), within.alias("within"), around.alias("around"))
