@@ -879,3 +879,10 @@ def test_jaccard_prefix_knows_both_sizes(spark, monkeypatch):
         assert rows(got, "t", "u") == sorted((x, y) for x in names for y in names if alike(x, y) and alike(x, y) >= least - 1e-12)
         if least == 0.5:
             assert met.count() < 1000
+
+
+def test_normalized_looks_for_ranges(spark):
+    every = "".join(map(chr, [*range(1, 0x250), 0x2028, 0xFFFD, 0x1F600])) + "Az09 -'"
+    d = spark.createDataFrame([(every,)], "x string")
+    assert d.select(texts.normalized(F.col("x"))).first()[0] == d.select(F.trim(F.regexp_replace(F.lower("x"), r"[^a-z0-9 \-']", " "))).first()[0]
+    assert "[^" not in str(texts.normalized(F.col("x"))) and "[^" not in str(texts.collapsed(F.col("x")))
