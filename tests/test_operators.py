@@ -886,3 +886,10 @@ def test_normalized_looks_for_ranges(spark):
     d = spark.createDataFrame([(every,)], "x string")
     assert d.select(texts.normalized(F.col("x"))).first()[0] == d.select(F.trim(F.regexp_replace(F.lower("x"), r"[^a-z0-9 \-']", " "))).first()[0]
     assert "[^" not in str(texts.normalized(F.col("x"))) and "[^" not in str(texts.collapsed(F.col("x")))
+
+
+def test_kinds_of_a_graph_once_a_disease(spark, tmp_path):
+    (tmp_path / "g.json").write_text('{"A.": {"x!": 0.5, "y": "no"}, "b": ["z"], "c": 3, "d": "t", "e": []}')
+    d = G.read_graph(spark, str(tmp_path))
+    assert "SchemaOfVariant" not in d._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert sorted(map(tuple, d.collect()), key=str) == [("a", "x", 0.5), ("a", "y", None), ("b", "z", 1.0)]
