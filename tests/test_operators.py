@@ -893,3 +893,33 @@ def test_kinds_of_a_graph_once_a_disease(spark, tmp_path):
     d = G.read_graph(spark, str(tmp_path))
     assert "SchemaOfVariant" not in d._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert sorted(map(tuple, d.collect()), key=str) == [("a", "x", 0.5), ("a", "y", None), ("b", "z", 1.0)]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def dialogue(spark):
+    turns = spark.createDataFrame(
+        [("e", "d", 0, "has a", "ask"), ("e", "d", 1, "b", "ask"), ("e", "d", 2, None, "ask"), ("e", "d", 3, "a", "ask"), ("e", "d", 4, "c", "ask"), ("e", "d", 5, "b", "diagnose"), ("f", "x", 0, "Unknown", "ask"), ("f", "x", 1, "odd", "ask")],
+        "episode_id string, disease string, turn_id long, fact string, action string",
+    ).withColumn("diagnosis", F.lit("d"))
+    return turns, spark.createDataFrame([("d", "a", 0.5), ("d", "a", 0.2), ("d", "b", 0.25), ("d", "c", 0.25), ("y", "odd", 1.0)], "disease string, symptom string, weight double")
+
+
+def test_turn_rewards_in_one_shuffle(spark):
+    turns, edges = dialogue(spark)
+    initial = spark.createDataFrame([("e", "d", "c"), ("e", "d", "odd"), ("e", "d", "c")], "episode_id string, disease string, fact string")
+    d = W.graph_turn_rewards(turns, edges, initial)
+    assert shuffles(d) == 1
+    want = [("e", 0, 0.5, 0.75, 1, False, False), ("e", 1, 0.25, 1.0, 2, False, False), ("e", 2, 0.0, 1.0, 2, False, False), ("e", 3, 0.0, 1.0, 2, False, True), ("e", 4, 0.0, 1.0, 2, False, True), ("e", 5, 0.0, 1.0, 2, True, False), ("f", 0, 0.0, 0.0, 0, False, False), ("f", 1, 0.0, 0.0, 1, False, False)]
+    cols = ("episode_id", "turn_id", "delta", "coverage", "n_new", "is_correct", "is_duplicate")
+    assert rows(d, *cols) == want
+    assert rows(W.graph_turn_rewards(turns, edges, initial.drop("disease")), *cols) == want
+
+
+def test_text_turn_rewards_in_one_shuffle(spark):
+    turns, edges = dialogue(spark)
+    d = W.text_turn_rewards(turns.withColumn("text", F.when(F.col("turn_id") == 0, "no a").otherwise(F.concat(F.lit("there is "), "fact"))), edges.where("weight <> 0.2"))
+    assert shuffles(d) == 1
+    assert rows(d.where("episode_id = 'e'"), "turn_id", "delta", "n_collected") == [(0, 0.0, 0), (1, 0.25, 1), (2, 0.0, 1), (3, 0.5, 2), (4, 0.25, 3), (5, 0.0, 3)]
