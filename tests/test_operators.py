@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import pickle
 import random
 import zlib
@@ -17,7 +18,7 @@ from colloquy.operators import graph as G
 from colloquy.operators import metrics as M
 from colloquy.operators import rewards as W
 from colloquy.operators import sampling as S
-from colloquy.operators import scoring, sft, tokens, trees
+from colloquy.operators import retrieval, scoring, sft, tokens, trees
 from colloquy.sources import cache, custom, files
 from colloquy.streaming import steps, windows
 
@@ -923,3 +924,14 @@ def test_text_turn_rewards_in_one_shuffle(spark):
     d = W.text_turn_rewards(turns.withColumn("text", F.when(F.col("turn_id") == 0, "no a").otherwise(F.concat(F.lit("there is "), "fact"))), edges.where("weight <> 0.2"))
     assert shuffles(d) == 1
     assert rows(d.where("episode_id = 'e'"), "turn_id", "delta", "n_collected") == [(0, 0.0, 0), (1, 0.25, 1), (2, 0.0, 1), (3, 0.5, 2), (4, 0.25, 3), (5, 0.0, 3)]
+
+
+def test_bm25_counts_only_words_asked_for(spark):
+    docs = spark.createDataFrame([(1, "a b b c d e"), (2, "b f g"), (3, "..."), (4, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "B a b")], "item_id long, text string")
+    d = retrieval.bm25(q, docs, "item_id", "doc_id", 3)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+    idf = lambda df: math.log(1 + (2 - df + 0.5) / (df + 0.5))
+    weight = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 4.5))
+    assert rows(d, "doc_id", "score") == [(1, pytest.approx(idf(1) * weight(1, 6) + idf(2) * weight(2, 6), abs=1e-4)), (2, pytest.approx(idf(2) * weight(1, 3), abs=1e-4))]
