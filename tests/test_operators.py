@@ -935,3 +935,12 @@ def test_bm25_counts_only_words_asked_for(spark):
     idf = lambda df: math.log(1 + (2 - df + 0.5) / (df + 0.5))
     weight = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 4.5))
     assert rows(d, "doc_id", "score") == [(1, pytest.approx(idf(1) * weight(1, 6) + idf(2) * weight(2, 6), abs=1e-4)), (2, pytest.approx(idf(2) * weight(1, 3), abs=1e-4))]
+
+
+def test_mentions_without_lambdas(spark):
+    texts_ = spark.createDataFrame([(1, "one two  three"), (2, ""), (3, None), (4, "five")], "k long, t string")
+    entries = spark.createDataFrame([("two",), ("one two three",), ("five",), ("three one",), (None,)], "symptom string")
+    d = G.mentioned(texts_, "k", "t", entries)
+    assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(d, "k", "symptom") == [(1, "one two three"), (1, "two"), (4, "five")]
+    assert rows(G.mentioned(texts_, "k", "t", entries.where("symptom IS NULL")), "k") == []
