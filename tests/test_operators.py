@@ -944,3 +944,14 @@ def test_mentions_without_lambdas(spark):
     assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert rows(d, "k", "symptom") == [(1, "one two three"), (1, "two"), (4, "five")]
     assert rows(G.mentioned(texts_, "k", "t", entries.where("symptom IS NULL")), "k") == []
+
+
+def test_fact_turn_rewards_in_one_shuffle(spark):
+    turns = spark.createDataFrame([("e", 0, "a", "ask"), ("e", 1, "a", "ask"), ("e", 2, "z", "ask"), ("e", 3, None, "ask"), ("e", 4, "b", "answer"), ("f", 0, "a", "ask")], "episode_id string, turn_id long, fact string, action string")
+    turns = turns.withColumns({"answer": F.lit("A"), "answer_idx": F.lit("a")})
+    facts = spark.createDataFrame([("e", "a"), ("e", "a"), ("e", "b"), ("e", None), (None, "a")], "episode_id string, fact string")
+    d = W.fact_turn_rewards(turns, facts)
+    assert shuffles(d) == 1
+    third = pytest.approx(1 / 3)
+    assert rows(d.where("episode_id = 'e'"), "turn_id", "is_unknown", "is_duplicate", "delta", "n_facts", "r_diag") == [(0, False, False, third, 3, 0.0), (1, False, True, 0.0, 3, 0.0), (2, True, False, 0.0, 3, 0.0), (3, True, False, 0.0, 3, 0.0), (4, False, False, 0.0, 3, 1.0)]
+    assert rows(d.where("episode_id = 'f'"), "is_unknown", "n_facts", "r_diag") == [(True, None, -2.0)]
