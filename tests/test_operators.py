@@ -955,3 +955,11 @@ def test_fact_turn_rewards_in_one_shuffle(spark):
     third = pytest.approx(1 / 3)
     assert rows(d.where("episode_id = 'e'"), "turn_id", "is_unknown", "is_duplicate", "delta", "n_facts", "r_diag") == [(0, False, False, third, 3, 0.0), (1, False, True, 0.0, 3, 0.0), (2, True, False, 0.0, 3, 0.0), (3, True, False, 0.0, 3, 0.0), (4, False, False, 0.0, 3, 1.0)]
     assert rows(d.where("episode_id = 'f'"), "is_unknown", "n_facts", "r_diag") == [(True, None, -2.0)]
+
+
+def test_symptoms_are_judged_once(spark, monkeypatch):
+    plans, write = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    edges = spark.createDataFrame([("d", "ache", 0.5), ("d", "serum", 0.2)], "disease string, symptom string, weight double")
+    assert rows(G.clean(edges, 1, 2), "symptom") == [("ache",)]
+    assert any("RLIKE" in p for p in plans) and not any("RLIKE" in p and "Aggregate" in p for p in plans)
