@@ -59,8 +59,9 @@ def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
 def ranked_within(df: DataFrame, group: str, order: list[Column], out: str = "rank", size: str = "size") -> DataFrame:
     """Exact rank from 0 within the group and the group's size; a group that has a share of all rows is sorted in ranges like any other."""
     r = cut(ranked(df, [F.col(group), *order], "__g"))
-    first = r.groupBy(group).agg(F.min("__g").alias("__f"), F.count("*").alias(size))
-    return r.hint("merge").join(first, group).withColumn(out, F.col("__g") - F.col("__f")).drop("__g", "__f")
+    first = cut(r.groupBy(group).agg(F.min("__g").alias("__f"), F.count("*").alias(size)))
+    few = first.count() <= GATHER  # few groups are large ones: merged, each would be one task's
+    return (r.join(F.broadcast(first), group) if few else r.hint("merge").join(first, group)).withColumn(out, F.col("__g") - F.col("__f")).drop("__g", "__f")
 
 
 def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:

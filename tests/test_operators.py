@@ -592,6 +592,17 @@ def test_contraction_is_the_walk(spark):
     assert a == b
 
 
+def test_chains_of_scattered_ids_are_spliced(spark, monkeypatch):
+    """Runs of 16 links, ids in no order, rewards that are missing: what was put aside comes back as the walk has it."""
+    monkeypatch.setattr(trees, "RUN", 16)
+    rng = random.Random(5)
+    name = rng.sample(range(1 << 40), 120)
+    rows_ = [(1, name[i], None if i == 0 else name[max(i - 1 - (i % 2 == 0), 0)], (i + 1) // 2, i % 2 == 1 or i == 118, None if i % 7 == 0 else rng.random()) for i in range(119)]
+    d = spark.createDataFrame(rows_, "tree_id long, node_id long, parent_id long, level int, is_terminal boolean, action_reward double")
+    a, b = (sorted((r["node_id"], r["value"] and round(r["value"], 9), r["visits"]) for r in trees.values(d, 0.9, shallow=s).collect()) for s in (80, 0))
+    assert a == b and len(a) == 119
+
+
 def test_circle_of_parents(spark, monkeypatch):
     monkeypatch.setattr(trees, "ROUNDS", 6)
     d = spark.createDataFrame([(1, 1, 2, 0, False, 0.0, 0.0), (1, 2, 1, 1, False, 0.0, 0.0)], "tree_id long, node_id long, parent_id long, level int, is_terminal boolean, action_reward double, critic_value double")
