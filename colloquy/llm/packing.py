@@ -31,6 +31,8 @@ from colloquy.llm.vocab import at_blanks, encoder
 
 LENGTH, SHARD_DOCS, SHARD_IDS = 2048, 2048, 8 << 20
 K1, B, KEYS = 1.2, 0.75, 3
+#: Neighbours of a seed that are sorted at once.
+FIRST = 32
 
 
 class Statistics:
@@ -87,47 +89,71 @@ class Index:
         size = np.array([len(x) for x in ids])
         doc = np.repeat(np.arange(len(ids)), size)
         key, tf = np.unique(np.concatenate(ids).astype(np.int64) * len(ids) + doc, return_counts=True)
-        term, self.doc = key // len(ids), key % len(ids)
-        self.begin = np.flatnonzero(np.diff(term, prepend=-1))
-        self.df = np.diff(np.append(self.begin, len(term)))
-        self.weight = stats.weight(term, tf, size[self.doc])
-        shared = np.flatnonzero(np.repeat(self.df > 1, self.df))
-        of = np.repeat(np.arange(len(self.begin)), self.df)[shared]
-        order = np.argsort(self.doc[shared], kind="stable")
-        self.query = np.split(of[order], np.searchsorted(self.doc[shared][order], np.arange(1, len(ids))))
-
-    def near(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents by score for all tokens of the seed, best first, ties to the earlier."""
-        terms = self.query[seed]
-        if not len(terms):
-            return []
-        size = self.df[terms]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(self.begin[terms] - (ends - size), size)
-        score = np.bincount(self.doc[at], self.weight[at], minlength=len(used))
+        term, doc = key // len(ids), key % len(ids)
+        begin = np.flatnonzero(np.diff(term, prepend=-1))
+        df = np.diff(np.append(begin, len(term)))
+        shared = np.flatnonzero(np.repeat(df > 1, df))
+        self.terms = int((df > 1).sum())
+        self.term, self.doc = np.repeat(np.arange(self.terms), df[df > 1]), doc[shared]
+        self.weight = stats.weight(term[shared], tf[shared], size[self.doc])
+        order = np.argsort(self.doc, kind="stable")
+        self.query = np.split(self.term[order], np.searchsorted(self.doc[order], np.arange(1, len(ids))))
+        self.left = len(ids)
+        self._lists()
+
+    def _lists(self) -> None:
+        """The documents and weights of each term as views of their own."""
+        ends = np.cumsum(np.bincount(self.term, minlength=self.terms)).tolist()
+        at = [slice(a, b) for a, b in zip([0, *ends], ends, strict=False)]
+        self.docs_of, self.weights_of = [self.doc[x] for x in at], [self.weight[x] for x in at]
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Documents that are used leave the lists once they are an eighth of those in them."""
+        left = len(used) - int(np.count_nonzero(used))
+        if left < self.left - self.left // 8:
+            stay = ~used[self.doc]
+            self.term, self.doc, self.weight, self.left = self.term[stay], self.doc[stay], self.weight[stay], left
+            self._lists()
+
+    def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused documents by score for all tokens of the seed, best first, ties to the earlier; beyond the best FIRST sorted only if asked for. ``used`` only grows from call to call."""
+        terms = self.query[seed].tolist()
+        if not terms:
+            return
+        self._forget(used)
+        doc, weight = np.concatenate([self.docs_of[t] for t in terms]), np.concatenate([self.weights_of[t] for t in terms])
+        score = np.bincount(doc, weight, minlength=len(used))
         score[used] = 0
         hit = np.flatnonzero(score)
-        return hit[np.argsort(-score[hit], kind="stable")].tolist()
+        low = -score[hit]
+        if len(hit) > FIRST:
+            first = low <= np.partition(low, FIRST)[FIRST]  # with all that tie
+            yield from hit[first][np.argsort(low[first], kind="stable")].tolist()
+            hit, low = hit[~first], low[~first]
+        yield from hit[np.argsort(low, kind="stable")].tolist()
+
+    def near(self, seed: int, used: np.ndarray) -> list[int]:
+        return list(self.ranked(seed, used))
 
 
 def plan(ids: list[np.ndarray], stats: Statistics) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece of a shard."""
     index, used = Index(ids, stats), np.zeros(len(ids), bool)
-    queue, left = [], sum(len(x) for x in ids)
+    queue, left = iter(()), sum(len(x) for x in ids)
     unused = iter(range(len(ids)))
     seq = offset = 0
     room = LENGTH if left >= LENGTH else 1 << (left.bit_length() - 1)
     doc = start = seed = -1
     while left:
         if doc < 0:
-            while queue and used[queue[0]]:
-                queue.pop(0)
-            if not queue and offset and seed >= 0:
-                queue, seed = index.near(seed, used), -1
-            doc = queue.pop(0) if queue else next(d for d in unused if not used[d])
+            if offset and seed >= 0:
+                queue, seed = index.ranked(seed, used.copy()), -1
+            doc = next(queue, -1)  # each once, and nothing else is taken meanwhile
+            if doc < 0:
+                doc = next(d for d in unused if not used[d])
             used[doc], start = True, 0
         if not offset:
-            seed, queue = doc, []
+            seed, queue = doc, iter(())
         n = min(room - offset, len(ids[doc]) - start)
         yield doc, start, n, seq, offset
         start, offset, left = start + n, offset + n, left - n

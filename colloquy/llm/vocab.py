@@ -52,9 +52,13 @@ FITS = {
 }
 
 
-def _fits(path: str, cut: Cut) -> bool:
-    with open(path, encoding="utf-8") as f:
-        pre = json.load(f)["pre_tokenizer"] or {}
+#: Words of these letters only are one piece for at_blanks, and this normalizer does nothing to them but lower their case.
+_LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+_LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+
+
+def _fits(conf: dict, cut: Cut) -> bool:
+    pre = conf["pre_tokenizer"] or {}
     parts = pre.get("pretokenizers", [pre])
     return [(p.get("type"), p["pattern"]["Regex"] if p.get("type") == "Split" else p.get("use_regex")) for p in parts] == FITS[cut.__name__]
 
@@ -64,10 +68,16 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if not _fits(path, cut):
+        with open(path, encoding="utf-8") as f:
+            conf = json.load(f)
+        if not _fits(conf, cut):
             raise ValueError(f"{cut.__name__} isn't known to be right for the pre-tokenizer of {path}")
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.plain = None
+        if cut is at_blanks and conf["normalizer"] == _LOWERS:  # the same vocabulary for words that are normal and whole already
+            self.plain = Tokenizer.from_str(json.dumps(conf | {"normalizer": None, "pre_tokenizer": conf["pre_tokenizer"]["pretokenizers"][-1]}))
+            self.plain.encode_special_tokens = True
         self._forget()
 
     def _forget(self) -> None:
@@ -95,10 +105,8 @@ class Encoder:
         n_parts[~whole] = pc.list_value_length(lists).to_numpy()
         coded = parts.dictionary_encode()
         at = self._learn(coded.dictionary)[coded.indices.to_numpy()]
-        begin = np.cumsum(self.size) - self.size
-        n = self.size[at]
-        ends = np.cumsum(n)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)].astype("<u4").tobytes()
+        ids, n = _taken(self.ids, self.size, at)
+        ends, ids = np.cumsum(n), ids.astype("<u4").tobytes()
         # parts of the cut texts come first, then the texts that stay whole
         order = np.append(np.flatnonzero(~whole), alone)
         stop = np.append(0, ends)[np.cumsum(n_parts[order])] * 4
@@ -118,16 +126,39 @@ class Encoder:
         at = found.fill_null(0).to_numpy().astype(np.int64)
         at[missing] = np.arange(len(self.known), len(self.known) + int(missing.sum()))
         new = parts.filter(pa.array(missing))
-        ids, sizes = [self.ids], [self.size]
-        for k in range(0, len(new), SOME):
-            words = new[k : k + SOME].to_pylist()
-            got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)  # each part by itself, one result for all
-            ids.append(np.array(got.ids, np.uint32))
-            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)))
+        ids, size = self._asked(new)
         self.known = pa.concat_arrays([self.known, new])
-        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.ids, self.size = np.append(self.ids, ids), np.append(self.size, size)
         return at
 
+    def _asked(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the parts, one after the other, and how many each has; of letters only, once for all ways to write them in capitals."""
+        if self.plain is None:
+            return _library(self.tokenizer, new)
+        alike = pc.match_substring_regex(new, _LETTERS)
+        low = pc.utf8_lower(new.filter(alike)).dictionary_encode()
+        (ids, size), (more, sizes) = _library(self.tokenizer, new.filter(pc.invert(alike))), _library(self.plain, low.dictionary)
+        alike, at = alike.to_numpy(zero_copy_only=False), np.zeros(len(new), np.int64)
+        at[~alike], at[alike] = np.arange(len(size)), len(size) + low.indices.to_numpy()
+        return _taken(np.append(ids, more), np.append(size, sizes), at)
+
+
+def _taken(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the parts at the places ``at``, one after the other, and how many each has; ids holds size[i] ids of part i after those of the parts before."""
+    begin, n = np.cumsum(size) - size, size[at]
+    ends = np.cumsum(n)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)], n
+
+
+def _library(tokenizer, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    ids, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(parts), SOME):
+        words = parts[k : k + SOME].to_pylist()
+        got = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)  # each part by itself, one result for all
+        ids.append(np.array(got.ids, np.uint32))
+        size.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)))
+    return np.concatenate(ids), np.concatenate(size)
+
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 

@@ -252,3 +252,29 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = components(spark.createDataFrame(edges, "u long, v long")).groupBy("component").agg(F.count("*").alias("n")).collect()
     assert sorted((r["component"], r["n"]) for r in got) == [(100, 61), (500, 201)]
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_words_of_letters_are_asked_for_once_and_lists_shrink():
+    """Capitals make no new word where the vocabulary lowers them, with the library's own ids; documents that are used leave a shard's lists."""
+    from tokenizers import Tokenizer
+
+    from colloquy.llm.vocab import Encoder, at_blanks
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, own = Encoder(path, at_blanks), Tokenizer.from_file(path)
+    asked = []
+
+    class Asked:
+        def encode(self, words, **how):
+            asked.extend(words)
+            return plain.encode(words, **how)
+
+    plain, enc.plain = enc.plain, Asked()
+    texts = ["Straße STRASSE straße École école ÉCOLE e\u0301cole H\u0331at h\u0331at", "don't DON'T x2y İstanbul ıÿŸ ªº Σας it's", "", "word Word WORD, word"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("word") == asked.count("école") == asked.count("straße") == 1 and "WORD" not in asked
+    docs = [np.array([i % 7, i % 5, 8]) for i in range(64)] + [np.array([7])]
+    index = packing.Index(docs, packing.Statistics(65, 193, np.full(9, 10)))
+    used = np.arange(65) < 40
+    assert sorted(index.near(3, used)) == list(range(40, 64)) and index.left == 25 and max(map(len, index.docs_of)) == 24
+    assert packing.Index([np.array([1]), np.array([2])], packing.Statistics(2, 2, np.ones(3))).near(0, np.zeros(2, bool)) == []
