@@ -39,9 +39,8 @@ def before_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def at_blanks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """For pre-tokenizers that drop white space: cuts at spaces and line ends, and before marks."""
-    marked = pc.replace_substring_regex(texts, _MARK, "\\1\0\\2")
-    cut = pc.replace_substring(pc.replace_substring(marked, "\n", "\0"), " ", "\0")
+    """For pre-tokenizers that drop white space: cuts at spaces and line ends. Marks are cut off in words that are new (Encoder._asked), not in all of the text."""
+    cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0"), " ", "\0")
     return cut, pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
 
 
@@ -135,19 +134,32 @@ class Encoder:
         """The library's ids of the parts, one after the other, and how many each has; of letters only, once for all ways to write them in capitals."""
         if self.plain is None:
             return _library(self.tokenizer, new)
-        alike = pc.match_substring_regex(new, _LETTERS)
-        low = pc.utf8_lower(new.filter(alike)).dictionary_encode()
-        (ids, size), (more, sizes) = _library(self.tokenizer, new.filter(pc.invert(alike))), _library(self.plain, low.dictionary)
-        alike, at = alike.to_numpy(zero_copy_only=False), np.zeros(len(new), np.int64)
-        at[~alike], at[alike] = np.arange(len(size)), len(size) + low.indices.to_numpy()
-        return _taken(np.append(ids, more), np.append(size, sizes), at)
+        zero = pc.match_substring(new, "\0")
+        lists = pc.split_pattern(pc.replace_substring_regex(new.filter(pc.invert(zero)), _MARK, "\\1\0\\2"), "\0")
+        pieces = lists.flatten().dictionary_encode()
+        alike = pc.match_substring_regex(pieces.dictionary, _LETTERS)
+        low = pc.utf8_lower(pieces.dictionary.filter(alike)).dictionary_encode()
+        asked = [_library(self.tokenizer, pieces.dictionary.filter(pc.invert(alike))), _library(self.plain, low.dictionary), _library(self.tokenizer, new.filter(zero))]
+        ids, size = (np.concatenate(x) for x in zip(*asked, strict=True))
+        # where each piece stands among those that were asked for, then the pieces of each part in order
+        alike, zero = alike.to_numpy(zero_copy_only=False), zero.to_numpy(zero_copy_only=False)
+        at, others = np.zeros(len(alike), np.int64), len(asked[0][1])
+        at[~alike], at[alike] = np.arange(others), others + low.indices.to_numpy()
+        n = np.ones(len(new), np.int64)
+        n[~zero] = pc.list_value_length(lists).to_numpy()
+        of, whole = np.repeat(np.arange(len(new)), n), np.repeat(zero, n)
+        every = np.zeros(len(of), np.int64)
+        every[~whole], every[whole] = at[pieces.indices.to_numpy()], others + len(asked[1][1]) + np.arange(int(zero.sum()))
+        ids, size = _taken(ids, size, every)
+        return ids, np.bincount(of, size, minlength=len(new)).astype(np.int64)
 
 
 def _taken(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the parts at the places ``at``, one after the other, and how many each has; ids holds size[i] ids of part i after those of the parts before."""
-    begin, n = np.cumsum(size) - size, size[at]
-    ends = np.cumsum(n)
-    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - n), n)], n
+    n, ends = size[at], np.append(0, np.cumsum(size)).astype(np.int64) * ids.itemsize
+    parts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
+    got = parts.take(pa.array(at)).buffers()[2]  # copied part by part, without an index for each id
+    return np.frombuffer(got or b"", ids.dtype, int(n.sum())), n
 
 
 def _library(tokenizer, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
