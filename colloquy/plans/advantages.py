@@ -152,8 +152,7 @@ FROM a JOIN d ON a.uid = d.uid AND a.episode_id = d.episode_id""",
 def e10(spark: SparkSession, sf: str) -> DataFrame:
     t = view(spark, sf, "episode_turns")
     t = t.withColumn("reward", F.when(F.col("action") == "diagnose", F.lit(0.0)).otherwise(F.length("fact") % 3 / 2.0))
-    o = t.groupBy("uid", "episode_id").agg(F.sum("reward").alias("outcome"))
-    out = A.turn_advantage(t.join(o, ["uid", "episode_id"]))
+    out = A.turn_advantage(t.withColumn("outcome", F.sum("reward").over(Window.partitionBy("uid", "episode_id"))))
     return out.select("episode_id", "turn_id", r6("turn_advantage").alias("turn_advantage"))
 
 

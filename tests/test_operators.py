@@ -603,6 +603,14 @@ def test_chains_of_scattered_ids_are_spliced(spark, monkeypatch):
     assert a == b and len(a) == 119
 
 
+def test_outcomes_of_episodes_are_windows(spark):
+    """e10 reads the turns twice, for turns and for episodes, and not twice more for the outcomes."""
+    from colloquy.plans.advantages import e10
+
+    plan = e10(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_") == 2, plan
+
+
 def test_circle_of_parents(spark, monkeypatch):
     monkeypatch.setattr(trees, "ROUNDS", 6)
     d = spark.createDataFrame([(1, 1, 2, 0, False, 0.0, 0.0), (1, 2, 1, 1, False, 0.0, 0.0)], "tree_id long, node_id long, parent_id long, level int, is_terminal boolean, action_reward double, critic_value double")
