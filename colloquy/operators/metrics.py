@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.numeric import hash_key
 from colloquy.operators.datasets import ranked_within
 from colloquy.operators.sampling import balanced
+from colloquy.sources.cache import cut
 
 
 def long(df: DataFrame, keys: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -22,62 +25,82 @@ def sizes(n: Column) -> Column:
     return F.when(n > 1, F.concat(powers, F.array(n))).otherwise(F.array().cast("array<bigint>"))
 
 
-def group_metrics(rows: DataFrame, keys: list[str], value: str, order: str, pred: str | None = None, draws: int = 0, seed: str = "42") -> DataFrame:
+#: Rows of groups with resampled votes that one task takes; their draws are some four times as many.
+TASK_ROWS = 100_000
+
+
+def group_metrics(rows: DataFrame, keys: list[str], value: str, order: str, pred: str | None = None, draws: int = 0, seed: str = "42", only: tuple[str, ...] = ("mean", "std", "best", "worst", "maj")) -> DataFrame:
     """keys, metric, value for each group: mean@N, and for N > 1 std@N (population), best@n and worst@n, mean and std, of n draws with replacement.
 
     The largest of n draws from v1 <= ... <= vN is v_i with probability (i/N)^n - ((i-1)/N)^n,
     so no draws are made. maj@N is the value of the first row of the commonest ``pred`` (ties
     to the pred seen first); with ``draws`` there is maj@n for n below N too (:func:`resampled_majority`).
+    ``only``: the kinds of metric that are made.
     """
-    w = Window.partitionBy(*keys)
     d = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.col(order).alias("_o"), *([F.col(pred).alias("_p")] if pred else []))
-    d = d.withColumns({"_i": F.row_number().over(w.orderBy("_v", "_o")), "_n": F.count("*").over(w)})
-    base = d.groupBy(*keys).agg(F.avg("_v").alias("m"), F.stddev_pop("_v").alias("s"), F.first("_n").alias("n"))
+    if draws and pred and "maj" in only:  # a task's groups stay few, however many there are
+        d = cut(d)
+        d = d.repartition(max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // TASK_ROWS)), *keys)
     at = lambda name, n, tail="": F.concat(F.lit(f"{name}@"), n.cast("string"), F.lit(tail))
-    flat = base.select(*keys, F.explode(F.array(F.struct(at("mean", F.col("n")).alias("metric"), F.col("m").alias("value")), F.struct(F.when(F.col("n") > 1, at("std", F.col("n"))).alias("metric"), F.col("s").alias("value")))).alias("x"))
-    out = flat.select(*keys, "x.metric", "x.value").where("metric IS NOT NULL")
-    # every row meets the few sizes of its group
-    e = d.withColumn("k", F.explode(sizes(F.col("_n"))))
-    i, n, k = F.col("_i"), F.col("_n"), F.col("k")
-    best = F.pow(i / n, k) - F.pow((i - 1) / n, k)
-    worst = F.pow((n - i + 1) / n, k) - F.pow((n - i) / n, k)
-    e = e.withColumns({"pb": best, "pw": worst})
-    mom = e.groupBy(*keys, "k").agg(*(F.sum(F.col(p) * F.pow("_v", F.lit(q))).alias(f"{p}{q}") for p in ("pb", "pw") for q in (1, 2)))
-    std = lambda p: F.sqrt(F.greatest(F.col(f"{p}2") - F.col(f"{p}1") * F.col(f"{p}1"), F.lit(0.0)))
-    four = F.array(*(F.struct(at(nm, F.col("k"), t).alias("metric"), c.alias("value")) for nm, p in (("best", "pb"), ("worst", "pw")) for t, c in (("/mean", F.col(f"{p}1")), ("/std", std(p)))))
-    out = out.unionByName(mom.select(*keys, F.explode(four).alias("x")).select(*keys, "x.metric", "x.value"))
-    if pred:
-        votes = d.where("_n > 1").groupBy(*keys, "_n", "_p").agg(F.count("*").alias("c"), F.min("_o").alias("o"), F.min_by("_v", "_o").alias("v"))
-        top = votes.groupBy(*keys, "_n").agg(F.min_by("v", F.struct(-F.col("c"), F.col("o"))).alias("value"))
-        out = out.unionByName(top.select(*keys, at("maj", F.col("_n"), "/mean").alias("metric"), "value"))
+    out = []
+    if {"mean", "std"} & set(only):
+        base = d.groupBy(*keys).agg(F.avg("_v").alias("m"), F.stddev_pop("_v").alias("s"), F.count("*").alias("n"))
+        two = F.array(F.struct(at("mean", F.col("n")).alias("metric"), F.col("m").alias("value")), F.struct(F.when(F.col("n") > 1, at("std", F.col("n"))).alias("metric"), F.col("s").alias("value")))
+        out.append(base.select(*keys, F.explode(two).alias("x")).select(*keys, "x.metric", "x.value").where("metric IS NOT NULL"))
+    if {"best", "worst"} & set(only):
+        w = Window.partitionBy(*keys)
+        e = d.withColumns({"_i": F.row_number().over(w.orderBy("_v", "_o")), "_n": F.count("*").over(w)})
+        # every row meets the few sizes of its group
+        e = e.withColumn("k", F.explode(sizes(F.col("_n"))))
+        i, n, k = F.col("_i"), F.col("_n"), F.col("k")
+        best = F.pow(i / n, k) - F.pow((i - 1) / n, k)
+        worst = F.pow((n - i + 1) / n, k) - F.pow((n - i) / n, k)
+        e = e.withColumns({"pb": best, "pw": worst})
+        mom = e.groupBy(*keys, "k").agg(*(F.sum(F.col(p) * F.pow("_v", F.lit(q))).alias(f"{p}{q}") for p in ("pb", "pw") for q in (1, 2)))
+        std = lambda p: F.sqrt(F.greatest(F.col(f"{p}2") - F.col(f"{p}1") * F.col(f"{p}1"), F.lit(0.0)))
+        four = F.array(*(F.struct(at(nm, F.col("k"), t).alias("metric"), c.alias("value")) for nm, p in (("best", "pb"), ("worst", "pw")) for t, c in (("/mean", F.col(f"{p}1")), ("/std", std(p)))))
+        out.append(mom.select(*keys, F.explode(four).alias("x")).select(*keys, "x.metric", "x.value"))
+    if pred and "maj" in only:
+        votes = d.groupBy(*keys, "_p").agg(F.count("*").alias("c"), F.min("_o").alias("o"), F.min_by("_v", "_o").alias("v"))
+        top = votes.groupBy(*keys).agg(F.min_by("v", F.struct(-F.col("c"), F.col("o"))).alias("value"), F.sum("c").alias("_n")).where("_n > 1")
+        out.append(top.select(*keys, at("maj", F.col("_n"), "/mean").alias("metric"), "value"))
         if draws:
-            out = out.unionByName(resampled_majority(d, keys, draws, seed))
-    return out
+            out.append(resampled_majority(d, keys, draws, seed))
+    metrics = reduce(DataFrame.unionByName, out)
+    return metrics.where(F.split_part("metric", F.lit("@"), F.lit(1)).isin(*only))
 
 
 def resampled_majority(d: DataFrame, keys: list[str], draws: int, seed: str) -> DataFrame:
     """maj@n/mean and maj@n/std for n below the group's size: the value of the first row of the commonest pred among n rows drawn with replacement, over ``draws`` such samples.
 
     A draw is a hash of seed, group, sample and place, so that no partitioning changes it; ties go to the pred drawn first.
+    Row j of a group makes draw j of each sample that has one. Draws stand behind the row that they name in the group's
+    order, so d(keys, _o, _v, _p) is shuffled once, by the group, and not at all if it is dealt by group already.
     """
     at = lambda t: F.concat(F.lit("maj@"), F.col("k").cast("string"), F.lit(t))
-    rows = d.where("_n > 1").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_o")))
-    g = rows.groupBy(*keys).agg(F.first("_n").alias("_n"))
-    e = g.withColumn("k", F.explode(F.filter(sizes(F.col("_n")), lambda k: k < F.col("_n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    e = e.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    w = Window.partitionBy(*keys)
+    rows = d.withColumns({"_r": F.row_number().over(w.orderBy("_o")), "_n": F.count("*").over(w)}).where("_n > 2")
+    made = F.filter(sizes(F.col("_n")), lambda k: (k < F.col("_n")) & (k >= F.col("_r")))
+    own = F.array(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).alias("b")))
+    samples = F.flatten(F.transform(made, lambda k: F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda b: F.struct(k.alias("k"), b.alias("b")))))
+    e = rows.select(*keys, "_v", "_p", "_r", "_n", (F.col("_r") - 1).cast("long").alias("j"), F.inline(F.concat(own, samples)))
     h = F.conv(F.substring(hash_key(seed, *keys, "k", "b", "j"), 1, 8), 16, 10).cast("long")
-    e = e.withColumn("_r", (h % F.col("_n") + 1).cast("int")).drop("_n")
-    e = e.hint("merge").join(rows.select(*keys, "_r", "_v", "_p"), [*keys, "_r"])
+    is_row = F.col("k") == 0
+    e = e.select(*keys, "k", "b", "j", F.when(is_row, F.col("_r")).otherwise((h % F.col("_n") + 1).cast("int")).alias("_r"), F.when(is_row, F.struct("_v", "_p")).alias("_x"))
+    named = w.orderBy("_r", "k").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_x", F.last("_x", ignorenulls=True).over(named)).where("k > 0").select(*keys, "k", "b", "j", "_x._v", "_x._p")
     votes = e.groupBy(*keys, "k", "b", "_p").agg(F.count("*").alias("c"), F.min("j").alias("j"), F.min_by("_v", "j").alias("v"))
-    won = votes.groupBy(*keys, "k", "b").agg(F.min_by("v", F.struct(-F.col("c"), F.col("j"))).alias("v"))
+    # most votes, then first drawn, in one number: both are below a group's rows, which row_number counts in 32 bits
+    rank = (F.col("k") - F.col("c")) * F.lit(1 << 32) + F.col("j")
+    won = votes.groupBy(*keys, "k", "b").agg(F.min_by("v", rank).alias("v"))
     m = won.groupBy(*keys, "k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     two = F.array(F.struct(at("/mean").alias("metric"), F.col("m").alias("value")), F.struct(at("/std").alias("metric"), F.col("s").alias("value")))
     return m.select(*keys, F.explode(two).alias("x")).select(*keys, "x.metric", "x.value")
 
 
-def validation(rows: DataFrame, source: str, group: str, value: str, order: str, pred: str | None = None, draws: int = 0, seed: str = "42") -> DataFrame:
+def validation(rows: DataFrame, source: str, group: str, value: str, order: str, pred: str | None = None, draws: int = 0, seed: str = "42", only: tuple[str, ...] = ("mean", "std", "best", "worst", "maj")) -> DataFrame:
     """source, metric, value: the mean of :func:`group_metrics` over a source's groups that have the metric."""
-    return group_metrics(rows, [source, group], value, order, pred, draws, seed).groupBy(source, "metric").agg(F.avg("value").alias("value"))
+    return group_metrics(rows, [source, group], value, order, pred, draws, seed, only).groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 
 def named(metrics: DataFrame, source: str, var: str = "var") -> DataFrame:

@@ -44,20 +44,20 @@ g2 AS (SELECT * FROM g UNION ALL SELECT data_source, uid, 'maj@' || CAST(k AS VA
 
 @query("d16", _GM + "SELECT data_source, metric, round(avg(value), 4) + 0.0 AS value FROM g WHERE metric LIKE 'mean%' OR metric LIKE 'std%' GROUP BY 1, 2", R)
 def d16(spark: SparkSession, sf: str) -> DataFrame:
-    v = M.validation(_rolls(spark, sf), "data_source", "uid", "score", "sample_id")
-    return v.where(F.col("metric").rlike("^(mean|std)")).select("data_source", "metric", r4("value").alias("value"))
+    v = M.validation(_rolls(spark, sf), "data_source", "uid", "score", "sample_id", only=("mean", "std"))
+    return v.select("data_source", "metric", r4("value").alias("value"))
 
 
 @query("d17", _GM + "SELECT data_source, uid, metric, round(value, 4) + 0.0 AS value FROM g WHERE metric LIKE 'best%' OR metric LIKE 'worst%'", R)
 def d17(spark: SparkSession, sf: str) -> DataFrame:
-    v = M.group_metrics(_rolls(spark, sf), ["data_source", "uid"], "score", "sample_id")
-    return v.where(F.col("metric").rlike("^(best|worst)")).select("data_source", "uid", "metric", r4("value").alias("value"))
+    v = M.group_metrics(_rolls(spark, sf), ["data_source", "uid"], "score", "sample_id", only=("best", "worst"))
+    return v.select("data_source", "uid", "metric", r4("value").alias("value"))
 
 
 @query("d18", _GM + _MAJ + "SELECT data_source, metric, round(avg(value), 4) + 0.0 AS value FROM g2 WHERE metric LIKE 'maj%' GROUP BY 1, 2", R)
 def d18(spark: SparkSession, sf: str) -> DataFrame:
-    v = M.validation(_rolls(spark, sf), "data_source", "uid", "score", "sample_id", "pred", draws=_DRAWS)
-    return v.where(F.col("metric").rlike("^maj")).select("data_source", "metric", r4("value").alias("value"))
+    v = M.validation(_rolls(spark, sf), "data_source", "uid", "score", "sample_id", "pred", draws=_DRAWS, only=("maj",))
+    return v.select("data_source", "metric", r4("value").alias("value"))
 
 
 @query(

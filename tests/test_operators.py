@@ -1,6 +1,7 @@
 """Golden values, invariants, and batch against stream."""
 
 import base64
+import hashlib
 import json
 import math
 import pickle
@@ -426,6 +427,42 @@ def test_majority_of_resamples(spark):
     assert got["maj@2/mean"] == pytest.approx(3, abs=0.3) and got["maj@2/std"] == pytest.approx(2**0.5, abs=0.2)  # one pred: the first row drawn
 
 
+def test_resampled_majority_stays_with_its_group(spark):
+    """Draws by hand; whatever the number of draws, they are shuffled nowhere: rows are, once, by group."""
+    rng = random.Random(5)
+    d = [("s", f"u{g}", i, float(rng.randint(0, 9)), rng.choice(["A", "B", None])) for g, n in enumerate((1, 2, 3, 9, 33)) for i in range(n)]
+    t = spark.createDataFrame(d, "src string, uid string, _o long, _v double, _p string").repartition(8, "src", "uid")
+    got = M.resampled_majority(t, ["src", "uid"], 3, "42")
+    want = {}
+    for u in ("u2", "u3", "u4"):
+        own, k = [x for x in d if x[1] == u], 2
+        while k < len(own):
+            won = []
+            for b in range(3):
+                drawn = [own[int(hashlib.md5(f"42|s|{u}|{k}|{b}|{j}".encode()).hexdigest()[:8], 16) % len(own)] for j in range(k)]
+                preds = [x[4] for x in drawn]
+                won.append(drawn[min(range(k), key=lambda j: (-preds.count(preds[j]), preds.index(preds[j])))][4])
+                won[-1] = next(x[3] for x in drawn if x[4] == won[-1])
+            mean = sum(won) / 3
+            want[u, f"maj@{k}/mean"], want[u, f"maj@{k}/std"] = mean, math.sqrt(sum((v - mean) ** 2 for v in won) / 3)
+            k *= 2
+    assert {(r["uid"], r["metric"]): r["value"] for r in got.collect()} == pytest.approx(want)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_only_the_metrics_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(M, "TASK_ROWS", 10)
+    d = spark.createDataFrame([("s", f"u{i % 40}", i, float(i % 7), "AB"[i % 2]) for i in range(200)], "src string, uid string, k long, v double, p string")
+    nine = lambda m: {(r["uid"], r["metric"], round(r["value"], 9)) for r in m.collect()}
+    every = nine(M.group_metrics(d, ["src", "uid"], "v", "k", "p", draws=2))
+    for only in (("maj",), ("mean", "std"), ("std",), ("best",), ("best", "worst")):
+        got = M.group_metrics(d, ["src", "uid"], "v", "k", "p", draws=2, only=only)
+        assert nine(got) == {x for x in every if x[1].split("@")[0] in only}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert (" AS pw#" in plan) == bool({"best", "worst"} & set(only))
+        assert ("RepartitionByExpression [src" in plan and ", 20" in plan) == (only == ("maj",))
+
+
 def test_prime_by_hand(spark):
     t = spark.createDataFrame([("u", 1, 0, 1, 1.0, 1.0), ("u", 1, 1, 1, 3.0, 1.0), ("u", 2, 0, 1, 4.0, 0.0), ("u", 2, 1, 0, 9.0, 0.0)], "uid string, sample_id long, pos long, mask int, reward double, acc double")
     got = {(r["sample_id"], r["pos"]): r["returns"] for r in A.prime_rloo(t, 1.0, 1.0).collect()}
