@@ -74,9 +74,14 @@ class Encoder:
         self.tokenizer, self.cut = Tokenizer.from_file(path), cut
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.plain = None
-        if cut is at_blanks and conf["normalizer"] == _LOWERS:  # the same vocabulary for words that are normal and whole already
-            self.plain = Tokenizer.from_str(json.dumps(conf | {"normalizer": None, "pre_tokenizer": conf["pre_tokenizer"]["pretokenizers"][-1]}))
+        if cut is at_blanks and conf["normalizer"] == _LOWERS and (mark := conf["model"].get("end_of_word_suffix")):
+            # the same vocabulary for words that are normal and whole already, many in one text, since each ends with an id that ends words
+            pre = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, conf["pre_tokenizer"]["pretokenizers"][-1]]}
+            self.plain = Tokenizer.from_str(json.dumps(conf | {"normalizer": None, "pre_tokenizer": pre}))
             self.plain.encode_special_tokens = True
+            vocabulary = self.plain.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for w, i in vocabulary.items() if w.endswith(mark)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -120,9 +125,12 @@ class Encoder:
             used = pc.index_in(self.known, value_set=parts).is_valid().to_numpy(zero_copy_only=False)
             self.ids, self.known, self.size = self.ids[np.repeat(used, self.size)], self.known.filter(pa.array(used)), self.size[used]
         parts = parts.cast(pa.string())
-        found = pc.index_in(parts, value_set=self.known)
-        missing = found.is_null().to_numpy(zero_copy_only=False)
-        at = found.fill_null(0).to_numpy().astype(np.int64)
+        # the known are looked up among the parts, of which there are fewer: a table is built of these
+        found = pc.index_in(self.known, value_set=parts)
+        again = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        at = np.full(len(parts), -1, np.int64)
+        at[found.drop_null().to_numpy()] = again
+        missing = at < 0
         at[missing] = np.arange(len(self.known), len(self.known) + int(missing.sum()))
         new = parts.filter(pa.array(missing))
         ids, size = self._asked(new)
@@ -130,6 +138,18 @@ class Encoder:
         self.ids, self.size = np.append(self.ids, ids), np.append(self.size, size)
         return at
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :func:`_library`, for words of lower-case letters."""
+        ids = [np.zeros(0, np.uint32)]
+        for k in range(0, len(words), SOME):
+            got = self.plain.encode_batch_fast([" ".join(words[k : k + SOME].to_pylist())], add_special_tokens=False)  # without the places of ids in the text
+            ids.append(np.array(got[0].ids, np.uint32))
+        ids = np.concatenate(ids)
+        size = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(size) != len(words) or size.sum() != len(ids):  # a vocabulary that lacks a letter
+            return _library(self.plain, words)
+        return ids, size
+
     def _asked(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of the parts, one after the other, and how many each has; of letters only, once for all ways to write them in capitals."""
         if self.plain is None:
@@ -139,7 +159,7 @@ class Encoder:
         pieces = lists.flatten().dictionary_encode()
         alike = pc.match_substring_regex(pieces.dictionary, _LETTERS)
         low = pc.utf8_lower(pieces.dictionary.filter(alike)).dictionary_encode()
-        asked = [_library(self.tokenizer, pieces.dictionary.filter(pc.invert(alike))), _library(self.plain, low.dictionary), _library(self.tokenizer, new.filter(zero))]
+        asked = [_library(self.tokenizer, pieces.dictionary.filter(pc.invert(alike))), self._words(low.dictionary), _library(self.tokenizer, new.filter(zero))]
         ids, size = (np.concatenate(x) for x in zip(*asked, strict=True))
         # where each piece stands among those that were asked for, then the pieces of each part in order
         alike, zero = alike.to_numpy(zero_copy_only=False), zero.to_numpy(zero_copy_only=False)
