@@ -33,6 +33,8 @@ LENGTH, SHARD_DOCS, SHARD_IDS = 2048, 2048, 8 << 20
 K1, B, KEYS = 1.2, 0.75, 3
 #: Neighbours of a seed that are sorted at once.
 FIRST = 32
+#: Tokens that at least one in SPREAD documents of a shard of DENSE or more has, the HEAVY commonest of these, are scored for all pairs by one product of matrices.
+SPREAD, HEAVY, DENSE = 16, 256, 256
 
 
 class Statistics:
@@ -96,11 +98,28 @@ class Index:
         self.terms = int((df > 1).sum())
         self.term, self.doc = np.repeat(np.arange(self.terms), df[df > 1]), doc[shared]
         self.weight = stats.weight(term[shared], tf[shared], size[self.doc])
+        self.base = self._dense(len(ids))
         order = np.argsort(self.doc, kind="stable")
         self.query = np.split(self.term[order], np.searchsorted(self.doc[order], np.arange(1, len(ids))))
         self.left = len(ids)
         self._lists()
 
+    def _dense(self, n: int) -> np.ndarray | None:
+        """A row for each seed: the scores of all documents by the tokens that many have; these leave the lists."""
+        df = np.bincount(self.term, minlength=self.terms)
+        heavy = np.flatnonzero(df * SPREAD >= n)
+        if n < DENSE or not len(heavy):
+            return None
+        heavy = heavy[np.argsort(-df[heavy], kind="stable")[:HEAVY]]
+        row = np.full(self.terms, -1)
+        row[heavy] = np.arange(len(heavy))
+        at = row[self.term]
+        many = at >= 0
+        weight = np.zeros((len(heavy), n))
+        weight[at[many], self.doc[many]] = self.weight[many]
+        self.term, self.doc, self.weight = self.term[~many], self.doc[~many], self.weight[~many]
+        return (weight > 0).T.astype(weight.dtype) @ weight
+
     def _lists(self) -> None:
         """The documents and weights of each term as views of their own."""
         ends = np.cumsum(np.bincount(self.term, minlength=self.terms)).tolist()
@@ -118,11 +137,15 @@ class Index:
     def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents by score for all tokens of the seed, best first, ties to the earlier; beyond the best FIRST sorted only if asked for. ``used`` only grows from call to call."""
         terms = self.query[seed].tolist()
-        if not terms:
+        if not terms and self.base is None:
             return
         self._forget(used)
-        doc, weight = np.concatenate([self.docs_of[t] for t in terms]), np.concatenate([self.weights_of[t] for t in terms])
-        score = np.bincount(doc, weight, minlength=len(used))
+        score = np.zeros(len(used))
+        if terms:
+            doc, weight = np.concatenate([self.docs_of[t] for t in terms]), np.concatenate([self.weights_of[t] for t in terms])
+            score = np.bincount(doc, weight, minlength=len(used))
+        if self.base is not None:
+            score = np.rint((score + self.base[seed]) * 1e9)  # a product may sum equal documents in other orders
         score[used] = 0
         hit = np.flatnonzero(score)
         low = -score[hit]

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Parts remembered, characters of text worked on at a time, and new parts given to the library at a time.
 KEEP, SLICE, SOME = 1_000_000, 8_000_000, 20_000
+#: Fewer words than this aren't put into one text.
+FEW = 64
 _W = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _DOUBLE = rf"{_W} {_W}|{_W} \z|\A {_W}|\A \z|\x00"
 _LINES = rf"\n{_W}|{_W}\n"
@@ -140,6 +142,8 @@ class Encoder:
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As :func:`_library`, for words of lower-case letters."""
+        if len(words) < FEW:
+            return _library(self.plain, words)
         ids = [np.zeros(0, np.uint32)]
         for k in range(0, len(words), SOME):
             got = self.plain.encode_batch_fast([" ".join(words[k : k + SOME].to_pylist())], add_special_tokens=False)  # without the places of ids in the text

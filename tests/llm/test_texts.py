@@ -278,3 +278,37 @@ def test_words_of_letters_are_asked_for_once_and_lists_shrink():
     used = np.arange(65) < 40
     assert sorted(index.near(3, used)) == list(range(40, 64)) and index.left == 25 and max(map(len, index.docs_of)) == 24
     assert packing.Index([np.array([1]), np.array([2])], packing.Statistics(2, 2, np.ones(3))).near(0, np.zeros(2, bool)) == []
+
+
+@pytest.mark.parametrize("heavy", [1, 5, 1000])
+def test_common_tokens_leave_the_lists(monkeypatch, heavy):
+    """Scores of tokens that many documents have come from one product for all pairs; the order of neighbours is that of the lists, equal documents by place."""
+    rng = np.random.default_rng(heavy)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 400).astype("<u2") for _ in range(250)]
+    docs += [docs[i] for i in range(50)]
+    holds = np.bincount(np.concatenate([np.unique(x) for x in docs]), minlength=401)
+    stats = packing.Statistics(len(docs), sum(map(len, docs)), holds)
+    used = rng.random(len(docs)) < 0.2
+    monkeypatch.setattr(packing, "DENSE", 1 << 40)
+    lists, pieces = packing.Index(docs, stats), list(packing.plan(docs, stats))
+    monkeypatch.setattr(packing, "DENSE", 256)
+    monkeypatch.setattr(packing, "HEAVY", heavy)
+    index = packing.Index(docs, stats)
+    assert lists.base is None and sum(map(len, index.docs_of)) < sum(map(len, lists.docs_of)) and (heavy > 5 or sum(map(len, index.docs_of)))
+    for seed in range(0, len(docs), 7):
+        assert index.near(seed, used) == lists.near(seed, used)
+    assert list(packing.plan(docs, stats)) == pieces
+
+
+def test_words_of_one_text_are_words_alone(monkeypatch):
+    from colloquy.llm import vocab
+
+    enc = vocab.encoder(public_tokenizers.path("word_bpe_49k.json"), vocab.at_blanks)
+    words = vocab.pa.array(["a", "zebra", "übergrößenträgerïn", "x" * 300, "the", "ñ"])
+    monkeypatch.setattr(vocab, "SOME", 4)
+    monkeypatch.setattr(vocab, "FEW", 0)
+    want = vocab._library(enc.tokenizer, words)
+    assert all(np.array_equal(a, b) for a, b in zip(enc._words(words), want, strict=True))
+    monkeypatch.setattr(enc, "last", np.zeros_like(enc.last))  # a vocabulary whose words have no end: each is asked for by itself
+    assert all(np.array_equal(a, b) for a, b in zip(enc._words(words), want, strict=True))
+    assert len(enc._words(words.slice(0, 0))[0]) == 0
